@@ -1,15 +1,24 @@
-"""Flagship and panel-integration queries."""
+"""Flagship, projections / filters (P*), scalar functions (F*), joins (J*)
+and set operations (U*) over the driver tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelforge.functions import predicates as PR
+from panelforge.functions import scalar as S
+from panelforge.operators import joins as J
 from panelforge.operators import windows as W
 from panelforge.plans import panel as P
 from panelforge.plans import sqlparts as Q
 from panelforge.plans.registry import query
 
 
+def R(c, n=4):
+    return F.round(c, n)
+
+
+# ---------------------------------------------------------------- flagship
 @query("flagship_yearly_change", ops=("J1", "A2", "A3", "W10"), sql=Q.with_(Q.PANEL, """
 y AS (SELECT entity, yr, avg(v) AS mean_v, sum(total) AS total, CAST(sum(n) AS BIGINT) AS n FROM panel GROUP BY 1, 2)""") + """
 SELECT entity, yr, round(mean_v, 4) AS mean_v, round(total, 2) AS total, n,
@@ -21,5 +30,531 @@ def flagship_yearly_change(spark, sf_dir):
     y = p.groupBy("entity", "yr").agg(F.avg("v").alias("mean_v"), F.sum("total").alias("total"),
                                       F.sum("n").alias("n"))
     y = W.pct_change(y, "mean_v", P.YEARLY, out="yoy")
-    return y.select("entity", "yr", F.round("mean_v", 4).alias("mean_v"), F.round("total", 2).alias("total"),
-                    "n", F.round("yoy", 6).alias("yoy"))
+    return y.select("entity", "yr", R("mean_v").alias("mean_v"), R("total", 2).alias("total"),
+                    "n", R("yoy", 6).alias("yoy"))
+
+
+# ---------------------------------------------------------------- P: projections and filters
+@query("p01_p02_p03_select_rename_drop", ops=("P1", "P2", "P3", "P23"), sql=Q.with_(Q.PANEL) + """
+SELECT entity, yr, mo, round(total, 2) AS production FROM panel""")
+def p_select_rename_drop(spark, sf_dir):
+    p = P.base_panel(spark, sf_dir)
+    d = PR.select_existing(p, ["entity", "yr", "mo", "total", "n", "not_there"])
+    d = PR.rename(d, {"total": "production"}).drop("n")
+    return d.withColumn("production", R("production", 2))
+
+
+@query("p04_equality_filter", ops=("P4",), sql=Q.with_(Q.SURVEY) + """
+SELECT o_orderkey, yr, value_text FROM survey WHERE item = '1-URGENT'""")
+def p_equality_filter(spark, sf_dir):
+    return P.survey_text(spark, sf_dir).where(F.col("item") == "1-URGENT").select("o_orderkey", "yr", "value_text")
+
+
+@query("p05_contains_case_insensitive", ops=("P5", "F7"), sql="""
+SELECT o_orderkey, o_orderpriority FROM orders WHERE coalesce(contains(upper(o_orderpriority), 'SPECIFIED'), false)""")
+def p_contains_ci(spark, sf_dir):
+    o = P.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return PR.filter_contains(o, "o_orderpriority", "specified")
+
+
+@query("p06_between_months", ops=("P6",), sql=Q.with_(Q.PANEL) + """
+SELECT entity, yr, mo, n FROM panel WHERE mo BETWEEN 2 AND 8""")
+def p_between(spark, sf_dir):
+    return P.base_panel(spark, sf_dir).where(F.col("mo").between(2, 8)).select("entity", "yr", "mo", "n")
+
+
+@query("p07_drop_nonpositive_target", ops=("P7", "J6"), sql=Q.with_(Q.SPARSE) + """
+SELECT entity, yr, mo, round(coalesce(item, 0), 4) AS item FROM pitem WHERE coalesce(item, 0) > 0""")
+def p_drop_nonpositive(spark, sf_dir):
+    d = P.panel_with_item(spark, sf_dir).fillna({"item": 0.0})  # missing target -> 0, as the reference
+    return PR.drop_nonpositive(d, "item").select("entity", "yr", "mo", R("item").alias("item"))
+
+
+@query("p08_dropna_subset", ops=("P8",), sql=Q.with_(Q.SPARSE) + """
+SELECT entity, yr, mo, n FROM pitem WHERE item IS NOT NULL""")
+def p_dropna_subset(spark, sf_dir):
+    return P.panel_with_item(spark, sf_dir).dropna(subset=["item"]).select("entity", "yr", "mo", "n")
+
+
+@query("p09_dropna_any", ops=("P9", "J2", "J3"), sql=Q.with_(Q.SPARSE, Q.PRICE) + """
+SELECT entity, yr, mo, n FROM pitem LEFT JOIN price USING (yr, mo)
+WHERE item IS NOT NULL AND price IS NOT NULL AND v IS NOT NULL""")
+def p_dropna_any(spark, sf_dir):
+    d = J.left_enrich(P.panel_with_item(spark, sf_dir), P.monthly_price(spark, sf_dir), ["yr", "mo"], broadcast=True)
+    return d.dropna(how="any").select("entity", "yr", "mo", "n")
+
+
+@query("p10_key_threshold", ops=("P10", "F4"), sql=Q.with_(Q.SURVEY) + """
+SELECT key, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT CAST(CAST(try_cast(state_code AS DOUBLE) AS BIGINT) * 1000
+              + CAST(coalesce(try_cast(county_code AS DOUBLE), 0) AS BIGINT) AS BIGINT) AS key FROM survey)
+WHERE key >= 1001 GROUP BY key""")
+def p_key_threshold(spark, sf_dir):
+    s = P.survey_text(spark, sf_dir).select(S.build_key("state_code", "county_code").alias("key"))
+    return s.where(F.col("key") >= 1001).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p11_membership_and_semi_join", ops=("P11", "J13"), sql=Q.with_(Q.PANEL, Q.DIM) + """
+SELECT entity, yr, mo, n FROM panel
+WHERE entity IN (1, 3, 5, 7, 11, 13) AND entity IN (SELECT entity FROM dim WHERE dist > 40)""")
+def p_membership(spark, sf_dir):
+    p = PR.keep_in(P.base_panel(spark, sf_dir), "entity", [1, 3, 5, 7, 11, 13])
+    far = P.static_dim(spark, sf_dir).where(F.col("dist") > 40)
+    return PR.keep_in(p, "entity", far).select("entity", "yr", "mo", "n")
+
+
+PRED_SQL = """preds AS (SELECT entity, yr, mo, total AS y,
+   CASE WHEN n = 1 THEN 'inf'::DOUBLE WHEN n = 2 THEN NULL ELSE total * 1.05 END AS p FROM panel)"""
+
+
+def _preds(spark, sf_dir):
+    p = P.base_panel(spark, sf_dir)
+    pred = F.when(F.col("n") == 1, F.lit(float("inf"))).when(F.col("n") == 2, F.lit(None)).otherwise(F.col("total") * 1.05)
+    return p.select("entity", "yr", "mo", F.col("total").alias("y"), pred.alias("p"))
+
+
+@query("p12_valid_pairs", ops=("P12",), sql=Q.with_(Q.PANEL, PRED_SQL) + """
+SELECT entity, yr, mo, round(p, 2) AS p FROM preds
+WHERE y IS NOT NULL AND p IS NOT NULL AND NOT isnan(p) AND NOT isinf(p) AND y > 0 AND p > 0""")
+def p_valid_pairs(spark, sf_dir):
+    return _preds(spark, sf_dir).where(PR.valid_pairs("y", "p")).select("entity", "yr", "mo", R("p", 2).alias("p"))
+
+
+@query("p15_drop_sparse_columns", ops=("P15", "Q2"), sql=Q.with_(Q.SPARSE) + """
+SELECT entity, yr, mo, round(v, 4) AS v, round(total, 2) AS total, n FROM pitem""")
+def p_drop_sparse(spark, sf_dir):
+    d = PR.drop_sparse_columns(P.panel_with_item(spark, sf_dir), 50.0)
+    return d.select(*[R(c, 2 if c == "total" else 4).alias(c) if c in ("v", "total", "item") else c for c in d.columns])
+
+
+@query("p16_inf_to_null", ops=("P16",), sql=Q.with_(Q.PANEL, PRED_SQL) + """
+SELECT entity, yr, mo, round(CASE WHEN isinf(p) OR isnan(p) THEN NULL ELSE p END, 2) AS p FROM preds""")
+def p_inf_to_null(spark, sf_dir):
+    d = PR.inf_to_null(_preds(spark, sf_dir), ["p"])
+    return d.select("entity", "yr", "mo", R("p", 2).alias("p"))
+
+
+@query("p17_fill_zero", ops=("P17", "F28"), sql=Q.with_(Q.PANEL, PRED_SQL) + """
+SELECT entity, yr, mo, round(CASE WHEN p IS NULL OR isinf(p) OR isnan(p) THEN 0 ELSE p END, 2) AS p FROM preds""")
+def p_fill_zero(spark, sf_dir):
+    d = PR.fill_zero(_preds(spark, sf_dir), ["p"])
+    return d.select("entity", "yr", "mo", R("p", 2).alias("p"))
+
+
+@query("p18_cap_at_quantile", ops=("P18", "A11"), sql="""
+WITH cap AS (SELECT quantile_cont(l_extendedprice, 0.99) AS c FROM lineitem)
+SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, round(sum(least(l_extendedprice, c)), 2) AS capped_sum,
+       round(max(least(l_extendedprice, c)), 4) AS capped_max
+FROM lineitem, cap GROUP BY l_returnflag""")
+def p_cap_quantile(spark, sf_dir):
+    li = P.table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+    d = PR.cap_at_quantile(li, "l_extendedprice", 0.99)
+    return d.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), R(F.sum("l_extendedprice"), 2).alias("capped_sum"),
+                                         R(F.max("l_extendedprice")).alias("capped_max"))
+
+
+@query("p19_clip_bounds", ops=("P19",), sql="""
+SELECT l_linestatus, round(sum(greatest(-0.2, least(0.2, l_discount * 10 - 0.3))), 4) AS clipped_sum,
+       round(min(greatest(-0.2, least(0.2, l_discount * 10 - 0.3))), 4) AS lo,
+       round(max(greatest(-0.2, least(0.2, l_discount * 10 - 0.3))), 4) AS hi
+FROM lineitem GROUP BY l_linestatus""")
+def p_clip(spark, sf_dir):
+    li = P.table(spark, sf_dir, "lineitem")
+    c = PR.clip(F.col("l_discount") * 10 - 0.3, -0.2, 0.2)
+    return li.groupBy("l_linestatus").agg(R(F.sum(c)).alias("clipped_sum"), R(F.min(c)).alias("lo"), R(F.max(c)).alias("hi"))
+
+
+@query("p21_p22_point_and_year_slice", ops=("P21", "P22"), sql=Q.with_(Q.PANEL) + """
+SELECT entity, yr, mo, round(total, 2) AS total FROM panel WHERE (entity = 7 AND yr = 1998) OR yr = 2000""")
+def p_point_lookup(spark, sf_dir):
+    p = P.base_panel(spark, sf_dir)
+    point = p.where((F.col("entity") == 7) & (F.col("yr") == 1998))
+    year = p.where(F.col("yr") == 2000)
+    return point.unionByName(year).select("entity", "yr", "mo", R("total", 2).alias("total"))
+
+
+@query("p24_constant_columns", ops=("P24",), sql=Q.with_(Q.PANEL) + """
+SELECT entity, yr, mo, 'orders' AS source, CAST(1 AS BIGINT) AS is_observed FROM panel""")
+def p_constant(spark, sf_dir):
+    p = P.base_panel(spark, sf_dir).select("entity", "yr", "mo")
+    return p.withColumns({"source": F.lit("orders"), "is_observed": F.lit(1)})
+
+
+# ---------------------------------------------------------------- F: scalar functions
+@query("f01_f02_parse_number_text", ops=("F1", "F2", "S1"), sql=Q.with_(Q.SURVEY) + """
+SELECT o_orderkey, try_cast(replace(trim(value_text), ',', '') AS DOUBLE) AS value FROM survey""")
+def f_parse_number(spark, sf_dir):
+    s = P.survey_text(spark, sf_dir)
+    return s.select("o_orderkey", S.parse_number("value_text").alias("value"))
+
+
+@query("f03_zero_pad", ops=("F3", "F26"), sql="""
+SELECT DISTINCT CAST(c_nationkey AS BIGINT) AS nation, lpad(CAST(c_nationkey AS VARCHAR), 3, '0') AS code3,
+       lpad(CAST(27000 + c_nationkey AS VARCHAR), 5, '0') AS code5,
+       CASE WHEN length(CAST(c_custkey AS VARCHAR)) >= 2 THEN CAST(c_custkey AS VARCHAR)
+            ELSE lpad(CAST(c_custkey AS VARCHAR), 2, '0') END AS cust2, CAST(c_custkey AS BIGINT) AS c_custkey
+FROM customer""")
+def f_zero_pad(spark, sf_dir):
+    c = P.table(spark, sf_dir, "customer")
+    return c.select(F.col("c_nationkey").alias("nation"), S.zero_pad("c_nationkey", 3).alias("code3"),
+                    S.zero_pad(F.col("c_nationkey") + 27000, 5).alias("code5"),
+                    S.zero_pad("c_custkey", 2).alias("cust2"), "c_custkey").distinct()
+
+
+@query("f04_build_key", ops=("F4",), sql=Q.with_(Q.SURVEY) + """
+SELECT DISTINCT state_code, county_code,
+  CAST(CAST(try_cast(state_code AS DOUBLE) AS BIGINT) * 1000 + CAST(coalesce(try_cast(county_code AS DOUBLE), 0) AS BIGINT) AS BIGINT) AS key
+FROM survey""")
+def f_build_key(spark, sf_dir):
+    s = P.survey_text(spark, sf_dir)
+    return s.select("state_code", "county_code", S.build_key("state_code", "county_code").alias("key")).distinct()
+
+
+NAMES_SQL = """names AS (
+  SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS true_key, c_mktsegment AS kind,
+    CASE c_mktsegment WHEN 'AUTOMOBILE' THEN '  ' || lower(n_name) || ' '
+                      WHEN 'BUILDING' THEN replace(n_name, '_', ' _ ')
+                      WHEN 'FURNITURE' THEN substr(n_name, 2)
+                      WHEN 'HOUSEHOLD' THEN replace(lower(n_name), '_', '-')
+                      ELSE n_name END AS name
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _names(spark, sf_dir):
+    c = P.table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment")
+    n = P.table(spark, sf_dir, "nation")
+    j = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    seg = F.col("c_mktsegment")
+    name = (F.when(seg == "AUTOMOBILE", F.concat(F.lit("  "), F.lower("n_name"), F.lit(" ")))
+            .when(seg == "BUILDING", F.replace(F.col("n_name"), F.lit("_"), F.lit(" _ ")))
+            .when(seg == "FURNITURE", F.substring("n_name", 2, 1000))
+            .when(seg == "HOUSEHOLD", F.replace(F.lower("n_name"), F.lit("_"), F.lit("-")))
+            .otherwise(F.col("n_name")))
+    return j.select(F.col("n_nationkey").alias("true_key"), seg.alias("kind"), name.alias("name")).distinct()
+
+
+@query("f05_f06_upper_trim_squeeze", ops=("F5", "F6"), sql=Q.with_(NAMES_SQL) + """
+SELECT DISTINCT name, upper(trim(name)) AS ut, translate(upper(trim(name)), ' -', '') AS sq FROM names""")
+def f_upper_squeeze(spark, sf_dir):
+    n = _names(spark, sf_dir)
+    return n.select("name", S.upper_trim("name").alias("ut"), S.squeeze("name").alias("sq")).distinct()
+
+
+@query("f09_f10_parse_dates", ops=("F9", "F10"), sql="""
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderpriority < '3' THEN strftime(o_orderdate, '%Y-%m')
+                                   WHEN o_orderpriority < '5' THEN strftime(o_orderdate, '%-m/%-d/%Y')
+                                   ELSE 'not a date' END AS s FROM orders)
+SELECT o_orderkey, s, CAST(year(d) AS BIGINT) AS yr, CAST(month(d) AS BIGINT) AS mo
+FROM (SELECT *, coalesce(try_strptime(s, '%Y-%m'), try_strptime(s, '%m/%d/%Y')) AS d FROM t)""")
+def f_parse_dates(spark, sf_dir):
+    o = P.table(spark, sf_dir, "orders")
+    s = (F.when(F.col("o_orderpriority") < "3", F.date_format("o_orderdate", "yyyy-MM"))
+         .when(F.col("o_orderpriority") < "5", F.date_format("o_orderdate", "M/d/yyyy")).otherwise(F.lit("not a date")))
+    d = o.select("o_orderkey", s.alias("s")).withColumn("d", S.parse_date("s", formats=("yyyy-MM", "M/d/yyyy")))
+    return d.select("o_orderkey", "s", S.year_part("d").alias("yr"), S.month_part("d").alias("mo"))
+
+
+@query("f11_f32_month_labels_and_ranges", ops=("F11", "F32"), sql=Q.with_(Q.PANEL) + """
+SELECT DISTINCT yr, mo, CAST(yr AS VARCHAR) || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') AS label,
+       strftime(make_date(yr, mo, 1), '%Y-%m-%d') AS range_start,
+       strftime(make_date(yr, mo, 1) + INTERVAL 1 MONTH, '%Y-%m-%d') AS range_end FROM panel""")
+def f_month_labels(spark, sf_dir):
+    p = P.base_panel(spark, sf_dir).select("yr", "mo").distinct()
+    return p.select("yr", "mo", S.ym_label("yr", "mo").alias("label"),
+                    F.date_format(S.month_start("yr", "mo"), "yyyy-MM-dd").alias("range_start"),
+                    F.date_format(S.month_end_exclusive("yr", "mo"), "yyyy-MM-dd").alias("range_end"))
+
+
+@query("f12_f13_f16_log_exp_sqrt", ops=("F12", "F13", "F16", "E20"), sql=Q.with_(Q.PANEL) + """
+SELECT entity, round(sum(ln(1 + total)), 4) AS sum_log1p, round(avg(exp(ln(1 + total / 1e6)) - 1), 6) AS mean_roundtrip,
+       round(sum(ln(total)), 4) AS sum_ln, round(sum(sqrt(total)), 2) AS sum_sqrt, round(sum(pow(n, 2)), 1) AS sum_sq
+FROM panel GROUP BY entity""")
+def f_log_exp(spark, sf_dir):
+    p = P.base_panel(spark, sf_dir)
+    return p.groupBy("entity").agg(R(F.sum(S.log1p_safe("total"))).alias("sum_log1p"),
+                                   R(F.avg(S.expm1(S.log1p_safe(F.col("total") / 1e6))), 6).alias("mean_roundtrip"),
+                                   R(F.sum(S.ln_safe("total"))).alias("sum_ln"),
+                                   R(F.sum(F.sqrt("total")), 2).alias("sum_sqrt"),
+                                   R(F.sum(F.pow("n", 2)), 1).alias("sum_sq"))
+
+
+@query("f14_cyclic_month", ops=("F14", "E3"), sql=Q.with_(Q.PANEL) + """
+SELECT DISTINCT mo, round(sin(2 * pi() * mo / 12), 6) AS month_sin, round(cos(2 * pi() * mo / 12), 6) AS month_cos FROM panel""")
+def f_cyclic(spark, sf_dir):
+    p = P.base_panel(spark, sf_dir).select("mo").distinct()
+    return p.select("mo", R(S.month_sin("mo"), 6).alias("month_sin"), R(S.month_cos("mo"), 6).alias("month_cos"))
+
+
+@query("f15_abs_and_pct_error", ops=("F15",), sql=Q.with_(Q.PANEL, PRED_SQL) + """
+SELECT entity, yr, mo, round(abs(p - y), 2) AS abs_err, round(100 * (p - y) / y, 4) AS pct_err
+FROM preds WHERE p IS NOT NULL AND NOT isinf(p)""")
+def f_errors(spark, sf_dir):
+    d = _preds(spark, sf_dir).where(F.col("p").isNotNull() & (F.abs("p") != float("inf")))
+    return d.select("entity", "yr", "mo", R(S.abs_error("y", "p"), 2).alias("abs_err"),
+                    R(S.pct_error("y", "p"), 4).alias("pct_err"))
+
+
+@query("f17_exp_damping", ops=("F17",), sql=Q.with_(Q.PANEL) + """
+SELECT entity, yr, mo, round(1 - exp(-(total * 0.2) / (total * 0.1)), 6) AS damp,
+       round(1 - exp(-(v * 0.05) / (v * 0.1)), 6) AS damp_small FROM panel""")
+def f_damping(spark, sf_dir):
+    p = P.base_panel(spark, sf_dir)
+    return p.select("entity", "yr", "mo", R(S.damping(F.col("total") * 0.2, F.col("total") * 0.1), 6).alias("damp"),
+                    R(S.damping(F.col("v") * 0.05, F.col("v") * 0.1), 6).alias("damp_small"))
+
+
+@query("f18_f27_regex_capture_prefix", ops=("F18", "F27"), sql="""
+SELECT page_id, CAST(try_cast(nullif(regexp_extract(url, '/([a-z][a-z])/([0-9]+)', 2), '') AS BIGINT) AS BIGINT) AS num,
+       nullif(trim(regexp_extract(url, '/([a-z][a-z])/([0-9]+)', 1)), '') AS lang,
+       split_part(url, '?', 1) AS base_url FROM pages""")
+def f_regex(spark, sf_dir):
+    pg = P.table(spark, sf_dir, "pages")
+    pat = r"/([a-z][a-z])/([0-9]+)"
+    return pg.select("page_id", S.capture_int("url", pat, 2).alias("num"), S.capture_text("url", pat, 1).alias("lang"),
+                     S.name_prefix("url", "?").alias("base_url"))
+
+
+FENCED_SQL = """fenced AS (SELECT event_id, CASE WHEN event_type = 'click' THEN '```json' || chr(10) || props || chr(10) || '```'
+                         WHEN event_type = 'error' THEN 'not json' ELSE props END AS txt FROM events)"""
+
+
+@query("f19_json_in_code_fence", ops=("F19",), sql=Q.with_(FENCED_SQL) + """
+SELECT event_id, CAST(json_extract(CASE WHEN txt LIKE '```%' THEN regexp_replace(regexp_replace(txt, '^```[A-Za-z0-9_-]*\\s*', ''), '\\s*```$', '') ELSE txt END, '$.k') AS DOUBLE) AS k
+FROM fenced WHERE txt <> 'not json'
+UNION ALL SELECT event_id, NULL FROM fenced WHERE txt = 'not json'""")
+def f_json_fence(spark, sf_dir):
+    e = P.table(spark, sf_dir, "events")
+    txt = (F.when(F.col("event_type") == "click", F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
+           .when(F.col("event_type") == "error", F.lit("not json")).otherwise(F.col("props")))
+    d = e.select("event_id", txt.alias("txt"))
+    return d.select("event_id", S.parse_json_fields("txt", "k double")["k"].alias("k"))
+
+
+@query("f20_text_template", ops=("F20", "H14"), sql=Q.with_(Q.YEARLY) + """
+SELECT entity, yr, 'Entity ' || CAST(entity AS VARCHAR) || ' in ' || CAST(yr AS VARCHAR) || ': '
+       || format('{:,.0f}', round(total * 12)) || ' units from ' || format('{:,}', n) || ' orders' AS line FROM yearly""")
+def f_template(spark, sf_dir):
+    y = P.yearly_panel(spark, sf_dir)
+    return y.select("entity", "yr", F.concat(F.lit("Entity "), F.col("entity").cast("string"), F.lit(" in "),
+                                             F.col("yr").cast("string"), F.lit(": "),
+                                             S.thousands(F.round(F.col("total") * 12, 0)), F.lit(" units from "),
+                                             S.thousands("n"), F.lit(" orders")).alias("line"))
+
+
+@query("f21_f22_row_mean_guarded_ratio", ops=("F21", "F22", "E4", "E6"), sql=Q.with_(Q.SPARSE, Q.PRICE) + """
+SELECT entity, yr, mo,
+  round(CASE WHEN (CASE WHEN v IS NULL THEN 0 ELSE 1 END + CASE WHEN item IS NULL THEN 0 ELSE 1 END + CASE WHEN price IS NULL THEN 0 ELSE 1 END) > 0
+   THEN (coalesce(v, 0) + coalesce(item, 0) + coalesce(price, 0)) /
+        (CASE WHEN v IS NULL THEN 0 ELSE 1 END + CASE WHEN item IS NULL THEN 0 ELSE 1 END + CASE WHEN price IS NULL THEN 0 ELSE 1 END) END, 4) AS row_mean,
+  round(total / (n + 1e-8), 4) AS ratio
+FROM pitem LEFT JOIN price USING (yr, mo)""")
+def f_row_mean(spark, sf_dir):
+    d = J.left_enrich(P.panel_with_item(spark, sf_dir), P.monthly_price(spark, sf_dir), ["yr", "mo"], broadcast=True)
+    return d.select("entity", "yr", "mo", R(S.row_mean(["v", "item", "price"])).alias("row_mean"),
+                    R(S.guarded_ratio("total", "n")).alias("ratio"))
+
+
+@query("f23_graded_label", ops=("F23",), sql=Q.with_(Q.YEARLY) + """
+SELECT entity, yr, CASE WHEN v >= 160000 THEN 'HIGH' WHEN v >= 140000 THEN 'MID' ELSE 'LOW' END AS grade FROM yearly""")
+def f_graded(spark, sf_dir):
+    y = P.yearly_panel(spark, sf_dir)
+    return y.select("entity", "yr", S.graded("v", [(160000, "HIGH"), (140000, "MID")], "LOW").alias("grade"))
+
+
+@query("f24_text_bar", ops=("F24", "A30"), sql=Q.with_(Q.PANEL) + """
+, m AS (SELECT entity, avg(total) AS mean_total FROM panel GROUP BY 1)
+SELECT entity, repeat('#', CAST(floor(50 * mean_total / (SELECT max(mean_total) FROM m)) AS INTEGER)) AS bar FROM m""")
+def f_text_bar(spark, sf_dir):
+    m = P.base_panel(spark, sf_dir).groupBy("entity").agg(F.avg("total").alias("mean_total"))
+    mx = m.agg(F.max("mean_total").alias("mx"))
+    return W._attach_row(m, mx).select("entity", S.text_bar("mean_total", "mx").alias("bar"))
+
+
+@query("f25_f29_round_millions", ops=("F25", "F29"), sql=Q.with_(Q.YEARLY) + """
+SELECT entity, yr, round(total / 1e6, 3) AS total_m, round(v, 0) AS v0 FROM yearly""")
+def f_round(spark, sf_dir):
+    y = P.yearly_panel(spark, sf_dir)
+    return y.select("entity", "yr", R(S.millions("total"), 3).alias("total_m"), R("v", 0).alias("v0"))
+
+
+@query("f30_item_to_column_name", ops=("F30", "A19"), sql=Q.with_(Q.SURVEY) + """
+SELECT entity, yr,
+  round(max(CASE WHEN item = '1-URGENT' THEN v END), 2) AS urgent_usd,
+  round(max(CASE WHEN item = '2-HIGH' THEN v END), 2) AS high_usd,
+  round(max(CASE WHEN item = '3-MEDIUM' THEN v END), 2) AS medium_usd
+FROM (SELECT CAST(try_cast(county_code AS DOUBLE) AS BIGINT) AS entity, yr, item,
+             try_cast(replace(value_text, ',', '') AS DOUBLE) AS v FROM survey)
+GROUP BY entity, yr""")
+def f_item_columns(spark, sf_dir):
+    from panelforge.operators import aggregates as A
+    mapping = (("1-URGENT", "urgent_usd"), ("2-HIGH", "high_usd"), ("3-MEDIUM", "medium_usd"))
+    s = P.survey_text(spark, sf_dir).select(F.col("county_code").try_cast("double").cast("bigint").alias("entity"), "yr",
+                                            "item", S.parse_number("value_text").alias("v"))
+    s = s.withColumn("col", S.item_column("item", mapping)).where(F.col("col").isNotNull())
+    wide = A.pivot_items(s, ["entity", "yr"], "col", "v", [(name, name) for _, name in mapping])
+    return wide.select("entity", "yr", *[R(name, 2).alias(name) for _, name in mapping])
+
+
+# ---------------------------------------------------------------- J: joins
+@query("j01_left_join_match_rate", ops=("J1", "Q5"), sql=Q.with_(Q.SPARSE) + """
+SELECT CAST(count(item) AS BIGINT) AS matched, CAST(count(*) AS BIGINT) AS rows, round(count(item) / count(*), 6) AS match_rate FROM pitem""")
+def j_left_match(spark, sf_dir):
+    from panelforge.operators.quality import match_rate
+    d = J.left_enrich(P.base_panel(spark, sf_dir), P.sparse_item(spark, sf_dir).dropna(subset=["item"]), ["entity", "yr"])
+    return match_rate(d, "item").withColumn("match_rate", R("match_rate", 6))
+
+
+@query("j04_static_dimension_join", ops=("J4", "E14", "E15"), sql=Q.with_(Q.PANEL, Q.DIM) + """
+SELECT entity, yr, mo, round(dist, 4) AS dist, facility,
+  CASE WHEN dist > 0 AND dist <= 25 THEN 'Very Close' WHEN dist > 25 AND dist <= 50 THEN 'Close'
+       WHEN dist > 50 AND dist <= 100 THEN 'Medium' WHEN dist > 100 THEN 'Far' END AS dist_category,
+  CAST(coalesce(CASE WHEN dist > 25 AND dist <= 50 THEN TRUE WHEN dist IS NULL OR dist <= 0 THEN NULL ELSE FALSE END, FALSE) AS BIGINT) AS dist_Close,
+  CAST(coalesce(CASE WHEN dist > 50 AND dist <= 100 THEN TRUE WHEN dist IS NULL OR dist <= 0 THEN NULL ELSE FALSE END, FALSE) AS BIGINT) AS dist_Medium
+FROM panel LEFT JOIN dim USING (entity)""")
+def j_static_dim(spark, sf_dir):
+    from panelforge.operators import features as E
+    d = J.left_enrich(P.base_panel(spark, sf_dir), P.static_dim(spark, sf_dir), ["entity"], broadcast=True,
+                      max_broadcast_rows=100_000)
+    d = d.withColumn("dist_category", E.cut("dist"))
+    d = E.one_hot(d, "dist_category", ["Close", "Medium"], "dist")
+    return d.select("entity", "yr", "mo", R("dist").alias("dist"), "facility", "dist_category", "dist_Close", "dist_Medium")
+
+
+@query("j05_inner_join_sequences_targets", ops=("J5",), sql=Q.with_(Q.YEARLY) + """
+, seq AS (SELECT entity, yr, CAST(count(*) AS BIGINT) AS steps FROM panel WHERE mo BETWEEN 2 AND 8 GROUP BY 1, 2)
+SELECT entity, yr, steps, round(total, 2) AS target FROM seq JOIN yearly USING (entity, yr)""")
+def j_inner(spark, sf_dir):
+    seq = P.base_panel(spark, sf_dir).where(F.col("mo").between(2, 8)).groupBy("entity", "yr").agg(
+        F.count(F.lit(1)).alias("steps"))
+    tgt = P.yearly_panel(spark, sf_dir).select("entity", "yr", R("total", 2).alias("target"))
+    return J.inner_join(seq, tgt, ["entity", "yr"])
+
+
+@query("j07_full_outer_chain", ops=("J7", "A19"), sql=Q.with_(Q.SURVEY) + """
+, parsed AS (SELECT CAST(try_cast(county_code AS DOUBLE) AS BIGINT) AS entity, yr, item,
+                    try_cast(replace(value_text, ',', '') AS DOUBLE) AS v FROM survey),
+a AS (SELECT entity, yr, sum(v) AS urgent FROM parsed WHERE item = '1-URGENT' AND v IS NOT NULL GROUP BY 1, 2),
+b AS (SELECT entity, yr, sum(v) AS high FROM parsed WHERE item = '2-HIGH' AND v IS NOT NULL AND yr <> 1997 GROUP BY 1, 2),
+c AS (SELECT entity, yr, sum(v) AS low FROM parsed WHERE item = '5-LOW' AND v IS NOT NULL GROUP BY 1, 2)
+SELECT coalesce(a.entity, b.entity, c.entity) AS entity, coalesce(a.yr, b.yr, c.yr) AS yr,
+       round(urgent, 2) AS urgent, round(high, 2) AS high, round(low, 2) AS low
+FROM a FULL OUTER JOIN b ON a.entity = b.entity AND a.yr = b.yr
+       FULL OUTER JOIN c ON coalesce(a.entity, b.entity) = c.entity AND coalesce(a.yr, b.yr) = c.yr""")
+def j_outer_chain(spark, sf_dir):
+    s = P.survey_text(spark, sf_dir).select(F.col("county_code").try_cast("double").cast("bigint").alias("entity"), "yr",
+                                            "item", S.parse_number("value_text").alias("v")).dropna(subset=["v"])
+
+    def item(name, out, extra=None):
+        d = s.where(F.col("item") == name)
+        if extra is not None:
+            d = d.where(extra)
+        return d.groupBy("entity", "yr").agg(F.sum("v").alias(out))
+    d = J.outer_chain([item("1-URGENT", "urgent"), item("2-HIGH", "high", F.col("yr") != 1997), item("5-LOW", "low")],
+                      ["entity", "yr"])
+    return d.select("entity", "yr", R("urgent", 2).alias("urgent"), R("high", 2).alias("high"), R("low", 2).alias("low"))
+
+
+@query("j08_fuzzy_name_match", ops=("J8", "J14", "F5", "F6", "F7"), sql=Q.with_(NAMES_SQL) + """
+, n AS (SELECT DISTINCT name, upper(trim(name)) AS ut, translate(upper(trim(name)), ' -', '') AS sq, upper(name) AS up FROM names),
+d AS (SELECT CAST(n_nationkey AS BIGINT) AS k, upper(trim(n_name)) AS dut, translate(upper(trim(n_name)), ' -', '') AS dsq,
+             upper(n_name) AS dup FROM nation),
+c AS (SELECT name, 1 AS tier, k FROM n JOIN d ON ut = dut
+      UNION ALL SELECT name, 2, k FROM n JOIN d ON sq = dsq
+      UNION ALL SELECT name, 3, k FROM n JOIN d ON contains(dsq, sq)
+      UNION ALL SELECT name, 4, k FROM n JOIN d ON contains(dup, up)),
+best AS (SELECT name, min(tier) AS tier FROM c GROUP BY name),
+pick AS (SELECT c.name, c.tier, min(c.k) AS k FROM c JOIN best USING (name, tier) GROUP BY c.name, c.tier)
+SELECT DISTINCT names.name, CAST(pick.k AS BIGINT) AS match_key, CAST(pick.tier AS BIGINT) AS match_key_tier
+FROM names LEFT JOIN pick USING (name)""")
+def j_fuzzy(spark, sf_dir):
+    names = _names(spark, sf_dir)
+    nation = P.table(spark, sf_dir, "nation")
+    m = J.match_names(names, "name", nation, "n_name", "n_nationkey")
+    return m.select("name", "match_key", "match_key_tier").distinct()
+
+
+@query("j09_grain_adaptive_join", ops=("J9", "A3"), sql=Q.with_(Q.YEARLY, Q.PRICE) + """
+, py AS (SELECT yr, avg(price) AS price FROM price GROUP BY yr)
+SELECT entity, yr, round(v, 4) AS v, round(price, 4) AS price FROM yearly LEFT JOIN py USING (yr)""")
+def j_grain(spark, sf_dir):
+    y = P.yearly_panel(spark, sf_dir).select("entity", "yr", "v")
+    price = P.monthly_price(spark, sf_dir)
+    d = J.enrich_at_grain(y, price, ["yr"], "mo", ["price"])
+    return d.select("entity", "yr", R("v").alias("v"), R("price").alias("price"))
+
+
+@query("j10_dictionary_lookup", ops=("J10",), sql="""
+SELECT CAST(c_custkey AS BIGINT) AS c_custkey, n_name AS nation_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
+def j_lookup(spark, sf_dir):
+    c = P.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nk"))
+    n = P.table(spark, sf_dir, "nation")
+    return J.map_lookup(c, "nk", n, "n_nationkey", "n_name", "nation_name").select("c_custkey", "nation_name")
+
+
+@query("j11_w11_latest_per_key", ops=("J11", "W11", "W18"), sql="""
+WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate,
+                  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)
+SELECT CAST(o_custkey AS BIGINT) AS o_custkey, o_orderkey, round(o_totalprice, 2) AS last_price,
+       CAST(year(o_orderdate) AS BIGINT) AS latest_year, CAST(year(o_orderdate) + 1 AS BIGINT) AS forecast_year
+FROM r WHERE rn = 1""")
+def j_latest(spark, sf_dir):
+    o = P.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    last = J.latest_per_key(o, "o_custkey", ["o_orderdate", "o_orderkey"])
+    return last.select("o_custkey", "o_orderkey", R("o_totalprice", 2).alias("last_price"),
+                       F.year("o_orderdate").alias("latest_year"), (F.year("o_orderdate") + 1).alias("forecast_year"))
+
+
+@query("j14_unmatched_keys", ops=("J14",), sql="""
+SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation
+WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)""")
+def j_unmatched(spark, sf_dir):
+    n = P.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rich = P.table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 5000).select(F.col("s_nationkey").alias("n_nationkey"))
+    return J.unmatched(n, rich, ["n_nationkey"])
+
+
+@query("j15_group_stat_joined_back", ops=("J15", "A10"), sql=Q.with_(Q.PANEL) + """
+SELECT entity, yr, mo, round(total - median(total) OVER (PARTITION BY entity), 2) AS dev_from_entity_median FROM panel""")
+def j_group_stat(spark, sf_dir):
+    p = P.base_panel(spark, sf_dir)
+    d = J.with_group_stat(p, ["entity"], F.median("total"), "med")
+    return d.select("entity", "yr", "mo", R(F.col("total") - F.col("med"), 2).alias("dev_from_entity_median"))
+
+
+@query("j16_train_stats_on_test", ops=("J16", "M2", "M9"), sql=Q.with_(Q.PANEL) + """
+, st AS (SELECT avg(total) AS m, stddev_pop(total) AS s FROM panel WHERE yr < 2000)
+SELECT entity, yr, mo, round((total - m) / s, 6) AS z FROM panel, st WHERE yr >= 2000""")
+def j_apply_stats(spark, sf_dir):
+    from panelforge.operators import mlprep as M
+    p = P.base_panel(spark, sf_dir)
+    st = M.fit_standard(p, ["total"], F.col("yr") < 2000)
+    train, test = M.temporal_split(p, "yr", 2000)
+    d = J.apply_stats(test, {"total": (st.center["total"], st.scale["total"])}, lambda c, s: (c - F.lit(s[0])) / F.lit(s[1]))
+    return d.select("entity", "yr", "mo", R("total", 6).alias("z"))
+
+
+@query("j17_calendar", ops=("J17",), sql="""
+SELECT CAST(y AS BIGINT) AS yr, CAST(m AS BIGINT) AS mo
+FROM range((SELECT min(year(o_orderdate)) FROM orders), (SELECT max(year(o_orderdate)) FROM orders) + 1) t(y),
+     range(2, 9) s(m)""")
+def j_calendar(spark, sf_dir):
+    o = P.table(spark, sf_dir, "orders").agg(F.min(F.year("o_orderdate")).alias("lo"), F.max(F.year("o_orderdate")).alias("hi")).first()
+    return J.calendar(spark, o["lo"], o["hi"], range(2, 9), "yr", "mo")
+
+
+@query("u01_append_by_name", ops=("U1",), sql=Q.with_(Q.PANEL) + """
+SELECT entity, yr, mo, n, NULL::VARCHAR AS note FROM panel WHERE yr < 1997
+UNION ALL SELECT entity, yr, mo, NULL::BIGINT, 'late' FROM panel WHERE yr >= 2000""")
+def u_append(spark, sf_dir):
+    p = P.base_panel(spark, sf_dir)
+    a = p.where(F.col("yr") < 1997).select("entity", "yr", "mo", "n")
+    b = p.where(F.col("yr") >= 2000).select("entity", "yr", "mo", F.lit("late").alias("note"))
+    return J.append(a, b).select("entity", "yr", "mo", "n", "note")
+
+
+@query("u04_duplicate_rows", ops=("U4", "Q9"), sql="""
+SELECT CAST(count(*) - count(DISTINCT (l_orderkey, l_returnflag, l_linestatus)) AS BIGINT) AS duplicates FROM lineitem""")
+def u_duplicates(spark, sf_dir):
+    li = P.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus")
+    g = li.groupBy(*li.columns).count()
+    return g.agg((F.sum("count") - F.count(F.lit(1))).alias("duplicates"))

@@ -20,11 +20,11 @@ OPERATORS: dict[str, tuple[str, ...]] = {}
 
 
 def normalize(df: DataFrame) -> DataFrame:
-    """Integral -> BIGINT, float/decimal -> DOUBLE; other types unchanged."""
+    """Integral and boolean -> BIGINT, float/decimal -> DOUBLE; others unchanged."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
+        if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.BooleanType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.FloatType, T.DecimalType)):
             c = c.cast("double")
