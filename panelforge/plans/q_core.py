@@ -114,10 +114,10 @@ def _preds(spark, sf_dir):
 
 
 @query("p12_valid_pairs", ops=("P12",), sql=Q.with_(Q.PANEL, PRED_SQL) + """
-SELECT entity, yr, mo, round(p, 2) AS p FROM preds
+SELECT entity, yr, mo, round(p, 4) AS p FROM preds
 WHERE y IS NOT NULL AND p IS NOT NULL AND NOT isnan(p) AND NOT isinf(p) AND y > 0 AND p > 0""")
 def p_valid_pairs(spark, sf_dir):
-    return _preds(spark, sf_dir).where(PR.valid_pairs("y", "p")).select("entity", "yr", "mo", R("p", 2).alias("p"))
+    return _preds(spark, sf_dir).where(PR.valid_pairs("y", "p")).select("entity", "yr", "mo", R("p", 4).alias("p"))
 
 
 @query("p15_drop_sparse_columns", ops=("P15", "Q2"), sql=Q.with_(Q.SPARSE) + """
@@ -128,17 +128,17 @@ def p_drop_sparse(spark, sf_dir):
 
 
 @query("p16_inf_to_null", ops=("P16",), sql=Q.with_(Q.PANEL, PRED_SQL) + """
-SELECT entity, yr, mo, round(CASE WHEN isinf(p) OR isnan(p) THEN NULL ELSE p END, 2) AS p FROM preds""")
+SELECT entity, yr, mo, round(CASE WHEN isinf(p) OR isnan(p) THEN NULL ELSE p END, 4) AS p FROM preds""")
 def p_inf_to_null(spark, sf_dir):
     d = PR.inf_to_null(_preds(spark, sf_dir), ["p"])
-    return d.select("entity", "yr", "mo", R("p", 2).alias("p"))
+    return d.select("entity", "yr", "mo", R("p", 4).alias("p"))
 
 
 @query("p17_fill_zero", ops=("P17", "F28"), sql=Q.with_(Q.PANEL, PRED_SQL) + """
-SELECT entity, yr, mo, round(CASE WHEN p IS NULL OR isinf(p) OR isnan(p) THEN 0 ELSE p END, 2) AS p FROM preds""")
+SELECT entity, yr, mo, round(CASE WHEN p IS NULL OR isinf(p) OR isnan(p) THEN 0 ELSE p END, 4) AS p FROM preds""")
 def p_fill_zero(spark, sf_dir):
     d = PR.fill_zero(_preds(spark, sf_dir), ["p"])
-    return d.select("entity", "yr", "mo", R("p", 2).alias("p"))
+    return d.select("entity", "yr", "mo", R("p", 4).alias("p"))
 
 
 @query("p18_cap_at_quantile", ops=("P18", "A11"), sql="""
@@ -286,11 +286,11 @@ def f_cyclic(spark, sf_dir):
 
 
 @query("f15_abs_and_pct_error", ops=("F15",), sql=Q.with_(Q.PANEL, PRED_SQL) + """
-SELECT entity, yr, mo, round(abs(p - y), 2) AS abs_err, round(100 * (p - y) / y, 4) AS pct_err
+SELECT entity, yr, mo, round(abs(p - y), 4) AS abs_err, round(100 * (p - y) / y, 4) AS pct_err
 FROM preds WHERE p IS NOT NULL AND NOT isinf(p)""")
 def f_errors(spark, sf_dir):
     d = _preds(spark, sf_dir).where(F.col("p").isNotNull() & (F.abs("p") != float("inf")))
-    return d.select("entity", "yr", "mo", R(S.abs_error("y", "p"), 2).alias("abs_err"),
+    return d.select("entity", "yr", "mo", R(S.abs_error("y", "p"), 4).alias("abs_err"),
                     R(S.pct_error("y", "p"), 4).alias("pct_err"))
 
 
@@ -422,11 +422,11 @@ def j_static_dim(spark, sf_dir):
 
 @query("j05_inner_join_sequences_targets", ops=("J5",), sql=Q.with_(Q.YEARLY) + """
 , seq AS (SELECT entity, yr, CAST(count(*) AS BIGINT) AS steps FROM panel WHERE mo BETWEEN 2 AND 8 GROUP BY 1, 2)
-SELECT entity, yr, steps, round(total, 2) AS target FROM seq JOIN yearly USING (entity, yr)""")
+SELECT entity, yr, steps, round(total, 6) AS target FROM seq JOIN yearly USING (entity, yr)""")
 def j_inner(spark, sf_dir):
     seq = P.base_panel(spark, sf_dir).where(F.col("mo").between(2, 8)).groupBy("entity", "yr").agg(
         F.count(F.lit(1)).alias("steps"))
-    tgt = P.yearly_panel(spark, sf_dir).select("entity", "yr", R("total", 2).alias("target"))
+    tgt = P.yearly_panel(spark, sf_dir).select("entity", "yr", R("total", 6).alias("target"))
     return J.inner_join(seq, tgt, ["entity", "yr"])
 
 
