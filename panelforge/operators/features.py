@@ -27,36 +27,40 @@ class Feature:
     leaks_target: bool = False
 
 
-def _sub(a: str, b: str) -> Callable[..., Column]:
-    return lambda: F.col(a) - F.col(b)
-
-
-def registry(target: str = "corn_production_bu") -> list[Feature]:
-    """The reference's engineered columns (E4-E13) by their input names."""
-    return [
-        Feature("soil_moisture_gradient", ("SoilMoi100_200cm_inst", "SoilMoi0_10cm_inst"),
-                _sub("SoilMoi100_200cm_inst", "SoilMoi0_10cm_inst")),
-        Feature("temperature_range", ("prism_tmax_degf", "prism_tmin_degf"), _sub("prism_tmax_degf", "prism_tmin_degf")),
-        Feature("precipitation_evap_balance", ("prism_ppt_in", "Evap_tavg"), _sub("prism_ppt_in", "Evap_tavg")),
-        Feature("precipitation_efficiency", ("prism_ppt_in", "SoilMoi0_10cm_inst"),
-                lambda: S.guarded_ratio("SoilMoi0_10cm_inst", "prism_ppt_in")),
-        Feature("yield_per_acre", (target, "corn_acres_planted"),
-                lambda: S.guarded_ratio(target, "corn_acres_planted"), leaks_target=True),
-        Feature("fuel_cost_proxy", ("diesel_usd_gal", "corn_acres_planted"),
-                lambda: F.col("diesel_usd_gal") * F.col("corn_acres_planted")),
-        Feature("total_revenue_sources", ("income_farmrelated_receipts_total_usd", "govt_programs_federal_receipts_usd"),
-                lambda: F.col("income_farmrelated_receipts_total_usd") + F.col("govt_programs_federal_receipts_usd")),
-        Feature("revenue_per_bushel", ("income_farmrelated_receipts_total_usd", target),
-                lambda: S.guarded_ratio("income_farmrelated_receipts_total_usd", target), leaks_target=True),
-        Feature("evap_moist_interact", ("Evap_tavg", "SoilMoi0_10cm_inst"),
-                lambda: F.col("Evap_tavg") * F.col("SoilMoi0_10cm_inst")),
-        Feature("soil_evap_ratio", ("SoilMoi0_10cm_inst", "Evap_tavg"),
-                lambda: S.guarded_ratio("SoilMoi0_10cm_inst", "Evap_tavg")),
-        Feature("temp_gradient", ("SoilTMP0_10cm_inst", "SoilTMP100_200cm_inst"),
-                _sub("SoilTMP0_10cm_inst", "SoilTMP100_200cm_inst")),
-        Feature("wind_moist_interact", ("Wind_f_inst", "SoilMoi0_10cm_inst"),
-                lambda: F.col("Wind_f_inst") * F.col("SoilMoi0_10cm_inst")),
-    ]
+# The reference's engineered feature definitions (E5, E7-E13,
+# E16-E19) by the reference's input column names.
+FEATURE_DEFS = (
+    ("soil_moisture_gradient", "sub", ("SoilMoi100_200cm_inst", "SoilMoi0_10cm_inst"), False),
+    ("temperature_range", "sub", ("prism_tmax_degf", "prism_tmin_degf"), False),
+    ("precipitation_evap_balance", "sub", ("prism_ppt_in", "Evap_tavg"), False),
+    ("precipitation_efficiency", "ratio", ("SoilMoi0_10cm_inst", "prism_ppt_in"), False),
+    ("yield_per_acre", "ratio", ("corn_production_bu", "corn_acres_planted"), True),
+    ("fuel_cost_proxy", "mul", ("diesel_usd_gal", "corn_acres_planted"), False),
+    ("total_revenue_sources", "add", ("income_farmrelated_receipts_total_usd", "govt_programs_federal_receipts_usd"), False),
+    ("revenue_per_bushel", "ratio", ("income_farmrelated_receipts_total_usd", "corn_production_bu"), True),
+    ("evap_moist_interact", "mul", ("Evap_tavg", "SoilMoi0_10cm_inst"), False),
+    ("soil_evap_ratio", "ratio", ("SoilMoi0_10cm_inst", "Evap_tavg"), False),
+    ("temp_gradient", "sub", ("SoilTMP0_10cm_inst", "SoilTMP100_200cm_inst"), False),
+    ("wind_moist_interact", "mul", ("Wind_f_inst", "SoilMoi0_10cm_inst"), False),
+)
+
+_OPS = {
+    "sub": lambda a, b: F.col(a) - F.col(b),
+    "add": lambda a, b: F.col(a) + F.col(b),
+    "mul": lambda a, b: F.col(a) * F.col(b),
+    "ratio": lambda a, b: S.guarded_ratio(a, b),
+}
+
+
+def registry(columns: dict[str, str] | None = None) -> list[Feature]:
+    """The engineered features; ``columns`` maps a reference input name to
+    the column that plays its role in the data at hand."""
+    m = columns or {}
+    out = []
+    for name, op, (a, b), leaky in FEATURE_DEFS:
+        ca, cb = m.get(a, a), m.get(b, b)
+        out.append(Feature(name, (ca, cb), (lambda f=_OPS[op], x=ca, y=cb: f(x, y)), leaks_target=leaky))
+    return out
 
 
 def add_features(df: DataFrame, features: Sequence[Feature], names: Sequence[str] | None = None,
