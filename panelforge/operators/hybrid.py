@@ -152,9 +152,10 @@ def parse_adjustments(df: DataFrame, text_col: str, bound: float = ADJUST_BOUND,
     """Response text (optionally in a code fence) -> adjustment clipped
     to the bound (missing field -> 0.0), drivers, and a parse-success flag;
     unparseable text falls back to 0.0 with ``parsed = false``."""
-    js = S.parse_json_fields(text_col, schema)
+    js = S.parse_json_fields(text_col, schema, with_corrupt=True)
     d = df.withColumn("__js", js)
-    ok = F.col("__js").isNotNull() & F.col(text_col).isNotNull() & (F.trim(F.col(text_col)) != "")
+    ok = (F.col("__js").isNotNull() & F.col(f"__js.{S.CORRUPT}").isNull() & F.col(text_col).isNotNull()
+          & (F.trim(F.col(text_col)) != ""))
     raw = F.coalesce(F.col("__js.adjustment"), F.col("__js.adj"), F.lit(0.0))
     return d.withColumns({
         "parsed": ok,
