@@ -113,6 +113,13 @@ def expect(df: DataFrame, rules: Mapping[str, Column]) -> dict[str, int]:
     return {k: 0 for k in rules}
 
 
+def expectation_report(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """Q7 as a table: violations per rule, one aggregate, no raise."""
+    wide = df.agg(*[F.count_if(~F.coalesce(cond, F.lit(False))).alias(name) for name, cond in rules.items()])
+    rows = [F.struct(F.lit(k).alias("rule"), F.col(f"`{k}`").alias("violations")) for k in rules]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def expect_same_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Q11: keys only in ``a``, only in ``b`` (left anti both ways)."""
     ka, kb = a.select(*keys).distinct(), b.select(*keys).distinct()

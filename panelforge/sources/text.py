@@ -62,7 +62,7 @@ def parse_report(df: DataFrame, doc_key: str, text_col: str, fields: Sequence[st
 def read_keyed_text(spark: SparkSession, path: str, key_pattern: str = r"([0-9]+)[^/]*$",
                     key_type: str = "bigint") -> DataFrame:
     """One document per file; the key comes from the file name."""
-    d = spark.read.option("wholetext", True).text(path)
+    d = spark.read.text(path, wholetext=True)
     name = F.input_file_name()
     return d.select(F.regexp_extract(name, key_pattern, 1).try_cast(key_type).alias("key"),
                     F.col("value").alias("text"))
