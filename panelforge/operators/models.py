@@ -55,8 +55,8 @@ class PcaResult:
         """Centred (and scaled) projections, sign-fixed."""
         d = mlprep.transform(df, self.stats)
         d = assembler(self.cols, "__x").setHandleInvalid("skip").transform(d)
-        arr = vector_to_array(self.model.transform(d)["__pca"])
-        return d.select(*keep, arr.alias("__a")).select(
+        t = self.model.transform(d)
+        return t.select(*keep, vector_to_array(t["__pca"]).alias("__a")).select(
             *keep, *[(F.col("__a")[j] * F.lit(float(self.signs[j]))).alias(f"{prefix}{j + 1}")
                      for j in range(len(self.signs))])
 
@@ -146,9 +146,9 @@ def gbt(cols: Sequence[str], label: str, iters: int = 100, depth: int = 6, step:
     """Depth-wise gradient boosting; with ``validation`` (a
     boolean column) training stops early on the validation rows."""
     g = GBTRegressor(featuresCol="__x", labelCol=label, maxIter=iters, maxDepth=depth, stepSize=step,
-                     subsamplingRate=subsample, featureSubsetStrategy=features, seed=seed)
+                     subsamplingRate=subsample, featureSubsetStrategy=features, seed=seed, validationTol=tol)
     if validation:
-        g.setValidationIndicatorCol(validation).setValidationTol(tol)
+        g.setValidationIndicatorCol(validation)
     if weight:
         g.setWeightCol(weight)
     return Pipeline(stages=[assembler(cols, "__x"), g])
@@ -170,13 +170,14 @@ def best_params(cv_model) -> dict:
     return {p.name: v for p, v in cv_model.getEstimatorParamMaps()[i].items()}, float(scores[i])
 
 
-def refine_grid(est, best: dict, factors: Sequence[float] = (0.5, 1.0, 2.0)) -> list:
-    """Grid centred on the best setting: numeric params times ``factors``
-    (integers rounded, at least 1)."""
+def refine_grid(est, best: dict, factors: Sequence[float] = (0.5, 1.0, 2.0),
+                refine: Sequence[str] | None = None) -> list:
+    """Grid centred on the best setting: numeric params (all, or those in
+    ``refine``) times ``factors`` (integers rounded, at least 1)."""
     b = ParamGridBuilder()
     for name, v in best.items():
         p = est.getParam(name)
-        if isinstance(v, bool) or not isinstance(v, (int, float)):
+        if (refine is not None and name not in refine) or isinstance(v, bool) or not isinstance(v, (int, float)):
             b = b.addGrid(p, [v])
         elif isinstance(v, int):
             b = b.addGrid(p, sorted({max(1, int(round(v * f))) for f in factors}))
@@ -185,11 +186,12 @@ def refine_grid(est, best: dict, factors: Sequence[float] = (0.5, 1.0, 2.0)) ->
     return b.build()
 
 
-def coarse_to_fine(df: DataFrame, pipe: Pipeline, est, coarse: list, label: str, folds: int = 5, seed: int = 42):
+def coarse_to_fine(df: DataFrame, pipe: Pipeline, est, coarse: list, label: str, folds: int = 5, seed: int = 42,
+                   refine: Sequence[str] | None = None):
     """Coarse grid, then a grid centred on the coarse winner."""
     cv1 = grid_search(pipe, coarse, label, folds, seed).fit(df)
     b1, s1 = best_params(cv1)
-    cv2 = grid_search(pipe, refine_grid(est, b1), label, folds, seed).fit(df)
+    cv2 = grid_search(pipe, refine_grid(est, b1, refine=refine), label, folds, seed).fit(df)
     b2, s2 = best_params(cv2)
     return cv2, [{"stage": "coarse", "cv_score": s1, "params": b1}, {"stage": "fine", "cv_score": s2, "params": b2}]
 

@@ -71,3 +71,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Input for iterative work (model fitting, tuning): checkpointed into
+    the shared folder when one is configured, otherwise persisted
+    (memory and disk; lost blocks are recomputed from lineage)."""
+    if checkpoint_dir(df.sparkSession):
+        return cut_lineage(df)
+    return df.persist()
