@@ -77,21 +77,43 @@ def intervals(df: DataFrame, y: str, pred: str, method: str = "quantile", fit_on
     return df.withColumns({"p10": F.col(pred) + F.lit(lo), "p90": F.col(pred) + F.lit(hi)})
 
 
-def _project_simplex(v: np.ndarray) -> np.ndarray:
-    u = np.sort(v)[::-1]
-    css = np.cumsum(u)
-    idx = np.arange(1, len(v) + 1)
-    rho = np.nonzero(u * idx > (css - 1))[0][-1]
-    theta = (css[rho] - 1) / (rho + 1.0)
-    return np.maximum(v - theta, 0.0)
-
-
-def fit_stack(df: DataFrame, preds: Sequence[str], y: str, lam: float = 0.1, max_iter: int = 5000,
-              tol: float = 1e-12) -> dict[str, float]:
+def _simplex_qp(A: np.ndarray, b: np.ndarray, lam: float) -> np.ndarray | None:
+    """Exact minimiser of ``w'(A + lam I)w - 2 b'w`` over the simplex
+    (``w >= 0, sum w = 1``) by enumerating supports: on a support S the
+    equality-constrained problem is one KKT linear system; the best
+    non-negative solution over all supports is the optimum of this convex
+    problem. 2^m small solves, m <= 10."""
+    import itertools
+
+    m = len(b)
+    H = 2 * (A + lam * np.eye(m))
+    best, best_f = None, np.inf
+    for size in range(1, m + 1):
+        for S in itertools.combinations(range(m), size):
+            idx = list(S)
+            K = np.zeros((size + 1, size + 1))
+            K[:size, :size] = H[np.ix_(idx, idx)]
+            K[:size, size] = 1.0
+            K[size, :size] = 1.0
+            rhs = np.concatenate([2 * b[idx], [1.0]])
+            sol = np.linalg.lstsq(K, rhs, rcond=None)[0]
+            ws = sol[:size]
+            if ws.min() < -1e-12:
+                continue
+            w = np.zeros(m)
+            w[idx] = np.clip(ws, 0, None)
+            w /= w.sum()
+            f = w @ (A + lam * np.eye(m)) @ w - 2 * b @ w
+            if f < best_f - 1e-15:
+                best, best_f = w, f
+    return best
+
+
+def fit_stack(df: DataFrame, preds: Sequence[str], y: str, lam: float = 0.1) -> dict[str, float]:
     """H7: stacking weights ``argmin mean((y - Z w)^2) + lam |w|^2`` with
     ``w >= 0, sum w = 1``. The data work is one Gram aggregate (A34); the
-    m x m problem (m <= 10) is solved on the driver by projected gradient
-    on the simplex. Uniform weights if it does not converge."""
+    m x m problem (m <= 10) is solved exactly on the driver. Uniform
+    weights when there are no complete rows or no solution."""
     m = len(preds)
     d = df.where(F.col(y).isNotNull())
     for p in preds:
@@ -100,21 +122,10 @@ def fit_stack(df: DataFrame, preds: Sequence[str], y: str, lam: float = 0.1, max
     n = g["n"]
     if not n:
         return {p: 1.0 / m for p in preds}
-    # scale-free: divide by the mean of y^2 so the step size is well conditioned
-    s = g["yty"] / n if g["yty"] else 1.0
-    A = np.array(g["ZtZ"]) / n / s
-    b = np.array(g["Zty"]) / n / s
-    H = 2 * A + 2 * lam / s * np.eye(m)
-    L = float(np.linalg.eigvalsh(H).max()) or 1.0
-    w = np.full(m, 1.0 / m)
-    for _ in range(max_iter):
-        grad = H @ w - 2 * b
-        w_new = _project_simplex(w - grad / L)
-        if np.abs(w_new - w).max() < tol:
-            w = w_new
-            break
-        w = w_new
-    else:
+    A = np.array(g["ZtZ"]) / n
+    b = np.array(g["Zty"]) / n
+    w = _simplex_qp(A, b, lam)
+    if w is None:
         w = np.full(m, 1.0 / m)
     return {p: float(x) for p, x in zip(preds, w)}
 

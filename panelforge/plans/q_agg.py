@@ -277,22 +277,22 @@ def model_preds(spark, sf_dir):
 
 
 @query("a25_annualize_all_models", ops=("A25",), sql=Q.with_(Q.PANEL, MODELS_SQL) + """
-SELECT entity, yr, round(sum(y), 2) AS y, round(sum(m_entity), 2) AS m_entity, round(sum(m_year), 2) AS m_year,
+SELECT entity, yr, round(sum(y), 2) AS y, round(sum(m_entity), 6) AS m_entity, round(sum(m_year), 6) AS m_year,
        round(sum(m_scaled), 4) AS m_scaled FROM mp GROUP BY 1, 2""")
 def a_annualize(spark, sf_dir):
     d = A.annualize(model_preds(spark, sf_dir), ["entity", "yr"], ["y", *MODELS], mode="sum")
-    return d.select("entity", "yr", R("y", 2).alias("y"), R("m_entity", 2).alias("m_entity"),
-                    R("m_year", 2).alias("m_year"), R("m_scaled", 4).alias("m_scaled"))
+    return d.select("entity", "yr", R("y", 2).alias("y"), R("m_entity", 6).alias("m_entity"),
+                    R("m_year", 6).alias("m_year"), R("m_scaled", 4).alias("m_scaled"))
 
 
 @query("a26_v17_total_error_per_model", ops=("A26", "V17"), sql=Q.with_(Q.PANEL, MODELS_SQL) + """
 , t AS (SELECT sum(y) AS a, sum(m_entity) AS e, sum(m_year) AS yy, sum(m_scaled) AS s FROM mp)
-SELECT 'm_entity' AS model, round(a, 2) AS actual_total, round(e, 2) AS pred_total, round(100 * (e - a) / a, 6) AS pct_error FROM t
-UNION ALL SELECT 'm_year', round(a, 2), round(yy, 2), round(100 * (yy - a) / a, 6) FROM t
-UNION ALL SELECT 'm_scaled', round(a, 2), round(s, 2), round(100 * (s - a) / a, 6) FROM t""")
+SELECT 'm_entity' AS model, round(a, 2) AS actual_total, round(e, 4) AS pred_total, round(100 * (e - a) / a, 6) AS pct_error FROM t
+UNION ALL SELECT 'm_year', round(a, 2), round(yy, 4), round(100 * (yy - a) / a, 6) FROM t
+UNION ALL SELECT 'm_scaled', round(a, 2), round(s, 4), round(100 * (s - a) / a, 6) FROM t""")
 def a_total_error(spark, sf_dir):
     d = A.total_error(model_preds(spark, sf_dir), "y", MODELS)
-    return d.select("model", R("actual_total", 2).alias("actual_total"), R("pred_total", 2).alias("pred_total"),
+    return d.select("model", R("actual_total", 2).alias("actual_total"), R("pred_total", 4).alias("pred_total"),
                     R("pct_error", 6).alias("pct_error"))
 
 

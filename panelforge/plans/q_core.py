@@ -514,11 +514,11 @@ def j_unmatched(spark, sf_dir):
 
 
 @query("j15_group_stat_joined_back", ops=("J15", "A10"), sql=Q.with_(Q.PANEL) + """
-SELECT entity, yr, mo, round(total - median(total) OVER (PARTITION BY entity), 2) AS dev_from_entity_median FROM panel""")
+SELECT entity, yr, mo, round(total - median(total) OVER (PARTITION BY entity), 4) AS dev_from_entity_median FROM panel""")
 def j_group_stat(spark, sf_dir):
     p = P.base_panel(spark, sf_dir)
     d = J.with_group_stat(p, ["entity"], F.median("total"), "med")
-    return d.select("entity", "yr", "mo", R(F.col("total") - F.col("med"), 2).alias("dev_from_entity_median"))
+    return d.select("entity", "yr", "mo", R(F.col("total") - F.col("med"), 4).alias("dev_from_entity_median"))
 
 
 @query("j16_train_stats_on_test", ops=("J16", "M2", "M9"), sql=Q.with_(Q.PANEL) + """

@@ -145,24 +145,23 @@ def v_improvements(spark, sf_dir):
 
 @query("v13_row_result_table", ops=("V13", "M34"), sql=Q.with_(Q.PANEL, MODELS_SQL) + """
 SELECT entity, yr, mo, round(ln(1 + y), 6) AS actual_log, round(ln(1 + m_entity), 6) AS predicted_log,
-       round(exp(ln(1 + y)) - 1, 2) AS actual_original, round(exp(ln(1 + m_entity)) - 1, 2) AS predicted_original,
-       round(ln(1 + m_entity) - ln(1 + y), 6) AS residual_log, round(abs(m_entity - y), 2) AS abs_error_original FROM mp""")
+       round(exp(ln(1 + y)) - 1, 4) AS actual_original, round(exp(ln(1 + m_entity)) - 1, 6) AS predicted_original,
+       round(ln(1 + m_entity) - ln(1 + y), 6) AS residual_log, round(abs(m_entity - y), 6) AS abs_error_original FROM mp""")
 def v_result_table(spark, sf_dir):
     d = model_preds(spark, sf_dir).select("entity", "yr", "mo", F.log1p("y").alias("yl"), F.log1p("m_entity").alias("pl"))
     t = V.result_table(d, ["entity", "yr", "mo"], "yl", "pl")
-    six = {"actual_log", "predicted_log", "residual_log"}
-    return t.select("entity", "yr", "mo", *[R(c, 6 if c in six else 2).alias(c) for c in t.columns[3:]])
+    return t.select("entity", "yr", "mo", *[R(c, 4 if c == "actual_original" else 6).alias(c) for c in t.columns[3:]])
 
 
 @query("v14_entity_errors_two_models", ops=("V14", "A25", "F15"), sql=Q.with_(Q.PANEL, MODELS_SQL) + """
 , a AS (SELECT entity, sum(y) AS y, sum(m_entity) AS m_entity, sum(m_year) AS m_year FROM mp WHERE yr = 2000 GROUP BY entity)
-SELECT entity, round(y, 2) AS y, round(m_entity, 2) AS m_entity, round(m_year, 2) AS m_year,
-       round(m_entity - y, 2) AS m_entity_error, round(m_year - y, 2) AS m_year_error,
+SELECT entity, round(y, 2) AS y, round(m_entity, 6) AS m_entity, round(m_year, 6) AS m_year,
+       round(m_entity - y, 6) AS m_entity_error, round(m_year - y, 6) AS m_year_error,
        round(100 * (m_entity - y) / y, 6) AS m_entity_pct_error, round(100 * (m_year - y) / y, 6) AS m_year_pct_error FROM a""")
 def v_entity_errors(spark, sf_dir):
     a = A.annualize(model_preds(spark, sf_dir).where(F.col("yr") == 2000), ["entity"], ["y", "m_entity", "m_year"], "sum")
     d = V.entity_errors(a, "entity", "y", "m_entity", "m_year")
-    return d.select("entity", *[R(c, 6 if "pct" in c else 2).alias(c) for c in d.columns[1:]])
+    return d.select("entity", *[R(c, 2 if c == "y" else 6).alias(c) for c in d.columns[1:]])
 
 
 @query("v16_prediction_health", ops=("V16",), sql=Q.with_(Q.PANEL) + """
