@@ -139,3 +139,12 @@ def bias_flags(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFra
     m = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
     return m.withColumns({"biased": F.abs(F.col("mean_residual")) > F.col("mean_y") * 0.05,
                           "high_variance": F.col("std_residual") > F.col("rmse") * 0.8})
+
+
+def timed_fit(estimator, df: DataFrame):
+    """Fit with the driver's wall clock around it; returns (model, seconds)."""
+    import time
+
+    t0 = time.perf_counter()
+    model = estimator.fit(df)
+    return model, time.perf_counter() - t0

@@ -150,7 +150,7 @@ SELECT c AS "column", round(sk, 6) AS skewness, round(ku, 6) AS kurtosis FROM (
   UNION ALL SELECT 'l_tax', {s}(l_tax), {k}(l_tax) FROM lineitem)"""
 
 
-@query("a13_skew_kurtosis_corrected", ops=("A13",), sql=SKEW_SQL.format(s="skewness", k="kurtosis"))
+@query("a13_skew_kurtosis_corrected", ops=("A13", "X-U5"), sql=SKEW_SQL.format(s="skewness", k="kurtosis"))
 def a_skew_corrected(spark, sf_dir):
     d = A.skew_kurt(P.table(spark, sf_dir, "lineitem"), LI_COLS, bias=False)
     return d.select("column", R("skewness", 6).alias("skewness"), R("kurtosis", 6).alias("kurtosis"))
@@ -339,7 +339,7 @@ def a_cv_summary(spark, sf_dir):
     return d.select(*[R(c).alias(c) for c in ("rmse_mean", "rmse_std", "mae_mean", "mae_std")])
 
 
-@query("a32_ordered_collect", ops=("A32", "M17"), sql=Q.with_(Q.PANEL) + """
+@query("a32_ordered_collect", ops=("A32", "M17", "X-U2"), sql=Q.with_(Q.PANEL) + """
 SELECT entity, yr, CAST(row_number() OVER (PARTITION BY entity, yr ORDER BY mo) - 1 AS BIGINT) AS step, mo, round(v, 4) AS v
 FROM panel WHERE mo BETWEEN 2 AND 8""")
 def a_collect_ordered(spark, sf_dir):

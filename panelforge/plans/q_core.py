@@ -483,7 +483,7 @@ def j_grain(spark, sf_dir):
     return d.select("entity", "yr", R("v").alias("v"), R("price").alias("price"))
 
 
-@query("j10_dictionary_lookup", ops=("J10",), sql="""
+@query("j10_dictionary_lookup", ops=("J10", "X-U4"), sql="""
 SELECT CAST(c_custkey AS BIGINT) AS c_custkey, n_name AS nation_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""")
 def j_lookup(spark, sf_dir):
     c = P.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nk"))

@@ -184,7 +184,7 @@ def m_imputers(spark, sf_dir):
     return out.select("entity", "yr", "mo", R("item_median").alias("item_median"), R("item_mean").alias("item_mean"))
 
 
-@query("m08_entity_then_global_mean", ops=("M8",), sql=Q.with_(Q.SPARSE) + """
+@query("m08_entity_then_global_mean", ops=("M8", "X-U3"), sql=Q.with_(Q.SPARSE) + """
 SELECT entity, yr, mo, round(coalesce(item, avg(item) OVER (PARTITION BY entity), (SELECT avg(item) FROM pitem)), 4) AS item FROM pitem""")
 def m_group_mean(spark, sf_dir):
     d = P.panel_with_item(spark, sf_dir).select("entity", "yr", "mo", "item")

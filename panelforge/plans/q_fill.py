@@ -49,7 +49,7 @@ def w_bfill(spark, sf_dir):
     return d.withColumn("item", R("item"))
 
 
-@query("w03_linear_interpolation", ops=("W3",), sql=Q.with_(Q.SPARSE, SCAN_SQL) + """
+@query("w03_linear_interpolation", ops=("W3", "X-U1"), sql=Q.with_(Q.SPARSE, SCAN_SQL) + """
 SELECT entity, yr, mo, round(ip, 4) AS item FROM interp""")
 def w_interp(spark, sf_dir):
     d = W.interpolate(_item_panel(spark, sf_dir), ["item"], SPEC)

@@ -267,3 +267,16 @@ def s_keyed_text(spark, sf_dir):
     d = TX.read_keyed_text(spark, path, key_pattern=r"doc_id=([0-9]+)/")
     # the text sink ends every record with a line separator, hence length + 1 in the oracle
     return d.select("key", F.length("text").alias("n_chars"))
+
+
+@query("z03_streaming_incremental_composite", ops=("Z3", "Z1"), sql="""
+SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS period, round(avg(value), 6) AS value FROM events GROUP BY 1, 2""")
+def z_stream(spark, sf_dir):
+    from panelforge.streaming.incremental import composite_stream, read_composite
+    schema = P.table(spark, sf_dir, "events").schema
+    sink, ckpt = scratch_path(spark, "composite_sink"), scratch_path(spark, "composite_ckpt")
+    q = composite_stream(spark, sf_dir, schema, "user_id", "ts", ["value"], sink, ckpt, grain="day",
+                         glob="events.parquet")
+    q.awaitTermination()
+    d = read_composite(spark, sink, "user_id", ["value"])
+    return d.select("user_id", F.date_format("period", "yyyy-MM-dd").alias("period"), R("value", 6).alias("value"))
