@@ -334,7 +334,10 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), whisker: float =
     qs = qs.select(*by, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
     qs = qs.withColumn("lo_fence", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
            .withColumn("hi_fence", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
-    joined = df.join(qs, on=by, how="inner") if by else df.join(F.broadcast(qs), how="inner")
+    if by:
+        joined = df.join(qs, on=by, how="inner")
+    else:  # one-row statistics: constant-key equi join with the proven one-row side broadcast
+        joined = df.withColumn("__k", F.lit(1)).join(F.broadcast(qs.withColumn("__k", F.lit(1))), "__k").drop("__k")
     inside = (F.col(col) >= F.col("lo_fence")) & (F.col(col) <= F.col("hi_fence"))
     return joined.groupBy(*by, "q1", "median", "q3", "lo_fence", "hi_fence").agg(
         F.min(F.when(inside, F.col(col))).alias("whisker_lo"),

@@ -55,7 +55,8 @@ def leaderboard(df: DataFrame, keys: Sequence[str], y: str, models: Sequence[str
 def ranked_leaderboard(board: DataFrame, classes: DataFrame | None = None, by: str = "r2") -> DataFrame:
     """V6: leaderboard joined with a small model dimension (complexity class)
     and sorted by score descending, then name."""
-    b = board.join(F.broadcast(classes), "model", "left") if classes is not None else board
+    from panelforge.operators.joins import broadcast_if_small
+    b = board.join(broadcast_if_small(classes, 10_000), "model", "left") if classes is not None else board
     return b.orderBy(F.desc(by), F.asc("model"))
 
 

@@ -223,7 +223,7 @@ NAMES_SQL = """names AS (
 def _names(spark, sf_dir):
     c = P.table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment")
     n = P.table(spark, sf_dir, "nation")
-    j = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    j = c.join(J.broadcast_if_small(n, 10_000), c.c_nationkey == n.n_nationkey)
     seg = F.col("c_mktsegment")
     name = (F.when(seg == "AUTOMOBILE", F.concat(F.lit("  "), F.lower("n_name"), F.lit(" ")))
             .when(seg == "BUILDING", F.replace(F.col("n_name"), F.lit("_"), F.lit(" _ ")))

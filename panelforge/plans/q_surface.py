@@ -14,6 +14,7 @@ from panelforge.operators import aggregates as A
 from panelforge.operators import evaluate as V
 from panelforge.operators import models as M
 from panelforge.operators.estimators import HybridAdjuster, PanelScaler
+from panelforge.operators.joins import broadcast_if_small
 from panelforge.plans import panel as P
 from panelforge.plans import sqlparts as Q
 from panelforge.plans.q_misc import scratch_path
@@ -48,7 +49,7 @@ FROM panel LEFT JOIN dim USING (entity), s""")
 def xu_pipeline(spark, sf_dir):
     p = P.base_panel(spark, sf_dir).select("entity", "yr", "mo", "total")
     adj = P.static_dim(spark, sf_dir).select("entity", (F.col("dist") / 100 - 0.45).alias("adjustment"))
-    d = p.join(F.broadcast(adj), "entity", "left").withColumn("total_scaled", F.col("total"))
+    d = p.join(broadcast_if_small(adj), "entity", "left").withColumn("total_scaled", F.col("total"))
     pipe = Pipeline(stages=[PanelScaler(inputCols=["total_scaled"], kind="robust", fitFilter="yr < 2000"),
                             HybridAdjuster(predictionCol="total", adjustmentCol="adjustment")])
     model = pipe.fit(d)
