@@ -137,8 +137,8 @@ def cap_at_quantile(df: DataFrame, col: str, q: float = 0.99, approx: bool = Fal
 
     ``approx=True`` uses a bounded-memory sketch (percentile_approx) instead
     of exact interpolation, for columns with very many distinct values."""
-    agg = (F.percentile_approx(col, q, accuracy) if approx else F.percentile(col, q))
-    cap = df.agg(agg.alias("cap")).first()["cap"]
+    from panelforge.operators.aggregates import exact_quantiles
+    cap = exact_quantiles(df, col, [q], "approx" if approx else "sort")[0]
     if cap is None:
         return df
     return df.withColumn(col, F.when(F.col(col) > F.lit(cap), F.lit(cap)).otherwise(F.col(col)))

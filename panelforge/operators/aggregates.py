@@ -25,6 +25,39 @@ def _pct(col: str | Column, q, approx: bool = False, accuracy: int = 10000) -> C
     return F.percentile(c, q)
 
 
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str = "sort",
+                    partitions: int = 64) -> list[float | None]:
+    """Exact quantiles of one column with linear interpolation (the pandas
+    rule), for ungrouped use.
+
+    ``sort``: a range-partitioned sort plus per-range counts give each
+    value's global position (no single-partition window); only the 2 rows
+    around each wanted position reach the driver. Memory does not grow with
+    the number of distinct values, unlike ``percentile``'s value->count map.
+    ``percentile`` / ``approx`` use the aggregates instead."""
+    qs = [float(q) for q in qs]
+    if method in ("percentile", "approx"):
+        agg = (F.percentile_approx(col, qs, 10000) if method == "approx"
+               else F.percentile(col, F.array(*[F.lit(q) for q in qs])))
+        v = df.agg(agg.alias("v")).first()["v"]
+        return [None] * len(qs) if v is None else [float(x) for x in v]
+    from panelforge.operators.windows import global_row_index
+
+    d = df.select(F.col(col).cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
+    n = d.count()
+    if n == 0:
+        return [None] * len(qs)
+    pos = []
+    for q in qs:
+        h = (n - 1) * q
+        lo = int(math.floor(h))
+        pos.append((h, lo, min(lo + 1, n - 1)))
+    need = sorted({p + 1 for _, lo, hi in pos for p in (lo, hi)})
+    idx = global_row_index(d, ["__x"], partitions=partitions, out="__i")
+    got = {r["__i"]: r["__x"] for r in idx.where(F.col("__i").isin(need)).collect()}
+    return [got[lo + 1] + (h - lo) * (got[hi + 1] - got[lo + 1]) for h, lo, hi in pos]
+
+
 def sum_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], names: Sequence[str] | None = None,
            zero_for_empty: bool = True) -> DataFrame:
     """A1: sum by keys; NULL keys dropped (pandas groupby rule); an
@@ -100,36 +133,32 @@ def median_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], approx: b
 
 
 def quantiles(df: DataFrame, col: str, qs: Sequence[float], approx: bool = False) -> DataFrame:
-    """Quantiles of one column as (q, value) rows."""
-    arr = _pct(col, F.array(*[F.lit(float(q)) for q in qs]) if not approx else list(qs), approx)
-    row = df.agg(arr.alias("v"))
-    return row.select(F.posexplode("v").alias("i", "value")).select(
-        F.element_at(F.array(*[F.lit(float(q)) for q in qs]), F.col("i") + 1).alias("q"), "value")
+    """Quantiles of one column as (q, value) rows (exact, sort-based;
+    ``approx=True`` for a sketch)."""
+    vals = exact_quantiles(df, col, qs, "approx" if approx else "sort")
+    return df.sparkSession.createDataFrame([(float(q), v) for q, v in zip(qs, vals)], "q double, value double")
 
 
 DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """Count, mean, std (ddof=1), min, quartiles, max -- one aggregate,
-    long layout (column, statistic, value)."""
+    """Count, mean, std (ddof=1), min, quartiles, max in long layout
+    (column, statistic, value): the moments in one aggregate, the quartiles
+    by exact sort-based quantiles per column."""
     aggs = []
     for c in cols:
-        q = _pct(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)) if not approx else [0.25, 0.5, 0.75], approx)
         aggs += [F.count(c).cast("double").alias(f"{c}|count"), F.avg(c).alias(f"{c}|mean"),
                  F.stddev_samp(c).alias(f"{c}|std"), F.min(c).cast("double").alias(f"{c}|min"),
-                 q.alias(f"{c}|q"), F.max(c).cast("double").alias(f"{c}|max")]
-    wide = df.agg(*aggs)
-    exprs = []
+                 F.max(c).cast("double").alias(f"{c}|max")]
+    row = df.agg(*aggs).first()
+    out = []
     for c in cols:
-        for s in DESCRIBE_STATS:
-            if s in ("25%", "50%", "75%"):
-                v = F.element_at(F.col(f"`{c}|q`"), {"25%": 1, "50%": 2, "75%": 3}[s])
-            else:
-                v = F.col(f"`{c}|{s}`")
-            exprs.append(F.struct(F.lit(c).alias("column"), F.lit(s).alias("statistic"),
-                                  v.cast("double").alias("value")))
-    return wide.select(F.explode(F.array(*exprs)).alias("r")).select("r.*")
+        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], "approx" if approx else "sort")
+        vals = {"count": row[f"{c}|count"], "mean": row[f"{c}|mean"], "std": row[f"{c}|std"],
+                "min": row[f"{c}|min"], "25%": q[0], "50%": q[1], "75%": q[2], "max": row[f"{c}|max"]}
+        out += [(c, s, None if vals[s] is None else float(vals[s])) for s in DESCRIBE_STATS]
+    return df.sparkSession.createDataFrame(out, "column string, statistic string, value double")
 
 
 def skew_kurt(df: DataFrame, cols: Sequence[str], bias: bool = False,

@@ -64,7 +64,7 @@ def registry(columns: dict[str, str] | None = None) -> list[Feature]:
 
 
 def add_features(df: DataFrame, features: Sequence[Feature], names: Sequence[str] | None = None,
-                 include_leaky: bool = True) -> tuple[DataFrame, list[str]]:
+                 include_leaky: bool = False) -> tuple[DataFrame, list[str]]:
     """Add every feature whose inputs exist; returns (df, model-input names).
     Leaky features are added but listed as inputs only with ``include_leaky``."""
     new, used = {}, []
@@ -139,9 +139,8 @@ def log_target(df: DataFrame, target: str, out: str = "log_target") -> DataFrame
 
 
 def quantile_edges(df: DataFrame, col: str, q: int = 4, approx: bool = False) -> list[float]:
-    probs = [i / q for i in range(q + 1)]
-    agg = F.percentile_approx(col, probs, 10000) if approx else F.percentile(col, F.array(*[F.lit(p) for p in probs]))
-    return [float(x) for x in df.agg(agg.alias("e")).first()["e"]]
+    from panelforge.operators.aggregates import exact_quantiles
+    return exact_quantiles(df, col, [i / q for i in range(q + 1)], "approx" if approx else "sort")
 
 
 def qcut_label(c: str | Column, edges: Sequence[float]) -> Column:

@@ -36,15 +36,12 @@ def _fit_rows(df: DataFrame, fit_on: Column | None) -> DataFrame:
 
 def fit_robust(df: DataFrame, cols: Sequence[str], fit_on: Column | None = None, approx: bool = False) -> Stats:
     """M1: median and IQR (25-75, linear); IQR 0 -> 1."""
+    from panelforge.operators.aggregates import exact_quantiles
     d = _fit_rows(df, fit_on)
-    probs = [0.25, 0.5, 0.75]
-    aggs = [(F.percentile_approx(c, probs, 10000) if approx else
-             F.percentile(c, F.array(*[F.lit(p) for p in probs]))).alias(c) for c in cols]
-    row = d.agg(*aggs).first()
     st = Stats("robust")
     for c in cols:
-        q = row[c]
-        if q is None:
+        q = exact_quantiles(d, c, [0.25, 0.5, 0.75], "approx" if approx else "sort")
+        if q[0] is None:
             st.center[c], st.scale[c] = 0.0, 1.0
             continue
         iqr = float(q[2]) - float(q[0])
@@ -106,8 +103,10 @@ def fit_imputer(df: DataFrame, cols: Sequence[str], strategy: str = "median", fi
                 approx: bool = False) -> Stats:
     d = _fit_rows(df, fit_on)
     if strategy == "median":
-        aggs = [(F.percentile_approx(c, 0.5, 10000) if approx else F.median(c)).alias(c) for c in cols]
-    elif strategy == "mean":
+        from panelforge.operators.aggregates import exact_quantiles
+        return Stats("median", center={c: exact_quantiles(d, c, [0.5], "approx" if approx else "sort")[0]
+                                       for c in cols})
+    if strategy == "mean":
         aggs = [F.avg(c).alias(c) for c in cols]
     else:
         raise ValueError(strategy)

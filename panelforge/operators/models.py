@@ -278,14 +278,16 @@ def sq_dist(a: Column, b: Column, dim: int | None = None) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def leading_direction(df: DataFrame, vec: str, dim: int) -> np.ndarray:
-    """Unit vector of the largest variance (first principal axis), from the
-    distributed covariance of ``pyspark.ml`` PCA; bounded by dim x dim."""
+def leading_direction(df: DataFrame, vec: str, dim: int) -> tuple[np.ndarray, float]:
+    """Unit vector of the largest variance (first principal axis) and its
+    share of the total variance, from the distributed covariance of
+    ``pyspark.ml`` PCA; bounded by dim x dim."""
     from pyspark.ml.functions import array_to_vector
     d = df.select(array_to_vector(F.col(vec)).alias("__x"))
-    pc = PCA(k=1, inputCol="__x", outputCol="__p").fit(d).pc.toArray()[:, 0]
+    m = PCA(k=1, inputCol="__x", outputCol="__p").fit(d)
+    pc = m.pc.toArray()[:, 0]
     n = np.linalg.norm(pc)
-    return pc / n if n else np.eye(dim)[0]
+    return (pc / n if n else np.eye(dim)[0]), float(m.explainedVariance.toArray()[0])
 
 
 def knn(df: DataFrame, key: str, vec: str, queries: DataFrame, k: int = 5, include_self: bool = False,
@@ -316,7 +318,10 @@ def knn_all(df: DataFrame, key: str, vec: str, k: int = 10, include_self: bool =
     base = df.select(F.col(key).alias("__id"), _as_double_array(vec).alias("__v"))
     dim = len(base.select("__v").first()[0])
     if direction == "principal":
-        u = leading_direction(base, "__v", dim)
+        u, share = leading_direction(base, "__v", dim)
+        if method == "auto" and share < 3.0 / dim:
+            # near-isotropic: no single projection can prune, block directly
+            return knn_blocked(df, key, vec, k, include_self, queries)
     else:
         rng = np.random.default_rng(seed)
         u = rng.normal(size=dim)

@@ -41,14 +41,11 @@ def missing_report(df: DataFrame, cols: Sequence[str] | None = None, only_missin
 
 
 def outlier_bounds(df: DataFrame, cols: Sequence[str], k: float = 3.0, approx: bool = False) -> dict:
-    probs = [0.25, 0.75]
-    aggs = [(F.percentile_approx(c, probs, 10000) if approx else
-             F.percentile(c, F.array(*[F.lit(p) for p in probs]))).alias(c) for c in cols]
-    row = df.agg(*aggs).first()
+    from panelforge.operators.aggregates import exact_quantiles
     out = {}
     for c in cols:
-        q = row[c]
-        if q is None:
+        q = exact_quantiles(df, c, [0.25, 0.75], "approx" if approx else "sort")
+        if q[0] is None:
             continue
         q1, q3 = float(q[0]), float(q[1])
         iqr = q3 - q1

@@ -39,6 +39,16 @@ def _chunk_expr(spec: PanelSpec) -> Column:
     return F.floor(F.col(spec.year) / 8)  # yearly panel: 8-year chunks
 
 
+def _with_chunk(df: DataFrame, spec: PanelSpec) -> tuple[DataFrame, str]:
+    """The chunk column: an existing column is used as is (so a partitioning
+    by (entity, year) already present in the plan is reused), otherwise it
+    is derived into ``__chunk``."""
+    name = spec.chunk or (spec.year if spec.month else None)
+    if name and name in df.columns:
+        return df, name
+    return df.withColumn("__chunk", _chunk_expr(spec)), "__chunk"
+
+
 def _order_in_chunk(spec: PanelSpec) -> list[str]:
     return spec.time_cols
 
@@ -50,8 +60,8 @@ def _scan(df: DataFrame, spec: PanelSpec, cols: Sequence[str]) -> DataFrame:
     (next non-NULL value / position) and ``__pos`` (row position within the
     entity, 1-based). Two-level as described in the module docstring."""
     e = spec.entity
-    d = df.withColumn("__chunk", _chunk_expr(spec))
-    wc = Window.partitionBy(e, "__chunk").orderBy(*_order_in_chunk(spec))
+    d, ch = _with_chunk(df, spec)
+    wc = Window.partitionBy(e, ch).orderBy(*_order_in_chunk(spec))
     d = d.withColumn("__rn", F.row_number().over(wc))
     wp, wn = wc.rowsBetween(UNB_P, 0), wc.rowsBetween(0, UNB_F)
     for c in cols:
@@ -63,8 +73,8 @@ def _scan(df: DataFrame, spec: PanelSpec, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         aggs.append(F.max_by(F.col(f"__ip_{c}"), F.col("__rn")).alias(f"__cl_{c}"))   # last non-null
         aggs.append(F.min_by(F.col(f"__in_{c}"), F.col("__rn")).alias(f"__cf_{c}"))   # first non-null
-    s = d.groupBy(e, "__chunk").agg(*aggs)
-    ws = Window.partitionBy(e).orderBy("__chunk")
+    s = d.groupBy(e, ch).agg(*aggs)
+    ws = Window.partitionBy(e).orderBy(ch)
     s = s.withColumn("__off", F.coalesce(F.sum("__cnt").over(ws.rowsBetween(UNB_P, -1)), F.lit(0)))
     carry = []
     for c in cols:
@@ -75,8 +85,8 @@ def _scan(df: DataFrame, spec: PanelSpec, cols: Sequence[str]) -> DataFrame:
         s = s.withColumn(f"__cp_{c}", F.last(last_abs, ignorenulls=True).over(ws.rowsBetween(UNB_P, -1)))
         s = s.withColumn(f"__cn_{c}", F.first(first_abs, ignorenulls=True).over(ws.rowsBetween(1, UNB_F)))
         carry += [f"__cp_{c}", f"__cn_{c}"]
-    s = s.select(e, "__chunk", "__off", *carry)
-    out = d.join(s, on=[e, "__chunk"], how="left")
+    s = s.select(e, ch, "__off", *carry)
+    out = d.join(s, on=[e, ch], how="left").withColumn("__chunk", F.col(ch))
     out = out.withColumn("__pos", F.col("__rn") + F.col("__off"))
     for c in cols:
         ip, inn = F.col(f"__ip_{c}"), F.col(f"__in_{c}")
@@ -194,6 +204,10 @@ def impute_cascade(df: DataFrame, cols: Sequence[str], spec: PanelSpec,
                                    for c in cols})
             else:
                 s = s.withColumns({f"__s{i}_{c}": _interp(c) for c in cols})
+        elif st == "entity_median" and ("interpolate" in done or {"ffill", "bfill"} <= done):
+            # every entity is now either complete or wholly NULL, so an entity
+            # median cannot fill anything: skip the aggregate and its join
+            s = s.withColumns({f"__s{i}_{c}": prev[c] for c in cols})
         else:
             by = medians[st]
             aggs = [_median_agg(f"__s{i - 1}_{c}", approx).alias(f"__m{i}_{c}") for c in cols]
@@ -289,13 +303,13 @@ def lag_value(df: DataFrame, col: str, spec: PanelSpec, out: str | None = None)
     takes the last row of the previous chunk from the summary)."""
     e = spec.entity
     out = out or f"{col}_lag"
-    d = df.withColumn("__chunk", _chunk_expr(spec))
-    wc = Window.partitionBy(e, "__chunk").orderBy(*spec.time_cols)
+    d, ch = _with_chunk(df, spec)
+    wc = Window.partitionBy(e, ch).orderBy(*spec.time_cols)
     d = d.withColumn("__rn", F.row_number().over(wc)).withColumn("__lag", F.lag(col).over(wc))
-    summ = d.groupBy(e, "__chunk").agg(F.max_by(F.col(col), F.col("__rn")).alias("__last"))
-    ws = Window.partitionBy(e).orderBy("__chunk")
-    summ = summ.withColumn("__carry", F.lag("__last").over(ws)).select(e, "__chunk", "__carry")
-    d = d.join(summ, on=[e, "__chunk"], how="left")
+    summ = d.groupBy(e, ch).agg(F.max_by(F.col(col), F.col("__rn")).alias("__last"))
+    ws = Window.partitionBy(e).orderBy(ch)
+    summ = summ.withColumn("__carry", F.lag("__last").over(ws)).select(e, ch, "__carry")
+    d = d.join(summ, on=[e, ch], how="left")
     d = d.withColumn(out, F.when(F.col("__rn") == 1, F.col("__carry")).otherwise(F.col("__lag")))
     return d.select(*df.columns, out)
 
