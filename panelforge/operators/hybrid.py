@@ -197,13 +197,13 @@ def to_total(df: DataFrame, per_acre: str, acres: str, actual: str, key: str, ou
 
 
 def build_prompts(df: DataFrame, key: str, name: str, pred: str, history: str | None = None,
-                  out: str = "prompt") -> DataFrame:
+                  out: str = "prompt", decimals: int = 0) -> DataFrame:
     """Prompt text per entity with thousands separators."""
     parts = [F.lit("Entity "), F.col(name).cast("string"), F.lit(" (key "), F.col(key).cast("string"),
-             F.lit("): baseline prediction "), S.thousands(pred), F.lit(" units.")]
+             F.lit("): baseline prediction "), S.thousands(pred, decimals), F.lit(" units.")]
     if history:
         parts += [F.lit(" Recent values: "),
-                  F.array_join(F.transform(F.col(history), lambda x: F.format_number(x, 0)), "; "), F.lit(".")]
+                  F.array_join(F.transform(F.col(history), lambda x: F.format_number(x, decimals)), "; "), F.lit(".")]
     return df.withColumn(out, F.concat(*parts))
 
 

@@ -287,9 +287,9 @@ def a_annualize(spark, sf_dir):
 
 @query("a26_v17_total_error_per_model", ops=("A26", "V17"), sql=Q.with_(Q.PANEL, MODELS_SQL) + """
 , t AS (SELECT sum(y) AS a, sum(m_entity) AS e, sum(m_year) AS yy, sum(m_scaled) AS s FROM mp)
-SELECT 'm_entity' AS model, round(a, 2) AS actual_total, round(e, 4) AS pred_total, round(100 * (e - a) / a, 6) AS pct_error FROM t
-UNION ALL SELECT 'm_year', round(a, 2), round(yy, 4), round(100 * (yy - a) / a, 6) FROM t
-UNION ALL SELECT 'm_scaled', round(a, 2), round(s, 4), round(100 * (s - a) / a, 6) FROM t""")
+SELECT 'm_entity' AS model, round(a, 2) AS actual_total, round(e, 4) AS pred_total, round(100 * (e - a) / a, 6) + 0.0 AS pct_error FROM t
+UNION ALL SELECT 'm_year', round(a, 2), round(yy, 4), round(100 * (yy - a) / a, 6) + 0.0 FROM t
+UNION ALL SELECT 'm_scaled', round(a, 2), round(s, 4), round(100 * (s - a) / a, 6) + 0.0 FROM t""")
 def a_total_error(spark, sf_dir):
     d = A.total_error(model_preds(spark, sf_dir), "y", MODELS)
     return d.select("model", R("actual_total", 2).alias("actual_total"), R("pred_total", 4).alias("pred_total"),

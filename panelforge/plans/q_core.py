@@ -279,7 +279,7 @@ def f_log_exp(spark, sf_dir):
 
 
 @query("f14_cyclic_month", ops=("F14", "E3"), sql=Q.with_(Q.PANEL) + """
-SELECT DISTINCT mo, round(sin(2 * pi() * mo / 12), 6) AS month_sin, round(cos(2 * pi() * mo / 12), 6) AS month_cos FROM panel""")
+SELECT DISTINCT mo, round(sin(2 * pi() * mo / 12), 6) + 0.0 AS month_sin, round(cos(2 * pi() * mo / 12), 6) + 0.0 AS month_cos FROM panel""")
 def f_cyclic(spark, sf_dir):
     p = P.base_panel(spark, sf_dir).select("mo").distinct()
     return p.select("mo", R(S.month_sin("mo"), 6).alias("month_sin"), R(S.month_cos("mo"), 6).alias("month_cos"))
@@ -330,14 +330,15 @@ def f_json_fence(spark, sf_dir):
     return d.select("event_id", S.parse_json_fields("txt", "k double")["k"].alias("k"))
 
 
-@query("f20_text_template", ops=("F20", "H14"), sql=Q.with_(Q.YEARLY) + """
+@query("f20_text_template", ops=("F20", "H14"), sql=Q.with_(Q.PANEL) + """
+, y AS (SELECT entity, yr, sum(total) AS total, sum(n) AS n FROM panel GROUP BY 1, 2)
 SELECT entity, yr, 'Entity ' || CAST(entity AS VARCHAR) || ' in ' || CAST(yr AS VARCHAR) || ': '
-       || format('{:,.0f}', round(total * 12)) || ' units from ' || format('{:,}', n) || ' orders' AS line FROM yearly""")
+       || format('{:,.2f}', total) || ' units from ' || format('{:,}', n) || ' orders' AS line FROM y""")
 def f_template(spark, sf_dir):
-    y = P.yearly_panel(spark, sf_dir)
+    y = P.base_panel(spark, sf_dir).groupBy("entity", "yr").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     return y.select("entity", "yr", F.concat(F.lit("Entity "), F.col("entity").cast("string"), F.lit(" in "),
                                              F.col("yr").cast("string"), F.lit(": "),
-                                             S.thousands(F.round(F.col("total") * 12, 0)), F.lit(" units from "),
+                                             S.thousands("total", 2), F.lit(" units from "),
                                              S.thousands("n"), F.lit(" orders")).alias("line"))
 
 

@@ -87,7 +87,7 @@ def v_ranked(spark, sf_dir):
 
 
 @query("v07_residual_summary", ops=("V7",), sql=Q.with_(Q.PANEL, MODELS_SQL) + """
-SELECT round(avg(y - m_year), 4) AS mean_residual, round(stddev_samp(y - m_year), 4) AS std_residual,
+SELECT round(avg(y - m_year), 4) + 0.0 AS mean_residual, round(stddev_samp(y - m_year), 4) AS std_residual,
        round(min(y - m_year), 4) AS min_residual, round(max(y - m_year), 4) AS max_residual FROM mp""")
 def v_residuals(spark, sf_dir):
     d = V.residual_summary(model_preds(spark, sf_dir), "y", "m_year")
@@ -174,14 +174,20 @@ def v_health(spark, sf_dir):
     return V.prediction_health(_preds(spark, sf_dir), ["p"])
 
 
-@query("v19_bias_flags", ops=("V19",), sql=Q.with_(Q.PANEL, MODELS_SQL, LONG_SQL) + """
-, m AS (SELECT model, avg(y - pred) AS mr, stddev_samp(y - pred) AS sr, sqrt(avg((y - pred) * (y - pred))) AS rmse, avg(y) AS my FROM lp GROUP BY model)
-SELECT model, round(mr, 4) AS mean_residual, CAST(abs(mr) > my * 0.05 AS BIGINT) AS biased,
+BIAS_SQL = """bl AS (SELECT y, 'm_entity' AS model, m_entity AS pred FROM mp UNION ALL SELECT y, 'm_year', m_year FROM mp
+  UNION ALL SELECT y, 'm_high', y * 1.08 FROM mp UNION ALL SELECT y, 'm_near', y * 1.03 FROM mp)"""
+
+
+@query("v19_bias_flags", ops=("V19",), sql=Q.with_(Q.PANEL, MODELS_SQL, BIAS_SQL) + """
+, m AS (SELECT model, avg(y - pred) AS mr, stddev_samp(y - pred) AS sr, sqrt(avg((y - pred) * (y - pred))) AS rmse, avg(y) AS my FROM bl GROUP BY model)
+SELECT model, round(mr / my, 6) + 0.0 AS relative_bias, CAST(abs(mr) > my * 0.05 AS BIGINT) AS biased,
        CAST(sr > rmse * 0.8 AS BIGINT) AS high_variance FROM m""")
 def v_bias(spark, sf_dir):
-    long = V.long_predictions(model_preds(spark, sf_dir), ["entity", "yr", "mo"], "y", MODELS)
-    d = V.bias_flags(long, "y", "pred", by=["model"])
-    return d.select("model", R("mean_residual").alias("mean_residual"), "biased", "high_variance")
+    d = model_preds(spark, sf_dir).withColumns({"m_high": F.col("y") * 1.08, "m_near": F.col("y") * 1.03})
+    long = V.long_predictions(d, ["entity", "yr", "mo"], "y", ["m_entity", "m_year", "m_high", "m_near"])
+    b = V.bias_flags(long, "y", "pred", by=["model"])
+    return b.select("model", (R(F.col("mean_residual") / F.col("mean_y"), 6) + 0.0).alias("relative_bias"),
+                    "biased", "high_variance")
 
 
 # ---------------------------------------------------------------- H: hybrid adjustment
@@ -334,20 +340,22 @@ def h_to_total(spark, sf_dir):
     return d.select("entity", "yr", "mo", R("acres_used", 6).alias("acres_used"), R("total_est").alias("total_est"))
 
 
-@query("h14_h15_prompts_and_batch_text", ops=("H14", "H15", "W13", "F20"), sql=Q.with_(Q.YEARLY) + """
-, t AS (SELECT entity, sum(total) AS total FROM yearly GROUP BY entity),
+@query("h14_h15_prompts_and_batch_text", ops=("H14", "H15", "W13", "F20"), sql=Q.with_(Q.PANEL) + """
+, t AS (SELECT entity, sum(total) AS total FROM panel GROUP BY entity),
 top AS (SELECT entity, total, row_number() OVER (ORDER BY total DESC, entity) AS rank FROM t ORDER BY total DESC, entity LIMIT 10),
-hist AS (SELECT entity, string_agg(format('{:,.0f}', round(total)), '; ' ORDER BY yr) AS h
-         FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY yr DESC) AS rn FROM yearly) WHERE rn <= 5 GROUP BY entity),
+ys AS (SELECT entity, yr, sum(total) AS total FROM panel GROUP BY 1, 2),
+hist AS (SELECT entity, string_agg(format('{:,.2f}', total), '; ' ORDER BY yr) AS h
+         FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY yr DESC) AS rn FROM ys) WHERE rn <= 5 GROUP BY entity),
 lines AS (SELECT rank, 'Entity N' || CAST(entity AS VARCHAR) || ' (key ' || CAST(entity AS VARCHAR) || '): baseline prediction '
-                 || format('{:,.0f}', round(total / 7)) || ' units. Recent values: ' || h || '.' AS prompt FROM top JOIN hist USING (entity))
+                 || format('{:,.2f}', total) || ' units. Recent values: ' || h || '.' AS prompt FROM top JOIN hist USING (entity))
 SELECT string_agg(prompt, chr(10) ORDER BY rank) AS batch_prompt FROM lines""")
 def h_prompts(spark, sf_dir):
-    y = P.yearly_panel(spark, sf_dir)
-    tot = y.groupBy("entity").agg(F.sum("total").alias("total"))
+    p = P.base_panel(spark, sf_dir)
+    tot = p.groupBy("entity").agg(F.sum("total").alias("total"))
     top = W.rank_entities(tot, "total", "entity", k=10)
-    hist = W.recent_history(y.withColumn("total", F.round("total", 0)), "entity", "yr", "total", 5)
+    ys = p.groupBy("entity", "yr").agg(F.sum("total").alias("total"))
+    hist = W.recent_history(ys, "entity", "yr", "total", 5)
     d = top.join(hist, "entity").withColumn("name", F.concat(F.lit("N"), F.col("entity").cast("string")))
-    d = d.withColumn("pred", F.round(F.col("total") / 7, 0))
-    d = H.build_prompts(d, "entity", "name", "pred", history="history")
+    d = d.withColumn("pred", F.col("total"))
+    d = H.build_prompts(d, "entity", "name", "pred", history="history", decimals=2)
     return H.build_batch_prompt(d, "rank", "prompt", k=10)

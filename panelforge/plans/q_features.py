@@ -67,7 +67,7 @@ def e_features(spark, sf_dir):
 
 @query("e01_e02_e03_time_features", ops=("E1", "E2", "E3", "F14"), sql=Q.with_(Q.PANEL) + """
 SELECT entity, yr, mo, yr - (SELECT min(yr) FROM panel) AS year_trend, yr - 2000 AS year_trend_2000,
-       round(sin(2 * pi() * mo / 12), 6) AS month_sin, round(cos(2 * pi() * mo / 12), 6) AS month_cos FROM panel""")
+       round(sin(2 * pi() * mo / 12), 6) + 0.0 AS month_sin, round(cos(2 * pi() * mo / 12), 6) + 0.0 AS month_cos FROM panel""")
 def e_time(spark, sf_dir):
     p = P.base_panel(spark, sf_dir).select("entity", "yr", "mo")
     d = E.year_trend(p, "yr")

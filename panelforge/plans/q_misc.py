@@ -77,7 +77,7 @@ def z_nearest(spark, sf_dir):
 
 
 @query("z05_band_range_check", ops=("Z5",), sql="""
-SELECT 'value' AS band, 0.0 AS expected_min, 50.0 AS expected_max, min(value) AS min, max(value) AS max,
+SELECT 'value' AS band, CAST(0.0 AS DOUBLE) AS expected_min, CAST(50.0 AS DOUBLE) AS expected_max, min(value) AS min, max(value) AS max,
        CAST(count_if(value < 0 OR value > 50) AS BIGINT) AS n_out_of_range FROM events""")
 def z_range(spark, sf_dir):
     return Z.range_check(P.table(spark, sf_dir, "events"), {"value": (0.0, 50.0), "not_a_band": (0.0, 1.0)})
