@@ -409,11 +409,13 @@ def knn_blocked(df: DataFrame, key: str, vec: str, k: int = 10, include_self: bo
                                                  _as_double_array(vec).alias("__v"))
     nq, nc = q.count(), c.count()
     bq, bc = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nc / block_rows))
-    qb = q.withColumn("__qb", F.pmod(F.xxhash64("__id"), F.lit(bq))).withColumn(
-        "__cb", F.explode(F.sequence(F.lit(0), F.lit(bc - 1))))
+    # both sides' block keys must have the same type (bigint), or cogroup
+    # treats equal values as different keys
+    qb = q.withColumn("__qb", F.pmod(F.xxhash64("__id"), F.lit(bq)).cast("long")).withColumn(
+        "__cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bc - 1).cast("long"))))
     cb = c.select(F.col("__id").alias("__cid"), F.col("__v").alias("__cv"))
-    cb = cb.withColumn("__cb", F.pmod(F.xxhash64("__cid", F.lit(7)), F.lit(bc))).withColumn(
-        "__qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1))))
+    cb = cb.withColumn("__cb", F.pmod(F.xxhash64("__cid", F.lit(7)), F.lit(bc)).cast("long")).withColumn(
+        "__qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bq - 1).cast("long"))))
 
     def block(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(cpdf) == 0:

@@ -133,8 +133,8 @@ def e_bands(spark, sf_dir):
 @query("m01_robust_scale_train_fit", ops=("M1",), sql=Q.with_(Q.PANEL) + """
 , s AS (SELECT median(total) AS med, quantile_cont(total, 0.75) - quantile_cont(total, 0.25) AS iqr,
                median(v) AS medv, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqrv FROM panel WHERE yr < 2000)
-SELECT entity, yr, mo, round((total - med) / CASE WHEN iqr = 0 THEN 1 ELSE iqr END, 6) AS total,
-       round((v - medv) / CASE WHEN iqrv = 0 THEN 1 ELSE iqrv END, 6) AS v FROM panel, s""")
+SELECT entity, yr, mo, round((total - med) / CASE WHEN iqr = 0 THEN 1 ELSE iqr END, 6) + 0.0 AS total,
+       round((v - medv) / CASE WHEN iqrv = 0 THEN 1 ELSE iqrv END, 6) + 0.0 AS v FROM panel, s""")
 def m_robust(spark, sf_dir):
     p = P.base_panel(spark, sf_dir).select("entity", "yr", "mo", "total", "v")
     d = M.robust_scale(p, ["total", "v"], fit_on=TRAIN())
@@ -143,7 +143,7 @@ def m_robust(spark, sf_dir):
 
 @query("m03_standard_scale_all_rows", ops=("M3", "M2"), sql=Q.with_(Q.PANEL) + """
 , s AS (SELECT avg(total) AS m, stddev_pop(total) AS sd FROM panel)
-SELECT entity, yr, mo, round((total - m) / sd, 6) AS total FROM panel, s""")
+SELECT entity, yr, mo, round((total - m) / sd, 6) + 0.0 AS total FROM panel, s""")
 def m_standard_all(spark, sf_dir):
     p = P.base_panel(spark, sf_dir).select("entity", "yr", "mo", "total")
     return M.standard_scale(p, ["total"]).withColumn("total", R("total", 6))

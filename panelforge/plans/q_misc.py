@@ -120,13 +120,14 @@ def _outlier_sql(k):
         parts.append(f"""SELECT '{c}' AS "column", q1, q3, q1 - {k} * (q3 - q1) AS lower, q3 + {k} * (q3 - q1) AS upper,
   (SELECT count_if({c} < q1 - {k} * (q3 - q1) OR {c} > q3 + {k} * (q3 - q1)) FROM lineitem) AS n_out, (SELECT count(*) FROM lineitem) AS n
   FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM lineitem)""")
-    return ("SELECT \"column\", round(q1, 4) AS q1, round(q3, 4) AS q3, round(lower, 4) AS lower, round(upper, 4) AS upper, "
+    return ("SELECT \"column\", round(q1, 4) AS q1, round(q3, 4) AS q3, round(lower, 6) AS lower, round(upper, 6) AS upper, "
             "CAST(n_out AS BIGINT) AS n_outliers, round(100.0 * n_out / n, 6) AS pct FROM (" + " UNION ALL ".join(parts) + ")")
 
 
 def _outliers(spark, sf_dir, k):
     d = QL.outliers(P.table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], k)
-    return d.select("column", *[R(c).alias(c) for c in ("q1", "q3", "lower", "upper")], "n_outliers", R("pct", 6).alias("pct"))
+    return d.select("column", R("q1").alias("q1"), R("q3").alias("q3"), R("lower", 6).alias("lower"),
+                    R("upper", 6).alias("upper"), "n_outliers", R("pct", 6).alias("pct"))
 
 
 @query("q03_outliers_3iqr", ops=("Q3",), sql=_outlier_sql(3.0))

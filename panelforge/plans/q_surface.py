@@ -43,7 +43,7 @@ def xu_group_hook(spark, sf_dir):
 
 @query("xu7_ml_estimator_stages", ops=("X-U7", "S13", "M1", "H1"), sql=Q.with_(Q.PANEL, Q.DIM) + """
 , s AS (SELECT median(total) AS med, quantile_cont(total, 0.75) - quantile_cont(total, 0.25) AS iqr FROM panel WHERE yr < 2000)
-SELECT entity, yr, mo, round((total - med) / iqr, 6) AS total_scaled,
+SELECT entity, yr, mo, round((total - med) / iqr, 6) + 0.0 AS total_scaled,
        round(total * (1 + greatest(-0.2, least(0.2, coalesce(dist / 100 - 0.45, 0.0)))), 4) AS y_hybrid
 FROM panel LEFT JOIN dim USING (entity), s""")
 def xu_pipeline(spark, sf_dir):

@@ -132,3 +132,15 @@ def test_pca_centres_and_fixes_sign(spark):
     assert abs(m[0]) < 1e-9 and abs(m[1]) < 1e-9
     assert all(res.loadings[np.abs(res.loadings[:, j]).argmax(), j] > 0 for j in range(2))
     assert res.explained[0] > res.explained[1]
+
+
+def test_knn_blocked_many_blocks(spark):
+    rng = np.random.default_rng(7)
+    X = rng.normal(size=(150, 16))
+    ids = np.arange(len(X))
+    d = spark.createDataFrame([(int(i), [float(v) for v in x]) for i, x in zip(ids, X)], "id long, vec array<double>")
+    nn = M.knn_blocked(d, "id", "vec", k=3, block_rows=16)  # 10 x 10 block pairs
+    got = {}
+    for r in nn.orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["neighbor"])
+    assert got == _brute(X, ids, 3)
