@@ -58,6 +58,31 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str =
     return [got[lo + 1] + (h - lo) * (got[hi + 1] - got[lo + 1]) for h, lo, hi in pos]
 
 
+def quantiles_by_column(df: DataFrame, cols: Sequence[str], qs: Sequence[float], method: str = "auto",
+                        max_distinct: int = 100_000) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns. ``auto`` estimates each column's
+    distinct count in one pass; columns with at most ``max_distinct`` values
+    get the ``percentile`` aggregate together in one more pass (its
+    value->count map stays small), the others the sort-based method.
+    ``sort`` / ``percentile`` force one method; ``approx`` uses sketches."""
+    qs = [float(q) for q in qs]
+    if method != "auto":
+        return {c: exact_quantiles(df, c, qs, method) for c in cols}
+    card = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
+    low = [c for c in cols if (card[c] or 0) <= max_distinct]
+    out: dict[str, list[float | None]] = {}
+    if low:
+        arr = F.array(*[F.lit(q) for q in qs])
+        row = df.agg(*[F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), arr).alias(c)
+                       for c in low]).first()
+        for c in low:
+            out[c] = [None] * len(qs) if row[c] is None else [float(x) for x in row[c]]
+    for c in cols:
+        if c not in out:
+            out[c] = exact_quantiles(df, c, qs, "sort")
+    return out
+
+
 def sum_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], names: Sequence[str] | None = None,
            zero_for_empty: bool = True) -> DataFrame:
     """A1: sum by keys; NULL keys dropped (pandas groupby rule); an
@@ -152,9 +177,10 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], approx: bool = False) -
                  F.stddev_samp(c).alias(f"{c}|std"), F.min(c).cast("double").alias(f"{c}|min"),
                  F.max(c).cast("double").alias(f"{c}|max")]
     row = df.agg(*aggs).first()
+    quart = quantiles_by_column(df, cols, [0.25, 0.5, 0.75], "approx" if approx else "auto")
     out = []
     for c in cols:
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], "approx" if approx else "sort")
+        q = quart[c]
         vals = {"count": row[f"{c}|count"], "mean": row[f"{c}|mean"], "std": row[f"{c}|std"],
                 "min": row[f"{c}|min"], "25%": q[0], "50%": q[1], "75%": q[2], "max": row[f"{c}|max"]}
         out += [(c, s, None if vals[s] is None else float(vals[s])) for s in DESCRIBE_STATS]

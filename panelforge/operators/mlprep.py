@@ -36,11 +36,12 @@ def _fit_rows(df: DataFrame, fit_on: Column | None) -> DataFrame:
 
 def fit_robust(df: DataFrame, cols: Sequence[str], fit_on: Column | None = None, approx: bool = False) -> Stats:
     """M1: median and IQR (25-75, linear); IQR 0 -> 1."""
-    from panelforge.operators.aggregates import exact_quantiles
+    from panelforge.operators.aggregates import quantiles_by_column
     d = _fit_rows(df, fit_on)
+    quart = quantiles_by_column(d, cols, [0.25, 0.5, 0.75], "approx" if approx else "auto")
     st = Stats("robust")
     for c in cols:
-        q = exact_quantiles(d, c, [0.25, 0.5, 0.75], "approx" if approx else "sort")
+        q = quart[c]
         if q[0] is None:
             st.center[c], st.scale[c] = 0.0, 1.0
             continue

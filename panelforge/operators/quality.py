@@ -41,10 +41,11 @@ def missing_report(df: DataFrame, cols: Sequence[str] | None = None, only_missin
 
 
 def outlier_bounds(df: DataFrame, cols: Sequence[str], k: float = 3.0, approx: bool = False) -> dict:
-    from panelforge.operators.aggregates import exact_quantiles
+    from panelforge.operators.aggregates import quantiles_by_column
+    quart = quantiles_by_column(df, cols, [0.25, 0.75], "approx" if approx else "auto")
     out = {}
     for c in cols:
-        q = exact_quantiles(df, c, [0.25, 0.75], "approx" if approx else "sort")
+        q = quart[c]
         if q[0] is None:
             continue
         q1, q3 = float(q[0]), float(q[1])

@@ -102,3 +102,17 @@ def test_corr_pairwise_complete(spark):
     cm = {(r["a"], r["b"]): r["corr"] for r in A.corr_matrix(d, ["a", "b"]).collect()}
     assert cm[("a", "b")] == pytest.approx(cm[("b", "a")]) and cm[("a", "b")] > 0.99
     assert F is not None
+
+
+def test_exact_quantile_methods_agree(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    vals = [(float(x), float(int(x * 3) % 4)) for x in rng.normal(size=500)]
+    d = spark.createDataFrame(vals, "hi double, lo double")
+    qs = [0.1, 0.25, 0.5, 0.9]
+    auto = A.quantiles_by_column(d, ["hi", "lo"], qs, "auto", max_distinct=50)  # hi -> sort, lo -> percentile
+    for c in ("hi", "lo"):
+        exp = np.quantile(np.array([v[0] if c == "hi" else v[1] for v in vals]), qs)
+        assert auto[c] == pytest.approx(list(exp), abs=1e-12)
+        assert A.exact_quantiles(d, c, qs, "sort") == pytest.approx(list(exp), abs=1e-12)
+        assert A.exact_quantiles(d, c, qs, "percentile") == pytest.approx(list(exp), abs=1e-12)
