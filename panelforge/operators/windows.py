@@ -241,6 +241,40 @@ def cascade_log(staged: DataFrame, cols: Sequence[str], stages: Sequence[str]) -
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def scan_global(df: DataFrame, order: Sequence[str | Column], last_cols: Sequence[str] = (),
+                first_cols: Sequence[str] = (), partitions: int = 64) -> DataFrame:
+    """Distributed prefix scan in a global order: for every row, the last
+    non-NULL value of each ``last_cols`` column among the rows strictly
+    before it (``__prev_<c>``) and the first non-NULL value of each
+    ``first_cols`` column strictly after it (``__next_<c>``).
+
+    Rows are range-partitioned on the order; each range is scanned by its
+    own window, and the carry between ranges comes from a table with one row
+    per range. No window ever spans the whole data."""
+    oc = [F.col(o) if isinstance(o, str) else o for o in order]
+    okey = F.struct(*oc)
+    r = df.repartitionByRange(partitions, *oc).withColumn("__rp", F.spark_partition_id())
+    aggs = []
+    for c in last_cols:
+        aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"__rl_{c}"))
+    for c in first_cols:
+        aggs.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"__rf_{c}"))
+    rng = r.groupBy("__rp").agg(*aggs)
+    wr = Window.orderBy("__rp")
+    carry = [F.last(f"__rl_{c}", ignorenulls=True).over(wr.rowsBetween(UNB_P, -1)).alias(f"__cp_{c}") for c in last_cols]
+    carry += [F.first(f"__rf_{c}", ignorenulls=True).over(wr.rowsBetween(1, UNB_F)).alias(f"__cn_{c}") for c in first_cols]
+    rng = rng.select("__rp", *carry)  # one row per range: bounded by ``partitions``
+    wi = Window.partitionBy("__rp").orderBy(*oc)
+    out = r.join(F.broadcast(rng), "__rp", "left")
+    new = {}
+    for c in last_cols:
+        new[f"__prev_{c}"] = F.coalesce(F.last(c, ignorenulls=True).over(wi.rowsBetween(UNB_P, -1)), F.col(f"__cp_{c}"))
+    for c in first_cols:
+        new[f"__next_{c}"] = F.coalesce(F.first(c, ignorenulls=True).over(wi.rowsBetween(1, UNB_F)), F.col(f"__cn_{c}"))
+    out = out.withColumns(new)
+    return out.drop("__rp", *[f"__cp_{c}" for c in last_cols], *[f"__cn_{c}" for c in first_cols])
+
+
 def ffill_global(df: DataFrame, cols: Sequence[str], spec: PanelSpec, backward: bool = True) -> DataFrame:
     """Forward fill (then backward fill) in global row order across
     entities (the reference's ungrouped fill), without a single-partition
@@ -254,13 +288,12 @@ def ffill_global(df: DataFrame, cols: Sequence[str], spec: PanelSpec, backward:
         aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__pos"))).alias(f"__gl_{c}"))
         aggs.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__pos"))).alias(f"__gf_{c}"))
     summ = s.groupBy(e, "__chunk").agg(*aggs)
-    # the summary has one row per (entity, chunk); ordering it globally is a
-    # small sort, carried by a window over that small table only
-    wg = Window.orderBy(e, "__chunk")
+    # carry across the per-(entity, chunk) summary in global order with a
+    # distributed prefix scan (no window over the whole summary)
+    summ = scan_global(summ, [e, "__chunk"], [f"__gl_{c}" for c in cols], [f"__gf_{c}" for c in cols])
     carry = []
     for c in cols:
-        summ = summ.withColumn(f"__gp_{c}", F.last(f"__gl_{c}", ignorenulls=True).over(wg.rowsBetween(UNB_P, -1)))
-        summ = summ.withColumn(f"__gn_{c}", F.first(f"__gf_{c}", ignorenulls=True).over(wg.rowsBetween(1, UNB_F)))
+        summ = summ.withColumnsRenamed({f"__prev___gl_{c}": f"__gp_{c}", f"__next___gf_{c}": f"__gn_{c}"})
         carry += [f"__gp_{c}", f"__gn_{c}"]
     s = s.join(summ.select(e, "__chunk", *carry), on=[e, "__chunk"], how="left")
     fills = {}
@@ -349,10 +382,12 @@ def recent_history(df: DataFrame, key: str, order: str, col: str, n: int = 5,
 
 def rank_entities(totals: DataFrame, col: str, key: str, k: int | None = None) -> DataFrame:
     """Rank by total, 1 = largest; ties by key. With ``k`` the
-    top-k is taken first (distributed TakeOrdered) and only k rows are ranked."""
-    d = totals.orderBy(F.col(col).desc(), F.col(key)).limit(k) if k else totals
-    w = Window.orderBy(F.col(col).desc(), F.col(key))
-    return d.withColumn("rank", F.row_number().over(w))
+    top-k is taken first (distributed TakeOrdered) and only k rows are
+    ranked; without it the rank is a distributed global row index."""
+    if k:
+        d = totals.orderBy(F.col(col).desc(), F.col(key)).limit(k)
+        return d.withColumn("rank", F.row_number().over(Window.orderBy(F.col(col).desc(), F.col(key))))
+    return global_row_index(totals, [F.col(col).desc(), F.col(key)], out="rank")
 
 
 def carry_header(df: DataFrame, file_col: str, line_col: str, header_col: str, out: str = "header") -> DataFrame:
@@ -401,7 +436,8 @@ def norm_ppf(p: Column) -> Column:
     return F.when(p < plow, lo).when(p > phigh, hi).otherwise(mid)
 
 
-def global_row_index(df: DataFrame, order: Sequence[str], partitions: int = 64, out: str = "row_idx") -> DataFrame:
+def global_row_index(df: DataFrame, order: Sequence[str | Column], partitions: int = 64,
+                     out: str = "row_idx") -> DataFrame:
     """1-based position in a global sort without a single-partition window:
     range partitions are sorted locally, their counts (one row per range)
     give each range's offset."""

@@ -116,3 +116,24 @@ def test_qq_and_ppf(spark):
     d = spark.createDataFrame([(0.0001,), (0.5,), (0.975,)], "p double")
     got = [r[0] for r in d.select(W.norm_ppf(F.col("p"))).collect()]
     assert got == pytest.approx([-3.719016, 0.0, 1.959964], abs=1e-5)
+
+
+def test_scan_global_matches_sequential(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(i, (float(rnd.randint(0, 9)) if rnd.random() < 0.3 else None)) for i in range(400)]
+    d = spark.createDataFrame(rows, "o int, x double")
+    out = {r["o"]: (r["__prev_x"], r["__next_x"]) for r in W.scan_global(d, ["o"], ["x"], ["x"], partitions=8).collect()}
+    last = None
+    for o, x in rows:
+        assert out[o][0] == last
+        if x is not None:
+            last = x
+    nxt = None
+    for o, x in reversed(rows):
+        assert out[o][1] == nxt
+        if x is not None:
+            nxt = x
+    ranks = {r["k"]: r["rank"] for r in W.rank_entities(spark.createDataFrame(
+        [(i, float(i % 7)) for i in range(50)], "k int, t double"), "t", "k").collect()}
+    assert ranks[6] == 1 and ranks[13] == 2 and len(set(ranks.values())) == 50
