@@ -41,20 +41,32 @@ def zonal_monthly(pixels: DataFrame, pixel: str, ts: str, zones: DataFrame, zone
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    r = 6371.0088
+    r = EARTH_KM
     p1, p2 = F.radians(lat1), F.radians(lat2)
     dphi, dl = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dphi / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dl / 2), 2)
     return 2 * r * F.asin(F.sqrt(a))
 
 
+EARTH_KM = 6371.0088
+
+
 def nearest(points: DataFrame, lat: str, lon: str, sites: DataFrame, site_lat: str, site_lon: str,
-            site_name: str, max_sites: int = 50_000) -> DataFrame:
-    """Distance to the nearest site and its name. The site table is
-    size-checked and shipped as one literal array, so each point row scans it
-    with a higher-order function -- no join and no pair rows."""
+            site_name: str, max_sites: int = 50_000, key: str | None = None,
+            band_deg: float = 1.0) -> DataFrame:
+    """Distance to the nearest site and its name (ties: smallest name).
+
+    A size-checked site table is shipped as one literal array and scanned
+    per point by a higher-order function -- no join, no pair rows. Beyond
+    the size bound (``key`` required) the exact latitude-band method runs
+    instead: the haversine distance is at least R * |delta latitude|, so a
+    first pass over the adjacent latitude bands bounds each point's radius
+    and a second pass adds every band that radius can reach; all joins are
+    equi joins on the band id."""
     if not is_small(sites, max_sites):
-        raise ValueError("site table too large to ship with the plan")
+        if key is None:
+            raise ValueError("site table above the broadcast bound: pass key= for the band method")
+        return _nearest_banded(points, key, lat, lon, sites, site_lat, site_lon, site_name, band_deg)
     rows = sites.select(site_lat, site_lon, site_name).collect()
     arr = F.array(*[F.struct(F.lit(float(r[0])).alias("lat"), F.lit(float(r[1])).alias("lon"),
                              F.lit(r[2]).alias("name")) for r in rows])
@@ -64,6 +76,34 @@ def nearest(points: DataFrame, lat: str, lon: str, sites: DataFrame, site_lat: s
     return points.withColumns({"dist_km": best["d"], "nearest_site": best["name"]})
 
 
+def _nearest_banded(points, key, lat, lon, sites, slat, slon, name, w):
+    s = sites.select(F.col(slat).alias("__slat"), F.col(slon).alias("__slon"), F.col(name).alias("__name"),
+                     F.floor(F.col(slat) / w).cast("long").alias("__sb"))
+    p = points.select(key, F.col(lat).alias("__lat"), F.col(lon).alias("__lon"),
+                      F.floor(F.col(lat) / w).cast("long").alias("__pb"))
+
+    def best(bands):
+        e = p.select(key, "__lat", "__lon", F.explode(bands).alias("__b"))
+        j = e.join(s, e["__b"] == s["__sb"])
+        d = haversine_km(F.col("__lat"), F.col("__lon"), F.col("__slat"), F.col("__slon"))
+        return j.groupBy(key).agg(F.min(F.struct(d.alias("d"), F.col("__name").alias("name"))).alias("__best"))
+
+    first = best(F.array(F.col("__pb") - 1, F.col("__pb"), F.col("__pb") + 1))
+    # radius bound in degrees of latitude; no candidate -> every band
+    rad = F.when(F.col("__best").isNotNull(), F.degrees(F.col("__best.d") / F.lit(EARTH_KM))).otherwise(F.lit(180.0))
+    q = p.join(first, key, "left").withColumn("__rad", rad)
+    lo = F.floor((F.col("__lat") - F.col("__rad")) / w).cast("long")
+    hi = F.floor((F.col("__lat") + F.col("__rad")) / w).cast("long")
+    extra = F.filter(F.sequence(lo, F.greatest(hi, lo)), lambda b: (b < F.col("__pb") - 1) | (b > F.col("__pb") + 1))
+    e2 = q.select(key, "__lat", "__lon", F.explode(extra).alias("__b"))
+    j2 = e2.join(s, e2["__b"] == s["__sb"])
+    d2 = haversine_km(F.col("__lat"), F.col("__lon"), F.col("__slat"), F.col("__slon"))
+    second = j2.groupBy(key).agg(F.min(F.struct(d2.alias("d"), F.col("__name").alias("name"))).alias("__best"))
+    both = first.unionByName(second).groupBy(key).agg(F.min("__best").alias("__best"))
+    return points.join(both, key, "left").withColumns({"dist_km": F.col("__best.d"),
+                                                       "nearest_site": F.col("__best.name")}).drop("__best")
+
+
 def range_check(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Per band, value range in the data and count outside the expected
     range -- one aggregate over the band columns present."""

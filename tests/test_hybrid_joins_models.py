@@ -144,3 +144,17 @@ def test_knn_blocked_many_blocks(spark):
     for r in nn.orderBy("query", "rank").collect():
         got.setdefault(r["query"], []).append(r["neighbor"])
     assert got == _brute(X, ids, 3)
+
+
+def test_nearest_site_band_method_matches_literal(spark):
+    from panelforge.operators import grid as Z
+    rng = np.random.default_rng(11)
+    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(
+        zip(rng.uniform(40, 50, 200), rng.uniform(-100, -90, 200)))], "k int, lat double, lon double")
+    sites = spark.createDataFrame([(f"s{i}", float(a), float(b)) for i, (a, b) in enumerate(
+        zip(rng.uniform(38, 52, 30), rng.uniform(-101, -89, 30)))], "name string, slat double, slon double")
+    lit = {r["k"]: (round(r["dist_km"], 9), r["nearest_site"]) for r in
+           Z.nearest(pts, "lat", "lon", sites, "slat", "slon", "name").collect()}
+    band = {r["k"]: (round(r["dist_km"], 9), r["nearest_site"]) for r in
+            Z.nearest(pts, "lat", "lon", sites, "slat", "slon", "name", max_sites=5, key="k", band_deg=0.5).collect()}
+    assert band == lit
