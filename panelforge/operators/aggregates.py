@@ -2,9 +2,11 @@
 
 All statistics are one ``agg`` per pass over the data, with partial
 (map-side) aggregation, so a key that holds a third of the rows is reduced
-on every mapper before the shuffle. Exact quantiles use ``percentile``
-(linear interpolation, the pandas rule); ``approx=True`` switches to
-``percentile_approx`` whose memory is bounded per group.
+on every mapper before the shuffle. Exact quantiles use linear
+interpolation (the pandas rule): the ``percentile`` aggregate for
+low-cardinality values, and range-partitioned sorts (``exact_quantiles``,
+``grouped_quantiles``) where a value->count map could grow without bound or
+one group holds most rows; ``approx=True`` switches to ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -83,6 +85,45 @@ def quantiles_by_column(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
     return out
 
 
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float],
+                      names: Sequence[str] | None = None, partitions: int = 64) -> DataFrame:
+    """Exact per-group quantiles (linear interpolation) that stay balanced
+    when one group holds a large share of the rows: rows are
+    range-partitioned on (group, value), so a hot group is split across
+    ranges by value; per-(group, range) counts -- a table bounded by groups
+    x ranges -- give each row's position within its group, and only rows at
+    the wanted positions are kept. Lazy: no driver collection."""
+    from pyspark.sql import Window
+
+    keys = list(keys)
+    names = list(names or [f"q{int(round(q * 100))}" for q in qs])
+    d = df.select(*keys, F.col(col).cast("double").alias("__x")).where(
+        F.col("__x").isNotNull() & ~F.isnan("__x"))
+    r = d.repartitionByRange(partitions, *[F.col(k) for k in keys], F.col("__x")).withColumn(
+        "__rp", F.spark_partition_id())
+    cnt = r.groupBy(*keys, "__rp").agg(F.count(F.lit(1)).alias("__c"))
+    wo = Window.partitionBy(*keys).orderBy("__rp")
+    offs = cnt.select(*keys, "__rp", F.coalesce(F.sum("__c").over(wo.rowsBetween(Window.unboundedPreceding, -1)),
+                                                F.lit(0)).alias("__off"),
+                      F.sum("__c").over(Window.partitionBy(*keys)).alias("__n"))
+    wl = Window.partitionBy("__rp", *keys).orderBy("__x")
+    ranked = r.withColumn("__rn", F.row_number().over(wl)).join(offs, [*keys, "__rp"])
+    ranked = ranked.withColumn("__i", F.col("__rn") + F.col("__off") - 1)
+    aggs, wanted = [], None
+    for q, nm in zip(qs, names):
+        h = (F.col("__n") - 1) * F.lit(float(q))
+        lo = F.floor(h)
+        hi = F.least(lo + 1, F.col("__n") - 1)
+        cond = (F.col("__i") == lo) | (F.col("__i") == hi)
+        wanted = cond if wanted is None else wanted | cond
+        aggs += [F.max(F.when(F.col("__i") == lo, F.col("__x"))).alias(f"{nm}__lo"),
+                 F.max(F.when(F.col("__i") == hi, F.col("__x"))).alias(f"{nm}__hi"),
+                 F.max(h - lo).alias(f"{nm}__f")]
+    picked = ranked.where(wanted).groupBy(*keys).agg(*aggs)
+    return picked.select(*keys, *[(F.col(f"{nm}__lo") + F.col(f"{nm}__f") * (F.col(f"{nm}__hi") - F.col(f"{nm}__lo")))
+                                  .alias(nm) for nm in names])
+
+
 def sum_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], names: Sequence[str] | None = None,
            zero_for_empty: bool = True) -> DataFrame:
     """A1: sum by keys; NULL keys dropped (pandas groupby rule); an
@@ -151,8 +192,17 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
     return out
 
 
-def median_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """A10: median by keys (``keys=[]`` for the overall median)."""
+def median_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], approx: bool = False,
+              method: str = "percentile") -> DataFrame:
+    """A10: median by keys (``keys=[]`` for the overall median).
+    ``method='sort'`` uses the skew-balanced exact ``grouped_quantiles``
+    (for high-cardinality values where one key holds many rows)."""
+    if method == "sort" and keys and not approx:
+        out = None
+        for c in cols:
+            m = grouped_quantiles(df, keys, c, [0.5], [c])
+            out = m if out is None else out.join(m, list(keys), "full")
+        return out
     aggs = [_pct(c, 0.5, approx).alias(c) for c in cols]
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 

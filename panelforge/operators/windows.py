@@ -137,10 +137,19 @@ def _median_agg(c: str | Column, approx: bool) -> Column:
 
 
 def fill_group_median(df: DataFrame, cols: Sequence[str], by: str | Sequence[str],
-                      approx: bool = False) -> DataFrame:
-    """Fill with the group median (aggregate, then join back)."""
+                      approx: bool = False, method: str = "percentile") -> DataFrame:
+    """Fill with the group median (aggregate, then join back).
+    ``method='sort'`` computes the medians with the skew-balanced exact
+    ``grouped_quantiles`` instead of the ``percentile`` aggregate."""
     by = [by] if isinstance(by, str) else list(by)
-    med = df.groupBy(*by).agg(*[_median_agg(c, approx).alias(f"__med_{c}") for c in cols])
+    if method == "sort" and not approx:
+        from panelforge.operators.aggregates import grouped_quantiles
+        med = None
+        for c in cols:
+            m = grouped_quantiles(df, by, c, [0.5], [f"__med_{c}"])
+            med = m if med is None else med.join(m, by, "full")
+    else:
+        med = df.groupBy(*by).agg(*[_median_agg(c, approx).alias(f"__med_{c}") for c in cols])
     out = df.join(med, on=by, how="left")
     out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in cols})
     return out.select(*df.columns)

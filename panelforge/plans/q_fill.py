@@ -229,3 +229,15 @@ def w_components_for(spark, sf_dir):
 def w_qq(spark, sf_dir):
     d = W.qq_table(P.table(spark, sf_dir, "orders"), "o_totalprice")
     return d.select("i", "sample", R("theoretical", 6).alias("theoretical"))
+
+
+@query("w04_w05_group_median_fills_sort_based", ops=("W4", "W5"), sql=Q.with_(Q.SPARSE) + """
+SELECT entity, yr, mo,
+  round(coalesce(item, median(item) OVER (PARTITION BY entity)), 4) AS by_entity,
+  round(coalesce(item, median(item) OVER (PARTITION BY yr)), 4) AS by_year FROM pitem""")
+def w_group_medians_sorted(spark, sf_dir):
+    d = _item_panel(spark, sf_dir)
+    e = W.fill_group_median(d, ["item"], "entity", method="sort").withColumnRenamed("item", "by_entity")
+    y = W.fill_group_median(d, ["item"], "yr", method="sort").withColumnRenamed("item", "by_year")
+    k = ["entity", "yr", "mo"]
+    return e.join(y, k).select(*k, R("by_entity").alias("by_entity"), R("by_year").alias("by_year"))

@@ -116,3 +116,20 @@ def test_exact_quantile_methods_agree(spark):
         assert auto[c] == pytest.approx(list(exp), abs=1e-12)
         assert A.exact_quantiles(d, c, qs, "sort") == pytest.approx(list(exp), abs=1e-12)
         assert A.exact_quantiles(d, c, qs, "percentile") == pytest.approx(list(exp), abs=1e-12)
+
+
+def test_grouped_quantiles_skewed_group(spark):
+    import numpy as np
+    rng = np.random.default_rng(9)
+    # group 0 holds most of the rows and many distinct values
+    rows = [(0, float(x)) for x in rng.normal(size=3000)] + [(g, float(x)) for g in range(1, 6)
+                                                             for x in rng.normal(g, 1, size=40)]
+    d = spark.createDataFrame(rows, "g int, x double")
+    got = {r["g"]: (r["q25"], r["q50"], r["q90"]) for r in
+           A.grouped_quantiles(d, ["g"], "x", [0.25, 0.5, 0.9], partitions=16).collect()}
+    for g in range(6):
+        xs = np.array([x for gg, x in rows if gg == g])
+        assert got[g] == pytest.approx(tuple(np.quantile(xs, [0.25, 0.5, 0.9])), abs=1e-12)
+    pm = {r["g"]: r["x"] for r in A.median_by(d, ["g"], ["x"]).collect()}
+    sm = {r["g"]: r["x"] for r in A.median_by(d, ["g"], ["x"], method="sort").collect()}
+    assert pm == pytest.approx(sm, abs=1e-12)
