@@ -28,7 +28,7 @@ def _pct(col: str | Column, q, approx: bool = False, accuracy: int = 10000) -> C
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str = "sort",
-                    partitions: int = 64) -> list[float | None]:
+                    partitions: int | None = None) -> list[float | None]:
     """Exact quantiles of one column with linear interpolation (the pandas
     rule), for ungrouped use.
 
@@ -86,7 +86,7 @@ def quantiles_by_column(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float],
-                      names: Sequence[str] | None = None, partitions: int = 64) -> DataFrame:
+                      names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
     """Exact per-group quantiles (linear interpolation) that stay balanced
     when one group holds a large share of the rows: rows are
     range-partitioned on (group, value), so a hot group is split across
@@ -99,7 +99,8 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence
     names = list(names or [f"q{int(round(q * 100))}" for q in qs])
     d = df.select(*keys, F.col(col).cast("double").alias("__x")).where(
         F.col("__x").isNotNull() & ~F.isnan("__x"))
-    r = d.repartitionByRange(partitions, *[F.col(k) for k in keys], F.col("__x")).withColumn(
+    from panelforge.session import range_partitions
+    r = d.repartitionByRange(range_partitions(df.sparkSession, partitions), *[F.col(k) for k in keys], F.col("__x")).withColumn(
         "__rp", F.spark_partition_id())
     cnt = r.groupBy(*keys, "__rp").agg(F.count(F.lit(1)).alias("__c"))
     wo = Window.partitionBy(*keys).orderBy("__rp")

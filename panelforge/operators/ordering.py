@@ -49,23 +49,17 @@ def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> Data
     return df.withColumn("__h", h).orderBy("__h", *_cols(keys)).limit(n).drop("__h")
 
 
-def pick_row(df: DataFrame, keys: Sequence[str], position: int, partitions: int = 64) -> DataFrame:
+def pick_row(df: DataFrame, keys: Sequence[str], position: int, partitions: int | None = None) -> DataFrame:
     """The row at 0-based ``position`` in key order.
 
-    Range partitioning splits the key space into roughly equal sorted
-    ranges; per-range counts (one small row per range) locate the range
-    holding the position, and only that range is ranked."""
-    ranged = df.repartitionByRange(partitions, *_cols(keys)).withColumn("__pid", F.spark_partition_id())
-    counts = sorted((r["__pid"], r["n"]) for r in
-                    ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    seen = 0
-    for pid, n in counts:
-        if position < seen + n:
-            w = Window.partitionBy("__pid").orderBy(*_cols(keys))
-            part = ranged.where(F.col("__pid") == pid).withColumn("__rn", F.row_number().over(w))
-            return part.where(F.col("__rn") == position - seen + 1).drop("__pid", "__rn")
-        seen += n
-    return df.limit(0)
+    One lazy plan over a distributed global row index: range partitions are
+    ranked locally and offset by per-range counts (one row per range), and
+    the counts and ranks come from the same exchange, so they always agree
+    on the range boundaries."""
+    from panelforge.operators.windows import global_row_index
+
+    idx = global_row_index(df, list(keys), partitions=partitions, out="__i")
+    return idx.where(F.col("__i") == position + 1).drop("__i")
 
 
 def rank_rows(df: DataFrame, col: str, tie_keys: Sequence[str] = (), by: Sequence[str] = (),

@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.session import range_partitions
 from panelforge.spec import PanelSpec
 
 UNB_P, UNB_F = Window.unboundedPreceding, Window.unboundedFollowing
@@ -251,7 +252,7 @@ def cascade_log(staged: DataFrame, cols: Sequence[str], stages: Sequence[str]) -
 
 
 def scan_global(df: DataFrame, order: Sequence[str | Column], last_cols: Sequence[str] = (),
-                first_cols: Sequence[str] = (), partitions: int = 64) -> DataFrame:
+                first_cols: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Distributed prefix scan in a global order: for every row, the last
     non-NULL value of each ``last_cols`` column among the rows strictly
     before it (``__prev_<c>``) and the first non-NULL value of each
@@ -262,7 +263,8 @@ def scan_global(df: DataFrame, order: Sequence[str | Column], last_cols: Sequenc
     per range. No window ever spans the whole data."""
     oc = [F.col(o) if isinstance(o, str) else o for o in order]
     okey = F.struct(*oc)
-    r = df.repartitionByRange(partitions, *oc).withColumn("__rp", F.spark_partition_id())
+    r = df.repartitionByRange(range_partitions(df.sparkSession, partitions), *oc).withColumn(
+        "__rp", F.spark_partition_id())
     aggs = []
     for c in last_cols:
         aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"__rl_{c}"))
@@ -445,12 +447,13 @@ def norm_ppf(p: Column) -> Column:
     return F.when(p < plow, lo).when(p > phigh, hi).otherwise(mid)
 
 
-def global_row_index(df: DataFrame, order: Sequence[str | Column], partitions: int = 64,
+def global_row_index(df: DataFrame, order: Sequence[str | Column], partitions: int | None = None,
                      out: str = "row_idx") -> DataFrame:
     """1-based position in a global sort without a single-partition window:
     range partitions are sorted locally, their counts (one row per range)
     give each range's offset."""
-    ranged = df.repartitionByRange(partitions, *order).withColumn("__pid", F.spark_partition_id())
+    ranged = df.repartitionByRange(range_partitions(df.sparkSession, partitions), *order).withColumn(
+        "__pid", F.spark_partition_id())
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(UNB_P, -1)
     offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).select("__pid", "__off")

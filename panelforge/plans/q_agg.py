@@ -423,7 +423,7 @@ WHERE rn = cnt // 2 + 1""")
 def o_middle(spark, sf_dir):
     p = P.base_panel(spark, sf_dir).select("entity", "yr", "mo", "n")
     n = p.count()
-    return O.pick_row(p, ["entity", "yr", "mo"], n // 2, partitions=16)
+    return O.pick_row(p, ["entity", "yr", "mo"], n // 2)
 
 
 @query("a10_grouped_median_skew_balanced", ops=("A10", "A11"), sql="""
@@ -433,5 +433,5 @@ def a_grouped_median_sorted(spark, sf_dir):
     """Exact grouped quantiles through the range-partitioned method: the
     largest return-flag group is split across ranges instead of one task."""
     li = P.table(spark, sf_dir, "lineitem")
-    d = A.grouped_quantiles(li, ["l_returnflag"], "l_extendedprice", [0.5, 0.9], ["median", "p90"], partitions=16)
+    d = A.grouped_quantiles(li, ["l_returnflag"], "l_extendedprice", [0.5, 0.9], ["median", "p90"])
     return d.select("l_returnflag", R("median").alias("median"), R("p90").alias("p90"))

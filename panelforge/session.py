@@ -73,6 +73,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def range_partitions(spark: SparkSession, requested: int | None = None) -> int:
+    """Number of ranges for range-partitioned scans: the caller's value, else
+    the session's ``spark.sql.shuffle.partitions`` (sized by the cluster to
+    its data), so a range holds a bounded slice at any scale."""
+    if requested:
+        return int(requested)
+    try:
+        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    except Exception:  # noqa: BLE001 - conf not readable: Spark's default
+        return 200
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Input for iterative work (model fitting, tuning): checkpointed into
     the shared folder when one is configured, otherwise persisted
