@@ -70,10 +70,11 @@ def intervals(df: DataFrame, y: str, pred: str, method: str = "quantile", fit_on
     ``fit_on`` rows) or a constant +-20 %."""
     if method == "constant":
         return df.withColumns({"p10": F.col(pred) * (1 - CONSTANT_INTERVAL), "p90": F.col(pred) * (1 + CONSTANT_INTERVAL)})
+    from panelforge.operators.aggregates import quantiles_by_column
+
     fit = df.where(fit_on) if fit_on is not None else df
-    r = F.col(y) - F.col(pred)
-    row = fit.agg(F.percentile(r, F.array(F.lit(qs[0]), F.lit(qs[1]))).alias("q")).first()["q"]
-    lo, hi = (row or [0.0, 0.0])
+    res = fit.select((F.col(y) - F.col(pred)).alias("__r"))
+    lo, hi = [v if v is not None else 0.0 for v in quantiles_by_column(res, ["__r"], list(qs))["__r"]]
     return df.withColumns({"p10": F.col(pred) + F.lit(lo), "p90": F.col(pred) + F.lit(hi)})
 
 

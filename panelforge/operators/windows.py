@@ -164,11 +164,15 @@ def _attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def fill_median(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """Fill with the overall median of each column."""
-    med = df.agg(*[_median_agg(c, approx).alias(f"__med_{c}") for c in cols])
-    out = _attach_row(df, med)
-    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in cols})
-    return out.select(*df.columns)
+    """Fill with the overall median of each column. The medians are
+    exact and memory-bounded (``quantiles_by_column``: percentile aggregate
+    for low-cardinality columns, range-partitioned sort otherwise) and are
+    applied as literals."""
+    from panelforge.operators.aggregates import quantiles_by_column
+
+    med = quantiles_by_column(df, list(cols), [0.5], "approx" if approx else "auto")
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c][0]).cast(df.schema[c].dataType))
+                           for c in cols if med[c][0] is not None})
 
 
 REFERENCE_STAGES = ("ffill", "bfill", "interpolate", "entity_median", "year_median", "median")
