@@ -224,12 +224,17 @@ def impute_cascade(df: DataFrame, cols: Sequence[str], spec: PanelSpec,
             s = s.withColumns({f"__s{i}_{c}": prev[c] for c in cols})
         else:
             by = medians[st]
-            aggs = [_median_agg(f"__s{i - 1}_{c}", approx).alias(f"__m{i}_{c}") for c in cols]
             if by:
+                aggs = [_median_agg(f"__s{i - 1}_{c}", approx).alias(f"__m{i}_{c}") for c in cols]
                 s = s.join(s.groupBy(*by).agg(*aggs), on=by, how="left")
+                s = s.withColumns({f"__s{i}_{c}": F.coalesce(prev[c], F.col(f"__m{i}_{c}")) for c in cols})
             else:
-                s = _attach_row(s, s.agg(*aggs))
-            s = s.withColumns({f"__s{i}_{c}": F.coalesce(prev[c], F.col(f"__m{i}_{c}")) for c in cols})
+                # overall median: exact and memory-bounded, applied as literals
+                from panelforge.operators.aggregates import quantiles_by_column
+                names = [f"__s{i - 1}_{c}" for c in cols]
+                med = quantiles_by_column(s.select(*names), names, [0.5], "approx" if approx else "auto")
+                s = s.withColumns({f"__s{i}_{c}": F.coalesce(prev[c], F.lit(med[f"__s{i - 1}_{c}"][0]).cast("double"))
+                                   for c in cols})
         done.add(st)
     last = len(stages)
     stage_cols = [f"__s{i}_{c}" for c in cols for i in range(0, last + 1)]
