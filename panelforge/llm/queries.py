@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm.frames import load, ship
+from panelforge.llm.lz_fingerprint import compare_fingerprints
 from panelforge.llm.mixing import mix_plan
 from panelforge.llm.sharding import interleave_shards
 from panelforge.llm.token_counts import token_counts
@@ -87,3 +88,9 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents by word_bpe_49k.json."""
     return token_counts(load(spark, sf_dir, "documents"), limit=2048)
+
+
+@query("op1_lz_fingerprints")
+def lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase fingerprints of all documents, against their edited texts and their neighbours."""
+    return compare_fingerprints(load(spark, sf_dir, "documents"), size=128)
