@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.frames import load, ship
+from panelforge.llm.frames import load, scratch_path, ship
+from panelforge.llm.licences import licence_scan
 from panelforge.llm.lz_fingerprint import compare_fingerprints
 from panelforge.llm.mixing import mix_plan
 from panelforge.llm.sharding import interleave_shards
 from panelforge.llm.token_counts import token_counts
+from panelforge.llm.warc import read_archive, write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -94,3 +96,17 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase fingerprints of all documents, against their edited texts and their neighbours."""
     return compare_fingerprints(load(spark, sf_dir, "documents"), size=128)
+
+
+@query("op4_licences")
+def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and expressions of all documents."""
+    return licence_scan(load(spark, sf_dir, "documents"))
+
+
+@query("op9_warc")
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC files with revisits for equal payloads, and read back."""
+    path = scratch_path(spark, "warc")
+    write_archive(load(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
+    return read_archive(spark, path)
