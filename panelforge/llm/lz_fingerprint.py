@@ -19,37 +19,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.frames import pick, settle, shuffle_width
+from panelforge.llm.hashing import run_hashes
 
 #: Room for a code point in a dictionary key of (parent phrase, code point).
 PHRASE_STEP = 1 << 21
-#: Odd base of the polynomial phrase hash modulo 2**64, and its inverse.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-class _Powers:
-    """Powers of a base modulo 2**64, kept as far as they have been needed."""
-
-    def __init__(self, base: int):
-        self.base, self.kept = base, np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.kept) < n:
-            factors = np.full(max(n, 2 * len(self.kept)), self.base, np.uint64)
-            factors[0] = 1
-            self.kept = np.cumprod(factors, dtype=np.uint64)
-        return self.kept[:n]
-
-
-_UP, _DOWN = _Powers(BASE), _Powers(INVERSE)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit values evenly (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -59,13 +32,8 @@ def phrase_hashes(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of the phrases that stand end to end, the k-th up to ``ends[k]``."""
     if not len(ends):
         return np.zeros(0, np.uint64)
-    n = int(ends[-1])
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((codes[:n].astype(np.uint64) + np.uint64(1)) * _DOWN.upto(n), out=sums[1:])
-    at = sums[ends]
-    at[1:] -= sums[ends[:-1]]
-    lengths = np.diff(ends, prepend=0).astype(np.uint64)
-    return mixed(at * _UP.upto(n + 1)[ends] ^ mixed(lengths))
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+    return run_hashes(codes[:ends[-1]].astype(np.uint64) + np.uint64(1), starts, ends)
 
 
 def parse(codes: list[int], phrases: dict[int, int], node: int, start: int,

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.frames import bucket_count, pick, ranked, settle, source_key
+from panelforge.llm.frames import pick, ranked, settle, source_key
 
 #: Above any size class: a class is 16 for each doubling of the size, and sizes are below 2**63.
 MOST_CLASSES = 1024
@@ -82,7 +82,6 @@ def mix_plan(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, mo
     copies is a rank, found in buckets of (source, size class, hash), so that a hot source
     is numbered by many tasks.
     """
-    spark = docs.sparkSession
     order_hash = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     rows = settle(pick(docs, doc_id=id_col, source=source_col, text=text_col)
                   .select("doc_id", "source", source_key("source").alias("_key"),
@@ -90,7 +89,7 @@ def mix_plan(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, mo
     sizes = rows.groupBy("_key").agg(F.sum("size").alias("source_size"))
     targets = settle(source_targets(sizes, weights, share, most)
                      .withColumn("_offset", source_offset(seed, "_key")))
-    buckets = bucket_count(spark, rows.count(), rows_per_bucket)
+    buckets = max(1, -(-rows.count() // rows_per_bucket))  # on top of the size classes
     slice_of = F.expr(f"(cast(conv(substring(_hash, 1, 8), 16, 10) as bigint) * {buckets}L) div 4294967296L")
     cut = rows.withColumn("_class", size_class("size"))
     cut = cut.withColumn("_b", (MOST_CLASSES - F.col("_class")) * buckets + slice_of)

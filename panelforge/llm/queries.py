@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.frames import load, scratch_path, ship
 from panelforge.llm.licences import licence_scan
 from panelforge.llm.lz_fingerprint import compare_fingerprints
+from panelforge.llm.minhash_dedup import near_duplicates
 from panelforge.llm.mixing import mix_plan
 from panelforge.llm.sharding import interleave_shards
 from panelforge.llm.token_counts import token_counts
@@ -110,3 +111,9 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write_archive(load(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
     return read_archive(spark, path)
+
+
+@query("op8_minhash_dedup")
+def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents at 75 % of five-word shingles."""
+    return near_duplicates(load(spark, sf_dir, "documents"), percent=75, width=5)
