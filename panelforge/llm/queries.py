@@ -13,6 +13,7 @@ from panelforge.llm.licences import licence_scan
 from panelforge.llm.lz_fingerprint import compare_fingerprints
 from panelforge.llm.minhash_dedup import near_duplicates
 from panelforge.llm.mixing import mix_plan
+from panelforge.llm.pu_quality import learn_quality, score_quality
 from panelforge.llm.sharding import interleave_shards
 from panelforge.llm.token_counts import token_counts
 from panelforge.llm.warc import read_archive, write_archive
@@ -117,3 +118,10 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at 75 % of five-word shingles."""
     return near_duplicates(load(spark, sf_dir, "documents"), percent=75, width=5)
+
+
+@query("op2_pu_quality")
+def pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from trusted positives and unlabelled text."""
+    docs = load(spark, sf_dir, "documents")
+    return score_quality(docs, learn_quality(docs, load(spark, sf_dir, "labels")), threshold=0.3)
