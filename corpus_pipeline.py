@@ -3,13 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from panelforge.llm.frames import load, scratch_path, ship
+from panelforge.llm.decontaminate import without_leaks
+from panelforge.llm.frames import load, scratch_path, ship, tabled
+from panelforge.llm.minhash_dedup import near_duplicates
 from panelforge.llm.mixing import mix
+from panelforge.llm.pu_quality import learn_quality, score_quality
 from panelforge.llm.sharding import interleave_shards
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good, from 0.3 up."""
+    ship(spark)
+    network = learn_quality(docs, load(spark, sf_dir, "labels"))
+    rejected = tabled(score_quality(docs, network, threshold=0.3).where("predicted = 0").select("doc_id").distinct())
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate component."""
+    ship(spark)
+    dropped = tabled(near_duplicates(docs, percent=75, width=5).where("not kept").select("doc_id").distinct())
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, whole or edited."""
+    ship(spark)
+    return without_leaks(docs, load(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents taken as often as the mix asks, weights 5, 2, 1 repeating over the sources."""
     ship(spark)
@@ -22,7 +45,8 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return interleave_shards(docs, n_shards=40)
 
 
-STAGES = [("mix", mix_sources), ("shard", shard)]
+STAGES = [("quality", good_quality), ("near_dedup", one_of_each), ("decontaminate", without_benchmark),
+          ("mix", mix_sources), ("shard", shard)]
 
 #: No SQL states the classifier's stage, so the tests hold the stages against brute force.
 ORACLE_SQL = None

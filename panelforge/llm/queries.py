@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.llm.decontaminate import benchmark_leaks
 from panelforge.llm.frames import load, scratch_path, ship
 from panelforge.llm.licences import licence_scan
 from panelforge.llm.lz_fingerprint import compare_fingerprints
@@ -125,3 +126,9 @@ def pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learnt from trusted positives and unlabelled text."""
     docs = load(spark, sf_dir, "documents")
     return score_quality(docs, learn_quality(docs, load(spark, sf_dir, "labels")), threshold=0.3)
+
+
+@query("op5_decontaminate")
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that it holds, whole or edited."""
+    return benchmark_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
