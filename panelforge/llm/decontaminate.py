@@ -179,7 +179,7 @@ def _blocks(items: DataFrame, width: int, block_words: int) -> Iterator[tuple[li
             yield [i for i, _ in kept], [w for _, w in kept]
 
 
-def benchmark_leaks(docs: DataFrame, items: DataFrame, least: float = 0.6, width: int = 3,
+def benchmark_leaks(docs: DataFrame, items: DataFrame, least: float = 0.55, width: int = 3,
                     id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
                     item_text_col: str = "text", block_words: int = 500_000) -> DataFrame:
     """Rows ``doc_id, item_id, score, first_word, last_word``: items that documents hold, edited or not.
@@ -187,8 +187,8 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, least: float = 0.6, width
     Words are lower-cased runs of 0-9, a-z and all beyond ASCII. The score is that of the best local
     alignment over the score of the item with itself: 1 for a whole copy, and each replaced,
     lost or added word takes off some. Pairs from ``least`` up are returned, with the words of the
-    document (from 0) that the alignment spans; of several places the best, then the first, counts. At 0.6 and three words, the seeds
-    find every such copy of an item of more than 10 words; shorter items need one n-gram whole.
+    document (from 0) that the alignment spans; of several places the best, then the first, counts. At 0.55 and three words, the seeds
+    find every such copy of an item of more than 20 words; shorter items need one n-gram whole.
 
     Null and empty texts on either side match nothing, nor do items of fewer than ``width`` words.
     Null or repeated ids are rows like others. No items or no documents give no rows. Columns
