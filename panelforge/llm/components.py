@@ -19,18 +19,21 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = tabled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                    .where("a > b").distinct())
-    while True:
+    before, now = None, _digest(links)
+    while before != now:
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = (both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .where("a > b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least, "a")
-        small = tabled(hung.select(F.col("b").alias("a"), F.col("m").alias("b"))
-                       .union(least.select("a", F.col("m").alias("b"))).where("a > b").distinct())
-        same = small.exceptAll(links).isEmpty() and links.exceptAll(small).isEmpty()
-        links = small
-        if same:
-            break
+        hung = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        links = tabled(hung.union(least.select("a", F.col("m").alias("b"))).distinct())
+        before, now = now, _digest(links)
     return (links.select(F.col("a").alias("node"), F.col("b").alias("label"))
             .union(links.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct())
+
+
+def _digest(links: DataFrame) -> tuple:
+    """Count and hash sum of a set of links: equal for equal sets."""
+    each = F.xxhash64("a", "b").cast("decimal(20,0)")
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(each)).first())

@@ -55,26 +55,26 @@ def list_array(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _semi(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose ``column`` is in the tabledd table ``ids``, which is sent along if it is small."""
+def _semi(df: DataFrame, ids: DataFrame, column: str, n_ids: int) -> DataFrame:
+    """Rows whose ``column`` is in ``ids``, which is sent along if it has few rows."""
     ids = ids.select(column).distinct()
-    return df.join(F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids, column, "left_semi")
+    return df.join(F.broadcast(ids) if n_ids <= SMALL_ROWS else ids, column, "left_semi")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, n_pairs: int, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``a, b`` with ``linked``: whether their full sets overlap by ``percent`` or more.
 
-    ``sets`` has ``node, shingles`` without repeats in a list.
+    ``sets`` has ``node, shingles`` without repeats in a list. Of ``pairs``, a written table, only
+    the sets that it names are moved.
     """
-    pairs = tabled(pairs)
-    left = _semi(sets, pairs.select(F.col("a").alias("node")), "node")
-    right = _semi(sets, pairs.select(F.col("b").alias("node")), "node")
-    sent = F.broadcast(pairs) if pairs.count() <= SMALL_ROWS else pairs
+    left = _semi(sets, pairs.select(F.col("a").alias("node")), "node", n_pairs)
+    right = _semi(sets, pairs.select(F.col("b").alias("node")), "node", n_pairs)
+    sent = F.broadcast(pairs) if n_pairs <= SMALL_ROWS else pairs
     with_left = left.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).join(sent, "a")
     both = with_left.join(right.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     either = F.size("sa") + F.size("sb") - shared
-    return tabled(both.select("a", "b", (100 * shared.cast("long") >= percent * either.cast("long")).alias("linked")))
+    return both.select("a", "b", (100 * shared.cast("long") >= percent * either.cast("long")).alias("linked"))
 
 
 class _Linker:
@@ -86,11 +86,17 @@ class _Linker:
         self.labels: DataFrame | None = None
 
     def test(self, pairs: DataFrame) -> None:
+        """Confirms the pairs that are new, and finds the labels anew if any of them is a link."""
         pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
         if self.tested:
             pairs = pairs.join(self.all_tested().select("a", "b"), ["a", "b"], "left_anti")
-        self.tested.append(confirmed(pairs, self.sets, self.percent))
-        self.labels = tabled(components(self.all_tested().where("linked").select("a", "b")))
+        pairs = tabled(pairs)
+        n_pairs = pairs.count()
+        if not n_pairs:
+            return
+        self.tested.append(tabled(confirmed(pairs, n_pairs, self.sets, self.percent)))
+        if not self.tested[-1].where("linked").isEmpty():
+            self.labels = tabled(components(self.all_tested().where("linked").select("a", "b")))
 
     def all_tested(self) -> DataFrame:
         return reduce(DataFrame.union, self.tested)
@@ -106,7 +112,7 @@ class _Linker:
 
     def star(self, groups: DataFrame, salt: int, tries: int) -> None:
         """Holds each node against one member of each of its groups, the ``tries`` most frequent ones."""
-        named = tabled(self.labelled(groups))
+        named = tabled(self.labelled(groups)) if self.labels is not None else self.labelled(groups)
         first = named.groupBy("key").agg(
             F.min_by(F.struct("node", "label"), F.struct(F.xxhash64(F.lit(salt), "node") if salt else F.lit(0), "node"))
             .alias("rep"))
@@ -121,15 +127,15 @@ class _Linker:
 
         Where the first shared shingle stands late in either order, too few are left behind it.
         """
-        named = self.labelled(prefixes.select("key", "node")).join(prefixes, ["key", "node"])
+        named = tabled(self.labelled(prefixes.select("key", "node")).join(prefixes, ["key", "node"]))
         one = named.select("key", F.col("node").alias("a"), "label", "n", "place")
         two = named.select("key", F.col("node").alias("b"), F.col("label").alias("label2"),
                            F.col("n").alias("n2"), F.col("place").alias("place2"))
         needed = F.col("n").cast("long") + F.col("n2")
         could = (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1) * (100 + self.percent)
-        self.test(tabled(one.join(two, "key").where(
+        self.test(one.join(two, "key").where(
             (F.col("a") > F.col("b")) & (F.col("label") != F.col("label2")) & (could >= needed * self.percent))
-            .select("a", "b").distinct()))
+            .select("a", "b"))
 
 
 def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -221,16 +227,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, bands: i
         sets = tabled(sets.dropDuplicates(["node"]))
 
     linker = _Linker(sets, percent)
-    for salt, tries in ((0, 1), (1, 2), (2, 2)):
+    for salt, tries in ((0, 1), (1, 2)):
         linker.star(groups, salt, tries)
     open_nodes = tabled(linker.labelled(groups).select("node").distinct())
-    prefixes = tabled(rare_prefixes(_semi(sets, open_nodes, "node"), percent))
-    for salt in (3, 4):
+    prefixes = tabled(rare_prefixes(_semi(sets, open_nodes, "node", open_nodes.count()), percent))
+    for salt in (2, 3):
         linker.star(prefixes.select("key", "node"), salt, 3)
     linker.rest(prefixes)
 
+    labels = linker.labels if linker.labels is not None else classes.select("node", F.col("node").alias("label"))
     named = (sketches.where("n_shingles > 0").join(classes.select("s1", "s2", "node"), ["s1", "s2"])
-             .join(linker.labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+             .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = named.join(smallest, "label").select("doc_id", "n_shingles", "component_id")
     alone = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
