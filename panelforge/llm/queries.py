@@ -16,6 +16,7 @@ from panelforge.llm.minhash_dedup import near_duplicates
 from panelforge.llm.mixing import mix_plan
 from panelforge.llm.pu_quality import learn_quality, score_quality
 from panelforge.llm.sharding import interleave_shards
+from panelforge.llm.suffix_dedup import remove_repeats
 from panelforge.llm.token_counts import token_counts
 from panelforge.llm.warc import read_archive, write_archive
 
@@ -132,3 +133,9 @@ def pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that it holds, whole or edited."""
     return benchmark_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op6_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that stand in two places."""
+    return remove_repeats(load(spark, sf_dir, "documents"), length=400)
