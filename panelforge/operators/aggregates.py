@@ -3,10 +3,10 @@
 All statistics are one ``agg`` per pass over the data, with partial
 (map-side) aggregation, so a key that holds a third of the rows is reduced
 on every mapper before the shuffle. Exact quantiles use linear
-interpolation (the pandas rule): the ``percentile`` aggregate for
-low-cardinality values, and range-partitioned sorts (``exact_quantiles``,
-``grouped_quantiles``) where a value->count map could grow without bound or
-one group holds most rows; ``approx=True`` switches to ``percentile_approx``.
+interpolation (the pandas rule): value bins narrowed by partial counts
+(``quantiles_by_column``) for whole columns, ranges of (group, value)
+(``grouped_quantiles``) where one group may hold most rows;
+``approx=True`` switches to ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.session import fixed_ranges
 from panelforge.spec import PanelSpec
 
 
@@ -27,61 +28,90 @@ def _pct(col: str | Column, q, approx: bool = False, accuracy: int = 10000) -> C
     return F.percentile(c, q)
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str = "sort",
-                    partitions: int | None = None) -> list[float | None]:
-    """Exact quantiles of one column with linear interpolation (the pandas
-    rule), for ungrouped use.
+#: Value bins that each interval is cut into in one counting pass.
+QUANTILE_BINS = 1024
+
 
-    ``sort``: a range-partitioned sort plus per-range counts give each
-    value's global position (no single-partition window); only the 2 rows
-    around each wanted position reach the driver. Memory does not grow with
-    the number of distinct values, unlike ``percentile``'s value->count map.
-    ``percentile`` / ``approx`` use the aggregates instead."""
+def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str = "exact") -> list[float | None]:
+    """Exact quantiles of one column with linear interpolation (the pandas
+    rule), for ungrouped use; see ``quantiles_by_column``."""
+    return quantiles_by_column(df, [col], qs, method)[col]
+
+
+def quantiles_by_column(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
+                        method: str = "exact") -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns by narrowing value bins, one method
+    at every size.
+
+    One pass finds count, minimum and maximum of each column. Every further
+    pass cuts the open intervals of all columns into ``QUANTILE_BINS`` equal
+    bins and counts them with map-side partial aggregation; the bin that holds
+    a wanted position, shrunk to the values found in it, is the next interval.
+    An interval of one value is the answer. No row is shuffled, no value map is
+    held, and at most intervals x bins counts reach the driver per pass.
+    ``percentile`` and ``approx`` use those aggregates instead."""
     qs = [float(q) for q in qs]
     if method in ("percentile", "approx"):
-        agg = (F.percentile_approx(col, qs, 10000) if method == "approx"
-               else F.percentile(col, F.array(*[F.lit(q) for q in qs])))
-        v = df.agg(agg.alias("v")).first()["v"]
-        return [None] * len(qs) if v is None else [float(x) for x in v]
-    from panelforge.operators.windows import global_row_index
-
-    d = df.select(F.col(col).cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x"))
-    n = d.count()
-    if n == 0:
-        return [None] * len(qs)
-    pos = []
-    for q in qs:
-        h = (n - 1) * q
-        lo = int(math.floor(h))
-        pos.append((h, lo, min(lo + 1, n - 1)))
-    need = sorted({p + 1 for _, lo, hi in pos for p in (lo, hi)})
-    idx = global_row_index(d, ["__x"], partitions=partitions, out="__i")
-    got = {r["__i"]: r["__x"] for r in idx.where(F.col("__i").isin(need)).collect()}
-    return [got[lo + 1] + (h - lo) * (got[hi + 1] - got[lo + 1]) for h, lo, hi in pos]
-
-
-def quantiles_by_column(df: DataFrame, cols: Sequence[str], qs: Sequence[float], method: str = "auto",
-                        max_distinct: int = 100_000) -> dict[str, list[float | None]]:
-    """Exact quantiles of several columns. ``auto`` estimates each column's
-    distinct count in one pass; columns with at most ``max_distinct`` values
-    get the ``percentile`` aggregate together in one more pass (its
-    value->count map stays small), the others the sort-based method.
-    ``sort`` / ``percentile`` force one method; ``approx`` uses sketches."""
-    qs = [float(q) for q in qs]
-    if method != "auto":
-        return {c: exact_quantiles(df, c, qs, method) for c in cols}
-    card = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    low = [c for c in cols if (card[c] or 0) <= max_distinct]
+        wide = df.agg(*[(F.percentile_approx(c, qs, 10000) if method == "approx"
+                         else F.percentile(c, F.array(*[F.lit(q) for q in qs]))).alias(c) for c in cols]).first()
+        return {c: [None] * len(qs) if wide[c] is None else [float(x) for x in wide[c]] for c in cols}
+    xs = {c: F.col(c).cast("double") for c in cols}
+    d = df.select(*[F.when(~F.isnan(x), x).alias(c) for c, x in xs.items()])
+    stats = []
+    for c in cols:
+        stats += [F.count(c).alias(f"{c}|n"), F.min(c).alias(f"{c}|lo"), F.max(c).alias(f"{c}|hi")]
+    row = d.agg(*stats).first()
+    wanted: dict[tuple[str, int], tuple[float, float, int]] = {}  # low, high, values below low
+    for c in cols:
+        n = row[f"{c}|n"]
+        for q in qs if n else []:
+            at = int(math.floor((n - 1) * q))
+            for k in (at, min(at + 1, n - 1)):
+                wanted[c, k] = (row[f"{c}|lo"], row[f"{c}|hi"], 0)
+    while True:
+        spans = sorted({(c, *span) for (c, _), span in wanted.items() if span[0] < span[1]})
+        if not spans:
+            break
+        counts = _bin_counts(d, spans)
+        for (c, k), span in wanted.items():
+            if span[0] < span[1]:
+                below = span[2]
+                for _, n, lo, hi in counts[(c, *span)]:
+                    if k < below + n:
+                        wanted[c, k] = (lo, hi, below)
+                        break
+                    below += n
     out: dict[str, list[float | None]] = {}
-    if low:
-        arr = F.array(*[F.lit(q) for q in qs])
-        row = df.agg(*[F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), arr).alias(c)
-                       for c in low]).first()
-        for c in low:
-            out[c] = [None] * len(qs) if row[c] is None else [float(x) for x in row[c]]
     for c in cols:
-        if c not in out:
-            out[c] = exact_quantiles(df, c, qs, "sort")
+        n = row[f"{c}|n"]
+        out[c] = []
+        for q in qs:
+            if not n:
+                out[c].append(None)
+                continue
+            h = (n - 1) * q
+            at = int(math.floor(h))
+            a, b = wanted[c, at][0], wanted[c, min(at + 1, n - 1)][0]
+            out[c].append(a + (h - at) * (b - a))
+    return out
+
+
+def _bin_counts(d: DataFrame, spans: list[tuple]) -> dict[tuple, list[tuple]]:
+    """Per span ``(column, low, high, below)``: its bins in order as
+    ``(bin, count, least value, greatest value)``."""
+    parts = []
+    for i, (c, lo, hi, _) in enumerate(spans):
+        x = F.col(f"`{c}`")
+        wide = math.isfinite(hi - lo)
+        share = (x - lo) / (hi - lo) if wide else (x / 2 - lo / 2) / (hi / 2 - lo / 2)
+        cell = F.least(F.floor(share * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1)).cast("int")
+        parts.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(i).alias("i"), cell.alias("b"), x.alias("x"))))
+    each = d.select(F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p"))
+    rows = each.groupBy("p.i", "p.b").agg(F.count(F.lit(1)).alias("n"), F.min("p.x").alias("lo"),
+                                          F.max("p.x").alias("hi")).collect()
+    out: dict[tuple, list[tuple]] = {s: [] for s in spans}
+    for r in sorted(rows, key=lambda r: (r["i"], r["b"])):
+        out[spans[r["i"]]].append((r["b"], r["n"], r["lo"], r["hi"]))
     return out
 
 
@@ -92,16 +122,15 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence
     range-partitioned on (group, value), so a hot group is split across
     ranges by value; per-(group, range) counts -- a table bounded by groups
     x ranges -- give each row's position within its group, and only rows at
-    the wanted positions are kept. Lazy: no driver collection."""
+    the wanted positions are kept. The ranged rows are written once, so counts
+    and positions agree; nothing reaches the driver."""
     from pyspark.sql import Window
 
     keys = list(keys)
     names = list(names or [f"q{int(round(q * 100))}" for q in qs])
     d = df.select(*keys, F.col(col).cast("double").alias("__x")).where(
         F.col("__x").isNotNull() & ~F.isnan("__x"))
-    from panelforge.session import range_partitions
-    r = d.repartitionByRange(range_partitions(df.sparkSession, partitions), *[F.col(k) for k in keys], F.col("__x")).withColumn(
-        "__rp", F.spark_partition_id())
+    r = fixed_ranges(d, [*[F.col(k) for k in keys], F.col("__x")], "__rp", partitions)
     cnt = r.groupBy(*keys, "__rp").agg(F.count(F.lit(1)).alias("__c"))
     wo = Window.partitionBy(*keys).orderBy("__rp")
     offs = cnt.select(*keys, "__rp", F.coalesce(F.sum("__c").over(wo.rowsBetween(Window.unboundedPreceding, -1)),
@@ -211,7 +240,7 @@ def median_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], approx: b
 def quantiles(df: DataFrame, col: str, qs: Sequence[float], approx: bool = False) -> DataFrame:
     """Quantiles of one column as (q, value) rows (exact, sort-based;
     ``approx=True`` for a sketch)."""
-    vals = exact_quantiles(df, col, qs, "approx" if approx else "sort")
+    vals = exact_quantiles(df, col, qs, "approx" if approx else "exact")
     return df.sparkSession.createDataFrame([(float(q), v) for q, v in zip(qs, vals)], "q double, value double")
 
 
@@ -228,7 +257,7 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], approx: bool = False) -
                  F.stddev_samp(c).alias(f"{c}|std"), F.min(c).cast("double").alias(f"{c}|min"),
                  F.max(c).cast("double").alias(f"{c}|max")]
     row = df.agg(*aggs).first()
-    quart = quantiles_by_column(df, cols, [0.25, 0.5, 0.75], "approx" if approx else "auto")
+    quart = quantiles_by_column(df, cols, [0.25, 0.5, 0.75], "approx" if approx else "exact")
     out = []
     for c in cols:
         q = quart[c]
@@ -320,11 +349,11 @@ def pivot_mean(df: DataFrame, row: str, col: str, value: str, values: Sequence |
 
 def pivot_first(df: DataFrame, row: Sequence[str], col: str, value: str,
                 values: Sequence | None = None) -> DataFrame:
-    """First non-NULL value in the grid (order-free via ``max`` when
-    the cell is unique, as in the reference)."""
+    """The non-NULL value of each grid cell; where a cell has several,
+    the largest, so the result does not depend on row order."""
     g = df.groupBy(*row)
     p = g.pivot(col, list(values)) if values is not None else g.pivot(col)
-    return p.agg(F.first(value, ignorenulls=True))
+    return p.agg(F.max(value))
 
 
 def pivot_items(df: DataFrame, keys: Sequence[str], item_col: str, value: str,
@@ -358,8 +387,9 @@ def arg_extreme(df: DataFrame, key: str, val: str, by: Sequence[str] = ()) -> Da
 
 def mode(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """Most frequent value; ties give the smallest value."""
-    agg = F.mode(col, deterministic=True).alias("mode")
-    return df.groupBy(*by).agg(agg) if by else df.agg(agg)
+    counts = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
+    best = F.min(F.struct((-F.col("__n")).alias("n"), F.col(col).alias("v")))["v"].alias("mode")
+    return counts.groupBy(*by).agg(best) if by else counts.agg(best)
 
 
 def entity_totals(df: DataFrame, spec: PanelSpec, col: str) -> DataFrame:
@@ -372,9 +402,9 @@ def entity_totals(df: DataFrame, spec: PanelSpec, col: str) -> DataFrame:
 def annualize(df: DataFrame, keys: Sequence[str], cols: Sequence[str], mode: str = "mean") -> DataFrame:
     """Predictions and actuals to one value per key, all models in one
     aggregate. ``mode='sum'`` reproduces the reference's monthly sum of an
-    annual value copied onto every month (7x); ``mean`` and ``first`` give
-    the annual value itself."""
-    fn = {"sum": F.sum, "mean": F.avg, "first": lambda c: F.first(c, ignorenulls=True)}[mode]
+    annual value copied onto every month (7x); ``mean`` and ``first`` (the
+    smallest, where copies differ) give the annual value itself."""
+    fn = {"sum": F.sum, "mean": F.avg, "first": F.min}[mode]
     return df.groupBy(*keys).agg(*[fn(c).alias(c) for c in cols])
 
 
@@ -435,9 +465,15 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = (), whisker: float =
     """Quartiles, whiskers at the most extreme values inside
     ``Q1 - k IQR`` / ``Q3 + k IQR``, and the number of points outside."""
     by = list(by)
-    q = _pct(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)) if not approx else [0.25, 0.5, 0.75], approx)
-    qs = (df.groupBy(*by) if by else df).agg(q.alias("__q"))
-    qs = qs.select(*by, F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
+    quarters = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    if by and not approx:
+        qs = grouped_quantiles(df, by, col, list(quarters.values()), list(quarters))
+    elif by:
+        q = F.percentile_approx(col, list(quarters.values()), 10000)
+        qs = df.groupBy(*by).agg(q.alias("__q")).select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(quarters)])
+    else:
+        got = exact_quantiles(df, col, list(quarters.values()), "approx" if approx else "exact")
+        qs = df.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(n) for n, v in zip(quarters, got)])
     qs = qs.withColumn("lo_fence", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
            .withColumn("hi_fence", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
     if by:
@@ -489,9 +525,8 @@ def kde(df: DataFrame, col: str, points: int = 50, bandwidth: float | None = Non
     """Gaussian kernel density on an evenly spaced grid over [min, max].
 
     Bandwidth defaults to Scott's rule (n^-1/5 times the sample std), as the
-    SciPy estimator does. Each row contributes to every grid point through a
-    generator and a partial aggregate, so the shuffle carries only
-    ``points`` partial sums per task."""
+    SciPy estimator does. One aggregate holds a sum per grid point, so rows
+    are never multiplied and each task sends ``points`` partial sums."""
     st = df.agg(F.count(col).alias("n"), F.stddev_samp(col).alias("sd"), F.min(col).alias("lo"),
                 F.max(col).alias("hi")).first()
     n, sd, lo, hi = st["n"], st["sd"], st["lo"], st["hi"]
@@ -500,9 +535,9 @@ def kde(df: DataFrame, col: str, points: int = 50, bandwidth: float | None = Non
         return spark.createDataFrame([], "i int, x double, density double")
     h = bandwidth or sd * n ** (-1.0 / 5.0)
     step = (hi - lo) / (points - 1) if points > 1 else 0.0
-    grid = F.array(*[F.lit(float(lo + i * step)) for i in range(points)])
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    contrib = F.transform(grid, lambda g: F.exp(-0.5 * F.pow((g - F.col(col)) / F.lit(h), 2)))
-    long = df.where(F.col(col).isNotNull()).select(F.posexplode(contrib).alias("i", "k"))
-    out = long.groupBy("i").agg((F.sum("k") * F.lit(norm)).alias("density"))
-    return out.select("i", (F.lit(lo) + F.col("i") * F.lit(step)).alias("x"), "density")
+    at = [float(lo + i * step) for i in range(points)]
+    wide = df.agg(*[(F.sum(F.exp(-0.5 * F.pow((F.lit(g) - F.col(col)) / F.lit(h), 2))) * F.lit(norm)).alias(f"g{i}")
+                    for i, g in enumerate(at)])
+    long = wide.select(F.posexplode(F.array(*[F.col(f"g{i}") for i in range(points)])).alias("i", "density"))
+    return long.select("i", (F.lit(lo) + F.col("i") * F.lit(step)).alias("x"), "density")

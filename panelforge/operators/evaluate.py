@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.aggregates import exact_quantiles
+
 from panelforge.functions import scalar as S
 from panelforge.functions.predicates import valid_pairs
 
@@ -55,8 +57,7 @@ def leaderboard(df: DataFrame, keys: Sequence[str], y: str, models: Sequence[str
 def ranked_leaderboard(board: DataFrame, classes: DataFrame | None = None, by: str = "r2") -> DataFrame:
     """V6: leaderboard joined with a small model dimension (complexity class)
     and sorted by score descending, then name."""
-    from panelforge.operators.joins import broadcast_if_small
-    b = board.join(broadcast_if_small(classes, 10_000), "model", "left") if classes is not None else board
+    b = board.join(classes, "model", "left") if classes is not None else board
     return b.orderBy(F.desc(by), F.asc("model"))
 
 
@@ -72,8 +73,9 @@ def error_percentiles(df: DataFrame, y: str, p: str, qs: Sequence[float] = (0.25
                       eps: float = 1e-6, approx: bool = False) -> DataFrame:
     """V8: percentiles of the absolute percent error."""
     pe = F.abs(F.col(y) - F.col(p)) / (F.col(y) + F.lit(eps)) * 100
-    arr = F.percentile_approx(pe, list(qs), 10000) if approx else F.percentile(pe, F.array(*[F.lit(q) for q in qs]))
-    return df.agg(*[arr[i].alias(f"p{int(round(q * 100))}") for i, q in enumerate(qs)])
+    got = exact_quantiles(df.select(pe.alias("__pe")), "__pe", list(qs), "approx" if approx else "exact")
+    return df.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(f"p{int(round(q * 100))}")
+                                             for v, q in zip(got, qs)])
 
 
 # Grading thresholds of the reference.

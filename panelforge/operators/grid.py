@@ -12,8 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.operators.joins import broadcast_if_small, is_small
-
 
 def composite(pixels: DataFrame, pixel: str, ts: str, bands: Sequence[str], grain: str = "month",
               start: str | None = None, end: str | None = None) -> DataFrame:
@@ -28,16 +26,9 @@ def composite(pixels: DataFrame, pixel: str, ts: str, bands: Sequence[str], grai
 
 def zonal_mean(comp: DataFrame, pixel: str, zones: DataFrame, zone: str, bands: Sequence[str],
                by: Sequence[str] = ("period",)) -> DataFrame:
-    """Pixel -> zone mapping joined (broadcast when its size check
-    passes), then mean of the pixel values per zone and period."""
-    z = broadcast_if_small(zones.select(pixel, zone))
-    return comp.join(z, pixel, "inner").groupBy(zone, *by).agg(*[F.avg(b).alias(b) for b in bands])
-
-
-def zonal_monthly(pixels: DataFrame, pixel: str, ts: str, zones: DataFrame, zone: str, bands: Sequence[str],
-                  start: str | None = None, end: str | None = None) -> DataFrame:
-    """Z3: composite and zonal mean for every month in one job."""
-    return zonal_mean(composite(pixels, pixel, ts, bands, "month", start, end), pixel, zones, zone, bands)
+    """Pixel -> zone mapping joined, then mean of the pixel values per
+    zone and period."""
+    return comp.join(zones.select(pixel, zone), pixel, "inner").groupBy(zone, *by).agg(*[F.avg(b).alias(b) for b in bands])
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -51,32 +42,16 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 EARTH_KM = 6371.0088
 
 
-def nearest(points: DataFrame, lat: str, lon: str, sites: DataFrame, site_lat: str, site_lon: str,
-            site_name: str, max_sites: int = 50_000, key: str | None = None,
-            band_deg: float = 1.0) -> DataFrame:
-    """Distance to the nearest site and its name (ties: smallest name).
-
-    A size-checked site table is shipped as one literal array and scanned
-    per point by a higher-order function -- no join, no pair rows. Beyond
-    the size bound (``key`` required) the exact latitude-band method runs
-    instead: the haversine distance is at least R * |delta latitude|, so a
-    first pass over the adjacent latitude bands bounds each point's radius
-    and a second pass adds every band that radius can reach; all joins are
-    equi joins on the band id."""
-    if not is_small(sites, max_sites):
-        if key is None:
-            raise ValueError("site table above the broadcast bound: pass key= for the band method")
-        return _nearest_banded(points, key, lat, lon, sites, site_lat, site_lon, site_name, band_deg)
-    rows = sites.select(site_lat, site_lon, site_name).collect()
-    arr = F.array(*[F.struct(F.lit(float(r[0])).alias("lat"), F.lit(float(r[1])).alias("lon"),
-                             F.lit(r[2]).alias("name")) for r in rows])
-    dists = F.transform(arr, lambda s: F.struct(haversine_km(F.col(lat), F.col(lon), s["lat"], s["lon"]).alias("d"),
-                                                s["name"].alias("name")))
-    best = F.array_min(dists)
-    return points.withColumns({"dist_km": best["d"], "nearest_site": best["name"]})
-
-
-def _nearest_banded(points, key, lat, lon, sites, slat, slon, name, w):
+def nearest(points: DataFrame, key: str, lat: str, lon: str, sites: DataFrame, slat: str, slon: str,
+            name: str, w: float = 1.0) -> DataFrame:
+    """Distance to the nearest site and its name (ties: smallest name),
+    exact at any number of sites.
+
+    Sites stand in latitude bands of ``w`` degrees. The haversine distance is
+    at least R * |delta latitude|, so a first pass over the adjacent bands
+    bounds each point's radius and a second pass adds every band that radius
+    can reach; all joins are equi joins on the band number. ``key`` is unique
+    in ``points``."""
     s = sites.select(F.col(slat).alias("__slat"), F.col(slon).alias("__slon"), F.col(name).alias("__name"),
                      F.floor(F.col(slat) / w).cast("long").alias("__sb"))
     p = points.select(key, F.col(lat).alias("__lat"), F.col(lon).alias("__lon"),

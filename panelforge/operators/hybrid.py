@@ -142,7 +142,7 @@ def hybrid(df: DataFrame, pred: str, adj: str, method: str = "adjust_only", stac
     """H9: method choice; ``stacked`` falls back to adjust-only per row when
     a stacking input is missing."""
     if method not in ("adjust_only", "stacked"):
-        raise ValueError(f"method must be 'adjust_only' or 'stacked', got {method!r}")
+        raise ValueError(f"unknown hybrid method {method!r}; choose adjust_only or stacked")
     base = adjust(pred, F.coalesce(F.col(adj), F.lit(0.0)))
     if method == "adjust_only" or not weights:
         return df.withColumn(out, base)

@@ -1,10 +1,8 @@
 """Joins and set operations.
 
-Broadcast is used only behind a size check (``broadcast_if_small``): the
-small side is counted with ``limit(max_rows + 1)`` -- a bounded action --
-and hinted only when under the bound. Otherwise the join is left to Catalyst
-and AQE, which re-plans to a broadcast at runtime from real shuffle sizes
-when the side turns out small, and splits skewed partitions otherwise.
+No join is hinted: AQE broadcasts a side whose real size in bytes is under
+the session's threshold and splits skewed partitions otherwise, so no side
+is run twice to measure it.
 """
 
 from __future__ import annotations
@@ -17,17 +15,6 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.scalar import squeeze, upper_trim
 
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-
-
-def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (bounded count)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if is_small(df, max_rows) else df
-
 
 @dataclass
 class JoinReport:
@@ -41,15 +28,12 @@ class JoinReport:
 
 
 def left_enrich(base: DataFrame, src: DataFrame, keys: Sequence[str],
-                fill: dict | float | None = None, broadcast: bool = False,
-                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                fill: dict | float | None = None) -> DataFrame:
     """Left equi join of ``src`` columns onto ``base``.
 
-    ``src`` must be unique on ``keys`` (pre-aggregate first, as the reference
-    does); ``broadcast=True`` requests a broadcast, honoured only when the
-    size check passes. ``fill`` replaces NULLs from non-matches (J6)."""
-    right = broadcast_if_small(src, max_broadcast_rows) if broadcast else src
-    out = base.join(right, on=list(keys), how="left")
+    ``src`` must be unique on ``keys`` (pre-aggregate first).
+    ``fill`` replaces NULLs from non-matches (J6)."""
+    out = base.join(src, on=list(keys), how="left")
     if fill is not None:
         new_cols = [c for c in src.columns if c not in keys]
         vals = fill if isinstance(fill, dict) else {c: fill for c in new_cols}
@@ -89,11 +73,10 @@ def enrich_at_grain(base: DataFrame, src: DataFrame, keys: Sequence[str], month:
 
 
 def map_lookup(df: DataFrame, key: str, dim: DataFrame, dim_key: str, value: str,
-               alias: str | None = None,
-               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Dictionary lookup column via a (size-checked) broadcast left join."""
+               alias: str | None = None) -> DataFrame:
+    """Dictionary lookup column via a left join on the distinct keys."""
     d = dim.select(F.col(dim_key).alias(key), F.col(value).alias(alias or value)).dropDuplicates([key])
-    return df.join(broadcast_if_small(d, max_broadcast_rows), on=key, how="left")
+    return df.join(d, on=key, how="left")
 
 
 def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -147,18 +130,38 @@ def attach_predictions(panel: DataFrame, preds: DataFrame, keys: Sequence[str])
 
 
 # J8 -------------------------------------------------------------------------
-def _substrings(c: Column) -> Column:
-    """Every non-empty substring of a string, as an array (distinct)."""
-    n = F.length(c)
-    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(
-        starts, lambda i: F.transform(F.sequence(i, F.greatest(n, i)),
-                                      lambda j: F.substring(c, i, j - i + 1)))))
+#: Length of the name pieces that containment is looked up by.
+GRAM = 3
+
+
+def _grams(c: Column, sizes: Sequence[int]) -> Column:
+    """The distinct pieces of a string with the given lengths."""
+    def pieces(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1)))
+        return F.filter(F.transform(starts, lambda i: F.substring(c, i, F.lit(k))), lambda x: F.length(x) == k)
+    return F.array_distinct(F.flatten(F.array(*[pieces(k) for k in sizes])))
+
+
+def _contained(names: DataFrame, name: str, dim: DataFrame, dim_name: str) -> DataFrame:
+    """``(__name, __key)`` where the dimension name contains the name.
+
+    A dimension name that contains a name holds every piece of it, so each
+    name is looked up by its rarest piece of ``GRAM`` letters (by all of it
+    if it is shorter) and the candidates are verified."""
+    held = dim.select("__key", F.col(dim_name).alias("__text"),
+                      F.explode(_grams(F.col(dim_name), range(1, GRAM + 1))).alias("__g"))
+    often = held.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    size = F.least(F.length(name), F.lit(GRAM))
+    own = names.where(F.length(name) > 0).select(
+        "__name", F.col(name).alias("__own"),
+        F.explode(F.filter(_grams(F.col(name), range(1, GRAM + 1)), lambda g: F.length(g) == size)).alias("__g"))
+    rarest = own.join(often, "__g").groupBy("__name", "__own").agg(
+        F.min(F.struct("__n", "__g"))["__g"].alias("__g"))
+    return rarest.join(held, "__g").where(F.contains("__text", "__own")).select("__name", "__key")
 
 
 def match_names(left: DataFrame, name_col: str, dim: DataFrame, dim_name: str, dim_key: str,
-                out_col: str = "match_key",
-                max_dim_rows: int = 100_000) -> DataFrame:
+                out_col: str = "match_key") -> DataFrame:
     """Tiered name match, first tier that matches wins; within a tier the
     smallest dimension key wins (deterministic "first row").
 
@@ -166,26 +169,20 @@ def match_names(left: DataFrame, name_col: str, dim: DataFrame, dim_name: str, d
     removed), (3) squeezed dimension name contains the squeezed name,
     (4) upper dimension name contains the upper raw name.
 
-    Only the distinct names of ``left`` are matched, then joined back. The
-    containment tiers are equi-joins against an exploded substring table of
-    the (size-checked) dimension, so no nested-loop join is needed."""
-    if not is_small(dim, max_dim_rows):
-        raise ValueError("dimension too large for substring matching")
+    Only the distinct names of ``left`` are matched, then joined back. All
+    tiers are equi joins; see ``_contained`` for the last two."""
     names = left.select(F.col(name_col).alias("__name")).where(F.col("__name").isNotNull()).distinct()
     names = names.select("__name", upper_trim("__name").alias("__ut"), squeeze("__name").alias("__sq"),
                          F.upper(F.col("__name")).alias("__up"))
     d = dim.select(F.col(dim_key).alias("__key"), F.col(dim_name).alias("__dn"))
     d = d.select("__key", upper_trim("__dn").alias("__dut"), squeeze("__dn").alias("__dsq"),
                  F.upper(F.col("__dn")).alias("__dup"))
-    t1 = names.join(F.broadcast(d), names["__ut"] == d["__dut"]).select("__name", F.lit(1).alias("__tier"), "__key")
-    t2 = names.join(F.broadcast(d), names["__sq"] == d["__dsq"]).select("__name", F.lit(2).alias("__tier"), "__key")
-    subs_sq = d.select("__key", F.explode(_substrings(F.col("__dsq"))).alias("__sub"))
-    t3 = names.join(F.broadcast(subs_sq), names["__sq"] == subs_sq["__sub"]).select(
-        "__name", F.lit(3).alias("__tier"), "__key")
-    subs_up = d.select("__key", F.explode(_substrings(F.col("__dup"))).alias("__sub"))
-    t4 = names.join(F.broadcast(subs_up), names["__up"] == subs_up["__sub"]).select(
-        "__name", F.lit(4).alias("__tier"), "__key")
-    cands = t1.unionByName(t2).unionByName(t3).unionByName(t4)
+    tiers = [names.join(d, names["__ut"] == d["__dut"]), names.join(d, names["__sq"] == d["__dsq"]),
+             _contained(names, "__sq", d, "__dsq"), _contained(names, "__up", d, "__dup")]
+    cands = None
+    for i, t in enumerate(tiers, 1):
+        t = t.select("__name", F.lit(i).alias("__tier"), "__key")
+        cands = t if cands is None else cands.unionByName(t)
     best = cands.groupBy("__name").agg(F.min(F.struct("__tier", "__key")).alias("__b"))
     best = best.select(F.col("__name").alias(name_col), F.col("__b.__key").alias(out_col),
                        F.col("__b.__tier").alias(out_col + "_tier"))
@@ -210,8 +207,3 @@ def duplicate_count(df: DataFrame) -> int:
     g = df.groupBy(*df.columns).count()
     row = g.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("d")).first()
     return int((row["n"] or 0) - (row["d"] or 0))
-
-
-def first_row_number(df: DataFrame, partition: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    w = Window.partitionBy(*partition).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(w))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.predicates import clip
 from panelforge.operators import mlprep
+from panelforge.session import range_partitions
 
 
 def assembler(cols: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -224,11 +225,13 @@ def coef_importance(model, cols: Sequence[str], spark) -> DataFrame:
     return d.orderBy(F.desc("pct"), "feature")
 
 
-def permute_column(df: DataFrame, col: str, keys: Sequence[str], seed: int, blocks: int = 64) -> DataFrame:
-    """Shuffle one column across rows: inside hash blocks, row ``i`` in key
+def permute_column(df: DataFrame, col: str, keys: Sequence[str], seed: int, blocks: int | None = None) -> DataFrame:
+    """Shuffle one column across rows: inside hash blocks (as many as the
+    session's shuffle partitions, which grow with the data), row ``i`` in key
     order takes the value of row ``i`` in seeded-hash order. Each block is
     ranked independently (many tasks), and it is a plain equi join."""
     kc = [F.col(k) for k in keys]
+    blocks = range_partitions(df.sparkSession, blocks)
     d = df.withColumn("__blk", F.pmod(F.xxhash64(*kc, F.lit(seed + 7)), F.lit(blocks)))
     w1 = Window.partitionBy("__blk").orderBy(*kc)
     w2 = Window.partitionBy("__blk").orderBy(F.xxhash64(*kc, F.lit(seed)), *kc)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -52,19 +52,9 @@ def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> Data
 def pick_row(df: DataFrame, keys: Sequence[str], position: int, partitions: int | None = None) -> DataFrame:
     """The row at 0-based ``position`` in key order.
 
-    One lazy plan over a distributed global row index: range partitions are
-    ranked locally and offset by per-range counts (one row per range), and
-    the counts and ranks come from the same exchange, so they always agree
-    on the range boundaries."""
+    Taken from the distributed global row index, whose ranges are written
+    once, so counts and ranks agree on the range boundaries."""
     from panelforge.operators.windows import global_row_index
 
     idx = global_row_index(df, list(keys), partitions=partitions, out="__i")
     return idx.where(F.col("__i") == position + 1).drop("__i")
-
-
-def rank_rows(df: DataFrame, col: str, tie_keys: Sequence[str] = (), by: Sequence[str] = (),
-              out: str = "rank") -> DataFrame:
-    """1-based rank by descending value (row_number, ties by key)."""
-    w = Window.partitionBy(*by).orderBy(F.col(col).desc(), *_cols(tie_keys)) if by else \
-        Window.orderBy(F.col(col).desc(), *_cols(tie_keys))
-    return df.withColumn(out, F.row_number().over(w))

@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.session import range_partitions
+from panelforge.session import fixed_ranges
 from panelforge.spec import PanelSpec
 
 UNB_P, UNB_F = Window.unboundedPreceding, Window.unboundedFollowing
@@ -165,12 +165,12 @@ def _attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 def fill_median(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """Fill with the overall median of each column. The medians are
-    exact and memory-bounded (``quantiles_by_column``: percentile aggregate
+    exact and memory-bounded (``quantiles_by_column``: counts of value bins
     for low-cardinality columns, range-partitioned sort otherwise) and are
     applied as literals."""
     from panelforge.operators.aggregates import quantiles_by_column
 
-    med = quantiles_by_column(df, list(cols), [0.5], "approx" if approx else "auto")
+    med = quantiles_by_column(df, list(cols), [0.5], "approx" if approx else "exact")
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c][0]).cast(df.schema[c].dataType))
                            for c in cols if med[c][0] is not None})
 
@@ -232,7 +232,7 @@ def impute_cascade(df: DataFrame, cols: Sequence[str], spec: PanelSpec,
                 # overall median: exact and memory-bounded, applied as literals
                 from panelforge.operators.aggregates import quantiles_by_column
                 names = [f"__s{i - 1}_{c}" for c in cols]
-                med = quantiles_by_column(s.select(*names), names, [0.5], "approx" if approx else "auto")
+                med = quantiles_by_column(s.select(*names), names, [0.5], "approx" if approx else "exact")
                 s = s.withColumns({f"__s{i}_{c}": F.coalesce(prev[c], F.lit(med[f"__s{i - 1}_{c}"][0]).cast("double"))
                                    for c in cols})
         done.add(st)
@@ -267,13 +267,12 @@ def scan_global(df: DataFrame, order: Sequence[str | Column], last_cols: Sequenc
     before it (``__prev_<c>``) and the first non-NULL value of each
     ``first_cols`` column strictly after it (``__next_<c>``).
 
-    Rows are range-partitioned on the order; each range is scanned by its
-    own window, and the carry between ranges comes from a table with one row
+    Rows are range-partitioned on the order once (``fixed_ranges``); each
+    range is scanned by its own window, and the carry between ranges comes from a table with one row
     per range. No window ever spans the whole data."""
     oc = [F.col(o) if isinstance(o, str) else o for o in order]
     okey = F.struct(*oc)
-    r = df.repartitionByRange(range_partitions(df.sparkSession, partitions), *oc).withColumn(
-        "__rp", F.spark_partition_id())
+    r = fixed_ranges(df, oc, "__rp", partitions)
     aggs = []
     for c in last_cols:
         aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), okey)).alias(f"__rl_{c}"))
@@ -459,10 +458,10 @@ def norm_ppf(p: Column) -> Column:
 def global_row_index(df: DataFrame, order: Sequence[str | Column], partitions: int | None = None,
                      out: str = "row_idx") -> DataFrame:
     """1-based position in a global sort without a single-partition window:
-    range partitions are sorted locally, their counts (one row per range)
-    give each range's offset."""
-    ranged = df.repartitionByRange(range_partitions(df.sparkSession, partitions), *order).withColumn(
-        "__pid", F.spark_partition_id())
+    rows are dealt into ranges once and written (``fixed_ranges``), each range
+    is sorted locally, and the counts (one row per range) of the same written
+    rows give each range's offset."""
+    ranged = fixed_ranges(df, list(order), "__pid", partitions)
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__pid").rowsBetween(UNB_P, -1)
     offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).select("__pid", "__off")

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import scalar as S
-from panelforge.operators.joins import broadcast_if_small
 from panelforge.spec import PanelSpec
 
 PANEL = PanelSpec(entity="entity", year="yr", month="mo", target="total")
@@ -79,7 +78,7 @@ def survey_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "o_orderpriority")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    j = o.join(c, o.o_custkey == c.c_custkey).join(broadcast_if_small(n, 10_000), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     value = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("(D)")).otherwise(S.thousands("o_totalprice", 2))
     return j.select("o_orderkey", F.col("n_regionkey").cast("string").alias("state_code"),
                     F.format_string("%.1f", F.col("c_nationkey").cast("double")).alias("county_code"),

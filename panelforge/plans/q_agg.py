@@ -8,6 +8,7 @@ from panelforge.functions import scalar as S
 from panelforge.operators import aggregates as A
 from panelforge.operators import joins as J
 from panelforge.operators import ordering as O
+from panelforge.operators import windows as W
 from panelforge.plans import panel as P
 from panelforge.plans import sqlparts as Q
 from panelforge.plans.registry import query
@@ -417,6 +418,15 @@ def o_sample(spark, sf_dir):
     return O.sample_n(o, ["o_orderkey"], 500, seed=42)
 
 
+@query("w14_rank_all_orders", ops=("W14",), sql="""
+SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rank
+FROM orders""")
+def w_rank_orders(spark, sf_dir):
+    """Every order's place by price: the distributed global row index over whole rows."""
+    o = P.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    return W.rank_entities(o, "o_totalprice", "o_orderkey").select("o_orderkey", "o_totalprice", "rank")
+
+
 @query("o08_middle_row", ops=("O8",), sql=Q.with_(Q.PANEL) + """
 SELECT entity, yr, mo, n FROM (SELECT *, row_number() OVER (ORDER BY entity, yr, mo) AS rn, count(*) OVER () AS cnt FROM panel)
 WHERE rn = cnt // 2 + 1""")

@@ -80,7 +80,7 @@ def p_dropna_subset(spark, sf_dir):
 SELECT entity, yr, mo, n FROM pitem LEFT JOIN price USING (yr, mo)
 WHERE item IS NOT NULL AND price IS NOT NULL AND v IS NOT NULL""")
 def p_dropna_any(spark, sf_dir):
-    d = J.left_enrich(P.panel_with_item(spark, sf_dir), P.monthly_price(spark, sf_dir), ["yr", "mo"], broadcast=True)
+    d = J.left_enrich(P.panel_with_item(spark, sf_dir), P.monthly_price(spark, sf_dir), ["yr", "mo"])
     return d.dropna(how="any").select("entity", "yr", "mo", "n")
 
 
@@ -223,11 +223,11 @@ NAMES_SQL = """names AS (
 def _names(spark, sf_dir):
     c = P.table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment")
     n = P.table(spark, sf_dir, "nation")
-    j = c.join(J.broadcast_if_small(n, 10_000), c.c_nationkey == n.n_nationkey)
+    j = c.join(n, c.c_nationkey == n.n_nationkey)
     seg = F.col("c_mktsegment")
     name = (F.when(seg == "AUTOMOBILE", F.concat(F.lit("  "), F.lower("n_name"), F.lit(" ")))
             .when(seg == "BUILDING", F.replace(F.col("n_name"), F.lit("_"), F.lit(" _ ")))
-            .when(seg == "FURNITURE", F.substring("n_name", 2, 1000))
+            .when(seg == "FURNITURE", F.expr("substring(n_name, 2)"))
             .when(seg == "HOUSEHOLD", F.replace(F.lower("n_name"), F.lit("_"), F.lit("-")))
             .otherwise(F.col("n_name")))
     return j.select(F.col("n_nationkey").alias("true_key"), seg.alias("kind"), name.alias("name")).distinct()
@@ -350,7 +350,7 @@ SELECT entity, yr, mo,
   round(total / (n + 1e-8), 4) AS ratio
 FROM pitem LEFT JOIN price USING (yr, mo)""")
 def f_row_mean(spark, sf_dir):
-    d = J.left_enrich(P.panel_with_item(spark, sf_dir), P.monthly_price(spark, sf_dir), ["yr", "mo"], broadcast=True)
+    d = J.left_enrich(P.panel_with_item(spark, sf_dir), P.monthly_price(spark, sf_dir), ["yr", "mo"])
     return d.select("entity", "yr", "mo", R(S.row_mean(["v", "item", "price"])).alias("row_mean"),
                     R(S.guarded_ratio("total", "n")).alias("ratio"))
 
@@ -414,8 +414,7 @@ SELECT entity, yr, mo, round(dist, 4) AS dist, facility,
 FROM panel LEFT JOIN dim USING (entity)""")
 def j_static_dim(spark, sf_dir):
     from panelforge.operators import features as E
-    d = J.left_enrich(P.base_panel(spark, sf_dir), P.static_dim(spark, sf_dir), ["entity"], broadcast=True,
-                      max_broadcast_rows=100_000)
+    d = J.left_enrich(P.base_panel(spark, sf_dir), P.static_dim(spark, sf_dir), ["entity"])
     d = d.withColumn("dist_category", E.cut("dist"))
     d = E.one_hot(d, "dist_category", ["Close", "Medium"], "dist")
     return d.select("entity", "yr", "mo", R("dist").alias("dist"), "facility", "dist_category", "dist_Close", "dist_Medium")

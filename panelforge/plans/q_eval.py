@@ -13,7 +13,6 @@ from panelforge.operators import evaluate as V
 from panelforge.operators import features as E
 from panelforge.operators import hybrid as H
 from panelforge.operators import windows as W
-from panelforge.operators.joins import broadcast_if_small
 from panelforge.plans import panel as P
 from panelforge.plans import sqlparts as Q
 from panelforge.plans.q_agg import MODELS, MODELS_SQL, model_preds
@@ -254,7 +253,7 @@ SELECT entity, yr, mo,
 def h_stacked(spark, sf_dir):
     d = model_preds(spark, sf_dir)
     adj = P.static_dim(spark, sf_dir).select("entity", (F.col("dist") / 100 - 0.45).alias("adj"))
-    d = d.join(broadcast_if_small(adj), "entity", "left")
+    d = d.join(adj, "entity", "left")
     d = H.stack(d, STACK_W)
     d = d.withColumn("m_year", F.when(F.col("mo") == 1, F.lit(None)).otherwise(F.col("m_year")))
     d = H.hybrid(d, "m_entity", "adj", "stacked", stack_cols=MODELS, weights=STACK_W)

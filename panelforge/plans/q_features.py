@@ -26,8 +26,8 @@ def R(c, n=4):
 
 def feature_panel(spark, sf_dir):
     """Monthly panel + sparse item + national monthly price + static dim."""
-    d = J.left_enrich(P.panel_with_item(spark, sf_dir), P.monthly_price(spark, sf_dir), ["yr", "mo"], broadcast=True)
-    return J.left_enrich(d, P.static_dim(spark, sf_dir), ["entity"], broadcast=True)
+    d = J.left_enrich(P.panel_with_item(spark, sf_dir), P.monthly_price(spark, sf_dir), ["yr", "mo"])
+    return J.left_enrich(d, P.static_dim(spark, sf_dir), ["entity"])
 
 
 FP_SQL = Q.SPARSE + ",\n" + Q.PRICE + ",\n" + Q.DIM + """,

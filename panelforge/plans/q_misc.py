@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from panelforge.functions import predicates as PR
 from panelforge.operators import grid as Z
-from panelforge.operators.joins import broadcast_if_small
 from panelforge.operators import quality as QL
 from panelforge.plans import panel as P
 from panelforge.plans import sqlparts as Q
@@ -72,7 +71,7 @@ def z_nearest(spark, sf_dir):
                                                    (-90 - F.col("c_nationkey") / 5).alias("lon"))
     s = P.table(spark, sf_dir, "supplier").select("s_name", (40 + F.col("s_acctbal") / 2000).alias("slat"),
                                                    (-90 - F.col("s_nationkey") / 5).alias("slon"))
-    d = Z.nearest(c, "lat", "lon", s, "slat", "slon", "s_name")
+    d = Z.nearest(c, "c_custkey", "lat", "lon", s, "slat", "slon", "s_name")
     return d.select("c_custkey", R("dist_km").alias("dist_km"), "nearest_site")
 
 
@@ -110,7 +109,7 @@ SELECT * FROM (SELECT 'item' AS "column", CAST(count_if(item IS NULL) AS BIGINT)
                UNION ALL SELECT 'price', CAST(count_if(price IS NULL) AS BIGINT), round(100.0 * count_if(price IS NULL) / count(*), 6) FROM j)
 WHERE missing > 0""")
 def q_missing(spark, sf_dir):
-    d = P.panel_with_item(spark, sf_dir).join(broadcast_if_small(P.monthly_price(spark, sf_dir), 100_000), ["yr", "mo"], "left")
+    d = P.panel_with_item(spark, sf_dir).join(P.monthly_price(spark, sf_dir), ["yr", "mo"], "left")
     return QL.missing_report(d).withColumn("missing_pct", R("missing_pct", 6))
 
 

@@ -14,7 +14,6 @@ from panelforge.operators import aggregates as A
 from panelforge.operators import evaluate as V
 from panelforge.operators import models as M
 from panelforge.operators.estimators import HybridAdjuster, PanelScaler
-from panelforge.operators.joins import broadcast_if_small
 from panelforge.plans import panel as P
 from panelforge.plans import sqlparts as Q
 from panelforge.plans.q_misc import scratch_path
@@ -49,7 +48,7 @@ FROM panel LEFT JOIN dim USING (entity), s""")
 def xu_pipeline(spark, sf_dir):
     p = P.base_panel(spark, sf_dir).select("entity", "yr", "mo", "total")
     adj = P.static_dim(spark, sf_dir).select("entity", (F.col("dist") / 100 - 0.45).alias("adjustment"))
-    d = p.join(broadcast_if_small(adj), "entity", "left").withColumn("total_scaled", F.col("total"))
+    d = p.join(adj, "entity", "left").withColumn("total_scaled", F.col("total"))
     pipe = Pipeline(stages=[PanelScaler(inputCols=["total_scaled"], kind="robust", fitFilter="yr < 2000"),
                             HybridAdjuster(predictionCol="total", adjustmentCol="adjustment")])
     model = pipe.fit(d)
@@ -70,7 +69,8 @@ SELECT yr, round("1_urgent_total", 2) AS "1_urgent_total", round("2_high_total",
 def p_schema_selection(spark, sf_dir):
     s = P.survey_text(spark, sf_dir).select("yr", "item", S.parse_number("value_text").alias("v"))
     items = [r["item"] for r in A.sorted_values(s, "item").collect()]  # bounded: the survey's item list
-    mapping = [(it, S.slug(it) + "_total") for it in items]
+    names = S.slugs(items)
+    mapping = [(it, names[it] + "_total") for it in items]
     # one conditional aggregate per item: a single shuffle for any number of items
     wide = s.groupBy("yr").agg(*[F.sum(F.when(F.col("item") == it, F.col("v"))).alias(name) for it, name in mapping],
                                F.sum("v").alias("all_total"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
 
@@ -59,20 +61,32 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
+    """Reliable checkpoint into the shared checkpoint folder: the rows are
+    computed once and survive executor loss. Spark's cleaner removes the files
+    with the frame (``spark.cleaner.referenceTracking.cleanCheckpoints``).
 
-    Survives executor loss (data lives in the shared folder, not on an
-    executor). Without a configured folder the plan is returned unchanged.
-    """
+    A local session without a configured folder gets a temporary one; on a
+    cluster the folder is required."""
     spark = df.sparkSession
-    if not checkpoint_dir(spark):
-        log.warning("no %s configured; lineage not cut", CHECKPOINT_CONF)
-        return df
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = checkpoint_dir(spark)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="panelforge-checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def fixed_ranges(df: DataFrame, order: list, out: str, partitions: int | None = None) -> DataFrame:
+    """Rows dealt into ranges of ``order`` with the range number in ``out``,
+    written once: the boundaries come from a sample, so counts and ranks must
+    never come from two evaluations of the same range exchange."""
+    ranged = df.repartitionByRange(range_partitions(df.sparkSession, partitions), *order)
+    return cut_lineage(ranged.withColumn(out, F.spark_partition_id()))
+
+
 def range_partitions(spark: SparkSession, requested: int | None = None) -> int:
     """Number of ranges for range-partitioned scans: the caller's value, else
     the session's ``spark.sql.shuffle.partitions`` (sized by the cluster to
@@ -86,9 +100,6 @@ def range_partitions(spark: SparkSession, requested: int | None = None) -> int:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Input for iterative work (model fitting, tuning): checkpointed into
-    the shared folder when one is configured, otherwise persisted
-    (memory and disk; lost blocks are recomputed from lineage)."""
-    if checkpoint_dir(df.sparkSession):
-        return cut_lineage(df)
-    return df.persist()
+    """Input for iterative work (model fitting, tuning), checkpointed into
+    the shared folder."""
+    return cut_lineage(df)

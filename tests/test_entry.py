@@ -30,10 +30,7 @@ def _canon(v):
     return v
 
 
-FAST = [n for n in E.oracle_sql() if n[0] in "pfjauwezqvh"]
-
-
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", sorted(E.ORACLE))
 def test_oracle_small(spark, name):
     con = duckdb.connect()
     for t in TABLES:

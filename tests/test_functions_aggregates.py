@@ -110,11 +110,11 @@ def test_exact_quantile_methods_agree(spark):
     vals = [(float(x), float(int(x * 3) % 4)) for x in rng.normal(size=500)]
     d = spark.createDataFrame(vals, "hi double, lo double")
     qs = [0.1, 0.25, 0.5, 0.9]
-    auto = A.quantiles_by_column(d, ["hi", "lo"], qs, "auto", max_distinct=50)  # hi -> sort, lo -> percentile
+    auto = A.quantiles_by_column(d, ["hi", "lo"], qs)
     for c in ("hi", "lo"):
         exp = np.quantile(np.array([v[0] if c == "hi" else v[1] for v in vals]), qs)
         assert auto[c] == pytest.approx(list(exp), abs=1e-12)
-        assert A.exact_quantiles(d, c, qs, "sort") == pytest.approx(list(exp), abs=1e-12)
+        assert A.exact_quantiles(d, c, qs) == pytest.approx(list(exp), abs=1e-12)
         assert A.exact_quantiles(d, c, qs, "percentile") == pytest.approx(list(exp), abs=1e-12)
 
 
@@ -133,3 +133,15 @@ def test_grouped_quantiles_skewed_group(spark):
     pm = {r["g"]: r["x"] for r in A.median_by(d, ["g"], ["x"]).collect()}
     sm = {r["g"]: r["x"] for r in A.median_by(d, ["g"], ["x"], method="sort").collect()}
     assert pm == pytest.approx(sm, abs=1e-12)
+
+
+def test_exact_quantiles_extremes(spark):
+    import numpy as np
+    xs = [1e308, -1e308, 5e-324, 0.0, 1.0, 1.0, 1.0 + 2 ** -52, float("nan"), None, 7.0]
+    d = spark.createDataFrame([(x, None) for x in xs], "x double, none double")
+    kept = np.array([x for x in xs if x is not None and x == x])
+    qs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = A.quantiles_by_column(d, ["x", "none"], qs)
+    order = np.sort(kept)
+    assert got["none"] == [None] * 5
+    assert got["x"][0] == order[0] and got["x"][4] == order[-1] and got["x"][2] == np.quantile(kept, 0.5)

@@ -70,12 +70,18 @@ def test_latest_per_key_and_calendar(spark):
     assert "CartesianProduct" not in cal._jdf.queryExecution().executedPlan().toString()
 
 
-def test_broadcast_only_when_small(spark):
-    small = spark.range(10).withColumnRenamed("id", "k")
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    assert J.is_small(small, 100) and not J.is_small(big, 100)
-    plan = J.left_enrich(big, small.withColumn("v", F.lit(1)), ["k"], broadcast=True, max_broadcast_rows=100)
-    assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+def test_left_enrich_leaves_the_choice_to_the_planner(spark):
+    small = spark.range(10).withColumnRenamed("id", "k").withColumn("v", F.lit(1))
+    out = J.left_enrich(spark.range(1000).withColumnRenamed("id", "k"), small, ["k"], fill=0)
+    assert out.where("v = 1").count() == 10 and out.where("v = 0").count() == 990
+
+
+def test_match_names_long_and_short(spark):
+    long = "a very long county name " * 20
+    dim = spark.createDataFrame([(1, long + "north"), (2, "xq"), (3, "SAINT PAUL")], "k int, n string")
+    left = spark.createDataFrame([(long + "nor",), ("q",), ("paul",), ("",), (None,)], "name string")
+    got = {r["name"]: (r["match_key"], r["match_key_tier"]) for r in J.match_names(left, "name", dim, "n", "k").collect()}
+    assert got == {long + "nor": (1, 3), "q": (2, 3), "paul": (3, 3), "": (None, None), None: (None, None)}
 
 
 def _brute(X, ids, k):
@@ -146,15 +152,56 @@ def test_knn_blocked_many_blocks(spark):
     assert got == _brute(X, ids, 3)
 
 
-def test_nearest_site_band_method_matches_literal(spark):
+def test_nearest_site_matches_brute_force(spark):
     from panelforge.operators import grid as Z
     rng = np.random.default_rng(11)
-    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(
-        zip(rng.uniform(40, 50, 200), rng.uniform(-100, -90, 200)))], "k int, lat double, lon double")
-    sites = spark.createDataFrame([(f"s{i}", float(a), float(b)) for i, (a, b) in enumerate(
-        zip(rng.uniform(38, 52, 30), rng.uniform(-101, -89, 30)))], "name string, slat double, slon double")
-    lit = {r["k"]: (round(r["dist_km"], 9), r["nearest_site"]) for r in
-           Z.nearest(pts, "lat", "lon", sites, "slat", "slon", "name").collect()}
-    band = {r["k"]: (round(r["dist_km"], 9), r["nearest_site"]) for r in
-            Z.nearest(pts, "lat", "lon", sites, "slat", "slon", "name", max_sites=5, key="k", band_deg=0.5).collect()}
-    assert band == lit
+    P = list(zip(rng.uniform(40, 50, 60), rng.uniform(-100, -90, 60)))
+    S = list(zip(rng.uniform(38, 52, 30), rng.uniform(-101, -89, 30)))
+    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(P)], "k int, lat double, lon double")
+    sites = spark.createDataFrame([(f"s{i:02d}", float(a), float(b)) for i, (a, b) in enumerate(S)],
+                                  "name string, slat double, slon double")
+
+    def km(p, q):
+        (a, b), (c, d) = np.radians(p), np.radians(q)
+        h = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
+        return 2 * Z.EARTH_KM * np.arcsin(np.sqrt(h))
+    want = {i: min((km(p, q), f"s{j:02d}") for j, q in enumerate(S)) for i, p in enumerate(P)}
+    for w in (0.5, 1.0):
+        got = {r["k"]: (r["dist_km"], r["nearest_site"]) for r in
+               Z.nearest(pts, "k", "lat", "lon", sites, "slat", "slon", "name", w=w).collect()}
+        assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+        assert all(abs(got[k][0] - want[k][0]) < 1e-6 for k in want)
+
+
+def test_nearest_site_many_sites(spark):
+    from panelforge.operators import grid as Z
+    sites = spark.range(60_000).select(F.concat(F.lit("s"), "id").alias("name"), (F.col("id") % 180 - 90).cast("double").alias("slat"),
+                                       (F.col("id") % 359 - 179).cast("double").alias("slon"))
+    pts = spark.createDataFrame([(1, 10.2, 20.1)], "k int, lat double, lon double")
+    got = Z.nearest(pts, "k", "lat", "lon", sites, "slat", "slon", "name").first()
+    assert got["dist_km"] < 100
+
+
+@pytest.mark.parametrize("partitions", [4, 8, 200])
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_global_row_index_is_exact(spark, partitions, reuse):
+    from panelforge.operators import windows as W
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x), f"pad{i}") for i, x in enumerate(rng.integers(0, 4000, 9000))]
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        d = spark.createDataFrame(rows, "k int, price double, pad string").repartition(7)
+        got = {r["k"]: r["i"] for r in W.global_row_index(d, ["price", "k"], partitions=partitions, out="i").collect()}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    want = {k: i for i, (_, k) in enumerate(sorted((p, k) for k, p, _ in rows), 1)}
+    assert got == want
+
+
+def test_slugs_never_clash():
+    from panelforge.functions import scalar as S
+    name = "SALES, MEASURED IN $ / OPERATION OF ALL KINDS AND SIZES, WITH "
+    out = S.slugs([name + "ONE", name + "TWO", "A-B", "A B"])
+    assert len(set(out.values())) == 4 and max(map(len, out.values())) <= 50
+    assert S.slug("Corn, Grain - Acres/Op") == "corn_grain___acres_op"
