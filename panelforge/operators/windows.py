@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.session import fixed_ranges
+from panelforge.session import cut_lineage, fixed_ranges
 from panelforge.spec import PanelSpec
 
 UNB_P, UNB_F = Window.unboundedPreceding, Window.unboundedFollowing
@@ -229,7 +229,9 @@ def impute_cascade(df: DataFrame, cols: Sequence[str], spec: PanelSpec,
                 s = s.join(s.groupBy(*by).agg(*aggs), on=by, how="left")
                 s = s.withColumns({f"__s{i}_{c}": F.coalesce(prev[c], F.col(f"__m{i}_{c}")) for c in cols})
             else:
-                # overall median: exact and memory-bounded, applied as literals
+                # overall median: exact and memory-bounded, applied as literals; the
+                # scanned panel is written once, as the quantile passes read it again
+                s = cut_lineage(s)
                 from panelforge.operators.aggregates import quantiles_by_column
                 names = [f"__s{i - 1}_{c}" for c in cols]
                 med = quantiles_by_column(s.select(*names), names, [0.5], "approx" if approx else "exact")
