@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.functions.scalar import seeded_order
 from panelforge.spec import PanelSpec
 
 
@@ -142,14 +143,19 @@ def split_label(year: str, first_test_year: int) -> Column:
 
 
 def kfold(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    """Seeded shuffled folds from a hash of the key (partition-independent)."""
-    return df.withColumn(out, F.pmod(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)), F.lit(k)).cast("int"))
+    """Seeded shuffled folds whose sizes differ by one row at most: the
+    row's place in a seeded order of the key, modulo ``k``."""
+    from panelforge.operators.windows import global_row_index
+
+    d = df.withColumn("__h", seeded_order(keys, seed))
+    d = global_row_index(d, ["__h", *keys], out="__i")
+    return d.withColumn(out, F.pmod(F.col("__i") - 1, F.lit(k)).cast("int")).drop("__h", "__i")
 
 
 def random_split(df: DataFrame, keys: Sequence[str], test_share: float = 0.2, seed: int = 42,
                  out: str = "split") -> DataFrame:
     """Hash hold-out of a fixed share."""
-    u = F.pmod(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)), F.lit(10_000)) / 10_000.0
+    u = F.conv(F.substring(seeded_order(keys, seed), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     return df.withColumn(out, F.when(u < test_share, F.lit("test")).otherwise(F.lit("train")))
 
 

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.functions.scalar import seeded_order
+
 
 def _cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -45,8 +47,7 @@ def sample_n(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> Data
     """Fixed-size sample without replacement. The row order is a seeded
     hash of the key, so the sample is reproducible and independent of the
     partitioning (unlike ``sample`` + ``limit``)."""
-    h = F.xxhash64(*_cols(keys), F.lit(seed))
-    return df.withColumn("__h", h).orderBy("__h", *_cols(keys)).limit(n).drop("__h")
+    return df.withColumn("__h", seeded_order(keys, seed)).orderBy("__h", *_cols(keys)).limit(n).drop("__h")
 
 
 def pick_row(df: DataFrame, keys: Sequence[str], position: int, partitions: int | None = None) -> DataFrame:

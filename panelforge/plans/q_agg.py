@@ -412,7 +412,8 @@ def o_limit(spark, sf_dir):
     return O.limit_samples(o, ["o_orderkey"], 100)
 
 
-@query("o07_seeded_sample", ops=("O7", "Q12"))
+@query("o07_seeded_sample", ops=("O7",), sql="""
+SELECT o_orderkey, o_totalprice, o_orderdate FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 500""")
 def o_sample(spark, sf_dir):
     o = P.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
     return O.sample_n(o, ["o_orderkey"], 500, seed=42)

@@ -203,12 +203,16 @@ def m_balance(spark, sf_dir):
     return M.balance(y, "quartile", "split").withColumn("share", R("share", 6))
 
 
-@query("m10_m11_hash_folds_and_holdout", ops=("M10", "M11"))
+@query("m10_m11_hash_folds_and_holdout", ops=("M10", "M11"), sql=Q.with_(Q.PANEL) + """
+, h AS (SELECT entity, yr, mo, md5('42|' || entity || '|' || yr || '|' || mo) AS h FROM panel)
+SELECT entity, yr, mo, CAST((row_number() OVER (ORDER BY h, entity, yr, mo) - 1) % 5 AS BIGINT) AS fold,
+       CASE WHEN CAST('0x' || substr(h, 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.2 THEN 'test' ELSE 'train' END AS split
+FROM h""")
 def m_folds(spark, sf_dir):
     p = P.base_panel(spark, sf_dir)
     d = M.kfold(p, ["entity", "yr", "mo"], k=5, seed=42)
     d = M.random_split(d, ["entity", "yr", "mo"], 0.2, seed=42)
-    return d.groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"))
+    return d.select("entity", "yr", "mo", "fold", "split")
 
 
 SEQ_SQL = """g AS (SELECT entity, yr, count(*) AS n_steps FROM panel WHERE mo BETWEEN 2 AND 8 GROUP BY 1, 2),

@@ -225,7 +225,27 @@ def w_components_for(spark, sf_dir):
     return W.components_for(small, "idx", "ratio")
 
 
-@query("w17_normal_qq_table", ops=("W17",))
+def _poly_sql(coefficients, x):
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+_TAIL = f"({_poly_sql(W._C, 'q')} / ({_poly_sql(W._D, 'q')} * q + 1))"
+_MIDDLE = f"({_poly_sql(W._A, 'r')} * q / ({_poly_sql(W._B, 'r')} * r + 1))"
+
+
+@query("w17_normal_qq_table", ops=("W17",), sql=f"""
+WITH s AS (SELECT o_totalprice AS sample, row_number() OVER (ORDER BY o_totalprice) AS i, count(*) OVER () AS n FROM orders),
+u AS (SELECT i, sample, CASE WHEN i = 1 THEN 1 - pow(0.5::DOUBLE, 1.0::DOUBLE / n) WHEN i = n THEN pow(0.5::DOUBLE, 1.0::DOUBLE / n)
+                             ELSE (i - 0.3175::DOUBLE) / (n + 0.365::DOUBLE) END AS p FROM s),
+q AS (SELECT *, CAST(CASE WHEN p < 0.02425::DOUBLE THEN sqrt(-2 * ln(p)) WHEN p > 0.97575::DOUBLE THEN sqrt(-2 * ln(1 - p))
+                          ELSE p - 0.5::DOUBLE END AS DOUBLE) AS q FROM u),
+r AS (SELECT *, q * q AS r FROM q)
+SELECT CAST(i AS BIGINT) AS i, sample,
+       round(CASE WHEN p < 0.02425::DOUBLE THEN {_TAIL} WHEN p > 0.97575::DOUBLE THEN -{_TAIL} ELSE {_MIDDLE} END, 6) AS theoretical
+FROM r""")
 def w_qq(spark, sf_dir):
     d = W.qq_table(P.table(spark, sf_dir, "orders"), "o_totalprice")
     return d.select("i", "sample", R("theoretical", 6).alias("theoretical"))

@@ -5,6 +5,8 @@ model / table sinks (S12-S16). Fits use the panel with a temporal split
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from panelforge.operators import mlprep as MP
 from panelforge.operators import models as M
 from panelforge.operators import windows as W
 from panelforge.plans import panel as P
+from panelforge.plans import sqlparts as Q
 from panelforge.plans.q_misc import scratch_path
 from panelforge.plans.registry import query
 from panelforge.session import materialize
@@ -85,12 +88,12 @@ EMB_SQL = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddin
 q AS (SELECT * FROM e WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
 d AS (SELECT q.vec_id AS query, e.vec_id AS neighbor, list_distance(q.v, e.v) AS dist FROM q, e WHERE q.vec_id <> e.vec_id)
 SELECT query, CAST(rank AS BIGINT) AS rank, neighbor, round(dist, 6) AS dist
-FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, neighbor) AS rank FROM d) WHERE rank <= 5""")
+FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, neighbor) AS rank FROM d) WHERE rank <= 50""")
 def m_knn(spark, sf_dir):
     e = P.table(spark, sf_dir, "embeddings")
     firsts = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
     q = e.join(firsts.select("vec_id"), "vec_id", "left_semi")
-    nn = M.knn(e, "vec_id", "embedding", q, k=5)
+    nn = M.knn(e, "vec_id", "embedding", q, k=50)
     return nn.withColumn("dist", R("dist", 6))
 
 
@@ -113,17 +116,24 @@ def m_knn_all(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- fits
-@query("m19_polynomial_expansion", ops=("M19",))
+_MONOMIALS = ", ".join(" * ".join(m) for k in (1, 2, 3) for m in itertools.combinations_with_replacement(
+    ["CAST(n AS DOUBLE)", "CAST(mo AS DOUBLE)", "CAST(yr AS DOUBLE)"], k))
+
+
+@query("m19_polynomial_expansion", ops=("M19",), sql=Q.with_(Q.PANEL) + f"""
+, t AS (SELECT entity, yr, mo, list_sort([{_MONOMIALS}]) AS terms FROM panel)
+SELECT entity, yr, mo, CAST(k AS BIGINT) AS k, terms[k + 1] AS term FROM t, range(19) AS r(k)""")
 def m_poly(spark, sf_dir):
-    d = M.polynomial(P.base_panel(spark, sf_dir), ["v", "n", "mo"], degree=3)
-    return d.select("entity", "yr", "mo", F.size(vector_to_array("poly")).alias("n_terms"))
+    d = M.polynomial(P.base_panel(spark, sf_dir), ["n", "mo", "yr"], degree=3)
+    terms = F.array_sort(vector_to_array("poly"))
+    return d.select("entity", "yr", "mo", F.posexplode(terms).alias("k", "term"))
 
 
 @query("m21_ridge_polynomial_degree", ops=("M21", "M19", "V1", "V4"))
 def m_ridge(spark, sf_dir):
     train, test = _split(model_panel(spark, sf_dir))
     fit, valid = train.where(F.col("yr") < 1999), train.where(F.col("yr") >= 1999)
-    model, info = M.fit_poly_ridge(fit, valid, ["v", "n", "mo"], LABEL, degrees=(1, 2), regs=(0.01, 1.0))
+    model, info = M.fit_poly_ridge(fit, valid, ["v", "n", "mo"], LABEL, degrees=(1, 2, 3), regs=(0.01, 1.0))
     out = _eval(model.transform(test))
     return out.withColumns({"degree": F.lit(info["degree"]), "reg_param": F.lit(info["regParam"])})
 
@@ -202,7 +212,7 @@ def m_coef(spark, sf_dir):
 def m_perm(spark, sf_dir):
     train, test = _split(model_panel(spark, sf_dir))
     model = M.forest(FEATS, LABEL, trees=20, depth=5).fit(train)
-    rows = M.permutation_importance(model, test, ["v", "n", "mo"], LABEL, ["entity", "yr", "mo"], repeats=2)
+    rows = M.permutation_importance(model, test, FEATS, LABEL, ["entity", "yr", "mo"], repeats=10)
     return spark.createDataFrame([(c, round(m, 6), round(s, 6)) for c, m, s in rows],
                                  "feature string, mean_r2_drop double, std_r2_drop double")
 
