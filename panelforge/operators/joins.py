@@ -28,15 +28,21 @@ class JoinReport:
 
 
 def left_enrich(base: DataFrame, src: DataFrame, keys: Sequence[str],
-                fill: dict | float | None = None) -> DataFrame:
+                fill: dict | float | None = None, flag: str | None = None) -> DataFrame:
     """Left equi join of ``src`` columns onto ``base``.
 
     ``src`` must be unique on ``keys`` (pre-aggregate first).
-    ``fill`` replaces NULLs from non-matches (J6)."""
+    ``fill`` replaces NULLs in the new columns (J6); ``flag`` names a column
+    that says where the joined value was missing and filled."""
+    new = [c for c in src.columns if c not in keys]
     out = base.join(src, on=list(keys), how="left")
     if fill is not None:
-        new_cols = [c for c in src.columns if c not in keys]
-        vals = fill if isinstance(fill, dict) else {c: fill for c in new_cols}
+        if flag:
+            missing = F.lit(False)
+            for c in new:
+                missing = missing | F.col(c).isNull()
+            out = out.withColumn(flag, missing)
+        vals = fill if isinstance(fill, dict) else {c: fill for c in new}
         out = out.fillna(vals)
     return out
 

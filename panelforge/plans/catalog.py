@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from panelforge.plans import q_agg, q_core, q_eval, q_features, q_fill, q_misc, q_models, q_surface  # noqa: F401
+from panelforge.plans import (  # noqa: F401
+    q_agg,
+    q_core,
+    q_eval,
+    q_features,
+    q_fill,
+    q_misc,
+    q_models,
+    q_more,
+    q_surface,
+)
 from panelforge.plans.registry import OPERATORS, ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE", "OPERATORS"]

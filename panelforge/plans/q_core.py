@@ -63,7 +63,7 @@ def p_between(spark, sf_dir):
     return P.base_panel(spark, sf_dir).where(F.col("mo").between(2, 8)).select("entity", "yr", "mo", "n")
 
 
-@query("p07_drop_nonpositive_target", ops=("P7", "J6"), sql=Q.with_(Q.SPARSE) + """
+@query("p07_drop_nonpositive_target", ops=("P7",), sql=Q.with_(Q.SPARSE) + """
 SELECT entity, yr, mo, round(coalesce(item, 0), 4) AS item FROM pitem WHERE coalesce(item, 0) > 0""")
 def p_drop_nonpositive(spark, sf_dir):
     d = P.panel_with_item(spark, sf_dir).fillna({"item": 0.0})  # missing target -> 0, as the reference
@@ -76,7 +76,7 @@ def p_dropna_subset(spark, sf_dir):
     return P.panel_with_item(spark, sf_dir).dropna(subset=["item"]).select("entity", "yr", "mo", "n")
 
 
-@query("p09_dropna_any", ops=("P9", "J2", "J3"), sql=Q.with_(Q.SPARSE, Q.PRICE) + """
+@query("p09_dropna_any", ops=("P9", "J3"), sql=Q.with_(Q.SPARSE, Q.PRICE) + """
 SELECT entity, yr, mo, n FROM pitem LEFT JOIN price USING (yr, mo)
 WHERE item IS NOT NULL AND price IS NOT NULL AND v IS NOT NULL""")
 def p_dropna_any(spark, sf_dir):
@@ -342,7 +342,7 @@ def f_template(spark, sf_dir):
                                              S.thousands("n"), F.lit(" orders")).alias("line"))
 
 
-@query("f21_f22_row_mean_guarded_ratio", ops=("F21", "F22", "E4", "E6"), sql=Q.with_(Q.SPARSE, Q.PRICE) + """
+@query("f21_f22_row_mean_guarded_ratio", ops=("F21", "F22"), sql=Q.with_(Q.SPARSE, Q.PRICE) + """
 SELECT entity, yr, mo,
   round(CASE WHEN (CASE WHEN v IS NULL THEN 0 ELSE 1 END + CASE WHEN item IS NULL THEN 0 ELSE 1 END + CASE WHEN price IS NULL THEN 0 ELSE 1 END) > 0
    THEN (coalesce(v, 0) + coalesce(item, 0) + coalesce(price, 0)) /
@@ -491,7 +491,7 @@ def j_lookup(spark, sf_dir):
     return J.map_lookup(c, "nk", n, "n_nationkey", "n_name", "nation_name").select("c_custkey", "nation_name")
 
 
-@query("j11_w11_latest_per_key", ops=("J11", "W11", "W18"), sql="""
+@query("j11_w11_latest_per_key", ops=("J11", "W11"), sql="""
 WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate,
                   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)
 SELECT CAST(o_custkey AS BIGINT) AS o_custkey, o_orderkey, round(o_totalprice, 2) AS last_price,

@@ -143,7 +143,7 @@ def v_improvements(spark, sf_dir):
     return d.select("model", "stage", R("r2_change", 6).alias("r2_change"), R("rmse_change").alias("rmse_change"))
 
 
-@query("v13_row_result_table", ops=("V13", "M34"), sql=Q.with_(Q.PANEL, MODELS_SQL) + """
+@query("v13_row_result_table", ops=("V13",), sql=Q.with_(Q.PANEL, MODELS_SQL) + """
 SELECT entity, yr, mo, round(ln(1 + y), 6) AS actual_log, round(ln(1 + m_entity), 6) AS predicted_log,
        round(exp(ln(1 + y)) - 1, 4) AS actual_original, round(exp(ln(1 + m_entity)) - 1, 6) AS predicted_original,
        round(ln(1 + m_entity) - ln(1 + y), 6) AS residual_log, round(abs(m_entity - y), 6) AS abs_error_original FROM mp""")

@@ -44,7 +44,7 @@ ROLES = {
 FEATURES = [f[0] for f in E.FEATURE_DEFS]
 
 
-@query("e04_e19_engineered_features", ops=("E4", "E5", "E6", "E7", "E8", "E9", "E10", "E11", "E12", "E13", "E16",
+@query("e04_e19_engineered_features", ops=("E4", "E5", "E7", "E8", "E9", "E10", "E11", "E12", "E13", "E16",
                                             "E17", "E18", "E19", "F21", "F22"),
        sql=Q.with_(FP_SQL) + """
 SELECT entity, yr, mo,
@@ -219,7 +219,7 @@ SEQ_SQL = """g AS (SELECT entity, yr, count(*) AS n_steps FROM panel WHERE mo BE
 s AS (SELECT entity, yr, row_number() OVER (PARTITION BY entity, yr ORDER BY mo) - 1 AS step, v FROM panel WHERE mo BETWEEN 2 AND 8)"""
 
 
-@query("m17_strict_sequences", ops=("M17", "S16"), sql=Q.with_(Q.PANEL, SEQ_SQL) + """
+@query("m17_strict_sequences", ops=("M17",), sql=Q.with_(Q.PANEL, SEQ_SQL) + """
 SELECT entity, yr, CAST(step AS BIGINT) AS step, round(v, 4) AS v FROM s JOIN g USING (entity, yr) WHERE n_steps = 7""")
 def m_strict(spark, sf_dir):
     seq = M.sequences(P.base_panel(spark, sf_dir), SPEC, ["v"], mode="strict")

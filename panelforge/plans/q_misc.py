@@ -192,7 +192,7 @@ ORDER_SCHEMA = T.StructType([T.StructField("o_orderkey", T.LongType()), T.Struct
                              T.StructField("o_totalprice", T.DoubleType())])
 
 
-@query("s01_s04_s11_csv_roundtrip", ops=("S1", "S2", "S3", "S4", "S6", "S10", "S11"), sql="""
+@query("s01_s04_s11_csv_roundtrip", ops=("S1", "S2", "S3", "S4", "S11"), sql="""
 SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""")
 def s_csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "orders_csv")

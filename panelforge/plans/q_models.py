@@ -217,7 +217,7 @@ def m_perm(spark, sf_dir):
                                  "feature string, mean_r2_drop double, std_r2_drop double")
 
 
-@query("m31_band_selection_by_importance", ops=("M31", "F31", "F27", "E25"))
+@query("m31_band_selection_by_importance", ops=("M31", "F27", "E25"))
 def m_bands(spark, sf_dir):
     p = P.base_panel(spark, sf_dir).where(F.col("mo").between(2, 8))
     seq = MP.sequences(p, P.PANEL, ["v", "n"], mode="strict")
@@ -275,7 +275,7 @@ def m_rff(spark, sf_dir):
     return _eval(model.transform(t))
 
 
-@query("s12_s14_s16_sinks", ops=("S12", "S14", "S16", "J12"))
+@query("s12_s14_s16_sinks", ops=("S12", "S14", "S16"))
 def s_sinks(spark, sf_dir):
     p = P.base_panel(spark, sf_dir)
     SF.write_profile(p, scratch_path(spark, "profile"), P.PANEL)

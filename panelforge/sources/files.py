@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelforge.functions.scalar import null_if_nan
+
 log = logging.getLogger(__name__)
 
 
@@ -42,7 +44,13 @@ def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructT
             r = r.option("inferSchema", True)
     for k, v in options.items():
         r = r.option(k, v)
-    return r.load(paths if len(paths) > 1 else paths[0])
+    return clean_numbers(r.load(paths if len(paths) > 1 else paths[0]))
+
+
+def clean_numbers(df: DataFrame) -> DataFrame:
+    """NaN and infinity to NULL in every float column: the rule of each read."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: null_if_nan(F.col(f"`{c}`")) for c in floats}) if floats else df
 
 
 def read_first(spark: SparkSession, paths: Sequence[str], requires: Sequence[str] = (), **kw) -> DataFrame:
@@ -82,13 +90,14 @@ def require(df: DataFrame, cols: Sequence[str] = (), nonempty: bool = True) -> D
 
 
 def read_json_records(spark: SparkSession, path: str, field: str = "data",
-                      record_schema: T.StructType | None = None) -> DataFrame:
-    """A JSON document holding a record array under ``field`` -> rows."""
+                      record_schema: T.StructType | None = None, lines: bool = False) -> DataFrame:
+    """JSON documents holding a record array under ``field`` -> rows;
+    one document per file, or with ``lines`` one per line (splittable)."""
     if record_schema is not None:
         schema = T.StructType([T.StructField(field, T.ArrayType(record_schema))])
-        raw = spark.read.schema(schema).option("multiLine", True).json(path)
+        raw = spark.read.schema(schema).option("multiLine", not lines).json(path)
     else:
-        raw = spark.read.option("multiLine", True).json(path)
+        raw = spark.read.option("multiLine", not lines).json(path)
     return raw.select(F.explode(F.col(field)).alias("r")).select("r.*")
 
 
