@@ -14,11 +14,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.frames import pick, settle, shuffle_width
+from panelforge.llm.frames import pick, settle, shuffle_width, unit53
 from panelforge.llm.hashing import run_hashes
 
 #: Room for a code point in a dictionary key of (parent phrase, code point).
@@ -109,23 +108,22 @@ def fingerprints(text: str, tail: str, size: int) -> tuple[np.ndarray, np.ndarra
     return sign(codes, whole), sign(other, ends), edited
 
 
-FLOW = ("kind string, part int, doc_id {id}, n_chars long, edited_sha256 string, fingerprint string, "
-        "edited_fingerprint string, near_edited double, near_next double, text string")
-FIELDS = [x.split()[0] for x in FLOW.split(", ")]
+RESULT = ("doc_id {id}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+          "near_edited double, near_next double")
+FIELDS = [x.split()[0] for x in RESULT.split(", ")]
 
 
 class _Out:
-    """Collects rows of FLOW and hands them out as record batches."""
+    """Collects result rows and hands them out as record batches."""
 
     def __init__(self, kind: pa.DataType):
         self.rows: dict[str, list] = {f: [] for f in FIELDS}
-        self.schema = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("doc_id", kind), ("n_chars", pa.int64()),
-                                 *[(f, pa.string()) for f in FIELDS[4:7]], ("near_edited", pa.float64()),
-                                 ("near_next", pa.float64()), ("text", pa.string())])
+        self.schema = pa.schema([("doc_id", kind), ("n_chars", pa.int64()), *[(f, pa.string()) for f in FIELDS[2:5]],
+                                 ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def add(self, **row) -> None:
         for f in FIELDS:
-            self.rows[f].append(row.get(f))
+            self.rows[f].append(row[f])
 
     def batch(self) -> pa.RecordBatch:
         out = pa.RecordBatch.from_pydict(self.rows, schema=self.schema)
@@ -156,61 +154,59 @@ def compare_fingerprints(docs: DataFrame, size: int = 128, id_col: str = "doc_id
     one and 0 to the rest. Null ids stand first; rows that share an id stand in the order of a
     hash of their texts. A single document is its own next. Empty tables give no rows.
 
-    Work: one range shuffle of the texts by id. A task walks through its sorted range and keeps
-    two documents. The few texts at the ranges' borders, one pair for each task, are
-    written with the narrow results and matched afterwards.
+    Work: a sample of ids cuts them into ranges, and the first text of each range is copied to the end of
+    the range before. Then one shuffle of the texts by range is all: a task walks through its sorted
+    ranges, keeps two documents, and meets every document's next one.
     """
+    spark = docs.sparkSession
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    order = ["doc_id", F.xxhash64("text")]
     kind = rows.schema["doc_id"].dataType.simpleString()
+    tasks = shuffle_width(spark)
+    rows = rows.withColumn("range", _range_of(rows, 4 * tasks))
+    firsts = settle(rows.groupBy("range").agg(F.min(F.struct("doc_id"))["doc_id"].alias("first_id")))
+    # one row per range: the range before it, and the last one for the first
+    around = Window.orderBy("range")
+    ends = firsts.select("first_id", F.col("range").alias("own"), F.coalesce(
+        F.lag("range").over(around), F.max("range").over(Window.partitionBy(F.lit(0)))).alias("before"))
+    heads = (rows.join(F.broadcast(ends), (F.col("range") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+             .groupBy("before").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
+    both = (rows.select("range", F.lit(0).alias("head"), "doc_id", F.xxhash64("text").alias("hash"), "text")
+            .unionByName(heads.select(F.col("before").alias("range"), F.lit(1).alias("head"),
+                                      F.lit(None).cast(kind).alias("doc_id"), F.lit(0).cast("long").alias("hash"), "text")))
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        out = None
         held = None  # the document that waits for the next one
         ready = None  # its predecessor, done but for near_next
         for batch in batches:
-            out = out or _Out(batch.schema.field("doc_id").type)
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if held is None:
-                    out.add(kind="head", part=part, text=text, fingerprint=written(fingerprint(text, size)))
-                else:
+            out = _Out(batch.schema.field("doc_id").type)
+            for head, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("head", "doc_id", "text")],
+                                          strict=True):
+                if held is not None:
                     own, other, edited = fingerprints(held[1], _tail(held[1], text), size)
                     if ready:
                         out.add(**ready[1], near_next=likeness(ready[0], own, size))
                     ready = own, {
-                        "kind": "row", "part": part, "doc_id": held[0], "n_chars": len(held[1]),
-                        "edited_sha256": _sha(edited), "fingerprint": written(own),
-                        "edited_fingerprint": written(other), "near_edited": likeness(own, other, size)}
+                        "doc_id": held[0], "n_chars": len(held[1]), "edited_sha256": _sha(edited),
+                        "fingerprint": written(own), "edited_fingerprint": written(other),
+                        "near_edited": likeness(own, other, size)}
                 held = doc_id, text
-            yield out.batch()
-        if held:
-            own = fingerprint(held[1], size)
-            if ready:
-                out.add(**ready[1], near_next=likeness(ready[0], own, size))
-            out.add(kind="last", part=part, doc_id=held[0], text=held[1])
-            yield out.batch()
-
-    flow = settle(rows.repartitionByRange(shuffle_width(docs.sparkSession), *order)
-                  .sortWithinPartitions(*order).mapInArrow(walk, FLOW.format(id=kind)))
-    parts = flow.where("kind = 'last'").select("part")
-    by_part = Window.orderBy("part")
-    parts = parts.select("part", F.coalesce(F.lead("part").over(by_part),
-                                            F.min("part").over(Window.partitionBy(F.lit(0)))).alias("after"))
-    heads = flow.where("kind = 'head'").select(F.col("part").alias("after"), F.col("text").alias("next_text"))
-    borders = flow.where("kind = 'last'").select("part", "doc_id", "text").join(parts, "part").join(heads, "after")
-
-    def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = _Out(batch.schema.field("doc_id").type)
-            for row in batch.to_pylist():
-                text = row["text"]
-                own, other, edited = fingerprints(text, _tail(text, row["next_text"]), size)
-                out.add(kind="row", part=row["part"], doc_id=row["doc_id"], n_chars=len(text),
-                        edited_sha256=_sha(edited), fingerprint=written(own), edited_fingerprint=written(other),
-                        near_edited=likeness(own, other, size),
-                        near_next=likeness(own, fingerprint(row["next_text"], size), size))
+                if head:
+                    out.add(**ready[1], near_next=likeness(ready[0], fingerprint(text, size), size))
+                    held = ready = None
             yield out.batch()
 
-    ends = borders.select("part", "doc_id", "text", "next_text").mapInArrow(finish, FLOW.format(id=kind))
-    return flow.where("kind = 'row'").unionByName(ends).select(*FIELDS[2:-1])
+    return (both.repartitionByRange(tasks, "range").sortWithinPartitions("range", "head", "doc_id", "hash")
+            .select("head", "doc_id", "text").mapInArrow(walk, RESULT.format(id=kind)))
+
+
+def _range_of(rows: DataFrame, n: int) -> Column:
+    """The number of the id's range, from 0 (with null) to below ``n``, by about 50 sampled ids a range."""
+    rate = min(1.0, 50 * n / max(1, rows.count()))
+    some = rows.select("doc_id").where(F.col("doc_id").isNotNull() & (unit53(F.lit(1), F.col("doc_id")) < int(rate * 2**53)))
+    ids = sorted({r["doc_id"] for r in some.collect()})
+    cuts = sorted({ids[k * len(ids) // n] for k in range(1, n)}) if ids else []
+    if not cuts:
+        return F.lit(0)
+    kind = rows.schema["doc_id"].dataType
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast(kind) for c in cuts]), lambda c: c <= F.col("doc_id"))),
+                      F.lit(0))
