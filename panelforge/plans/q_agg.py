@@ -31,10 +31,9 @@ PARSED_SQL = """parsed AS (SELECT CAST(try_cast(county_code AS DOUBLE) AS BIGINT
 
 
 @query("a01_sum_by_keys", ops=("A1",), sql=Q.with_(Q.SURVEY, PARSED_SQL) + """
-SELECT entity, yr, item, round(coalesce(sum(v), 0), 2) AS total FROM parsed
-WHERE item IN ('1-URGENT', '5-LOW') GROUP BY 1, 2, 3""")
+SELECT entity, yr, item, round(coalesce(sum(v), 0), 2) AS total FROM parsed GROUP BY 1, 2, 3""")
 def a_sum_by(spark, sf_dir):
-    d = _parsed_survey(spark, sf_dir).where(F.col("item").isin("1-URGENT", "5-LOW"))
+    d = _parsed_survey(spark, sf_dir)
     return A.sum_by(d, ["entity", "yr", "item"], ["v"], ["total"]).withColumn("total", R("total", 2))
 
 

@@ -382,13 +382,16 @@ def f_round(spark, sf_dir):
 SELECT entity, yr,
   round(max(CASE WHEN item = '1-URGENT' THEN v END), 2) AS urgent_usd,
   round(max(CASE WHEN item = '2-HIGH' THEN v END), 2) AS high_usd,
-  round(max(CASE WHEN item = '3-MEDIUM' THEN v END), 2) AS medium_usd
+  round(max(CASE WHEN item = '3-MEDIUM' THEN v END), 2) AS medium_usd,
+  round(max(CASE WHEN item = '4-NOT SPECIFIED' THEN v END), 2) AS unspecified_usd,
+  round(max(CASE WHEN item = '5-LOW' THEN v END), 2) AS low_usd
 FROM (SELECT CAST(try_cast(county_code AS DOUBLE) AS BIGINT) AS entity, yr, item,
              try_cast(replace(value_text, ',', '') AS DOUBLE) AS v FROM survey)
 GROUP BY entity, yr""")
 def f_item_columns(spark, sf_dir):
     from panelforge.operators import aggregates as A
-    mapping = (("1-URGENT", "urgent_usd"), ("2-HIGH", "high_usd"), ("3-MEDIUM", "medium_usd"))
+    mapping = (("1-URGENT", "urgent_usd"), ("2-HIGH", "high_usd"), ("3-MEDIUM", "medium_usd"),
+               ("4-NOT SPECIFIED", "unspecified_usd"), ("5-LOW", "low_usd"))
     s = P.survey_text(spark, sf_dir).select(F.col("county_code").try_cast("double").cast("bigint").alias("entity"), "yr",
                                             "item", S.parse_number("value_text").alias("v"))
     s = s.withColumn("col", S.item_column("item", mapping)).where(F.col("col").isNotNull())
@@ -434,24 +437,22 @@ def j_inner(spark, sf_dir):
 , parsed AS (SELECT CAST(try_cast(county_code AS DOUBLE) AS BIGINT) AS entity, yr, item,
                     try_cast(replace(value_text, ',', '') AS DOUBLE) AS v FROM survey),
 a AS (SELECT entity, yr, sum(v) AS urgent FROM parsed WHERE item = '1-URGENT' AND v IS NOT NULL GROUP BY 1, 2),
-b AS (SELECT entity, yr, sum(v) AS high FROM parsed WHERE item = '2-HIGH' AND v IS NOT NULL AND yr <> 1997 GROUP BY 1, 2),
-c AS (SELECT entity, yr, sum(v) AS low FROM parsed WHERE item = '5-LOW' AND v IS NOT NULL GROUP BY 1, 2)
-SELECT coalesce(a.entity, b.entity, c.entity) AS entity, coalesce(a.yr, b.yr, c.yr) AS yr,
-       round(urgent, 2) AS urgent, round(high, 2) AS high, round(low, 2) AS low
-FROM a FULL OUTER JOIN b ON a.entity = b.entity AND a.yr = b.yr
-       FULL OUTER JOIN c ON coalesce(a.entity, b.entity) = c.entity AND coalesce(a.yr, b.yr) = c.yr""")
+b AS (SELECT entity, yr, sum(v) AS high FROM parsed WHERE item = '2-HIGH' AND v IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT entity, yr, sum(v) AS medium FROM parsed WHERE item = '3-MEDIUM' AND v IS NOT NULL GROUP BY 1, 2),
+d AS (SELECT entity, yr, sum(v) AS unspecified FROM parsed WHERE item = '4-NOT SPECIFIED' AND v IS NOT NULL GROUP BY 1, 2),
+e AS (SELECT entity, yr, sum(v) AS low FROM parsed WHERE item = '5-LOW' AND v IS NOT NULL GROUP BY 1, 2)
+SELECT entity, yr, round(urgent, 2) AS urgent, round(high, 2) AS high, round(medium, 2) AS medium,
+       round(unspecified, 2) AS unspecified, round(low, 2) AS low
+FROM a FULL OUTER JOIN b USING (entity, yr) FULL OUTER JOIN c USING (entity, yr)
+       FULL OUTER JOIN d USING (entity, yr) FULL OUTER JOIN e USING (entity, yr)""")
 def j_outer_chain(spark, sf_dir):
     s = P.survey_text(spark, sf_dir).select(F.col("county_code").try_cast("double").cast("bigint").alias("entity"), "yr",
                                             "item", S.parse_number("value_text").alias("v")).dropna(subset=["v"])
 
-    def item(name, out, extra=None):
-        d = s.where(F.col("item") == name)
-        if extra is not None:
-            d = d.where(extra)
-        return d.groupBy("entity", "yr").agg(F.sum("v").alias(out))
-    d = J.outer_chain([item("1-URGENT", "urgent"), item("2-HIGH", "high", F.col("yr") != 1997), item("5-LOW", "low")],
-                      ["entity", "yr"])
-    return d.select("entity", "yr", R("urgent", 2).alias("urgent"), R("high", 2).alias("high"), R("low", 2).alias("low"))
+    names = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+    items = [s.where(F.col("item") == k).groupBy("entity", "yr").agg(F.sum("v").alias(v)) for k, v in names.items()]
+    d = J.outer_chain(items, ["entity", "yr"])
+    return d.select("entity", "yr", *[R(c, 2).alias(c) for c in names.values()])
 
 
 @query("j08_fuzzy_name_match", ops=("J8", "J14", "F5", "F6", "F7"), sql=Q.with_(NAMES_SQL) + """
@@ -543,12 +544,12 @@ def j_calendar(spark, sf_dir):
 
 
 @query("u01_append_by_name", ops=("U1",), sql=Q.with_(Q.PANEL) + """
-SELECT entity, yr, mo, n, NULL::VARCHAR AS note FROM panel WHERE yr < 1997
-UNION ALL SELECT entity, yr, mo, NULL::BIGINT, 'late' FROM panel WHERE yr >= 2000""")
+SELECT entity, yr, mo, n, NULL::VARCHAR AS note FROM panel WHERE yr < 1998
+UNION ALL SELECT entity, yr, mo, NULL::BIGINT, 'late' FROM panel WHERE yr >= 1998""")
 def u_append(spark, sf_dir):
     p = P.base_panel(spark, sf_dir)
-    a = p.where(F.col("yr") < 1997).select("entity", "yr", "mo", "n")
-    b = p.where(F.col("yr") >= 2000).select("entity", "yr", "mo", F.lit("late").alias("note"))
+    a = p.where(F.col("yr") < 1998).select("entity", "yr", "mo", "n")
+    b = p.where(F.col("yr") >= 1998).select("entity", "yr", "mo", F.lit("late").alias("note"))
     return J.append(a, b).select("entity", "yr", "mo", "n", "note")
 
 
