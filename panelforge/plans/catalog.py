@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelforge.plans import (  # noqa: F401
     q_agg,
+    q_chain,
     q_core,
     q_eval,
     q_features,
