@@ -80,34 +80,38 @@ def intervals(df: DataFrame, y: str, pred: str, method: str = "quantile", fit_on
 
 def _simplex_qp(A: np.ndarray, b: np.ndarray, lam: float) -> np.ndarray | None:
     """Exact minimiser of ``w'(A + lam I)w - 2 b'w`` over the simplex
-    (``w >= 0, sum w = 1``) by enumerating supports: on a support S the
-    equality-constrained problem is one KKT linear system; the best
-    non-negative solution over all supports is the optimum of this convex
-    problem. 2^m small solves, m <= 10."""
-    import itertools
-
+    (``w >= 0, sum w = 1``) by a primal active-set method: solve on the
+    current support; if a weight would turn negative, go as far as the first
+    one allows and drop it; else add the weight whose slope promises most,
+    until none does. Each step is one small linear system, for any number of
+    models."""
     m = len(b)
     H = 2 * (A + lam * np.eye(m))
-    best, best_f = None, np.inf
-    for size in range(1, m + 1):
-        for S in itertools.combinations(range(m), size):
-            idx = list(S)
-            K = np.zeros((size + 1, size + 1))
-            K[:size, :size] = H[np.ix_(idx, idx)]
-            K[:size, size] = 1.0
-            K[size, :size] = 1.0
-            rhs = np.concatenate([2 * b[idx], [1.0]])
-            sol = np.linalg.lstsq(K, rhs, rcond=None)[0]
-            ws = sol[:size]
-            if ws.min() < -1e-12:
-                continue
-            w = np.zeros(m)
-            w[idx] = np.clip(ws, 0, None)
-            w /= w.sum()
-            f = w @ (A + lam * np.eye(m)) @ w - 2 * b @ w
-            if f < best_f - 1e-15:
-                best, best_f = w, f
-    return best
+    w, support = np.full(m, 1.0 / m), list(range(m))
+    for _ in range(100 * m):
+        size = len(support)
+        K = np.zeros((size + 1, size + 1))
+        K[:size, :size] = H[np.ix_(support, support)]
+        K[:size, size] = K[size, :size] = 1.0
+        target = np.zeros(m)
+        target[support] = np.linalg.lstsq(K, np.append(2 * b[support], 1.0), rcond=None)[0][:size]
+        if target[support].min() < -1e-12:
+            step = target - w
+            falls = [k for k in support if step[k] < 0]
+            first = min(falls, key=lambda k: -w[k] / step[k])
+            w = np.clip(w + max(0.0, -w[first] / step[first]) * step, 0, None)
+            w[first] = 0.0
+            support.remove(first)
+            continue
+        w = np.clip(target, 0, None)
+        w /= w.sum()
+        slope = H @ w - 2 * b
+        level = slope[support].min()
+        better = [k for k in range(m) if k not in support and slope[k] < level - 1e-9 * (1 + abs(level))]
+        if not better:
+            return w
+        support.append(min(better, key=lambda k: slope[k]))
+    return w
 
 
 def fit_stack(df: DataFrame, preds: Sequence[str], y: str, lam: float = 0.1) -> dict[str, float]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -14,7 +13,7 @@ from panelforge.operators import quality as QL
 from panelforge.plans import panel as P
 from panelforge.plans import sqlparts as Q
 from panelforge.plans.registry import query
-from panelforge.session import checkpoint_dir
+from panelforge.session import scratch_path
 from panelforge.sources import files as SF
 from panelforge.sources import text as TX
 
@@ -23,13 +22,6 @@ def R(c, n=4):
     return F.round(c, n)
 
 
-def scratch_path(spark, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (or the warehouse
-    folder when none is configured) -- never a machine-local temp dir."""
-    base = checkpoint_dir(spark) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/panelforge_io/{name}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------- Z: gridded data as pixel tables
 def _zones(spark, sf_dir):
     """pixel -> zone: each user's zone is the type of its first event."""

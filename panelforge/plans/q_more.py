@@ -17,8 +17,8 @@ from panelforge.operators import quality as QL
 from panelforge.operators import windows as W
 from panelforge.plans import panel as P
 from panelforge.plans import sqlparts as Q
-from panelforge.plans.q_misc import scratch_path
 from panelforge.plans.registry import query
+from panelforge.session import scratch_path
 from panelforge.sources import files as SF
 
 

@@ -16,8 +16,8 @@ from panelforge.operators import models as M
 from panelforge.operators.estimators import HybridAdjuster, PanelScaler
 from panelforge.plans import panel as P
 from panelforge.plans import sqlparts as Q
-from panelforge.plans.q_misc import scratch_path
 from panelforge.plans.registry import query
+from panelforge.session import scratch_path
 
 
 def R(c, n=4):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,22 +61,33 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return spark.sparkContext.getCheckpointDir() or d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder: the rows are
-    computed once and survive executor loss. Spark's cleaner removes the files
-    with the frame (``spark.cleaner.referenceTracking.cleanCheckpoints``).
-
-    A local session without a configured folder gets a temporary one; on a
-    cluster the folder is required."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share. A local session
+    without one gets a temporary folder; on a cluster it is required."""
     sc = spark.sparkContext
+    folder = checkpoint_dir(spark)
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="panelforge-checkpoint-")
     if not sc.getCheckpointDir():
-        folder = checkpoint_dir(spark)
-        if not folder:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="panelforge-checkpoint-")
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, removed when the session ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/panelforge_io/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder: the rows are
+    computed once and survive executor loss. Spark's cleaner removes the files
+    with the frame (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -20,21 +20,24 @@ from pyspark.sql.streaming import StreamingQuery
 
 def composite_stream(spark: SparkSession, source: str, schema: T.StructType, pixel: str, ts: str,
                      bands: Sequence[str], sink: str, checkpoint: str, grain: str = "day",
-                     watermark: str | None = None, available_now: bool = True,
+                     watermark: str = "62 days", available_now: bool = True,
                      glob: str | None = None) -> StreamingQuery:
     """Start the incremental composite. Each micro-batch writes the updated
     (pixel, period) rows tagged with the batch id; ``read_composite`` keeps
     the newest version of every row, so replays after a failure are
-    idempotent."""
+    idempotent. State of hours and days older than the newest event by
+    ``watermark`` is given up (calendar months and weeks have no fixed length
+    to expire by)."""
     r = spark.readStream.schema(schema)
     if glob:
         r = r.option("pathGlobFilter", glob)
     src = r.parquet(source)
-    if watermark:
-        src = src.withWatermark(ts, watermark)
-    agg = src.groupBy(pixel, F.date_trunc(grain, F.col(ts)).alias("period")).agg(
+    src = src.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    period = F.window(ts, f"1 {grain}") if grain in ("hour", "day") else F.date_trunc(grain, F.col(ts))
+    agg = src.groupBy(pixel, period.alias("period")).agg(
         *[F.sum(b).alias(f"{b}__sum") for b in bands], *[F.count(b).alias(f"{b}__n") for b in bands])
-    out = agg.select(pixel, "period", *[(F.col(f"{b}__sum") / F.col(f"{b}__n")).alias(b) for b in bands])
+    start = F.col("period.start" if grain in ("hour", "day") else "period").alias("period")
+    out = agg.select(pixel, start, *[(F.col(f"{b}__sum") / F.col(f"{b}__n")).alias(b) for b in bands])
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("batch_id").parquet(sink)
