@@ -11,6 +11,7 @@ transfer framing of the HTTP response within.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -104,7 +105,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     that repeat the largest id with the same payload are responses too. Null html is an empty
     payload. Null ids are smaller than all others; if a payload has only these, they are responses.
     A null or empty url is left out. A file holds at most ``records_per_file`` records and so a
-    bounded number of bytes, however long the pages are.
+    bounded number of bytes, however long the pages are. Files are gzip-compressed as a whole.
 
     Work: a narrow aggregation finds the largest id of each payload, and one join brings it to the
     pages. A payload that many pages share is one row there, and Spark splits the skewed side.
@@ -127,11 +128,14 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
                     segment_bytes, chunk_bytes), pa.binary())], names=["record"])
 
     (joined.mapInArrow(written, "record binary").select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).text(path))
+     .write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file)
+     .option("compression", "gzip").text(path))
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of a WARC file."""
+    """Header fields (names in lower case) and block of each record of a WARC file, compressed or not."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
