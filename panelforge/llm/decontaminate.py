@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.frames import pick, tabled
-from panelforge.llm.hashing import ALNUM, mixed, odd_numbers, word_hashes
+from panelforge.llm.hashing import ALNUM, mixed, odd_numbers, sliced, word_hashes
 
 #: Alignment scores: an equal word, a replaced word, a word more or less.
 EQUAL, REPLACED, GAP = 2, -1, -2
@@ -242,11 +242,14 @@ def benchmark_leaks(docs: DataFrame, items: DataFrame, least: float = 0.55, widt
 
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     """Number and word hashes of each document of a batch that has words."""
-    hashes, rows = word_hashes(batch.column("text"), ALNUM)
-    bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-    for i in range(batch.num_rows):
-        if bounds[i + 1] > bounds[i]:
-            yield i, hashes[bounds[i]:bounds[i + 1]]
+    first = 0
+    for part in sliced(batch):
+        hashes, rows = word_hashes(part.column("text"), ALNUM)
+        bounds = np.searchsorted(rows, np.arange(part.num_rows + 1))
+        for i in range(part.num_rows):
+            if bounds[i + 1] > bounds[i]:
+                yield first + i, hashes[bounds[i]:bounds[i + 1]]
+        first += part.num_rows
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:

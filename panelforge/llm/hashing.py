@@ -15,7 +15,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are taken to words at a time.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 500_000
 
 
 class _Powers:
@@ -86,6 +86,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
+def sliced(batch: pa.RecordBatch, column: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts hold about ``most`` bytes at most, or one long text."""
+    _, bounds = text_bytes(batch.column(column))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(bounds, bounds[start] + most, side="right")) - 1)
+        yield batch.slice(start, min(stop, batch.num_rows) - start)
+        start = stop
+
+
 def _pieces(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int]]:
     """Cuts at row bounds, or at separators within long rows."""
     start, end = 0, len(data)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.components import components
 from panelforge.llm.frames import pick, tabled
-from panelforge.llm.hashing import SPACED, mixed, odd_numbers, shingles, word_hashes
+from panelforge.llm.hashing import SPACED, mixed, odd_numbers, shingles, sliced, word_hashes
 
 #: A table of node numbers up to so many rows (16 MB) may be sent to every executor.
 SMALL_ROWS = 1_000_000
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, bands: i
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             n = batch.num_rows
             sets, bounds = shingles(*word_hashes(batch.column("text"), SPACED), n, width)
             s1, s2, found = sketch(sets, bounds, bands, rows_per_band)
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, bands: i
                 names=["doc_id", "n_shingles", "s1", "s2", "bands"])
 
     def with_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             sets, bounds = shingles(*word_hashes(batch.column("text"), SPACED), batch.num_rows, width)
             s1, s2, _ = sketch(sets, bounds, 0, 0)
             own = (batch.column("s1").to_numpy() == s1) & (batch.column("s2").to_numpy() == s2)

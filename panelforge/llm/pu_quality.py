@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.llm.frames import pick, unit53
-from panelforge.llm.hashing import SPACED, text_bytes, word_hashes
+from panelforge.llm.hashing import SPACED, sliced, text_bytes, word_hashes
 
 #: Classes of bytes whose shares are features; the last takes whatever is in none.
 BYTE_CLASSES = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\r\n",
@@ -193,7 +193,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, most_positive: int = 15_00
     chosen = rows.join(F.broadcast(good.unionByName(any_row)), "doc_id")
 
     def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             x = text_features(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("kind"), batch.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))],
@@ -222,7 +222,7 @@ def score_quality(docs: DataFrame, network: Network | None, threshold: float = 0
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             x = text_features(batch.column("text"))
             got = network.score(x) if network else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got)], names=["doc_id", "score"])
