@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm.decontaminate import benchmark_leaks
+from panelforge.llm.divergence import source_divergence
 from panelforge.llm.frames import load, scratch_path, ship
+from panelforge.llm.hard_negatives import hard_negatives
 from panelforge.llm.licences import licence_scan
+from panelforge.llm.line_dedup import line_bitmaps, without_lines
 from panelforge.llm.lz_fingerprint import compare_fingerprints
 from panelforge.llm.minhash_dedup import near_duplicates
 from panelforge.llm.mixing import mix_plan
@@ -139,3 +142,100 @@ def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of 400-byte strings that stand in two places."""
     return remove_repeats(load(spark, sf_dir, "documents"), length=400)
+
+
+DIVERGENCE_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+terms AS (SELECT d, lang, source, unnest(ws) AS term FROM words),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS c FROM terms GROUP BY ALL HAVING count(DISTINCT d) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+pairs0 AS (SELECT DISTINCT lang, source FROM words),
+counts AS (SELECT lang, source, term, count(*) AS c FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, k.c AS lang_c, l.n AS lang_n, l.v,
+         1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (coalesce(t.n, 0) + 2 * l.v) AS p,
+         1 + (1000000000::HUGEINT * (k.c + 2)) // (l.n + 2 * l.v) AS q
+  FROM pairs0 g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN totals t USING (lang, source) LEFT JOIN counts c USING (lang, source, term)),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM pairs0 a JOIN pairs0 b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // (p + q) AS BIGINT) AS value
+  FROM grid WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+  FROM (FROM pair UNION ALL FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of the sources of each language over all documents, by pairs and by terms."""
+    return source_divergence(load(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+NEGATIVES_SQL = r"""
+WITH vecs AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM vecs a JOIN vecs b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+ranked AS (
+  SELECT p.*, n.other_id AS negative_id, n.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.other_id) AS INTEGER) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+   AND 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for the positives of every hundredth vector, from all vectors."""
+    vectors = load(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0, n_positives=5, n_negatives=10,
+                          low=30, high=90, scale=256)
+
+
+LINES_SQL = r"""
+WITH split AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) AS place FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT r) >= 10),
+marked AS (SELECT keyed.*, common.k IS NOT NULL AS dropped FROM keyed LEFT JOIN common ON keyed.k = common.k),
+texts AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '') AS kept
+  FROM marked GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM split JOIN texts USING (r)
+"""
+
+
+@query("op13_line_dedup", LINES_SQL)
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that stand in ten documents or more."""
+    docs = load(spark, sf_dir, "documents")
+    kept = without_lines(docs, line_bitmaps(docs, min_docs=10, min_chars=1, keep="none"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
