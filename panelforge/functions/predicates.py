@@ -137,7 +137,7 @@ def cap_at_quantile(df: DataFrame, col: str, q: float = 0.99, approx: bool = Fal
 
     ``approx=True`` uses a bounded-memory sketch (percentile_approx) instead
     of exact interpolation, for columns with very many distinct values."""
-    from panelforge.operators.aggregates import exact_quantiles
+    from panelforge.operators.order_stats import exact_quantiles
     cap = exact_quantiles(df, col, [q], "approx" if approx else "exact")[0]
     if cap is None:
         return df

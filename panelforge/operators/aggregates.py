@@ -2,10 +2,8 @@
 
 All statistics are one ``agg`` per pass over the data, with partial
 (map-side) aggregation, so a key that holds a third of the rows is reduced
-on every mapper before the shuffle. Exact quantiles use linear
-interpolation (the pandas rule): value bins narrowed by partial counts
-(``quantiles_by_column``) for whole columns, ranges of (group, value)
-(``grouped_quantiles``) where one group may hold most rows;
+on every mapper before the shuffle. Exact quantiles come from
+``order_stats`` (counts of value bins, for whole columns and for groups);
 ``approx=True`` switches to ``percentile_approx``.
 """
 
@@ -17,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.session import fixed_ranges
+from panelforge.operators.order_stats import exact_quantiles, grouped_quantiles, quantiles_by_column
 from panelforge.spec import PanelSpec
 
 
@@ -28,132 +26,6 @@ def _pct(col: str | Column, q, approx: bool = False, accuracy: int = 10000) -> C
     return F.percentile(c, q)
 
 
-#: Value bins that each interval is cut into in one counting pass.
-QUANTILE_BINS = 1024
-
-
-def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], method: str = "exact") -> list[float | None]:
-    """Exact quantiles of one column with linear interpolation (the pandas
-    rule), for ungrouped use; see ``quantiles_by_column``."""
-    return quantiles_by_column(df, [col], qs, method)[col]
-
-
-def quantiles_by_column(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
-                        method: str = "exact") -> dict[str, list[float | None]]:
-    """Exact quantiles of several columns by narrowing value bins, one method
-    at every size.
-
-    One pass finds count, minimum and maximum of each column. Every further
-    pass cuts the open intervals of all columns into ``QUANTILE_BINS`` equal
-    bins and counts them with map-side partial aggregation; the bin that holds
-    a wanted position, shrunk to the values found in it, is the next interval.
-    An interval of one value is the answer. No row is shuffled, no value map is
-    held, and at most intervals x bins counts reach the driver per pass.
-    ``percentile`` and ``approx`` use those aggregates instead."""
-    qs = [float(q) for q in qs]
-    if method in ("percentile", "approx"):
-        wide = df.agg(*[(F.percentile_approx(c, qs, 10000) if method == "approx"
-                         else F.percentile(c, F.array(*[F.lit(q) for q in qs]))).alias(c) for c in cols]).first()
-        return {c: [None] * len(qs) if wide[c] is None else [float(x) for x in wide[c]] for c in cols}
-    xs = {c: F.col(c).cast("double") for c in cols}
-    d = df.select(*[F.when(~F.isnan(x), x).alias(c) for c, x in xs.items()])
-    stats = []
-    for c in cols:
-        stats += [F.count(c).alias(f"{c}|n"), F.min(c).alias(f"{c}|lo"), F.max(c).alias(f"{c}|hi")]
-    row = d.agg(*stats).first()
-    wanted: dict[tuple[str, int], tuple[float, float, int]] = {}  # low, high, values below low
-    for c in cols:
-        n = row[f"{c}|n"]
-        for q in qs if n else []:
-            at = int(math.floor((n - 1) * q))
-            for k in (at, min(at + 1, n - 1)):
-                wanted[c, k] = (row[f"{c}|lo"], row[f"{c}|hi"], 0)
-    while True:
-        spans = sorted({(c, *span) for (c, _), span in wanted.items() if span[0] < span[1]})
-        if not spans:
-            break
-        counts = _bin_counts(d, spans)
-        for (c, k), span in wanted.items():
-            if span[0] < span[1]:
-                below = span[2]
-                for _, n, lo, hi in counts[(c, *span)]:
-                    if k < below + n:
-                        wanted[c, k] = (lo, hi, below)
-                        break
-                    below += n
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        n = row[f"{c}|n"]
-        out[c] = []
-        for q in qs:
-            if not n:
-                out[c].append(None)
-                continue
-            h = (n - 1) * q
-            at = int(math.floor(h))
-            a, b = wanted[c, at][0], wanted[c, min(at + 1, n - 1)][0]
-            out[c].append(a + (h - at) * (b - a))
-    return out
-
-
-def _bin_counts(d: DataFrame, spans: list[tuple]) -> dict[tuple, list[tuple]]:
-    """Per span ``(column, low, high, below)``: its bins in order as
-    ``(bin, count, least value, greatest value)``."""
-    parts = []
-    for i, (c, lo, hi, _) in enumerate(spans):
-        x = F.col(f"`{c}`")
-        wide = math.isfinite(hi - lo)
-        share = (x - lo) / (hi - lo) if wide else (x / 2 - lo / 2) / (hi / 2 - lo / 2)
-        cell = F.least(F.floor(share * QUANTILE_BINS), F.lit(QUANTILE_BINS - 1)).cast("int")
-        parts.append(F.when((x >= lo) & (x <= hi), F.struct(F.lit(i).alias("i"), cell.alias("b"), x.alias("x"))))
-    each = d.select(F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p"))
-    rows = each.groupBy("p.i", "p.b").agg(F.count(F.lit(1)).alias("n"), F.min("p.x").alias("lo"),
-                                          F.max("p.x").alias("hi")).collect()
-    out: dict[tuple, list[tuple]] = {s: [] for s in spans}
-    for r in sorted(rows, key=lambda r: (r["i"], r["b"])):
-        out[spans[r["i"]]].append((r["b"], r["n"], r["lo"], r["hi"]))
-    return out
-
-
-def grouped_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float],
-                      names: Sequence[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """Exact per-group quantiles (linear interpolation) that stay balanced
-    when one group holds a large share of the rows: rows are
-    range-partitioned on (group, value), so a hot group is split across
-    ranges by value; per-(group, range) counts -- a table bounded by groups
-    x ranges -- give each row's position within its group, and only rows at
-    the wanted positions are kept. The ranged rows are written once, so counts
-    and positions agree; nothing reaches the driver."""
-    from pyspark.sql import Window
-
-    keys = list(keys)
-    names = list(names or [f"q{int(round(q * 100))}" for q in qs])
-    d = df.select(*keys, F.col(col).cast("double").alias("__x")).where(
-        F.col("__x").isNotNull() & ~F.isnan("__x"))
-    r = fixed_ranges(d, [*[F.col(k) for k in keys], F.col("__x")], "__rp", partitions)
-    cnt = r.groupBy(*keys, "__rp").agg(F.count(F.lit(1)).alias("__c"))
-    wo = Window.partitionBy(*keys).orderBy("__rp")
-    offs = cnt.select(*keys, "__rp", F.coalesce(F.sum("__c").over(wo.rowsBetween(Window.unboundedPreceding, -1)),
-                                                F.lit(0)).alias("__off"),
-                      F.sum("__c").over(Window.partitionBy(*keys)).alias("__n"))
-    wl = Window.partitionBy("__rp", *keys).orderBy("__x")
-    ranked = r.withColumn("__rn", F.row_number().over(wl)).join(offs, [*keys, "__rp"])
-    ranked = ranked.withColumn("__i", F.col("__rn") + F.col("__off") - 1)
-    aggs, wanted = [], None
-    for q, nm in zip(qs, names):
-        h = (F.col("__n") - 1) * F.lit(float(q))
-        lo = F.floor(h)
-        hi = F.least(lo + 1, F.col("__n") - 1)
-        cond = (F.col("__i") == lo) | (F.col("__i") == hi)
-        wanted = cond if wanted is None else wanted | cond
-        aggs += [F.max(F.when(F.col("__i") == lo, F.col("__x"))).alias(f"{nm}__lo"),
-                 F.max(F.when(F.col("__i") == hi, F.col("__x"))).alias(f"{nm}__hi"),
-                 F.max(h - lo).alias(f"{nm}__f")]
-    picked = ranked.where(wanted).groupBy(*keys).agg(*aggs)
-    return picked.select(*keys, *[(F.col(f"{nm}__lo") + F.col(f"{nm}__f") * (F.col(f"{nm}__hi") - F.col(f"{nm}__lo")))
-                                  .alias(nm) for nm in names])
-
-
 def sum_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], names: Sequence[str] | None = None,
            zero_for_empty: bool = True) -> DataFrame:
     """A1: sum by keys; NULL keys dropped (pandas groupby rule); an
@@ -222,23 +94,24 @@ def value_counts(df: DataFrame, col: str, normalize: bool = False) -> DataFrame:
     return out
 
 
-def median_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], approx: bool = False,
-              method: str = "percentile") -> DataFrame:
-    """A10: median by keys (``keys=[]`` for the overall median).
-    ``method='sort'`` uses the skew-balanced exact ``grouped_quantiles``
-    (for high-cardinality values where one key holds many rows)."""
-    if method == "sort" and keys and not approx:
-        out = None
-        for c in cols:
-            m = grouped_quantiles(df, keys, c, [0.5], [c])
-            out = m if out is None else out.join(m, list(keys), "full")
-        return out
-    aggs = [_pct(c, 0.5, approx).alias(c) for c in cols]
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+def median_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], method: str = "exact") -> DataFrame:
+    """A10: median by keys (``keys=[]`` for the overall median), NULL for a group without values.
+    ``exact`` counts value bins (``grouped_quantiles``, ``quantiles_by_column``), however the rows are spread over
+    the groups; ``percentile`` holds a value map per group and ``approx`` a sketch."""
+    keys, cols = list(keys), list(cols)
+    if method != "exact":
+        return df.groupBy(*keys).agg(*[_pct(c, 0.5, method == "approx").alias(c) for c in cols])
+    if not keys:
+        medians = quantiles_by_column(df, cols, [0.5])
+        return df.sparkSession.range(1).select(*[F.lit(medians[c][0]).cast("double").alias(c) for c in cols])
+    names = {k: f"__{k}" for k in keys}
+    medians = grouped_quantiles(df, keys, cols, [0.5], cols).withColumnsRenamed(names)
+    on = [F.col(k).eqNullSafe(F.col(m)) for k, m in names.items()]
+    return df.select(*keys).distinct().join(medians, on, "left").select(*keys, *cols)
 
 
 def quantiles(df: DataFrame, col: str, qs: Sequence[float], approx: bool = False) -> DataFrame:
-    """Quantiles of one column as (q, value) rows (exact, sort-based;
+    """Quantiles of one column as (q, value) rows (exact;
     ``approx=True`` for a sketch)."""
     vals = exact_quantiles(df, col, qs, "approx" if approx else "exact")
     return df.sparkSession.createDataFrame([(float(q), v) for q, v in zip(qs, vals)], "q double, value double")
@@ -250,7 +123,7 @@ DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 def describe_numeric(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """Count, mean, std (ddof=1), min, quartiles, max in long layout
     (column, statistic, value): the moments in one aggregate, the quartiles
-    by exact sort-based quantiles per column."""
+    of all columns together by ``quantiles_by_column``."""
     aggs = []
     for c in cols:
         aggs += [F.count(c).cast("double").alias(f"{c}|count"), F.avg(c).alias(f"{c}|mean"),

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.operators.aggregates import exact_quantiles
+from panelforge.operators.order_stats import exact_quantiles
 
 from panelforge.functions import scalar as S
 from panelforge.functions.predicates import valid_pairs

@@ -139,7 +139,7 @@ def log_target(df: DataFrame, target: str, out: str = "log_target") -> DataFrame
 
 
 def quantile_edges(df: DataFrame, col: str, q: int = 4, approx: bool = False) -> list[float]:
-    from panelforge.operators.aggregates import exact_quantiles
+    from panelforge.operators.order_stats import exact_quantiles
     return exact_quantiles(df, col, [i / q for i in range(q + 1)], "approx" if approx else "exact")
 
 

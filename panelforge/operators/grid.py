@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.session import cut_lineage
+
 
 def composite(pixels: DataFrame, pixel: str, ts: str, bands: Sequence[str], grain: str = "month",
               start: str | None = None, end: str | None = None) -> DataFrame:
@@ -40,43 +42,98 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 EARTH_KM = 6371.0088
-
-
-def nearest(points: DataFrame, key: str, lat: str, lon: str, sites: DataFrame, slat: str, slon: str,
-            name: str, w: float = 1.0) -> DataFrame:
-    """Distance to the nearest site and its name (ties: smallest name),
-    exact at any number of sites.
-
-    Sites stand in latitude bands of ``w`` degrees. The haversine distance is
-    at least R * |delta latitude|, so a first pass over the adjacent bands
-    bounds each point's radius and a second pass adds every band that radius
-    can reach; all joins are equi joins on the band number. ``key`` is unique
-    in ``points``."""
-    s = sites.select(F.col(slat).alias("__slat"), F.col(slon).alias("__slon"), F.col(name).alias("__name"),
-                     F.floor(F.col(slat) / w).cast("long").alias("__sb"))
-    p = points.select(key, F.col(lat).alias("__lat"), F.col(lon).alias("__lon"),
-                      F.floor(F.col(lat) / w).cast("long").alias("__pb"))
-
-    def best(bands):
-        e = p.select(key, "__lat", "__lon", F.explode(bands).alias("__b"))
-        j = e.join(s, e["__b"] == s["__sb"])
-        d = haversine_km(F.col("__lat"), F.col("__lon"), F.col("__slat"), F.col("__slon"))
-        return j.groupBy(key).agg(F.min(F.struct(d.alias("d"), F.col("__name").alias("name"))).alias("__best"))
-
-    first = best(F.array(F.col("__pb") - 1, F.col("__pb"), F.col("__pb") + 1))
-    # radius bound in degrees of latitude; no candidate -> every band
-    rad = F.when(F.col("__best").isNotNull(), F.degrees(F.col("__best.d") / F.lit(EARTH_KM))).otherwise(F.lit(180.0))
-    q = p.join(first, key, "left").withColumn("__rad", rad)
-    lo = F.floor((F.col("__lat") - F.col("__rad")) / w).cast("long")
-    hi = F.floor((F.col("__lat") + F.col("__rad")) / w).cast("long")
-    extra = F.filter(F.sequence(lo, F.greatest(hi, lo)), lambda b: (b < F.col("__pb") - 1) | (b > F.col("__pb") + 1))
-    e2 = q.select(key, "__lat", "__lon", F.explode(extra).alias("__b"))
-    j2 = e2.join(s, e2["__b"] == s["__sb"])
-    d2 = haversine_km(F.col("__lat"), F.col("__lon"), F.col("__slat"), F.col("__slon"))
-    second = j2.groupBy(key).agg(F.min(F.struct(d2.alias("d"), F.col("__name").alias("name"))).alias("__best"))
-    both = first.unionByName(second).groupBy(key).agg(F.min("__best").alias("__best"))
-    return points.join(both, key, "left").withColumns({"dist_km": F.col("__best.d"),
-                                                       "nearest_site": F.col("__best.name")}).drop("__best")
+#: Grid levels of the nearest-site search: level 0 has two rows of 90 degrees, each further one halves them.
+MOST_LEVELS = 14
+
+
+def _rows(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level + 1).cast("int")
+
+
+def grid_row(lat: Column, level: Column) -> Column:
+    """Row of a latitude: ``2 ** (level + 1)`` rows from the south pole."""
+    rows = _rows(level)
+    return F.least(F.greatest(F.floor((lat + 90) * rows / 180), F.lit(0)), rows - 1).cast("int")
+
+
+def grid_columns(row: Column, level: Column) -> Column:
+    """Columns of a row: as many as keep cells about as wide as high, one at the poles."""
+    rows = _rows(level)
+    middle = F.radians((row + 0.5) * 180 / rows - 90)
+    return F.greatest(F.ceil(2 * rows * F.cos(middle)), F.lit(1)).cast("int")
+
+
+def grid_column(lon: Column, columns: Column) -> Column:
+    return F.least(F.floor(F.pmod(lon + 180, F.lit(360.0)) * columns / 360), columns - 1).cast("int")
+
+
+def _cells(lat: Column, lon: Column, level: Column) -> Column:
+    row = grid_row(lat, level)
+    return F.struct(level.alias("level"), row.alias("row"), grid_column(lon, grid_columns(row, level)).alias("column"))
+
+
+def reached_cells(lat: Column, lon: Column, degrees: Column, level: Column) -> Column:
+    """The cells of a level that a circle of ``degrees`` around a place meets, as an array of structs.
+
+    A circle with a pole in it meets all columns of its rows; otherwise it spans ``asin(sin r / cos lat)``
+    degrees of longitude to either side, also across the date line."""
+    south, north = grid_row(lat - degrees, level), grid_row(lat + degrees, level)
+    polar = (lat + degrees >= 90) | (lat - degrees <= -90)
+    ratio = F.sin(F.radians(degrees)) / F.cos(F.radians(lat))
+    side = F.when(polar | (ratio >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) + 1e-9)
+
+    def row_cells(row: Column) -> Column:
+        columns = grid_columns(row, level)
+        first = F.floor((lon - side + 180) * columns / 360)
+        last = F.least(F.floor((lon + side + 180) * columns / 360), first + columns - 1)
+        return F.transform(F.sequence(first, last), lambda c: F.struct(
+            level.alias("level"), row.alias("row"), F.pmod(c, columns).cast("int").alias("column")))
+
+    return F.flatten(F.transform(F.sequence(south, north), row_cells))
+
+
+def nearest(points: DataFrame, key: str, lat: str, lon: str, sites: DataFrame, slat: str, slon: str, name: str) -> DataFrame:
+    """Distance to the nearest site and its name (ties: smallest name), exact at any number of sites.
+    Points without a place get NULL, sites without one are left out; ``key`` is unique in ``points``.
+
+    Sites stand in the cells of nested latitude / longitude grids. For every occupied finest cell of
+    the points, rings of cells are expanded level by level until one holds a site; that site's distance bounds
+    each point's search. A second join then takes the sites in the cells that the bounding circle meets, on
+    the level whose cells are about as large as the circle: the rows joined for a point are the sites
+    around it, however many there are elsewhere."""
+    s = sites.select(F.col(slat).cast("double").alias("__slat"), F.col(slon).cast("double").alias("__slon"), F.col(name).alias("__name"))
+    s = s.where("__slat is not null and __slon is not null and not isnan(__slat) and not isnan(__slon)")
+    p = points.select(key, F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon"))
+    p = p.where("__lat is not null and __lon is not null and not isnan(__lat) and not isnan(__lon)")
+    n_sites = s.count()
+    if not n_sites:
+        return points.withColumns({"dist_km": F.lit(None).cast("double"), "nearest_site": F.lit(None).cast(sites.schema[name].dataType)})
+    finest = min(MOST_LEVELS, max(1, (n_sites.bit_length() + 1) // 2))
+    levels = F.sequence(F.lit(0), F.lit(finest))
+    s = cut_lineage(s.withColumn("__level", F.explode(levels)).withColumn(
+        "__cell", _cells(F.col("__slat"), F.col("__slon"), F.col("__level"))))
+    one = s.groupBy("__cell").agg(F.min(F.struct("__slat", "__slon")).alias("__site"))
+    # per finest cell of the points: the finest level on which a site stands in the cell or next to it
+    p = p.withColumn("__at", _cells(F.col("__lat"), F.col("__lon"), F.lit(finest)))
+    spots = p.select("__at").distinct()
+    middle = (F.col("__at.row") + 0.5) * (180.0 / 2 ** (finest + 1)) - 90
+    across = (F.col("__at.column") + 0.5) * 360.0 / grid_columns(F.col("__at.row"), F.lit(finest)) - 180
+    size = F.lit(180.0) / _rows(F.col("__level"))
+    rings = (spots.withColumn("__level", F.explode(levels))
+             .withColumn("__cell", F.explode(reached_cells(middle, across, size, F.col("__level")))))
+    whole = s.where("__level = 0").agg(F.min(F.struct("__slat", "__slon")).alias("__any"))
+    met = rings.join(one, "__cell").groupBy("__at").agg(F.max_by("__site", "__level").alias("__site"))
+    bounds = spots.join(met, "__at", "left").withColumn("__k", F.lit(0)).join(F.broadcast(whole.withColumn("__k", F.lit(0))), "__k")
+    bounds = bounds.select("__at", F.coalesce("__site", "__any").alias("__site"))
+    reach = haversine_km(F.col("__lat"), F.col("__lon"), F.col("__site.__slat"), F.col("__site.__slon")) / EARTH_KM
+    q = p.join(bounds, "__at").withColumn("__reach", F.degrees(reach) * (1 + 1e-9) + 1e-7)
+    fits = F.floor(F.log2(F.lit(90.0) / F.col("__reach")))
+    q = q.withColumn("__level", F.least(F.greatest(fits, F.lit(0)), F.lit(finest)).cast("int"))
+    q = q.select(key, "__lat", "__lon", F.explode(reached_cells(F.col("__lat"), F.col("__lon"), F.col("__reach"), F.col("__level"))).alias("__cell"))
+    d = haversine_km(F.col("__lat"), F.col("__lon"), F.col("__slat"), F.col("__slon"))
+    best = (q.join(s.select("__cell", "__slat", "__slon", "__name"), "__cell").groupBy(key)
+            .agg(F.min(F.struct(d.alias("d"), F.col("__name").alias("name"))).alias("__best")))
+    return points.join(best, key, "left").withColumns({"dist_km": F.col("__best.d"), "nearest_site": F.col("__best.name")}).drop("__best")
 
 
 def range_check(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:

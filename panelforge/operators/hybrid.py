@@ -70,7 +70,7 @@ def intervals(df: DataFrame, y: str, pred: str, method: str = "quantile", fit_on
     ``fit_on`` rows) or a constant +-20 %."""
     if method == "constant":
         return df.withColumns({"p10": F.col(pred) * (1 - CONSTANT_INTERVAL), "p90": F.col(pred) * (1 + CONSTANT_INTERVAL)})
-    from panelforge.operators.aggregates import quantiles_by_column
+    from panelforge.operators.order_stats import quantiles_by_column
 
     fit = df.where(fit_on) if fit_on is not None else df
     res = fit.select((F.col(y) - F.col(pred)).alias("__r"))

@@ -37,7 +37,7 @@ def _fit_rows(df: DataFrame, fit_on: Column | None) -> DataFrame:
 
 def fit_robust(df: DataFrame, cols: Sequence[str], fit_on: Column | None = None, approx: bool = False) -> Stats:
     """M1: median and IQR (25-75, linear); IQR 0 -> 1."""
-    from panelforge.operators.aggregates import quantiles_by_column
+    from panelforge.operators.order_stats import quantiles_by_column
     d = _fit_rows(df, fit_on)
     quart = quantiles_by_column(d, cols, [0.25, 0.5, 0.75], "approx" if approx else "exact")
     st = Stats("robust")
@@ -105,7 +105,7 @@ def fit_imputer(df: DataFrame, cols: Sequence[str], strategy: str = "median", fi
                 approx: bool = False) -> Stats:
     d = _fit_rows(df, fit_on)
     if strategy == "median":
-        from panelforge.operators.aggregates import exact_quantiles
+        from panelforge.operators.order_stats import exact_quantiles
         return Stats("median", center={c: exact_quantiles(d, c, [0.5], "approx" if approx else "exact")[0]
                                        for c in cols})
     if strategy == "mean":

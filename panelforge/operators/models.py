@@ -263,195 +263,6 @@ def band_importance(imp: DataFrame, n: int, must_have: Sequence[str] = (), sep:
     return top
 
 
-# M32, M33 -----------------------------------------------------------------------
-def _as_double_array(c: str) -> Column:
-    return F.transform(F.col(c), lambda x: x.cast("double"))
-
-
-def sq_dist(a: Column, b: Column, dim: int | None = None) -> Column:
-    """Squared Euclidean distance. With a known ``dim`` it is an explicit
-    sum of element differences (whole-stage codegen); otherwise a
-    higher-order ``aggregate`` (interpreted)."""
-    if dim:
-        terms = [(a[i] - b[i]) * (a[i] - b[i]) for i in range(dim)]
-        acc = terms[0]
-        for t in terms[1:]:
-            acc = acc + t
-        return acc
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def leading_direction(df: DataFrame, vec: str, dim: int) -> tuple[np.ndarray, float]:
-    """Unit vector of the largest variance (first principal axis) and its
-    share of the total variance, from the distributed covariance of
-    ``pyspark.ml`` PCA; bounded by dim x dim."""
-    from pyspark.ml.functions import array_to_vector
-    d = df.select(array_to_vector(F.col(vec)).alias("__x"))
-    m = PCA(k=1, inputCol="__x", outputCol="__p").fit(d)
-    pc = m.pc.toArray()[:, 0]
-    n = np.linalg.norm(pc)
-    return (pc / n if n else np.eye(dim)[0]), float(m.explainedVariance.toArray()[0])
-
-
-def knn(df: DataFrame, key: str, vec: str, queries: DataFrame, k: int = 5, include_self: bool = False,
-        **kw) -> DataFrame:
-    """Exact k nearest neighbours of the rows in ``queries`` (same key
-    and vector columns) among all rows of ``df``."""
-    return knn_all(df, key, vec, k, include_self, queries=queries, **kw)
-
-
-def knn_all(df: DataFrame, key: str, vec: str, k: int = 10, include_self: bool = False,
-            bucket_rows: int = 64, seed: int = 42, queries: DataFrame | None = None,
-            direction: str = "principal", method: str = "auto", max_band_share: float = 0.25) -> DataFrame:
-    """M33 (and M32 with ``queries``): exact k nearest neighbours without a
-    cross join.
-
-    Points are projected on a unit direction -- the first principal axis
-    (best spread, so the tightest bands) or a seeded random one; by the
-    Cauchy-Schwarz inequality |proj(x) - proj(q)| <= ||x - q||, so every
-    neighbour within radius r lies in the projection band of half-width r.
-    Pass 1 takes candidates from the neighbouring projection buckets and
-    gives an upper bound r_k on each query's k-th distance; pass 2 adds
-    every other bucket the band [proj - r_k, proj + r_k] touches, so the
-    result is exact. Buckets hold about ``bucket_rows`` points; every join
-    is an equi join on the bucket id, and top-k runs in two salted stages.
-    When the measured band would cover more than ``max_band_share`` of the
-    projection range (high-dimensional isotropic data, where no projection
-    prunes), ``method='auto'`` switches to the exact blocked method."""
-    base = df.select(F.col(key).alias("__id"), _as_double_array(vec).alias("__v"))
-    dim = len(base.select("__v").first()[0])
-    if direction == "principal":
-        u, share = leading_direction(base, "__v", dim)
-        if method == "auto" and share < 3.0 / dim:
-            # near-isotropic: no single projection can prune, block directly
-            return knn_blocked(df, key, vec, k, include_self, queries)
-    else:
-        rng = np.random.default_rng(seed)
-        u = rng.normal(size=dim)
-        u = u / np.linalg.norm(u)
-
-    def project(d: DataFrame) -> DataFrame:
-        p = F.lit(0.0)
-        for i, x in enumerate(u):
-            p = p + F.col("__v")[i] * F.lit(float(x))
-        return d.withColumn("__p", p)
-
-    pts = project(base)
-    st = pts.agg(F.min("__p").alias("lo"), F.max("__p").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, n = st["lo"], st["n"]
-    width = max((st["hi"] - lo) / max(n / bucket_rows, 1.0), 1e-12)
-    nb = int(math.floor((st["hi"] - lo) / width)) + 1
-
-    def bucket(d: DataFrame) -> DataFrame:
-        return d.withColumn("__b", F.floor((F.col("__p") - F.lit(lo)) / F.lit(width)).cast("long"))
-
-    pts = bucket(pts)
-    if queries is None:
-        qs = pts
-    else:
-        qs = bucket(project(queries.select(F.col(key).alias("__id"), _as_double_array(vec).alias("__v"))))
-    cand = pts.select(F.col("__id").alias("__c"), F.col("__v").alias("__cv"), F.col("__b").alias("__cb"))
-    self_cond = F.lit(True) if include_self else F.col("__id") != F.col("__c")
-
-    def pairs_for(q: DataFrame, buckets: Column) -> DataFrame:
-        e = q.select("__id", "__v", F.explode(buckets).alias("__qb"))
-        j = e.join(cand, e["__qb"] == cand["__cb"]).where(self_cond)
-        return j.select("__id", "__c", F.sqrt(sq_dist(F.col("__v"), F.col("__cv"), dim)).alias("dist"))
-
-    def topk(p: DataFrame) -> DataFrame:
-        p = p.withColumn("__salt", F.pmod(F.xxhash64("__c"), F.lit(16)))
-        w1 = Window.partitionBy("__id", "__salt").orderBy("dist", "__c")
-        p = p.withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= k)
-        w2 = Window.partitionBy("__id").orderBy("dist", "__c")
-        return p.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).drop("__salt", "__r")
-
-    near = F.array(F.col("__b") - 1, F.col("__b"), F.col("__b") + 1)
-    first = topk(pairs_for(qs, near))
-    rk = first.groupBy("__id").agg(F.max("dist").alias("__rk"), F.count(F.lit(1)).alias("__nk"))
-    if method != "band":
-        # share of the projection range the exact band must cover; when the
-        # projection cannot prune (isotropic data), block the work instead
-        med = rk.agg(F.percentile_approx("__rk", 0.5).alias("m")).first()["m"]
-        span = max(st["hi"] - lo, 1e-12)
-        if method == "blocked" or med is None or 2 * med / span > max_band_share:
-            return knn_blocked(df, key, vec, k, include_self, queries)
-    q2 = qs.join(rk, "__id", "left").withColumn(
-        "__rk", F.when(F.col("__nk") >= k, F.col("__rk")).otherwise(F.lit(float("inf"))))
-    lo_b = F.greatest(F.floor((F.col("__p") - F.col("__rk") - F.lit(lo)) / F.lit(width)), F.lit(0)).cast("long")
-    hi_b = F.least(F.floor((F.col("__p") + F.col("__rk") - F.lit(lo)) / F.lit(width)), F.lit(nb)).cast("long")
-    extra = F.filter(F.sequence(lo_b, F.greatest(hi_b, lo_b)),
-                     lambda b: (b < F.col("__b") - 1) | (b > F.col("__b") + 1))
-    second = pairs_for(q2, extra)
-    res = topk(first.select("__id", "__c", "dist").unionByName(second))
-    return res.select(F.col("__id").alias("query"), "rank", F.col("__c").alias("neighbor"), "dist")
-
-
-def _topk_rows(p: DataFrame, k: int, salt: int = 16) -> DataFrame:
-    """Per query the k smallest (dist, neighbor) rows, in two salted stages."""
-    p = p.withColumn("__salt", F.pmod(F.xxhash64("neighbor"), F.lit(salt)))
-    w1 = Window.partitionBy("query", "__salt").orderBy("dist", "neighbor")
-    p = p.withColumn("__r", F.row_number().over(w1)).where(F.col("__r") <= k)
-    w2 = Window.partitionBy("query").orderBy("dist", "neighbor")
-    return p.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).drop("__salt", "__r")
-
-
-def knn_blocked(df: DataFrame, key: str, vec: str, k: int = 10, include_self: bool = False,
-                queries: DataFrame | None = None, block_rows: int = 512) -> DataFrame:
-    """Exact kNN by blocks, for data where no projection prunes (isotropic,
-    high-dimensional): queries and candidates are hashed into blocks of about
-    ``block_rows``; every (query block, candidate block) pair is one
-    cogroup group -- each side is replicated once per block of the other
-    side, so a group holds two bounded blocks -- and numpy computes the
-    block's distance matrix and keeps k per query. The per-block results are
-    merged by a two-stage top-k. The work is the inherent n x m distance
-    count; no row pairs are materialised."""
-    import pandas as pd
-
-    c = df.select(F.col(key).cast("long").alias("__id"), _as_double_array(vec).alias("__v"))
-    q = c if queries is None else queries.select(F.col(key).cast("long").alias("__id"),
-                                                 _as_double_array(vec).alias("__v"))
-    nq, nc = q.count(), c.count()
-    bq, bc = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(nc / block_rows))
-    # both sides' block keys must have the same type (bigint), or cogroup
-    # treats equal values as different keys
-    qb = q.withColumn("__qb", F.pmod(F.xxhash64("__id"), F.lit(bq)).cast("long")).withColumn(
-        "__cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bc - 1).cast("long"))))
-    cb = c.select(F.col("__id").alias("__cid"), F.col("__v").alias("__cv"))
-    cb = cb.withColumn("__cb", F.pmod(F.xxhash64("__cid", F.lit(7)), F.lit(bc)).cast("long")).withColumn(
-        "__qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bq - 1).cast("long"))))
-
-    def block(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(cpdf) == 0:
-            return pd.DataFrame({"query": [], "neighbor": [], "dist": []})
-        Q = np.stack(qpdf["__v"].to_numpy()).astype(float)
-        C = np.stack(cpdf["__cv"].to_numpy()).astype(float)
-        qi = qpdf["__id"].to_numpy()
-        ci = cpdf["__cid"].to_numpy()
-        out_q, out_c, out_d = [], [], []
-        for s in range(0, len(Q), 128):
-            diff = Q[s:s + 128, None, :] - C[None, :, :]
-            d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-            if not include_self:
-                d[qi[s:s + 128, None] == ci[None, :]] = np.inf
-            for r in range(d.shape[0]):
-                order = np.lexsort((ci, d[r]))[:k]
-                order = order[np.isfinite(d[r][order])]
-                out_q.extend([qi[s + r]] * len(order))
-                out_c.extend(ci[order].tolist())
-                out_d.extend(d[r][order].tolist())
-        return pd.DataFrame({"query": np.array(out_q, dtype="int64"), "neighbor": np.array(out_c, dtype="int64"),
-                             "dist": np.array(out_d, dtype="float64")})
-
-    parts = qb.groupBy("__qb", "__cb").cogroup(cb.groupBy("__qb", "__cb")).applyInPandas(
-        block, schema="query long, neighbor long, dist double")
-    return _topk_rows(parts, k).select("query", "rank", "neighbor", "dist")
-
-
-def knn_profile(nn: DataFrame) -> DataFrame:
-    """M33 report: mean neighbour distance per rank."""
-    return nn.groupBy("rank").agg(F.avg("dist").alias("mean_dist"), F.count(F.lit(1)).alias("n"))
-
-
 # M34, M35, M37-M39 ------------------------------------------------------------------
 def score(model, df: DataFrame, inverse: str | None = "expm1", lo: float | None = None, hi: float | None = None,
           out: str = "prediction") -> DataFrame:

@@ -41,7 +41,7 @@ def missing_report(df: DataFrame, cols: Sequence[str] | None = None, only_missin
 
 
 def outlier_bounds(df: DataFrame, cols: Sequence[str], k: float = 3.0, approx: bool = False) -> dict:
-    from panelforge.operators.aggregates import quantiles_by_column
+    from panelforge.operators.order_stats import quantiles_by_column
     quart = quantiles_by_column(df, cols, [0.25, 0.75], "approx" if approx else "exact")
     out = {}
     for c in cols:

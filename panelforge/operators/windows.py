@@ -26,6 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.order_stats import expand_ranks, grouped_quantiles, quantiles_by_column, value_ranks
 from panelforge.session import cut_lineage, fixed_ranges
 from panelforge.spec import PanelSpec
 
@@ -132,25 +133,19 @@ def interpolate(df: DataFrame, cols: Sequence[str], spec: PanelSpec) -> DataFram
     return s.select(*df.columns)
 
 
-def _median_agg(c: str | Column, approx: bool) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return F.percentile_approx(col, 0.5, 10000) if approx else F.median(col)
+def group_medians(df: DataFrame, by: Sequence[str], cols: Sequence[str], names: Sequence[str], method: str = "exact") -> DataFrame:
+    """The median of each column per group under the given names. ``exact`` counts value bins of
+    all groups and columns together (``grouped_quantiles``); ``percentile`` holds a value map per group, ``approx`` a sketch."""
+    if method == "exact":
+        return grouped_quantiles(df, by, cols, [0.5], names)
+    median = F.median if method == "percentile" else (lambda c: F.percentile_approx(c, 0.5, 10000))
+    return df.groupBy(*by).agg(*[median(c).alias(n) for c, n in zip(cols, names)])
 
 
-def fill_group_median(df: DataFrame, cols: Sequence[str], by: str | Sequence[str],
-                      approx: bool = False, method: str = "percentile") -> DataFrame:
-    """Fill with the group median (aggregate, then join back).
-    ``method='sort'`` computes the medians with the skew-balanced exact
-    ``grouped_quantiles`` instead of the ``percentile`` aggregate."""
+def fill_group_median(df: DataFrame, cols: Sequence[str], by: str | Sequence[str], method: str = "exact") -> DataFrame:
+    """Fill with the group median (``group_medians``, then join back)."""
     by = [by] if isinstance(by, str) else list(by)
-    if method == "sort" and not approx:
-        from panelforge.operators.aggregates import grouped_quantiles
-        med = None
-        for c in cols:
-            m = grouped_quantiles(df, by, c, [0.5], [f"__med_{c}"])
-            med = m if med is None else med.join(m, by, "full")
-    else:
-        med = df.groupBy(*by).agg(*[_median_agg(c, approx).alias(f"__med_{c}") for c in cols])
+    med = group_medians(df, by, cols, [f"__med_{c}" for c in cols], method)
     out = df.join(med, on=by, how="left")
     out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__med_{c}")) for c in cols})
     return out.select(*df.columns)
@@ -165,11 +160,7 @@ def _attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 def fill_median(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
     """Fill with the overall median of each column. The medians are
-    exact and memory-bounded (``quantiles_by_column``: counts of value bins
-    for low-cardinality columns, range-partitioned sort otherwise) and are
-    applied as literals."""
-    from panelforge.operators.aggregates import quantiles_by_column
-
+    exact (``quantiles_by_column``: counts of value bins) and are applied as literals."""
     med = quantiles_by_column(df, list(cols), [0.5], "approx" if approx else "exact")
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(med[c][0]).cast(df.schema[c].dataType))
                            for c in cols if med[c][0] is not None})
@@ -225,14 +216,14 @@ def impute_cascade(df: DataFrame, cols: Sequence[str], spec: PanelSpec,
         else:
             by = medians[st]
             if by:
-                aggs = [_median_agg(f"__s{i - 1}_{c}", approx).alias(f"__m{i}_{c}") for c in cols]
-                s = s.join(s.groupBy(*by).agg(*aggs), on=by, how="left")
+                s = cut_lineage(s)
+                s = s.join(group_medians(s, by, [f"__s{i - 1}_{c}" for c in cols], [f"__m{i}_{c}" for c in cols],
+                                         "approx" if approx else "exact"), on=by, how="left")
                 s = s.withColumns({f"__s{i}_{c}": F.coalesce(prev[c], F.col(f"__m{i}_{c}")) for c in cols})
             else:
                 # overall median: exact and memory-bounded, applied as literals; the
                 # scanned panel is written once, as the quantile passes read it again
                 s = cut_lineage(s)
-                from panelforge.operators.aggregates import quantiles_by_column
                 names = [f"__s{i - 1}_{c}" for c in cols]
                 med = quantiles_by_column(s.select(*names), names, [0.5], "approx" if approx else "exact")
                 s = s.withColumns({f"__s{i}_{c}": F.coalesce(prev[c], F.lit(med[f"__s{i - 1}_{c}"][0]).cast("double"))
@@ -475,16 +466,14 @@ def global_row_index(df: DataFrame, order: Sequence[str | Column], partitions: i
 
 def qq_table(df: DataFrame, col: str) -> DataFrame:
     """Normal Q-Q positions: sorted sample vs theoretical quantiles at
-    Filliben's order-statistic medians (the probplot convention)."""
-    d = df.select(col).where(F.col(col).isNotNull())
-    n = d.count()
-    if n == 0:
-        return d.select(F.lit(0).alias("i"), F.col(col).alias("sample"), F.lit(0.0).alias("theoretical")).limit(0)
-    idx = global_row_index(d, [col], out="i")
-    last = 0.5 ** (1.0 / n)
+    Filliben's order-statistic medians (the probplot convention). Ranks come from
+    counts of distinct values (``value_ranks``), so a very common value is no task's burden."""
+    ranks = cut_lineage(value_ranks(df, col))
+    n = ranks.agg(F.sum("n")).first()[0] or 0
+    last = 0.5 ** (1.0 / n) if n else 0.5
     u = (F.when(F.col("i") == 1, F.lit(1 - last)).when(F.col("i") == n, F.lit(last))
          .otherwise((F.col("i") - 0.3175) / (n + 0.365)))
-    return idx.select("i", F.col(col).alias("sample"), norm_ppf(u).alias("theoretical"))
+    return expand_ranks(ranks, "i").select("i", F.col(col).alias("sample"), norm_ppf(u).alias("theoretical"))
 
 
 def forecast_year(df: DataFrame, key: str, year: str) -> DataFrame:

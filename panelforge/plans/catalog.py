@@ -12,6 +12,7 @@ from panelforge.plans import (  # noqa: F401
     q_misc,
     q_models,
     q_more,
+    q_order,
     q_surface,
 )
 from panelforge.plans.registry import OPERATORS, ORACLE, QUERIES

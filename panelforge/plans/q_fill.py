@@ -257,7 +257,7 @@ SELECT entity, yr, mo,
   round(coalesce(item, median(item) OVER (PARTITION BY yr)), 4) AS by_year FROM pitem""")
 def w_group_medians_sorted(spark, sf_dir):
     d = _item_panel(spark, sf_dir)
-    e = W.fill_group_median(d, ["item"], "entity", method="sort").withColumnRenamed("item", "by_entity")
-    y = W.fill_group_median(d, ["item"], "yr", method="sort").withColumnRenamed("item", "by_year")
+    e = W.fill_group_median(d, ["item"], "entity", method="percentile").withColumnRenamed("item", "by_entity")
+    y = W.fill_group_median(d, ["item"], "yr", method="percentile").withColumnRenamed("item", "by_year")
     k = ["entity", "yr", "mo"]
     return e.join(y, k).select(*k, R("by_entity").alias("by_entity"), R("by_year").alias("by_year"))

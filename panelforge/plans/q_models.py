@@ -16,6 +16,7 @@ from panelforge.operators import evaluate as V
 from panelforge.operators import features as E
 from panelforge.operators import mlprep as MP
 from panelforge.operators import models as M
+from panelforge.operators import neighbours as NB
 from panelforge.operators import windows as W
 from panelforge.plans import panel as P
 from panelforge.plans import sqlparts as Q
@@ -92,7 +93,7 @@ def m_knn(spark, sf_dir):
     e = P.table(spark, sf_dir, "embeddings")
     firsts = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
     q = e.join(firsts.select("vec_id"), "vec_id", "left_semi")
-    nn = M.knn(e, "vec_id", "embedding", q, k=50)
+    nn = NB.knn(e, "vec_id", "embedding", q, k=50)
     return nn.withColumn("dist", R("dist", 6))
 
 
@@ -101,8 +102,8 @@ d AS (SELECT a.vec_id AS query, b.vec_id AS neighbor, list_distance(a.v, b.v) AS
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, neighbor) AS rank FROM d)
 SELECT CAST(rank AS BIGINT) AS rank, round(avg(dist), 6) AS mean_dist, CAST(count(*) AS BIGINT) AS n FROM r WHERE rank <= 10 GROUP BY rank""")
 def m_knn_profile(spark, sf_dir):
-    nn = M.knn_all(P.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=10)
-    return M.knn_profile(nn).withColumn("mean_dist", R("mean_dist", 6))
+    nn = NB.knn_all(P.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=10)
+    return NB.knn_profile(nn).withColumn("mean_dist", R("mean_dist", 6))
 
 
 @query("m33_knn_all_points", ops=("M33",), sql="WITH " + EMB_SQL + """,
@@ -110,10 +111,21 @@ d AS (SELECT a.vec_id AS query, b.vec_id AS neighbor, list_distance(a.v, b.v) AS
 SELECT query, CAST(rank AS BIGINT) AS rank, neighbor, round(dist, 6) AS dist
 FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, neighbor) AS rank FROM d) WHERE rank <= 3""")
 def m_knn_all(spark, sf_dir):
-    nn = M.knn_all(P.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=3)
+    nn = NB.knn_all(P.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=3)
     return nn.withColumn("dist", R("dist", 6))
 
 
+@query("m32_approximate_recall", ops=("M32", "M33"), sql="""
+SELECT CAST(count(*) * 10 AS BIGINT) AS n, CAST(1 AS BIGINT) AS enough FROM embeddings""")
+def m_knn_recall(spark, sf_dir):
+    """The approximate mode against the exact result, for all rows as queries: its recall is 0.9 or more."""
+    e = P.table(spark, sf_dir, "embeddings")
+    index = NB.build_index(e, "vec_id", "embedding", n_cells=8, block_rows=256)
+    asked = NB.vectors(e, "vec_id", "embedding")
+    exact, near = NB.search(index, asked, 10), NB.search(index, asked, 10, probes=6)
+    return NB.recall(near, exact).select("n", (F.col("recall") >= 0.9).alias("enough"))
+
+
 # ---------------------------------------------------------------- fits
 _MONOMIALS = ", ".join(" * ".join(m) for k in (1, 2, 3) for m in itertools.combinations_with_replacement(
     ["CAST(n AS DOUBLE)", "CAST(mo AS DOUBLE)", "CAST(yr AS DOUBLE)"], k))
