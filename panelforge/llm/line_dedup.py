@@ -61,8 +61,10 @@ def line_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep:
               .sortWithinPartitions("key", "doc_id", "mark", "at"))
     # equal (key, doc_id, mark) stand in one range, so this needs no exchange
     found = tabled(ranged.groupBy("key", "doc_id", "mark").agg(F.min("at").alias("first"), F.collect_list("at").alias("places")))
-    common = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "first")).alias("spared"))
-    lost = (found.join(common.where(F.col("n") >= min_docs), "key")
+    common = (found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "mark", "first")).alias("spared"))
+              .where(F.col("n") >= min_docs).select("key", "spared"))
+    # written, so that the join reads plain exchanges, of which Spark splits a hot key's
+    lost = (found.join(tabled(common), "key")
             .select("doc_id", "mark", "spared", F.explode("places").alias("at")))
     if keep == "first":
         lost = lost.where(~F.struct("doc_id", "mark", "at").eqNullSafe(
