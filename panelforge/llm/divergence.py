@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,13 +64,21 @@ class _Block:
 
     def run(self) -> Iterator[pa.RecordBatch]:
         """The block as one run in order of language, term and source."""
-        postings = sorted((lang, term, source, n, docs[term])
-                          for (lang, source), (counts, docs) in self.held.items() for term, n in counts.items())
-        for i in range(0, len(postings), BATCH_POSTINGS):
-            lang, term, source, count, docs = zip(*postings[i:i + BATCH_POSTINGS], strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()),
-                 pa.array(count, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "count", "docs"])
+        for lang in sorted({lang for lang, _ in self.held}):
+            sources = sorted(source for own, source in self.held if own == lang)
+            terms, count, docs = [], [], []
+            for source in sources:
+                counts, in_docs = self.held[lang, source]
+                terms.append(pa.array(counts.keys(), pa.binary(), size=len(counts)))
+                count.append(np.fromiter(counts.values(), np.int64, len(counts)))
+                docs.append(np.fromiter(map(in_docs.__getitem__, counts), np.int64, len(counts)))
+            sizes = [len(c) for c in count]
+            run = pa.table({"lang": pa.array(np.repeat(lang, sum(sizes)), pa.string()),
+                            "source": pa.array(np.repeat(np.array(sources, object), sizes), pa.string()),
+                            "term": pa.concat_arrays(terms).cast(pa.string()),
+                            "count": np.concatenate(count), "docs": np.concatenate(docs)})
+            in_order = pc.sort_indices(run["term"])  # stable, and the sources are in order already
+            yield from run.take(in_order).combine_chunks().to_batches(max_chunksize=BATCH_POSTINGS)
 
 
 def index_runs(batches: Iterable[pa.RecordBatch], most_postings: int) -> Iterator[pa.RecordBatch]:
@@ -174,7 +183,7 @@ def differs(p: Column, q: Column) -> Column:
 
 
 def source_divergence(docs: DataFrame, min_docs: int = 10, top: int = 10, lang_col: str = "lang", source_col: str = "source",
-                      text_col: str = "text", most_postings: int = 300_000) -> DataFrame:
+                      text_col: str = "text", most_postings: int = 800_000) -> DataFrame:
     """``lang, source, part, item, value, rank``: which sources of a language differ, and by which terms.
 
     Terms are runs of ASCII letters and non-ASCII characters, A-Z lower-cased; a language keeps the
