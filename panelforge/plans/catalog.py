@@ -9,6 +9,7 @@ from panelforge.plans import (  # noqa: F401
     q_eval,
     q_features,
     q_fill,
+    q_linear,
     q_misc,
     q_models,
     q_more,

@@ -54,32 +54,6 @@ def _eval(pred, label=LABEL):
                                          R("r2", 6).alias("r2"), R("mape", 4).alias("mape"), R("r2_log", 6).alias("r2_log"))
 
 
-# ---------------------------------------------------------------- PCA
-PCA_COLS = ["v", "total", "n", "mo"]
-
-
-@query("m13_m16_pca_scores", ops=("M13", "M16", "M2"))
-def m_pca_scores(spark, sf_dir):
-    p = P.base_panel(spark, sf_dir)
-    res = M.pca(p, PCA_COLS, k=2)
-    s = res.scores(p, keep=["entity", "yr", "mo", "total"])
-    return s.select("entity", "yr", "mo", "total", R("pc1", 6).alias("pc1"), R("pc2", 6).alias("pc2"))
-
-
-@query("m14_w16_pca_variance_report", ops=("M14", "W16"))
-def m_pca_report(spark, sf_dir):
-    res = M.pca(P.base_panel(spark, sf_dir), PCA_COLS, k=len(PCA_COLS))
-    var = res.variance_df(spark)
-    thr = W.components_for(var, "component", "variance_ratio")
-    return W._attach_row(var.withColumn("variance_ratio", R("variance_ratio", 6)), thr)
-
-
-@query("m15_pca_top_loadings", ops=("M15",))
-def m_pca_loadings(spark, sf_dir):
-    res = M.pca(P.base_panel(spark, sf_dir), PCA_COLS, k=2)
-    return M.pca_loadings(res, spark, n=2).withColumn("loading", R("loading", 6))
-
-
 # ---------------------------------------------------------------- kNN
 EMB_SQL = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 
@@ -140,15 +114,6 @@ def m_poly(spark, sf_dir):
     return d.select("entity", "yr", "mo", F.posexplode(terms).alias("k", "term"))
 
 
-@query("m21_ridge_polynomial_degree", ops=("M21", "M19", "V1", "V4"))
-def m_ridge(spark, sf_dir):
-    train, test = _split(model_panel(spark, sf_dir))
-    fit, valid = train.where(F.col("yr") < 1999), train.where(F.col("yr") >= 1999)
-    model, info = M.fit_poly_ridge(fit, valid, ["v", "n", "mo"], LABEL, degrees=(1, 2, 3), regs=(0.01, 1.0))
-    out = _eval(model.transform(test))
-    return out.withColumns({"degree": F.lit(info["degree"]), "reg_param": F.lit(info["regParam"])})
-
-
 @query("m22_m28_forest_and_importances", ops=("M22", "M28"))
 def m_forest(spark, sf_dir):
     train, test = _split(model_panel(spark, sf_dir))
@@ -211,14 +176,6 @@ def m_random(spark, sf_dir):
     return SF.tuning_summary(spark, rows).withColumn("cv_score", R("cv_score", 6))
 
 
-@query("m29_coefficient_importance", ops=("M29",))
-def m_coef(spark, sf_dir):
-    train, _ = _split(model_panel(spark, sf_dir))
-    scaled = MP.standard_scale(train, FEATS, fit_on=None)
-    model = M.ridge_pipeline(FEATS, LABEL, 1, 0.01).fit(scaled)
-    return M.coef_importance(model, FEATS, spark).select("feature", R("abs_coef", 6).alias("abs_coef"), R("pct", 4).alias("pct"))
-
-
 @query("m30_permutation_importance", ops=("M30",))
 def m_perm(spark, sf_dir):
     train, test = _split(model_panel(spark, sf_dir))
