@@ -86,7 +86,9 @@ def _simplex_qp(A: np.ndarray, b: np.ndarray, lam: float) -> np.ndarray | None:
     until none does. Each step is one small linear system, for any number of
     models."""
     m = len(b)
-    H = 2 * (A + lam * np.eye(m))
+    # to about 1, as the sum's row of ones: else least squares takes it for rounding beside large squares
+    scale = float(np.mean(np.diag(A))) + lam or 1.0
+    H, b = 2 * (A + lam * np.eye(m)) / scale, b / scale
     w, support = np.full(m, 1.0 / m), list(range(m))
     for _ in range(100 * m):
         size = len(support)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.session import cut_lineage, fixed_ranges
+from panelforge.session import cut_lineage, fixed_ranges, ship
 
 #: Most cells of an index, so that the pivots stay a small matrix at any number of rows.
 MOST_CELLS = 1024
@@ -67,6 +67,7 @@ class NeighbourIndex:
     directory: DataFrame
     pivots: np.ndarray
     cells: list  # (cell, rows, least ring, greatest ring), one per pivot in use
+    copies: int = 1
 
     @property
     def dim(self) -> int:
@@ -80,8 +81,12 @@ def vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def build_index(df: DataFrame, key: str, vec: str, n_cells: int | None = None, block_rows: int = 1024,
-                seed: int = 42) -> NeighbourIndex:
-    """Pivots are spread over a sample of four rows for each cell (the smallest seeded hashes); all rows are indexed."""
+                seed: int = 42, copies: int = 1) -> NeighbourIndex:
+    """Pivots are spread over a sample of four rows for each cell (the smallest seeded hashes); all rows are indexed.
+
+    With ``copies`` above 1 a row stands in the cells of so many nearest pivots, for the approximate mode only: a
+    neighbour across a border between cells is then found from either side."""
+    ship(df.sparkSession)
     rows = vectors(df, key, vec)
     n = rows.count()
     n_cells = n_cells or int(min(MOST_CELLS, max(1, n ** 0.5)))
@@ -94,9 +99,11 @@ def build_index(df: DataFrame, key: str, vec: str, n_cells: int | None = None, b
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             apart = distances(matrix(batch.column("vec"), dim), pivots)
-            cell = apart.argmin(axis=1) if batch.num_rows else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(cell.astype(np.int32)),
-                                              pa.array(apart[np.arange(len(cell)), cell])], names=["id", "vec", "cell", "ring"])
+            cell = np.argsort(apart, axis=1, kind="stable")[:, :copies]
+            row = np.repeat(np.arange(len(cell)), cell.shape[1])
+            taken, cell = batch.take(pa.array(row)), cell.ravel()
+            yield pa.RecordBatch.from_arrays([taken.column("id"), taken.column("vec"), pa.array(cell.astype(np.int32)),
+                                              pa.array(apart[row, cell])], names=["id", "vec", "cell", "ring"])
 
     assigned = rows.mapInArrow(assign, "id long, vec array<double>, cell int, ring double")
     # ranges of (cell, ring) split a cell that holds most rows; inside a range, pieces of block_rows
@@ -107,7 +114,7 @@ def build_index(df: DataFrame, key: str, vec: str, n_cells: int | None = None, b
     directory = cut_lineage(blocks.groupBy("block", "cell").agg(
         F.min("ring").alias("near"), F.max("ring").alias("far"), F.count(F.lit(1)).alias("rows")))
     cells = directory.groupBy("cell").agg(F.sum("rows"), F.min("near"), F.max("far")).orderBy("cell").collect()
-    return NeighbourIndex(blocks, directory, pivots, [tuple(r) for r in cells])
+    return NeighbourIndex(blocks, directory, pivots, [tuple(r) for r in cells], copies)
 
 
 def reached_cells(index: NeighbourIndex, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
@@ -207,6 +214,8 @@ def search(index: NeighbourIndex, queries: DataFrame, k: int, include_self: bool
     """``query, rank, neighbor, dist`` of ``queries`` (``id, vec``; ids are unique): exact, or from ``probes`` cells.
 
     Ties go by neighbour. Queries with fewer than ``k`` other rows get them all."""
+    if index.copies > 1 and not probes:
+        raise ValueError("an index with copies answers the approximate mode only; give probes")
     asked = queries.select(F.col("id").alias("query"), "vec")
     first = reached_cells(index, asked, k + (not include_self), probes)
     ring_gap = F.greatest(F.col("away") - F.col("far"), F.col("near") - F.col("away"), F.lit(0.0))
@@ -217,7 +226,10 @@ def search(index: NeighbourIndex, queries: DataFrame, k: int, include_self: bool
         visits = visits.withColumn("before", F.coalesce(F.sum("rows").over(upto), F.lit(0))).where(F.col("before") <= k)
     visits = visits.select("block", "query", "vec")
     if probes:
-        return first_k(scan_blocks(index, visits, k, include_self), k).select("query", "rank", "neighbor", "dist")
+        found = scan_blocks(index, visits, k, include_self)
+        if index.copies > 1:
+            found = found.groupBy("query", "neighbor").agg(F.min("dist").alias("dist"))
+        return first_k(found, k).select("query", "rank", "neighbor", "dist")
     visits = cut_lineage(visits)
     found = cut_lineage(first_k(scan_blocks(index, visits, k, include_self), k))
     bound = found.where(F.col("rank") == k).select("query", F.col("dist").alias("reach"))

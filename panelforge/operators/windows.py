@@ -402,10 +402,23 @@ def rank_entities(totals: DataFrame, col: str, key: str, k: int | None = None) -
     return global_row_index(totals, [F.col(col).desc(), F.col(key)], out="rank")
 
 
-def carry_header(df: DataFrame, file_col: str, line_col: str, header_col: str, out: str = "header") -> DataFrame:
-    """Header carried down over the following lines of the same file."""
-    w = Window.partitionBy(file_col).orderBy(line_col).rowsBetween(UNB_P, 0)
-    return df.withColumn(out, F.last(F.col(header_col), ignorenulls=True).over(w))
+def carry_header(df: DataFrame, file_col: str, line_col: str, header_col: str, out: str = "header",
+                 block_lines: int = 10_000) -> DataFrame:
+    """Header carried down over the following lines of the same file.
+
+    A file is cut into blocks of ``block_lines`` line numbers. Lines are windowed inside their block, a
+    table with one row per block carries the last header of the earlier blocks, and lines before
+    a block's first header take that one; so a file of a million lines is the work of many tasks."""
+    d = df.withColumn("__block", F.floor(F.col(line_col) / block_lines))
+    last = F.max_by(F.col(header_col), F.when(F.col(header_col).isNotNull(), F.col(line_col)))
+    blocks = d.groupBy(file_col, "__block").agg(last.alias("__last"))
+    earlier = Window.partitionBy(file_col).orderBy("__block").rowsBetween(UNB_P, -1)
+    blocks = blocks.select(F.col(file_col).alias("__file"), F.col("__block").alias("__of"),
+                           F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+    inside = Window.partitionBy(file_col, "__block").orderBy(line_col).rowsBetween(UNB_P, 0)
+    d = d.withColumn("__own", F.last(F.col(header_col), ignorenulls=True).over(inside))
+    d = d.join(blocks, F.col(file_col).eqNullSafe(F.col("__file")) & (F.col("__block") == F.col("__of")), "left")
+    return d.select(*df.columns, F.coalesce("__own", "__carried").alias(out))
 
 
 def components_for(var: DataFrame, idx: str, ratio: str, thresholds: Sequence[float] = (0.9, 0.95)) -> DataFrame:

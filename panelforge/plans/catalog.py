@@ -14,7 +14,9 @@ from panelforge.plans import (  # noqa: F401
     q_models,
     q_more,
     q_order,
+    q_search,
     q_surface,
+    q_trees,
 )
 from panelforge.plans.registry import OPERATORS, ORACLE, QUERIES
 

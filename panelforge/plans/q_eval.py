@@ -233,12 +233,6 @@ def h_intervals(spark, sf_dir):
     return _rounded(out, ["p10", "p90", "p10_const", "p90_const"])
 
 
-@query("h07_stacking_weights", ops=("H7", "A34"))
-def h_stack_weights(spark, sf_dir):
-    w = H.fit_stack(model_preds(spark, sf_dir), MODELS, "y", lam=0.1)
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in w.items()], "model string, weight double")
-
-
 STACK_W = {"m_entity": 0.5, "m_year": 0.3, "m_scaled": 0.2}
 
 

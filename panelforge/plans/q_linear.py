@@ -73,14 +73,15 @@ def system_sql(total: str, without: str, size: str, last: int, alpha: str) -> st
 TERMS = LN.monomials(COLS, max(DEGREES))
 SIZES = {d: len(LN.monomials(COLS, d)) for d in DEGREES}
 LAST = len(TERMS) + 1
-SEARCH_SQL = "WITH RECURSIVE " + Q.PANEL + f""",
+def search_sql(settings: str) -> str:
+    """``scores`` of all ``settings(degree, size, alpha)`` by folds, ``best``, and in ``solutions`` the fits on all rows (id -1)."""
+    return "WITH RECURSIVE " + Q.PANEL + f""",
 train AS (SELECT * FROM panel WHERE yr < 2000),
 folded AS (SELECT *, (row_number() OVER (ORDER BY md5('42|' || entity || '|' || yr || '|' || mo), entity, yr, mo) - 1) % {FOLDS} AS fold FROM train),
 z AS ({scaled_sql('folded', COLS, 'train', 'ln(1 + total) AS y, fold')}),
 folds AS ({gram_sql(TERMS, 'z', 'fold')}),
 whole AS ({gram_sql(TERMS, 'z')}),
-settings AS (SELECT * FROM (VALUES {', '.join(f'({d}, {SIZES[d]})' for d in DEGREES)}) AS d(degree, size),
-                           (VALUES {', '.join(f'({a}::DOUBLE)' for a in ALPHAS)}) AS a(alpha)),
+settings AS ({settings}),
 systems AS (
   SELECT [fold, degree, alpha]::DOUBLE[] AS id, {system_sql('w.G', 'f.G', 'size', LAST, 'alpha')} AS m FROM folds f, whole w, settings
   UNION ALL SELECT [-1, degree, alpha]::DOUBLE[], {system_sql('w.G', '', 'size', LAST, 'alpha')} FROM whole w, settings),
@@ -95,6 +96,14 @@ scores AS (SELECT CAST(degree AS BIGINT) AS degree, alpha, avg(1 - sse / spread)
 best AS (SELECT * FROM scores ORDER BY mean_r2 DESC, degree, alpha DESC LIMIT 1)"""
 
 
+def grid_sql(degrees, alphas) -> str:
+    sizes = ", ".join(f"({d}, {SIZES[d]})" for d in degrees)
+    return f"SELECT * FROM (VALUES {sizes}) AS d(degree, size), (VALUES {', '.join(f'({a}::DOUBLE)' for a in alphas)}) AS a(alpha)"
+
+
+SEARCH_SQL = search_sql(grid_sql(DEGREES, ALPHAS))
+
+
 def _search(spark, sf_dir):
     train, test = _panel(spark, sf_dir)
     folded = MP.kfold(train, ["entity", "yr", "mo"], k=FOLDS, seed=42)

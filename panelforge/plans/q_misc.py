@@ -15,6 +15,7 @@ from panelforge.plans import sqlparts as Q
 from panelforge.plans.registry import query
 from panelforge.session import scratch_path
 from panelforge.sources import files as SF
+from panelforge.sources import keyed as KY
 from panelforge.sources import text as TX
 
 
@@ -33,7 +34,7 @@ ZONES_SQL = """zones AS (SELECT user_id, arg_min(event_type, (ts, event_id)) AS
 
 
 @query("z01_pixel_composite", ops=("Z1",), sql="""
-SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS period, round(avg(value), 6) AS value FROM events
+SELECT user_id, strftime(date_trunc('month', ts), '%Y-%m-%d') AS period, round(avg(value), 6) AS value FROM events
 WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-29' GROUP BY 1, 2""")
 def z_composite(spark, sf_dir):
     e = P.table(spark, sf_dir, "events")
@@ -252,23 +253,32 @@ def s_parse_report(spark, sf_dir):
 
 
 @query("s09_keyed_text_files", ops=("S9",), sql="""
-SELECT CAST(doc_id AS BIGINT) AS key, CAST(length(text) + 1 AS BIGINT) AS n_chars FROM documents""")
+SELECT CAST(doc_id AS BIGINT) AS key, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS digest FROM documents""")
 def s_keyed_text(spark, sf_dir):
-    docs = P.table(spark, sf_dir, "documents").select("doc_id", "text")
+    """All documents packed under their keys and read back."""
     path = scratch_path(spark, "docs_text")
-    docs.write.mode("overwrite").partitionBy("doc_id").text(path)
-    d = TX.read_keyed_text(spark, path, key_pattern=r"doc_id=([0-9]+)/")
-    # the text sink ends every record with a line separator, hence length + 1 in the oracle
-    return d.select("key", F.length("text").alias("n_chars"))
+    KY.write_keyed(P.table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return KY.read_keyed(spark, path).select("key", F.length("text").alias("n_chars"), F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+@query("s09_keyed_text_lookup", ops=("S9", "P11"), sql="""
+SELECT CAST(doc_id AS BIGINT) AS key, md5(text) AS digest FROM documents
+WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY lang, source)""")
+def s_keyed_lookup(spark, sf_dir):
+    """The first document of every language and source, read by key: only their byte ranges are read."""
+    docs, path = P.table(spark, sf_dir, "documents"), scratch_path(spark, "docs_text")
+    KY.write_keyed(docs, "doc_id", "text", path)
+    firsts = [r[0] for r in docs.groupBy("lang", "source").agg(F.min("doc_id")).select("min(doc_id)").collect()]
+    return KY.read_keyed(spark, path, keys=firsts).select("key", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
 @query("z03_streaming_incremental_composite", ops=("Z3", "Z1"), sql="""
-SELECT user_id, strftime(date_trunc('day', ts), '%Y-%m-%d') AS period, round(avg(value), 6) AS value FROM events GROUP BY 1, 2""")
+SELECT user_id, strftime(date_trunc('month', ts), '%Y-%m-%d') AS period, round(avg(value), 6) AS value FROM events GROUP BY 1, 2""")
 def z_stream(spark, sf_dir):
     from panelforge.streaming.incremental import composite_stream, read_composite
     schema = P.table(spark, sf_dir, "events").schema
     sink, ckpt = scratch_path(spark, "composite_sink"), scratch_path(spark, "composite_ckpt")
-    q = composite_stream(spark, sf_dir, schema, "user_id", "ts", ["value"], sink, ckpt, grain="day",
+    q = composite_stream(spark, sf_dir, schema, "user_id", "ts", ["value"], sink, ckpt, grain="month",
                          glob="events.parquet")
     q.awaitTermination()
     d = read_composite(spark, sink, "user_id", ["value"])

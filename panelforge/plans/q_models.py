@@ -1,59 +1,23 @@
-"""Model queries: PCA (M13-M16), exact kNN (M32, M33 -- with brute-force
-DuckDB oracles), pyspark.ml fits and tuning (M19-M31, M34, M35, M37-M39) and
-model / table sinks (S12-S16). Fits use the panel with a temporal split
-(train: years before 2000) and a log1p target."""
+"""Nearest neighbours (M32, M33), exact against brute-force DuckDB twins and
+approximate by recall, and the polynomial expansion (M19)."""
 
 from __future__ import annotations
 
 import itertools
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from panelforge.operators import aggregates as A
-from panelforge.operators import evaluate as V
-from panelforge.operators import features as E
-from panelforge.operators import mlprep as MP
 from panelforge.operators import models as M
 from panelforge.operators import neighbours as NB
-from panelforge.operators import windows as W
 from panelforge.plans import panel as P
 from panelforge.plans import sqlparts as Q
 from panelforge.plans.registry import query
-from panelforge.session import materialize, scratch_path
-from panelforge.sources import files as SF
-
-FEATS = ["v", "n", "mo", "yr", "item"]
-LABEL = "log_total"
-
 
 def R(c, n=4):
     return F.round(c, n)
 
 
-def model_panel(spark, sf_dir):
-    """Features: mean price, order count, month, year, and the sparse item
-    gap-filled by the default cascade; label: log1p of the monthly total.
-    Materialised once, since fitting and tuning scan it many times."""
-    d = P.panel_with_item(spark, sf_dir)
-    d = W.impute_cascade(d, ["item"], P.PANEL, with_log=False)
-    return materialize(E.log_target(d, "total", LABEL))
-
-
-def _split(d):
-    return MP.temporal_split(d, "yr", 2000)
-
-
-def _eval(pred, label=LABEL):
-    """Metrics on the original scale after expm1 (M34 inverse)."""
-    d = pred.withColumn("p_orig", F.expm1("prediction")).withColumn("y_orig", F.expm1(label))
-    m = V.metrics(d, "y_orig", "p_orig", eps=1e-8)
-    ml = V.metrics(pred, label, "prediction", eps=None).select(F.col("r2").alias("r2_log"))
-    return W._attach_row(m, ml).select("n", R("rmse", 2).alias("rmse"), R("mae", 2).alias("mae"),
-                                         R("r2", 6).alias("r2"), R("mape", 4).alias("mape"), R("r2_log", 6).alias("r2_log"))
-
-
 # ---------------------------------------------------------------- kNN
 EMB_SQL = """e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 
@@ -94,9 +58,9 @@ SELECT CAST(count(*) * 10 AS BIGINT) AS n, CAST(1 AS BIGINT) AS enough FROM embe
 def m_knn_recall(spark, sf_dir):
     """The approximate mode against the exact result, for all rows as queries: its recall is 0.9 or more."""
     e = P.table(spark, sf_dir, "embeddings")
-    index = NB.build_index(e, "vec_id", "embedding", n_cells=8, block_rows=256)
     asked = NB.vectors(e, "vec_id", "embedding")
-    exact, near = NB.search(index, asked, 10), NB.search(index, asked, 10, probes=6)
+    exact = NB.search(NB.build_index(e, "vec_id", "embedding"), asked, 10)
+    near = NB.search(NB.build_index(e, "vec_id", "embedding", n_cells=8, copies=2), asked, 10, probes=5)
     return NB.recall(near, exact).select("n", (F.col("recall") >= 0.9).alias("enough"))
 
 
@@ -114,144 +78,3 @@ def m_poly(spark, sf_dir):
     return d.select("entity", "yr", "mo", F.posexplode(terms).alias("k", "term"))
 
 
-@query("m22_m28_forest_and_importances", ops=("M22", "M28"))
-def m_forest(spark, sf_dir):
-    train, test = _split(model_panel(spark, sf_dir))
-    model = M.forest(FEATS, LABEL, trees=30, depth=6).fit(train)
-    return M.importances(model, FEATS, spark).withColumn("importance", R("importance", 6))
-
-
-@query("m23_gradient_boosting", ops=("M23", "M34", "V1"))
-def m_gbt(spark, sf_dir):
-    train, test = _split(model_panel(spark, sf_dir))
-    model = M.gbt(FEATS, LABEL, iters=30, depth=4).fit(train)
-    return _eval(model.transform(test))
-
-
-@query("m24_gradient_boosting_early_stop", ops=("M24",))
-def m_gbt_es(spark, sf_dir):
-    d = model_panel(spark, sf_dir).withColumn("is_val", F.col("yr") == 1999)
-    train, test = _split(d)
-    model = M.gbt(FEATS, LABEL, iters=200, depth=4, validation="is_val").fit(train)
-    n_trees = len(model.stages[-1].trees)
-    return _eval(model.transform(test)).withColumn("n_trees", F.lit(n_trees))
-
-
-def _rf_grid(est_stage):
-    return (ParamGridBuilder().addGrid(est_stage.maxDepth, [3, 5]).addGrid(est_stage.numTrees, [10, 20]).build())
-
-
-@query("m25_s15_grid_search_cv", ops=("M25", "S15", "V15"))
-def m_grid(spark, sf_dir):
-    train, _ = _split(model_panel(spark, sf_dir))
-    pipe = M.forest(FEATS, LABEL, trees=10, depth=3)
-    est = pipe.getStages()[-1]
-    cv = M.grid_search(pipe, _rf_grid(est), LABEL, folds=3, parallelism=4).fit(train)
-    rows = [{"stage": str({p.name: v for p, v in pm.items()}), "cv_score": float(s)}
-            for pm, s in zip(cv.getEstimatorParamMaps(), cv.avgMetrics)]
-    return SF.tuning_summary(spark, rows).withColumn("cv_score", R("cv_score", 6))
-
-
-@query("m26_coarse_to_fine_search", ops=("M26",))
-def m_coarse_fine(spark, sf_dir):
-    train, _ = _split(model_panel(spark, sf_dir))
-    pipe = M.forest(FEATS, LABEL, trees=10, depth=3)
-    est = pipe.getStages()[-1]
-    coarse = ParamGridBuilder().addGrid(est.maxDepth, [2, 6]).addGrid(est.numTrees, [8]).build()
-    _, stages = M.coarse_to_fine(train, pipe, est, coarse, LABEL, folds=3, refine=["maxDepth"])
-    return SF.tuning_summary(spark, stages).withColumn("cv_score", R("cv_score", 6))
-
-
-@query("m27_random_search", ops=("M27",))
-def m_random(spark, sf_dir):
-    train, _ = _split(model_panel(spark, sf_dir))
-    pipe = M.gbt(FEATS, LABEL, iters=10, depth=3)
-    est = pipe.getStages()[-1]
-    grid = (ParamGridBuilder().addGrid(est.maxDepth, [2, 3, 4]).addGrid(est.stepSize, [0.05, 0.1, 0.2])
-            .addGrid(est.subsamplingRate, [0.7, 1.0]).build())
-    draws = M.random_search(grid, 3, seed=42)
-    cv = M.grid_search(pipe, draws, LABEL, folds=3).fit(train)
-    rows = [{"stage": f"draw{i}", "cv_score": float(s), "params": {p.name: v for p, v in pm.items()}}
-            for i, (pm, s) in enumerate(zip(cv.getEstimatorParamMaps(), cv.avgMetrics))]
-    return SF.tuning_summary(spark, rows).withColumn("cv_score", R("cv_score", 6))
-
-
-@query("m30_permutation_importance", ops=("M30",))
-def m_perm(spark, sf_dir):
-    train, test = _split(model_panel(spark, sf_dir))
-    model = M.forest(FEATS, LABEL, trees=20, depth=5).fit(train)
-    rows = M.permutation_importance(model, test, FEATS, LABEL, ["entity", "yr", "mo"], repeats=10)
-    return spark.createDataFrame([(c, round(m, 6), round(s, 6)) for c, m, s in rows],
-                                 "feature string, mean_r2_drop double, std_r2_drop double")
-
-
-@query("m31_band_selection_by_importance", ops=("M31", "F27", "E25"))
-def m_bands(spark, sf_dir):
-    p = P.base_panel(spark, sf_dir).where(F.col("mo").between(2, 8))
-    seq = MP.sequences(p, P.PANEL, ["v", "n"], mode="strict")
-    flat = seq.withColumn("flat", F.flatten("sequence"))
-    names = [f"{b}_m{m}" for m in range(2, 9) for b in ("v", "n")]
-    wide = flat.select("entity", "yr", *[F.col("flat")[i].alias(nm) for i, nm in enumerate(names)])
-    tgt = P.yearly_panel(spark, sf_dir).select("entity", "yr", F.log1p("total").alias(LABEL))
-    d = wide.join(tgt, ["entity", "yr"])
-    model = M.forest(names, LABEL, trees=20, depth=4).fit(d)
-    imp = M.importances(model, names, spark)
-    return M.band_importance(imp, 1, must_have=["n"])
-
-
-@query("m34_batch_scoring_clip", ops=("M34", "S13", "O6"))
-def m_score(spark, sf_dir):
-    train, test = _split(model_panel(spark, sf_dir))
-    model = M.forest(FEATS, LABEL, trees=20, depth=5).fit(train)
-    path = scratch_path(spark, "model")
-    SF.save_model(model, path)
-    loaded = SF.load_model(path)
-    scored = M.score(loaded, test, inverse="expm1", lo=0.0)
-    return scored.select("entity", "yr", "mo", R("prediction", 2).alias("prediction")).orderBy("entity", "yr", "mo")
-
-
-@query("m35_feature_set_ablation", ops=("M35", "P20"))
-def m_ablation(spark, sf_dir):
-    train, test = _split(model_panel(spark, sf_dir))
-    rows = M.compare_feature_sets(train, test, {"all": FEATS, "without_n": [c for c in FEATS if c != "n"]}, LABEL)
-    return spark.createDataFrame([(r["feature_set"], round(r["r2"], 6), round(r["rmse"], 6)) for r in rows],
-                                 "feature_set string, r2 double, rmse double")
-
-
-@query("m37_weighted_fit", ops=("M37", "E24"))
-def m_weighted(spark, sf_dir):
-    d = E.inverse_weight(model_panel(spark, sf_dir), "n")
-    train, test = _split(d)
-    model = M.gbt(FEATS, LABEL, iters=20, depth=3, weight="sample_weight").fit(train)
-    return _eval(model.transform(test))
-
-
-@query("m38_out_of_fold_predictions", ops=("M38", "M10", "U1"))
-def m_oof(spark, sf_dir):
-    d = MP.kfold(model_panel(spark, sf_dir), ["entity", "yr", "mo"], k=3)
-    oof = M.oof_predictions(d, "fold", 3, lambda: M.forest(FEATS, LABEL, trees=10, depth=4), LABEL, ["entity", "yr", "mo"])
-    return oof.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), R(F.avg(F.abs(F.col(LABEL) - F.col("prediction"))), 6).alias("mae_log"))
-
-
-@query("m39_random_fourier_kernel_fit", ops=("M39",))
-def m_rff(spark, sf_dir):
-    train, test = _split(model_panel(spark, sf_dir))
-    cols = ["v", "n", "mo"]
-    st = MP.fit_standard(train, cols)
-    model, _ = M.fit_rff_linear(MP.transform(train, st), cols, LABEL, n_features=50, gamma=0.5)
-    t, _ = M.random_fourier(MP.transform(test, st), cols, 50, 0.5)
-    return _eval(model.transform(t))
-
-
-@query("s12_s14_s16_sinks", ops=("S12", "S14", "S16"))
-def s_sinks(spark, sf_dir):
-    p = P.base_panel(spark, sf_dir)
-    SF.write_profile(p, scratch_path(spark, "profile"), P.PANEL)
-    preds = A.annualize(p, ["entity", "yr"], ["total"], "mean").withColumnRenamed("total", "pred")
-    yearly = P.yearly_panel(spark, sf_dir)
-    exp = SF.export_predictions(yearly, preds, ["entity", "yr"], scratch_path(spark, "preds"))
-    seq = MP.sequences(p, P.PANEL, ["v"], mode="pad").join(yearly.select("entity", "yr", "total"), ["entity", "yr"])
-    seq_path = scratch_path(spark, "seq")
-    SF.write_sequences(seq, seq_path)
-    back = spark.read.parquet(seq_path)
-    return W._attach_row(exp.agg(F.count(F.lit(1)).alias("exported")), back.agg(F.count(F.lit(1)).alias("sequences")))

@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import predicates as PR
 from panelforge.functions import scalar as S
-from panelforge.functions.udf import apply_per_group
+from panelforge.functions.udf import apply_per_group, scan_per_group
 from panelforge.operators import aggregates as A
-from panelforge.operators import evaluate as V
-from panelforge.operators import models as M
 from panelforge.operators.estimators import HybridAdjuster, PanelScaler
 from panelforge.plans import panel as P
 from panelforge.plans import sqlparts as Q
@@ -40,6 +38,39 @@ def xu_group_hook(spark, sf_dir):
                            "entity int, yr int, mo int, running_total double, month_rank long")
 
 
+def _smoothed(state, rows):
+    """Level and trend of the orders' prices, each moving a fixed share towards what is seen."""
+    level, trend = state or (None, 0.0)
+    levels = []
+    for x in rows["o_totalprice"]:
+        if level is None:
+            level = x
+        else:
+            before = level
+            level = 0.3 * x + 0.7 * (level + trend)
+            trend = 0.2 * (level - before) + 0.8 * trend
+        levels.append(level)
+    return (level, trend), rows.assign(level=levels)[["o_custkey", "o_orderkey", "level"]]
+
+
+@query("xu6_streamed_group_smoothing", ops=("X-U6",), sql="""
+WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_totalprice AS x,
+                            row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+s AS (SELECT o_custkey, o_orderkey, i, x::DOUBLE AS level, 0.0::DOUBLE AS trend FROM o WHERE i = 1
+  UNION ALL
+  SELECT n.o_custkey, n.o_orderkey, n.i, 0.3::DOUBLE * n.x + 0.7::DOUBLE * (s.level + s.trend),
+         0.2::DOUBLE * (0.3::DOUBLE * n.x + 0.7::DOUBLE * (s.level + s.trend) - s.level) + 0.8::DOUBLE * s.trend
+  FROM s JOIN o n ON n.o_custkey = s.o_custkey AND n.i = s.i + 1)
+SELECT CAST(o_custkey AS BIGINT) AS o_custkey, CAST(o_orderkey AS BIGINT) AS o_orderkey, round(level, 4) AS level FROM s""")
+def xu_streamed_smoothing(spark, sf_dir):
+    """Every customer's order prices smoothed with a trend: a recursion over rows that no window expresses."""
+    o = P.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    kind = o.schema
+    out = scan_per_group(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], _smoothed,
+                         f"o_custkey {kind['o_custkey'].dataType.simpleString()}, o_orderkey {kind['o_orderkey'].dataType.simpleString()}, level double")
+    return out.withColumn("level", R("level"))
+
+
 @query("xu7_ml_estimator_stages", ops=("X-U7", "S13", "M1", "H1"), sql=Q.with_(Q.PANEL, Q.DIM) + """
 , s AS (SELECT median(total) AS med, quantile_cont(total, 0.75) - quantile_cont(total, 0.25) AS iqr FROM panel WHERE yr < 2000)
 SELECT entity, yr, mo, round((total - med) / iqr, 6) + 0.0 AS total_scaled,
@@ -78,11 +109,3 @@ def p_schema_selection(spark, sf_dir):
     values = [c for c in PR.feature_columns(wide.select(*picked), ["all_total"])]
     out = wide.withColumns({"urgent_share": F.col("`1_urgent_total`") / F.col("all_total")})  # side by side (U2)
     return out.select("yr", *[R(F.col(f"`{c}`"), 2).alias(c) for c in values], R("urgent_share", 6).alias("urgent_share"))
-
-
-@query("v18_timed_fit", ops=("V18", "M21"))
-def v_timed(spark, sf_dir):
-    p = P.base_panel(spark, sf_dir).withColumn("log_total", F.log1p("total"))
-    model, secs = V.timed_fit(M.ridge_pipeline(["v", "n", "mo"], "log_total", 1, 0.1), p)
-    n_coef = len(model.stages[-1].coefficients)
-    return spark.createDataFrame([("ridge", float(secs) > 0, n_coef)], "model string, timed boolean, n_coef int")

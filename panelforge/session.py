@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import logging
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +43,21 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per session, for functions that
+    run there. Spark's file server distributes it, so nothing but the driver reads the written zip."""
+    package = Path(__file__).resolve().parent
+    sc = spark.sparkContext
+    if not package.is_dir() or getattr(sc, "_panelforge_shipped", False):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="panelforge-package-"), f"{package.name}.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    sc.addPyFile(target)
+    sc._panelforge_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder named by the cluster, if any."""
     d = spark.sparkContext.getCheckpointDir()

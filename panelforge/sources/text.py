@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelforge.functions.scalar import capture_int, capture_text
+from panelforge.operators.windows import carry_header
 
 
 def explode_keyed_json(df: DataFrame, col: str, value_schema: T.StructType | T.DataType,
@@ -40,13 +41,11 @@ def parse_report(df: DataFrame, doc_key: str, text_col: str, fields: Sequence[st
     one row per header block with the numeric fields.
 
     Lines get numbers, headers are recognised by regex, carried down over
-    the following lines of the same document (W15), and numeric fields are
+    the following lines of the same document block by block (W15), and numeric fields are
     pivoted per block with one conditional aggregate per field."""
     ln = lines(df, doc_key, text_col)
     hdr = F.when(F.col("line").rlike(header_pattern), F.col("line_no"))
-    ln = ln.withColumn("__hdr_line", hdr)
-    w = Window.partitionBy(doc_key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    ln = ln.withColumn("block", F.last("__hdr_line", ignorenulls=True).over(w)).where(F.col("block").isNotNull())
+    ln = carry_header(ln.withColumn("__hdr_line", hdr), doc_key, "line_no", "__hdr_line", "block").where(F.col("block").isNotNull())
     ln = ln.withColumn("__kvs", F.regexp_extract_all(F.col("line"), F.lit(field_pattern), 0))
     ln = ln.withColumn("__hname", F.when(F.col("line_no") == F.col("block"), capture_text("line", header_pattern, 1)))
     ln = ln.withColumn("__hrank", F.when(F.col("line_no") == F.col("block"), capture_int("line", header_pattern, 2)))

@@ -19,25 +19,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def composite_stream(spark: SparkSession, source: str, schema: T.StructType, pixel: str, ts: str,
-                     bands: Sequence[str], sink: str, checkpoint: str, grain: str = "day",
-                     watermark: str = "62 days", available_now: bool = True,
-                     glob: str | None = None) -> StreamingQuery:
+                     bands: Sequence[str], sink: str, checkpoint: str, grain: str = "month",
+                     lateness: str = "62 days", available_now: bool = True,
+                     glob: str | None = None, most_files: int | None = None) -> StreamingQuery:
     """Start the incremental composite. Each micro-batch writes the updated
     (pixel, period) rows tagged with the batch id; ``read_composite`` keeps
     the newest version of every row, so replays after a failure are
-    idempotent. State of hours and days older than the newest event by
-    ``watermark`` is given up (calendar months and weeks have no fixed length
-    to expire by)."""
+    idempotent.
+
+    Periods are calendar hours, days, weeks, months or years. A period's end is the
+    event time that the watermark follows, so a period's state is given up once a
+    period that ends ``lateness`` after it has been seen, months like days. A row of a period
+    that is given up comes too late and is dropped: the written value of the period stays."""
     r = spark.readStream.schema(schema)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    src = r.parquet(source)
-    src = src.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
-    period = F.window(ts, f"1 {grain}") if grain in ("hour", "day") else F.date_trunc(grain, F.col(ts))
-    agg = src.groupBy(pixel, period.alias("period")).agg(
+    if most_files:
+        r = r.option("maxFilesPerTrigger", most_files)
+    unit = {"hour": "1 hour", "day": "1 day", "week": "7 days", "month": "1 month", "year": "1 year"}[grain]
+    src = r.parquet(source).withColumn("__start", F.date_trunc(grain, F.col(ts).cast("timestamp")))
+    src = src.withColumn("__end", F.col("__start") + F.expr(f"interval {unit}")).withWatermark("__end", lateness)
+    agg = src.groupBy(pixel, "__start", "__end").agg(
         *[F.sum(b).alias(f"{b}__sum") for b in bands], *[F.count(b).alias(f"{b}__n") for b in bands])
-    start = F.col("period.start" if grain in ("hour", "day") else "period").alias("period")
-    out = agg.select(pixel, start, *[(F.col(f"{b}__sum") / F.col(f"{b}__n")).alias(b) for b in bands])
+    out = agg.select(pixel, F.col("__start").alias("period"), *[(F.col(f"{b}__sum") / F.col(f"{b}__n")).alias(b) for b in bands])
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").partitionBy("batch_id").parquet(sink)
