@@ -96,10 +96,6 @@ def standard_scale(df, cols, fit_on=None):
     return transform(df, fit_standard(df, cols, fit_on))
 
 
-def minmax_scale(df, cols, fit_on=None):
-    return transform(df, fit_minmax(df, cols, fit_on))
-
-
 # M6, M7, M8 -------------------------------------------------------------------
 def fit_imputer(df: DataFrame, cols: Sequence[str], strategy: str = "median", fit_on: Column | None = None,
                 approx: bool = False) -> Stats:

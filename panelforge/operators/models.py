@@ -1,32 +1,24 @@
-"""Models on ``pyspark.ml``.
-
-Fitting is distributed by Spark ML (tree aggregation over cached vector
-columns); the driver only holds model parameters and metric rows. Tuning
-uses ``CrossValidator`` with ``parallelism`` so several fits share the
-cluster.
+"""Pieces on ``pyspark.ml`` and column builders for models (M13-M16, M19, M20,
+M22, M31, M39). Linear fits, tree ensembles, neighbours, importances and searches
+have modules of their own: ``linear``, ``trees``, ``neighbours``, ``importance``, ``search``.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-import random
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.predicates import clip
 from panelforge.operators import mlprep
-from panelforge.session import range_partitions
 
 
 def assembler(cols: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -100,40 +92,10 @@ def interactions(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[st
     return df.withColumns({n: F.col(a) * F.col(b) for n, (a, b) in zip(names, pairs)}), list(cols) + names
 
 
-# M21-M24 ------------------------------------------------------------------------
-def ridge_pipeline(cols: Sequence[str], label: str, degree: int = 1, reg: float = 1.0,
-                   weight: str | None = None) -> Pipeline:
-    stages = [assembler(cols, "__x")]
-    feat = "__x"
-    if degree > 1:
-        stages.append(PolynomialExpansion(degree=degree, inputCol="__x", outputCol="__poly"))
-        feat = "__poly"
-    lr = LinearRegression(featuresCol=feat, labelCol=label, regParam=reg, elasticNetParam=0.0,
-                          standardization=True)
-    if weight:
-        lr.setWeightCol(weight)
-    stages.append(lr)
-    return Pipeline(stages=stages)
-
-
-def fit_poly_ridge(train: DataFrame, valid: DataFrame, cols: Sequence[str], label: str,
-                   degrees: Sequence[int] = (1, 2, 3), regs: Sequence[float] = (0.1, 1.0, 10.0)):
-    """Ridge over polynomial degrees, chosen by held-out R2. Spark's
-    regParam is scaled by 1/n relative to the sklearn alpha."""
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2")
-    best = None
-    for deg in degrees:
-        for reg in regs:
-            m = ridge_pipeline(cols, label, deg, reg).fit(train)
-            score = ev.evaluate(m.transform(valid))
-            if best is None or score > best[0]:
-                best = (score, deg, reg, m)
-    return best[3], {"degree": best[1], "regParam": best[2], "valid_r2": best[0]}
-
-
+# M22 ----------------------------------------------------------------------------
 def forest(cols: Sequence[str], label: str, trees: int = 100, depth: int = 10, seed: int = 42,
            weight: str | None = None) -> Pipeline:
-    """Random forest regressor."""
+    """Spark's own random forest, for searches over its settings."""
     rf = RandomForestRegressor(featuresCol="__x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed,
                                featureSubsetStrategy="auto")
     if weight:
@@ -141,117 +103,7 @@ def forest(cols: Sequence[str], label: str, trees: int = 100, depth: int = 10, s
     return Pipeline(stages=[assembler(cols, "__x"), rf])
 
 
-def gbt(cols: Sequence[str], label: str, iters: int = 100, depth: int = 6, step: float = 0.1,
-        subsample: float = 0.8, features: str = "all", seed: int = 42, validation: str | None = None,
-        tol: float = 0.01, weight: str | None = None) -> Pipeline:
-    """Depth-wise gradient boosting; with ``validation`` (a
-    boolean column) training stops early on the validation rows."""
-    g = GBTRegressor(featuresCol="__x", labelCol=label, maxIter=iters, maxDepth=depth, stepSize=step,
-                     subsamplingRate=subsample, featureSubsetStrategy=features, seed=seed, validationTol=tol)
-    if validation:
-        g.setValidationIndicatorCol(validation)
-    if weight:
-        g.setWeightCol(weight)
-    return Pipeline(stages=[assembler(cols, "__x"), g])
-
-
-# M25-M27 ------------------------------------------------------------------------
-def grid_search(pipe: Pipeline, grid: list, label: str, folds: int = 5, seed: int = 42, parallelism: int = 4,
-                metric: str = "r2"):
-    """Exhaustive grid with k-fold cross-validation."""
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
-    return CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, seed=seed,
-                          parallelism=parallelism)
-
-
-def best_params(cv_model) -> dict:
-    scores = cv_model.avgMetrics
-    ev = cv_model.getEvaluator()
-    i = int(np.argmax(scores) if ev.isLargerBetter() else np.argmin(scores))
-    return {p.name: v for p, v in cv_model.getEstimatorParamMaps()[i].items()}, float(scores[i])
-
-
-def refine_grid(est, best: dict, factors: Sequence[float] = (0.5, 1.0, 2.0),
-                refine: Sequence[str] | None = None) -> list:
-    """Grid centred on the best setting: numeric params (all, or those in
-    ``refine``) times ``factors`` (integers rounded, at least 1)."""
-    b = ParamGridBuilder()
-    for name, v in best.items():
-        p = est.getParam(name)
-        if (refine is not None and name not in refine) or isinstance(v, bool) or not isinstance(v, (int, float)):
-            b = b.addGrid(p, [v])
-        elif isinstance(v, int):
-            b = b.addGrid(p, sorted({max(1, int(round(v * f))) for f in factors}))
-        else:
-            b = b.addGrid(p, sorted({v * f for f in factors}))
-    return b.build()
-
-
-def coarse_to_fine(df: DataFrame, pipe: Pipeline, est, coarse: list, label: str, folds: int = 5, seed: int = 42,
-                   refine: Sequence[str] | None = None):
-    """Coarse grid, then a grid centred on the coarse winner."""
-    cv1 = grid_search(pipe, coarse, label, folds, seed).fit(df)
-    b1, s1 = best_params(cv1)
-    cv2 = grid_search(pipe, refine_grid(est, b1, refine=refine), label, folds, seed).fit(df)
-    b2, s2 = best_params(cv2)
-    return cv2, [{"stage": "coarse", "cv_score": s1, "params": b1}, {"stage": "fine", "cv_score": s2, "params": b2}]
-
-
-def random_search(grid: list, n_iter: int, seed: int = 42) -> list:
-    """Seeded draw of ``n_iter`` settings from a grid (no repeats)."""
-    rnd = random.Random(seed)
-    return rnd.sample(grid, min(n_iter, len(grid)))
-
-
-# M28-M31 ------------------------------------------------------------------------
-def _last(model):
-    return model.stages[-1] if isinstance(model, PipelineModel) else model
-
-
-def importances(model, cols: Sequence[str], spark) -> DataFrame:
-    """Tree feature importances, ranked."""
-    imp = _last(model).featureImportances.toArray()
-    d = spark.createDataFrame([(c, float(v)) for c, v in zip(cols, imp)], "feature string, importance double")
-    return d.orderBy(F.desc("importance"), "feature")
-
-
-def coef_importance(model, cols: Sequence[str], spark) -> DataFrame:
-    """Absolute coefficients of the base (degree-1) terms as a percent
-    of their sum."""
-    coef = np.abs(_last(model).coefficients.toArray()[: len(cols)])
-    tot = coef.sum() or 1.0
-    d = spark.createDataFrame([(c, float(v), float(100 * v / tot)) for c, v in zip(cols, coef)],
-                              "feature string, abs_coef double, pct double")
-    return d.orderBy(F.desc("pct"), "feature")
-
-
-def permute_column(df: DataFrame, col: str, keys: Sequence[str], seed: int, blocks: int | None = None) -> DataFrame:
-    """Shuffle one column across rows: inside hash blocks (as many as the
-    session's shuffle partitions, which grow with the data), row ``i`` in key
-    order takes the value of row ``i`` in seeded-hash order. Each block is
-    ranked independently (many tasks), and it is a plain equi join."""
-    kc = [F.col(k) for k in keys]
-    blocks = range_partitions(df.sparkSession, blocks)
-    d = df.withColumn("__blk", F.pmod(F.xxhash64(*kc, F.lit(seed + 7)), F.lit(blocks)))
-    w1 = Window.partitionBy("__blk").orderBy(*kc)
-    w2 = Window.partitionBy("__blk").orderBy(F.xxhash64(*kc, F.lit(seed)), *kc)
-    left = d.withColumn("__i", F.row_number().over(w1)).drop(col)
-    right = d.select("__blk", F.row_number().over(w2).alias("__i"), F.col(col))
-    return left.join(right, ["__blk", "__i"]).drop("__blk", "__i")
-
-
-def permutation_importance(model, df: DataFrame, cols: Sequence[str], label: str, keys: Sequence[str],
-                           repeats: int = 10, seed: int = 42) -> list[tuple[str, float, float]]:
-    """Mean and std of the R2 drop when one column is shuffled."""
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2")
-    base = ev.evaluate(model.transform(df))
-    out = []
-    for c in cols:
-        drops = [base - ev.evaluate(model.transform(permute_column(df, c, keys, seed + r))) for r in range(repeats)]
-        out.append((c, float(np.mean(drops)), float(np.std(drops))))
-    return sorted(out, key=lambda t: -t[1])
-
-
+# M31 ----------------------------------------------------------------------------
 def band_importance(imp: DataFrame, n: int, must_have: Sequence[str] = (), sep: str = "_m") -> DataFrame:
     """Importances of flattened (band, month) features summed per band
     (name before ``sep``), top ``n`` bands, plus the must-have bands."""
@@ -263,45 +115,7 @@ def band_importance(imp: DataFrame, n: int, must_have: Sequence[str] = (), sep:
     return top
 
 
-# M34, M35, M37-M39 ------------------------------------------------------------------
-def score(model, df: DataFrame, inverse: str | None = "expm1", lo: float | None = None, hi: float | None = None,
-          out: str = "prediction") -> DataFrame:
-    """Batch scoring, inverse transform (expm1 of a log1p target) and
-    optional clip."""
-    d = model.transform(df)
-    p = F.col("prediction")
-    if inverse == "expm1":
-        p = F.expm1(p)
-    if lo is not None or hi is not None:
-        p = clip(p, lo, hi)
-    return d.withColumn(out, p)
-
-
-def compare_feature_sets(train: DataFrame, test: DataFrame, sets: dict[str, Sequence[str]], label: str,
-                         make=None) -> list[dict]:
-    """The same estimator on several feature sets (ablation)."""
-    make = make or (lambda cols: forest(cols, label, trees=50, depth=8))
-    ev = {m: RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=m) for m in ("r2", "rmse")}
-    rows = []
-    for name, cols in sets.items():
-        pred = make(cols).fit(train).transform(test)
-        rows.append({"feature_set": name, **{m: e.evaluate(pred) for m, e in ev.items()}})
-    return rows
-
-
-def oof_predictions(df: DataFrame, fold_col: str, k: int, make, label: str, keys: Sequence[str]) -> DataFrame:
-    """Out-of-fold predictions, one fit per fold, appended by name."""
-    parts = []
-    for f in range(k):
-        m = make().fit(df.where(F.col(fold_col) != f))
-        parts.append(m.transform(df.where(F.col(fold_col) == f)).select(*keys, label, "prediction",
-                                                                         F.lit(f).alias("fold")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
+# M39 ----------------------------------------------------------------------------
 def random_fourier(df: DataFrame, cols: Sequence[str], n_features: int = 100, gamma: float = 0.1,
                    seed: int = 42, prefix: str = "rff") -> tuple[DataFrame, list[str]]:
     """Random Fourier features approximating the RBF kernel
@@ -317,11 +131,3 @@ def random_fourier(df: DataFrame, cols: Sequence[str], n_features: int = 100, ga
         lin = sum((F.col(c) * F.lit(float(W[i, j])) for j, c in enumerate(cols)), F.lit(float(b[i])))
         exprs[nme] = F.lit(scale) * F.cos(lin)
     return df.withColumns(exprs), names
-
-
-def fit_rff_linear(train: DataFrame, cols: Sequence[str], label: str, n_features: int = 100, gamma: float = 0.1,
-                   reg: float = 0.1, seed: int = 42):
-    """Kernel regression re-aimed as RFF columns + ridge."""
-    d, names = random_fourier(train, cols, n_features, gamma, seed)
-    model = ridge_pipeline(names, label, 1, reg).fit(d)
-    return model, names

@@ -9,7 +9,7 @@ nodes, so scoring is a join of rows to nodes, level by level, and any SQL engine
 Sums are of whole numbers (targets in steps of 2**-20, weights in steps of 2**-10), bootstrap weights and feature
 draws come from hashes: the same rows give the same trees however they are partitioned, and
 after lost executors too. The split of a node is the one that lowers the squared error most; ties go to
-the feature that is named first, then to the lower bin. A NULL or NaN feature value counts as the smallest.
+the feature that is named first, then to the lower bin. A NULL or NaN feature value falls into the lowest bin.
 """
 
 from __future__ import annotations

@@ -154,12 +154,12 @@ def v_result_table(spark, sf_dir):
 
 
 @query("v14_entity_errors_two_models", ops=("V14", "A25", "F15"), sql=Q.with_(Q.PANEL, MODELS_SQL) + """
-, a AS (SELECT entity, sum(y) AS y, sum(m_entity) AS m_entity, sum(m_year) AS m_year FROM mp WHERE yr = 2000 GROUP BY entity)
+, a AS (SELECT entity, sum(y) AS y, sum(m_entity) AS m_entity, sum(m_year) AS m_year FROM mp GROUP BY entity)
 SELECT entity, round(y, 2) AS y, round(m_entity, 6) AS m_entity, round(m_year, 6) AS m_year,
        round(m_entity - y, 6) AS m_entity_error, round(m_year - y, 6) AS m_year_error,
        round(100 * (m_entity - y) / y, 6) AS m_entity_pct_error, round(100 * (m_year - y) / y, 6) AS m_year_pct_error FROM a""")
 def v_entity_errors(spark, sf_dir):
-    a = A.annualize(model_preds(spark, sf_dir).where(F.col("yr") == 2000), ["entity"], ["y", "m_entity", "m_year"], "sum")
+    a = A.annualize(model_preds(spark, sf_dir), ["entity"], ["y", "m_entity", "m_year"], "sum")
     d = V.entity_errors(a, "entity", "y", "m_entity", "m_year")
     return d.select("entity", *[R(c, 2 if c == "y" else 6).alias(c) for c in d.columns[1:]])
 
@@ -211,11 +211,11 @@ def h_adjust(spark, sf_dir):
 
 @query("h03_damped_adjustment", ops=("H3", "H4", "F17"), sql=Q.with_(EV_SQL) + """
 , d AS (SELECT event_id, value, value * 0.2 AS band,
-               greatest(-0.15, least(0.15, a)) * (1 - exp(-(value * 0.2) / (value * 0.1))) AS adj FROM ev WHERE value > 0)
+               greatest(-0.15, least(0.15, a)) * (1 - exp(-(value * 0.2) / (value * 0.1))) AS adj FROM (SELECT event_id, nullif(value, 0) AS value, a FROM ev))
 SELECT event_id, round(adj, 6) AS adj, round(value * (1 + adj), 6) AS pred_adjusted,
        round((value - 0.5 * band) * (1 + 0.7 * adj), 6) AS low_80, round((value + 0.5 * band) * (1 + 0.7 * adj), 6) AS high_80 FROM d""")
 def h_damped(spark, sf_dir):
-    d = H.default_uncertainty(_events(spark, sf_dir).where(F.col("value") > 0), "value")
+    d = H.default_uncertainty(_events(spark, sf_dir).withColumn("value", F.nullif(F.col("value"), F.lit(0.0))), "value")
     d = H.damped_adjust(d, "value", "a", "band", "train_rmse")
     return d.select("event_id", *[R(c, 6).alias(c) for c in ("adj", "pred_adjusted", "low_80", "high_80")])
 
@@ -288,13 +288,15 @@ def h_parse(spark, sf_dir):
 
 
 @query("h11_h16_hybrid_batch_and_eval", ops=("H11", "H16", "V1"), sql=Q.with_(Q.PANEL, MODELS_SQL, Q.DIM) + """
-, a AS (SELECT entity, greatest(-0.2, least(0.2, dist / 100 - 0.45)) AS adjustment FROM dim WHERE dist < 60),
+, a AS (SELECT entity, CASE WHEN dist < 60 THEN greatest(-0.2, least(0.2, dist / 100 - 0.45)) END AS adjustment FROM dim),
 h AS (SELECT mp.*, coalesce(adjustment, 0.0) AS adjustment, m_entity * (1 + greatest(-0.2, least(0.2, coalesce(adjustment, 0.0)))) AS y_hybrid
       FROM mp LEFT JOIN a USING (entity))
 SELECT CAST(count_if(adjustment = 0.0) AS BIGINT) AS n_fallback, """ + _metric_sql("y", "y_hybrid") + """ FROM h""")
 def h_batch(spark, sf_dir):
-    adj = P.static_dim(spark, sf_dir).where(F.col("dist") < 60).select(
-        "entity", H.clip(F.col("dist") / 100 - 0.45, -0.2, 0.2).alias("adjustment"), F.lit(True).alias("parsed"))
+    # answers that could not be parsed have no adjustment and fall back
+    parsed = F.coalesce(F.col("dist") < 60, F.lit(False))
+    adj = P.static_dim(spark, sf_dir).select(
+        "entity", F.when(parsed, H.clip(F.col("dist") / 100 - 0.45, -0.2, 0.2)).alias("adjustment"), parsed.alias("parsed"))
     d = H.hybrid_batch(model_preds(spark, sf_dir), adj, ["entity"], "m_entity")
     m = V.metrics(d, "y", "y_hybrid")
     fb = d.agg(F.count_if(F.col("adjustment") == 0.0).alias("n_fallback"))
@@ -302,19 +304,20 @@ def h_batch(spark, sf_dir):
 
 
 @query("h12_baseline_chain", ops=("H12", "W12", "J10"), sql=Q.with_(Q.YEARLY, Q.DIM) + """
-, model AS (SELECT entity, total * 1.05 AS model_value FROM yearly WHERE yr = 2000 AND entity IN (SELECT entity FROM dim WHERE dist > 50)),
-recent AS (SELECT entity, avg(total) AS recent_mean FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY yr DESC) AS rn
-           FROM yearly WHERE yr < 2001) WHERE rn <= 3 AND entity IN (SELECT entity FROM dim WHERE dist < 45) GROUP BY entity),
+, model AS (SELECT entity, CASE WHEN dist > 50 THEN arg_max(total, yr) * 1.05 END AS model_value FROM yearly LEFT JOIN dim USING (entity) GROUP BY entity, dist),
+recent AS (SELECT entity, CASE WHEN dist < 45 THEN avg(total) END AS recent_mean FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY yr DESC) AS rn
+           FROM yearly) LEFT JOIN dim USING (entity) WHERE rn <= 3 GROUP BY entity, dist),
 tot AS (SELECT entity, sum(total) AS total FROM yearly GROUP BY entity)
 SELECT entity, round(coalesce(model_value, recent_mean, total / 20), 4) AS baseline,
        CASE WHEN model_value IS NOT NULL THEN 'model' WHEN recent_mean IS NOT NULL THEN 'recent' ELSE 'total' END AS source
 FROM tot LEFT JOIN model USING (entity) LEFT JOIN recent USING (entity)""")
 def h_baseline(spark, sf_dir):
-    y = P.yearly_panel(spark, sf_dir)
-    far = P.static_dim(spark, sf_dir).where(F.col("dist") > 50).select("entity")
-    model = y.where(F.col("yr") == 2000).join(far, "entity", "left_semi").select("entity", (F.col("total") * 1.05).alias("model_value"))
-    near = P.static_dim(spark, sf_dir).where(F.col("dist") < 45).select("entity")
-    recent = W.recent_mean(y.where(F.col("yr") < 2001).join(near, "entity", "left_semi"), "entity", "yr", "total", 3)
+    y, dim = P.yearly_panel(spark, sf_dir), P.static_dim(spark, sf_dir).select("entity", "dist")
+    # the model answers far entities only, the recent mean is known of near ones only
+    latest = y.groupBy("entity").agg(F.max_by("total", "yr").alias("total")).join(dim, "entity", "left")
+    model = latest.select("entity", F.when(F.col("dist") > 50, F.col("total") * 1.05).alias("model_value"))
+    recent = W.recent_mean(y, "entity", "yr", "total", 3).join(dim, "entity", "left")
+    recent = recent.select("entity", F.when(F.col("dist") < 45, F.col("recent_mean")).alias("recent_mean"))
     tot = y.groupBy("entity").agg(F.sum("total").alias("total"))
     d = tot.join(model, "entity", "left").join(recent, "entity", "left")
     src = F.when(F.col("model_value").isNotNull(), "model").when(F.col("recent_mean").isNotNull(), "recent").otherwise("total")

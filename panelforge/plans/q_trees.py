@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from panelforge.operators import evaluate as V
 from panelforge.operators import features as E
 from panelforge.operators import importance as IM
-from panelforge.operators import linear as LN
 from panelforge.operators import mlprep as MP
-from panelforge.operators import search as SE
 from panelforge.operators import trees as TR
 from panelforge.plans import panel as P
 from panelforge.plans import sqlparts as Q
