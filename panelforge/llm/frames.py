@@ -43,6 +43,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
                        for new, old in columns.items()])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
     sc = spark.sparkContext
@@ -57,8 +65,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path for a written table below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/llm-{name}-{os.urandom(8).hex()}"
+    """A new path for a written table below the shared folder; it goes when the session ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{os.urandom(8).hex()}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -79,8 +90,6 @@ def tabled(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,9 +7,10 @@ documents become candidates if they agree on any band of both collections.
 
 Documents with equal shingle sets are one class from the start. Keys are only formed from
 bands that another class has too, which loses no key that could match. Within a key, classes
-are held against one member at a time (never all pairs), over a few rounds with different
-members; what then still stands unlinked in a common key is tabledd exactly by a prefix
-filter that orders shingles from rare to frequent. All links are confirmed on full sets.
+are held against the most central member (never all pairs); what then still stands unlinked in a common key is joined
+exactly by a prefix filter that orders shingles from rare to frequent. Each set carries a parity sketch, whose
+bits that differ between two sets can be no more than the shingles that differ: that leaves
+out pairs which share a prefix, but not enough of the rest. All links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -23,11 +24,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.llm.components import components
-from panelforge.llm.frames import pick, tabled
+from panelforge.llm.frames import free_name, pick, tabled
 from panelforge.llm.hashing import SPACED, mixed, odd_numbers, shingles, sliced, word_hashes
 
 #: A table of node numbers up to so many rows (16 MB) may be sent to every executor.
 SMALL_ROWS = 1_000_000
+#: 64-bit words of a set's parity sketch.
+PARITY_WORDS = 8
+
+
+def parities(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Per row ``PARITY_WORDS`` words: each shingle flips one bit, the same in every set."""
+    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    place = mixed(sets ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(64 * PARITY_WORDS)
+    out = np.zeros((len(bounds) - 1, PARITY_WORDS), np.uint64)
+    np.bitwise_xor.at(out, (rows, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+    return out.view(np.int64)
 
 
 def sketch(sets: np.ndarray, bounds: np.ndarray, bands: int, rows_per_band: int) -> tuple[np.ndarray, ...]:
@@ -110,12 +122,17 @@ class _Linker:
                       .where("lo < hi").select("key"))
         return named.join(mixed_keys, "key", "left_semi").select("key", "node", "label")
 
-    def star(self, groups: DataFrame, salt: int, tries: int) -> None:
-        """Holds each node against one member of each of its groups, the ``tries`` most frequent ones."""
-        named = tabled(self.labelled(groups)) if self.labels is not None else self.labelled(groups)
-        first = named.groupBy("key").agg(
-            F.min_by(F.struct("node", "label"), F.struct(F.xxhash64(F.lit(salt), "node") if salt else F.lit(0), "node"))
-            .alias("rep"))
+    def star(self, groups: DataFrame, tries: int = 1) -> None:
+        """Holds each node against the most central member of each of its groups, ``tries`` of them at most.
+
+        That is the member that meets most others over all of its groups, so that copies of one text
+        join around it."""
+        named = self.labelled(groups)
+        sizes = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        meets = named.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("meets"))
+        named = tabled(named.join(meets, "node"))
+        order = F.struct(-F.col("meets"), "node")
+        first = named.groupBy("key").agg(F.min_by(F.struct("node", "label"), order).alias("rep"))
         met = (named.join(first, "key").where(F.col("label") != F.col("rep.label"))
                .groupBy("node", F.col("rep.node").alias("rep")).agg(F.count(F.lit(1)).alias("n")))
         best = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "rep"))
@@ -125,16 +142,23 @@ class _Linker:
     def rest(self, prefixes: DataFrame) -> None:
         """Tests all pairs that share a prefix under different labels and could still overlap enough.
 
-        Where the first shared shingle stands late in either order, too few are left behind it.
+        Where the first shared shingle stands late in either order, too few are left behind it. Where
+        more parity bits differ than shingles may, the pair cannot be linked either: at ``percent`` of
+        the union, at most (100 - percent) / (100 + percent) of both sizes together differ.
         """
-        named = tabled(self.labelled(prefixes.select("key", "node")).join(prefixes, ["key", "node"]))
-        one = named.select("key", F.col("node").alias("a"), "label", "n", "place")
+        named = self.labelled(prefixes.select("key", "node")).join(prefixes, ["key", "node"])
+        named = tabled(named.join(self.sets.select("node", "parity"), "node"))
+        words = [F.col("parity")[i].alias(f"w{i}") for i in range(PARITY_WORDS)]
+        one = named.select("key", F.col("node").alias("a"), "label", "n", "place", *words)
         two = named.select("key", F.col("node").alias("b"), F.col("label").alias("label2"),
-                           F.col("n").alias("n2"), F.col("place").alias("place2"))
+                           F.col("n").alias("n2"), F.col("place").alias("place2"),
+                           *[F.col("parity")[i].alias(f"v{i}") for i in range(PARITY_WORDS)])
+        differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"v{i}"))) for i in range(PARITY_WORDS)])
         needed = F.col("n").cast("long") + F.col("n2")
         could = (F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1) * (100 + self.percent)
         self.test(one.join(two, "key").where(
-            (F.col("a") > F.col("b")) & (F.col("label") != F.col("label2")) & (could >= needed * self.percent))
+            (F.col("a") > F.col("b")) & (F.col("label") != F.col("label2")) & (could >= needed * self.percent)
+            & (differ * (100 + self.percent) <= needed * (100 - self.percent)))
             .select("a", "b"))
 
 
@@ -198,8 +222,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, bands: i
             sets, bounds = shingles(*word_hashes(batch.column("text"), SPACED), batch.num_rows, width)
             s1, s2, _ = sketch(sets, bounds, 0, 0)
             own = (batch.column("s1").to_numpy() == s1) & (batch.column("s2").to_numpy() == s2)
-            out = pa.RecordBatch.from_arrays([batch.column("node"), list_array(sets, bounds)],
-                                             names=["node", "shingles"])
+            bits = list_array(parities(sets, bounds).ravel(), np.arange(batch.num_rows + 1) * PARITY_WORDS)
+            out = pa.RecordBatch.from_arrays([batch.column("node"), list_array(sets, bounds), bits],
+                                             names=["node", "shingles", "parity"])
             yield out.filter(pa.array(own))
 
     sketches = tabled(rows.mapInArrow(sketched, SKETCHED.format(id=kind)))
@@ -222,17 +247,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, bands: i
     n_wanted = wanted.count()
     sent = F.broadcast(wanted) if n_wanted <= SMALL_ROWS else wanted
     texts = rows.join(sent, rows["doc_id"].eqNullSafe(F.col("first_id"))).select("node", "s1", "s2", "text")
-    sets = tabled(texts.mapInArrow(with_sets, "node long, shingles array<long>"))
+    sets = tabled(texts.mapInArrow(with_sets, "node long, shingles array<long>, parity array<long>"))
     if sets.count() > n_wanted:  # rows that repeat an id and a text
         sets = tabled(sets.dropDuplicates(["node"]))
 
     linker = _Linker(sets, percent)
-    for salt, tries in ((0, 1), (1, 2)):
-        linker.star(groups, salt, tries)
+    linker.star(groups)
     open_nodes = tabled(linker.labelled(groups).select("node").distinct())
     prefixes = tabled(rare_prefixes(_semi(sets, open_nodes, "node", open_nodes.count()), percent))
-    for salt in (2, 3):
-        linker.star(prefixes.select("key", "node"), salt, 3)
     linker.rest(prefixes)
 
     labels = linker.labels if linker.labels is not None else classes.select("node", F.col("node").alias("label"))
@@ -244,3 +266,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, width: int = 5, bands: i
     return named.unionByName(alone).select(
         "doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def one_per_group(docs: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates, all columns kept: of each component the row with the smallest id.
+
+    A document is an id with its text, so a row that shares its id with another text is judged by its own.
+    Null ids come after all others; of rows alike in id and text one stays. Texts without words are linked
+    with nothing, but of such rows alike in id and text one stays as well. Empty tables give no rows.
+    """
+    given, text = F.col("`" + id_col.replace("`", "``") + "`"), F.col("`" + text_col.replace("`", "``") + "`")
+    name = F.struct(given.isNull().alias("none"), given.alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
+    names = docs.select(name.alias("doc_id"), text.alias("text"))
+    found = near_duplicates(names, percent=percent, width=width).groupBy("doc_id").agg(
+        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    found = tabled(found.where("not kept or n > 1"))
+    own, other = free_name(docs, "_own"), free_name(docs, "_other")
+    rows = docs.withColumn(own, name)
+    listed = found.select(F.col("doc_id").alias(other), "kept")
+    out = rows.join(listed.select(other), F.col(own) == F.col(other), "left_anti").select(docs.columns)
+    again = listed.where("kept").select(other)
+    if again.isEmpty():
+        return out
+    rows = rows.join(again, F.col(own) == F.col(other), "left_semi").dropDuplicates([own])
+    return out.union(rows.select(docs.columns))
