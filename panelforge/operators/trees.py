@@ -179,6 +179,7 @@ def _grow(rows: DataFrame, model: TreeModel, trees: Sequence[int], depth: int, s
 
 def best_splits(cells: DataFrame, n_inputs: int, n_features: int, min_weight: int, seed: int) -> DataFrame:
     """One row per (tree, node): the split ``bin`` of ``feature`` (values up to its edge go left) with the largest gain."""
+    cells = cells.repartition("tree", "node")  # once for the running sums and the choice
     by_feature = Window.partitionBy("tree", "node", "feature")
     upto = by_feature.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     c = cells.select("*", F.sum("n").over(upto).alias("left_n"), F.sum("s").over(upto).alias("left_s"),

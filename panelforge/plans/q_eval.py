@@ -154,13 +154,13 @@ def v_result_table(spark, sf_dir):
 
 
 @query("v14_entity_errors_two_models", ops=("V14", "A25", "F15"), sql=Q.with_(Q.PANEL, MODELS_SQL) + """
-, a AS (SELECT entity, sum(y) AS y, sum(m_entity) AS m_entity, sum(m_year) AS m_year FROM mp GROUP BY entity)
-SELECT entity, round(y, 2) AS y, round(m_entity, 6) AS m_entity, round(m_year, 6) AS m_year,
-       round(m_entity - y, 6) AS m_entity_error, round(m_year - y, 6) AS m_year_error,
-       round(100 * (m_entity - y) / y, 6) AS m_entity_pct_error, round(100 * (m_year - y) / y, 6) AS m_year_pct_error FROM a""")
+, a AS (SELECT entity, sum(y) AS y, sum(m_scaled) AS m_scaled, sum(m_year) AS m_year FROM mp GROUP BY entity)
+SELECT entity, round(y, 2) AS y, round(m_scaled, 6) AS m_scaled, round(m_year, 6) AS m_year,
+       round(m_scaled - y, 6) AS m_scaled_error, round(m_year - y, 6) AS m_year_error,
+       round(100 * (m_scaled - y) / y, 6) AS m_scaled_pct_error, round(100 * (m_year - y) / y, 6) AS m_year_pct_error FROM a""")
 def v_entity_errors(spark, sf_dir):
-    a = A.annualize(model_preds(spark, sf_dir), ["entity"], ["y", "m_entity", "m_year"], "sum")
-    d = V.entity_errors(a, "entity", "y", "m_entity", "m_year")
+    a = A.annualize(model_preds(spark, sf_dir), ["entity"], ["y", "m_scaled", "m_year"], "sum")
+    d = V.entity_errors(a, "entity", "y", "m_scaled", "m_year")
     return d.select("entity", *[R(c, 2 if c == "y" else 6).alias(c) for c in d.columns[1:]])
 
 

@@ -170,7 +170,7 @@ def m_score(spark, sf_dir):
     return scored.select(*KEYS, R(F.greatest(F.expm1("prediction"), F.lit(0.0)), 2).alias("prediction"))
 
 
-BOOST = {"iterations": 30, "depth": 4, "rate": 0.1}
+BOOST = {"iterations": 16, "depth": 3, "rate": 0.2}
 
 
 @query("m23_gradient_boosting", ops=("M23", "M34", "V1"), sql=with_rows(*boosted_sql("g", FEATS, **BOOST)) + metrics_sql("") + f"""
