@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.frames import pick, tabled
+from panelforge.llm.frames import free_name, pick, tabled
 from panelforge.llm.hashing import ALNUM, mixed, odd_numbers, sliced, word_hashes
 
 #: Alignment scores: an equal word, a replaced word, a word more or less.
@@ -252,7 +252,14 @@ def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         first += part.num_rows
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows of ``docs`` whose id has no leak of an item, all columns kept; null ids stay."""
-    bad = tabled(benchmark_leaks(docs, items, id_col=id_col, **settings).select("doc_id").distinct())
-    return docs.join(bad.withColumnRenamed("doc_id", "_leaking"), F.col(f"`{id_col}`") == F.col("_leaking"), "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` whose own text has no leak of an item, all columns kept.
+
+    A row that shares its id, null or not, with a leaking text stays unless it leaks itself. The texts
+    are not shuffled unless very many leak: what is joined is the list of leaking ids and text hashes."""
+    given, text = F.col("`" + id_col.replace("`", "``") + "`"), F.col("`" + text_col.replace("`", "``") + "`")
+    name = F.struct(given.alias("id"), F.xxhash64(text).alias("mark"))
+    named = docs.select(name.alias("doc_id"), text.alias("text"))
+    own, other = free_name(docs, "_own"), free_name(docs, "_other")
+    bad = tabled(benchmark_leaks(named, items, **settings).select(F.col("doc_id").alias(other)).distinct())
+    return docs.withColumn(own, name).join(bad, F.col(own) == F.col(other), "left_anti").select(docs.columns)

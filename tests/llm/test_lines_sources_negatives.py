@@ -9,7 +9,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from panelforge.llm.divergence import index_runs, pair_corrections, pieces, source_divergence
