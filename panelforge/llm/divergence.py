@@ -10,7 +10,6 @@ where one source has the term, and from a second stream over the postings where
 
 from __future__ import annotations
 
-import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
 

@@ -152,7 +152,8 @@ def compare_fingerprints(docs: DataFrame, size: int = 128, id_col: str = "doc_id
 
     Null texts count as empty; an empty text has the empty fingerprint, like 1 to another empty
     one and 0 to the rest. Null ids stand first; rows that share an id stand in the order of a
-    hash of their texts. A single document is its own next. Empty tables give no rows.
+    hash of their texts. A single document is its own next. Empty tables give no rows; other columns are
+    not read. Texts are parsed whole at any length, with one dictionary entry per phrase while a text is parsed.
 
     Work: a sample of ids cuts them into ranges, and the first text of each range is copied to the end of
     the range before. Then one shuffle of the texts by range is all: a task walks through its sorted

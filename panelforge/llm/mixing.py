@@ -76,7 +76,8 @@ def mix_plan(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, mo
 
     Null sources form a source of their own; a null id hashes as the text ``null``; rows alike
     in id, source and size could swap places, with the same result. A source without words
-    has target 0 and gives no copies. Empty tables give no rows.
+    has target 0 and gives no copies. Null, empty and wordless texts have size 0; texts count whole at
+    any length. Columns beyond the three named ones are not read. Empty tables give no rows.
 
     Work: one pass over the texts leaves a narrow table; the running sum of equal expected
     copies is a rank, found in buckets of (source, size class, hash), so that a hot source
@@ -107,9 +108,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
         text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``docs``, each repeated as often as ``mix_plan`` takes it, with all columns kept.
 
-    The plan comes back to the rows by id, source and word count. Rows alike in all three are
+    The plan comes back to the rows by id, source and word count, nulls included. Rows alike in all three are
     numbered, and the number picks from their group's list of copies; a repeated id is expected
-    to be rare.
+    to be rare. Texts of any length are carried along, as are other columns, whatever their names. Empty
+    tables give no rows.
     """
     plan = mix_plan(docs, id_col=id_col, source_col=source_col, text_col=text_col, **settings)
     plan = (plan.groupBy(F.struct("doc_id", "source", "size").alias("_same"))
