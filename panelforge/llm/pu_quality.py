@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,8 +180,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, most_positive: int = 15_00
     """A network from a sample of rows that are not held out; None without a positive or a document.
 
     Positives are ids whose labels are all 1; an id labelled both ways is none. The unlabelled
-    are documents of any kind, whatever their label. ``most_positive`` and ``most_unlabelled``
-    bound the samples (in the mean of a draw by hash), so the features that reach the driver are
+    are documents of any kind, whatever their label. Of rows that share an id one text counts, and
+    texts count whole at any length. ``most_positive`` and ``most_unlabelled`` bound the samples (in the mean of a draw by hash), so the features that reach the driver are
     a few megabytes at any size.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).where(F.col("doc_id").isNotNull())
@@ -190,7 +191,9 @@ def learn_quality(docs: DataFrame, labels: DataFrame, most_positive: int = 15_00
             .where("lo = 1 and hi = 1").select("doc_id"))
     good = _sampled(good, most_positive, seed).withColumn("kind", F.lit(1))
     any_row = _sampled(rows.select("doc_id"), most_unlabelled, seed + 1).distinct().withColumn("kind", F.lit(0))
-    chosen = rows.join(F.broadcast(good.unionByName(any_row)), "doc_id")
+    # of rows that share an id, the first text in order
+    chosen = (rows.join(F.broadcast(good.unionByName(any_row)), "doc_id")
+              .groupBy("kind", "doc_id").agg(F.min("text").alias("text")))
 
     def featured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in sliced(whole)):
@@ -231,3 +234,22 @@ def score_quality(docs: DataFrame, network: Network | None, threshold: float = 0
     out = rows.mapInArrow(scored, f"doc_id {kind}, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                       (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, network: Network | None, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, all columns kept.
+
+    Each row is judged by its own text, whatever its id; see ``score_quality`` for odd texts. One pass, no shuffle.
+    """
+    at = docs.columns.index(text_col)
+
+    def passed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pc.fill_null(batch.column(at), "")], names=["text"])
+            good = [np.zeros(0, bool)]
+            for part in sliced(texts):
+                x = text_features(part.column("text"))
+                good.append(network.score(x) >= threshold if network else np.full(len(x), 0.5 >= threshold))
+            yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(passed, docs.schema)
