@@ -11,10 +11,10 @@ transfer framing of the HTTP response within.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -105,7 +105,8 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     that repeat the largest id with the same payload are responses too. Null html is an empty
     payload. Null ids are smaller than all others; if a payload has only these, they are responses.
     A null or empty url is left out. A file holds at most ``records_per_file`` records and so a
-    bounded number of bytes, however long the pages are. Files are gzip-compressed as a whole.
+    bounded number of bytes, however long the pages are. Files are gzip-compressed as a whole. Columns beyond
+    the three named ones are not read. Empty tables give an archive without records.
 
     Work: a narrow aggregation finds the largest id of each payload, and one join brings it to the
     pages. A payload that many pages share is one row there, and Spark splits the skewed side.
@@ -132,23 +133,60 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
      .option("compression", "gzip").text(path))
 
 
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of a WARC file, compressed or not."""
+def unpacked(data: bytes) -> bytes:
+    """All members of a gzip file one after the other; of a damaged file, what comes before the damage."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            break
+        data = member.unused_data if member.eof else b""
+    return b"".join(out)
+
+
+def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Header fields (names in lower case) and block of each record of a WARC file, compressed by record, by file, or not.
+
+    A block that is cut off is None. Where no record can start, reading goes on at the next one that does."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = unpacked(data)
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode("utf-8").split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no record starts at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(fields["content-length"])
-        block = data[end + 4:end + 4 + size]
-        if len(block) != size:
-            raise ValueError("a record's block is shorter than its Content-Length")
-        yield fields, block
-        at = end + 4 + size + 4
+        end = data.find(b"\r\n\r\n", at)
+        fields = {}
+        if end >= 0 and data.startswith(b"WARC/", at):
+            lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        size = whole_number(fields.get("content-length"))
+        stop = None if size is None else end + 4 + size
+        after = None if stop is None or stop > len(data) else data[stop:stop + 4]
+        if "warc-type" not in fields or after not in (b"", b"\r\n", b"\r\n\r\n"):
+            if size is not None and "warc-type" in fields:  # cut off, or its length is wrong: the block is not known
+                yield fields, None
+            at = data.find(b"\r\n\r\nWARC/", at + 1)
+            if at < 0:
+                return
+            at += 4
+            continue
+        yield fields, data[end + 4:stop]
+        at = stop + 4
+
+
+def whole_number(text: str | None) -> int | None:
+    return int(text) if text and text.isascii() and text.isdigit() else None
+
+
+def payload_of(block: bytes | None) -> tuple[int | None, str | None]:
+    """Size and digest of a response's payload; unknown where the block is cut off or its framing is damaged."""
+    if block is None:
+        return None, None
+    try:
+        payload = http_payload(block)
+    except ValueError:
+        return None, None
+    return len(payload), digest(payload)
 
 
 READ = ("kind string, record_id string, origin string, segment int, total long, page_id {id}, digest string, "
@@ -156,14 +194,15 @@ READ = ("kind string, record_id string, origin string, segment int, total long,
 READ_FIELDS = [f.split()[0] for f in READ.split(", ")]
 
 
-def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+def read_archive(spark: SparkSession, path: str, id_type: str = "bigint", files_like: str = "part-*") -> DataFrame:
     """One row per page record of the WARC files at ``path``, segments put together again.
 
     Columns ``page_id, payload_bytes, payload_digest, record_type, refers_to, complete``. The
     digest is computed from the payload as reassembled and unchunked, for a revisit that of the
     response it refers to. ``complete`` says that all segments were there, that they add up to the
     stated total length and that the payload has the digest its record states; a record that
-    fails has null for what is not known. No files give no rows.
+    fails (cut off, wrong lengths, broken chunks, a segment lost) has null for what is not known, and the others
+    are read. Archives of others are read too; their records have a null ``page_id``. No files give no rows.
 
     Work: records that are not segmented are decoded where they are read. Segments meet by origin,
     one payload in a group, and revisits meet their responses by record identifier.
@@ -173,19 +212,18 @@ def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> Dat
                                  pa.binary()]
 
     def rows_of(fields: dict[str, str], block: bytes) -> tuple:
-        number = fields.get("warc-segment-number")
-        total = fields.get("warc-segment-total-length")
+        number = whole_number(fields.get("warc-segment-number"))
         page = fields.get("warc-page-id")
-        row = [fields["warc-type"], fields["warc-record-id"], fields.get("warc-segment-origin-id"),
-               int(number) if number else None, int(total) if total else None,
-               page if page is None or id_type == "string" else int(page),
+        if page is not None and id_type != "string":
+            page = int(page) if re.fullmatch(r"-?[0-9]{1,18}", page) else None
+        row = [fields["warc-type"], fields.get("warc-record-id"), fields.get("warc-segment-origin-id"),
+               number, whole_number(fields.get("warc-segment-total-length")), page,
                fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, fields.get("warc-refers-to")]
         if number:
             return *row, None, None, block
-        if fields["warc-type"] == "revisit":
+        if fields["warc-type"] != "response":
             return *row, None, None, None
-        payload = http_payload(block)
-        return *row, len(payload), digest(payload), None
+        return *row, *payload_of(block), None
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +233,7 @@ def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> Dat
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=READ_FIELDS)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", files_like).load(path)
     records = settle(files.select("content").mapInArrow(read, READ.format(id=id_type)))
     parts = (records.where("segment is not null")
              .groupBy(F.coalesce("origin", "record_id").alias("record_id"))
@@ -209,10 +247,10 @@ def read_archive(spark: SparkSession, path: str, id_type: str = "bigint") -> Dat
             for pieces in batch.column("parts"):
                 own = {p["segment"]: p for p in pieces.as_py()}
                 numbers = sorted(own)
-                block = b"".join(own[n]["block"] for n in numbers)
-                whole = numbers == list(range(1, len(numbers) + 1)) and own[numbers[-1]]["total"] == len(block)
-                payload = http_payload(block) if whole else None
-                out.append((len(payload), digest(payload)) if whole else (None, None))
+                there = all(own[n]["block"] is not None for n in numbers)
+                block = b"".join(own[n]["block"] for n in numbers) if there else b""
+                whole = there and numbers == list(range(1, len(numbers) + 1)) and own[numbers[-1]]["total"] == len(block)
+                out.append(payload_of(block if whole else None))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("record_id", "page_id", "digest", "times")]
                 + [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string())],
