@@ -7,6 +7,7 @@ months at once (no per-month loop).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -105,10 +106,13 @@ def nearest(points: DataFrame, key: str, lat: str, lon: str, sites: DataFrame, s
     s = s.where("__slat is not null and __slon is not null and not isnan(__slat) and not isnan(__slon)")
     p = points.select(key, F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon"))
     p = p.where("__lat is not null and __lon is not null and not isnan(__lat) and not isnan(__lon)")
-    n_sites = s.count()
-    if not n_sites:
+    box = s.agg(F.count(F.lit(1)).alias("n"), F.min("__slat").alias("south"), F.max("__slat").alias("north"),
+                F.min("__slon").alias("west"), F.max("__slon").alias("east")).first()
+    if not box["n"]:
         return points.withColumns({"dist_km": F.lit(None).cast("double"), "nearest_site": F.lit(None).cast(sites.schema[name].dataType)})
-    finest = min(MOST_LEVELS, max(1, (n_sites.bit_length() + 1) // 2))
+    # cells about as large as a site's share of the box that holds all sites
+    share = math.sqrt(max(box["north"] - box["south"], 1e-3) * max(box["east"] - box["west"], 1e-3) / box["n"])
+    finest = min(MOST_LEVELS, max(1, math.ceil(math.log2(90 / share))))
     levels = F.sequence(F.lit(0), F.lit(finest))
     s = cut_lineage(s.withColumn("__level", F.explode(levels)).withColumn(
         "__cell", _cells(F.col("__slat"), F.col("__slon"), F.col("__level"))))
