@@ -71,6 +71,29 @@ def test_busy_blocks_are_copied(spark, monkeypatch):
     assert _got(NB.knn_all(_frame(spark, X), "id", "vec", 5, n_cells=2, block_rows=30)) == _brute(X, 5)
 
 
+def test_plan_holds_groups_not_queries(spark, monkeypatch):
+    """Nothing that is planned grows with queries times cells, and no vector is in it."""
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(400, 16))  # isotropic: every query reaches every cell
+    index = NB.build_index(_frame(spark, X), "id", "vec", n_cells=20, block_rows=16)
+    monkeypatch.setattr(NB, "QUERIES_PER_COPY", 100)
+    asked = NB.grouped_queries(index, NB.vectors(_frame(spark, X), "id", "vec"))
+    assert {r["count"] for r in asked.groupBy("group").count().collect()} <= set(range(1, 300))
+    reached = NB.reached_cells(index, asked.withColumn("reach", F.lit(float("inf"))), 3)
+    assert "vec" not in reached.columns
+    assert reached.count() == asked.select("group").distinct().count() * len(index.cells)
+    assert _got(NB.search(index, NB.vectors(_frame(spark, X), "id", "vec"), 3)) == _brute(X, 3)
+
+
+def test_large_and_small_distances_are_exact(spark):
+    """Rows far from 0 and close together, where products of matrices round, and rows whose squares overflow."""
+    rng = np.random.default_rng(9)
+    X = np.vstack([1e6 + rng.integers(0, 9, size=(60, 5)) * 1e-3, rng.normal(size=(20, 5)), np.full((3, 5), 1e200)])
+    with np.errstate(over="ignore"):
+        want = _brute(X, 4)
+    assert _got(NB.knn_all(_frame(spark, X), "id", "vec", 4, n_cells=3, block_rows=16)) == want
+
+
 def test_recall_of_probes(spark):
     rng = np.random.default_rng(4)
     X = np.vstack([rng.normal(4 * c, 1.0, size=(100, 8)) for c in range(4)])
