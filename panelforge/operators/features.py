@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import scalar as S
 from panelforge.functions.predicates import columns_like
+from panelforge.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -154,6 +155,7 @@ def qcut_label(c: str | Column, edges: Sequence[float]) -> Column:
 
 
 def target_quartile(df: DataFrame, target: str, out: str = "target_quartile", q: int = 4) -> DataFrame:
+    df = cut_lineage(df)  # edges and labels from the same values, also where the target is a sum of doubles
     return df.withColumn(out, qcut_label(target, quantile_edges(df, target, q)))
 
 

@@ -63,7 +63,9 @@ def quantiles_by_column(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
 
     No row is shuffled, and what reaches the driver per pass is bounded: the logarithmic bins that hold values
     (some hundreds for each power of ten), then at most ``BINS`` counts or ``FEW_ROWS`` values for each
-    interval that a quantile lies in. ``percentile`` and ``approx`` use those aggregates instead."""
+    interval that a quantile lies in. The columns are written once, as doubles: sums of doubles differ in their last bits
+    from one evaluation to the next, and every pass has to see the same values. ``percentile`` and ``approx`` use those
+    aggregates instead."""
     qs = [float(q) for q in qs]
     cols = list(dict.fromkeys(cols))
     if method in ("percentile", "approx"):
@@ -71,6 +73,7 @@ def quantiles_by_column(df: DataFrame, cols: Sequence[str], qs: Sequence[float],
                          else F.percentile(c, F.array(*[F.lit(q) for q in qs]))).alias(c) for c in cols]).first()
         return {c: [None] * len(qs) if wide[c] is None else [float(x) for x in wide[c]] for c in cols}
     d = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double") + 0.0, F.lit(None)).alias(f"x{i}") for i, c in enumerate(cols)])
+    d = cut_lineage(d)
     spans: dict[tuple[int, int], tuple[float, float, int, int]] = {}  # (column, place) -> low, high, rows, rows before
     sizes = [0] * len(cols)
     first = _stacked(d, [F.when(F.col(f"x{i}").isNotNull(), F.lit(i * 1_000_000) + log_code(F.col(f"x{i}"))) for i in range(len(cols))])
