@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,16 @@ def test_groups_larger_than_a_batch_are_streamed(spark):
             level = float(i % 17) if level is None else 0.5 * (i % 17) + 0.5 * level
             assert by[g, i] == pytest.approx(level, abs=1e-12)
     assert not sizes
+
+
+def test_many_small_groups_leave_together(spark):
+    """Groups of two rows: one frame per batch reaches Spark, not one per group, and states do not mix."""
+    def step(state, rows):
+        assert isinstance(rows["x"], np.ndarray)
+        state = (state or 0.0) + rows["x"].sum()
+        return state, {"g": rows["g"], "total": np.full(len(rows["x"]), state), "rows": np.full(len(rows["x"]), len(rows["x"]))}
+
+    d = spark.range(4000).select((F.col("id") % 2000).alias("g"), F.col("id").alias("i"), F.col("id").cast("double").alias("x"))
+    got = scan_per_group(d, ["g"], ["i"], step, "g long, total double, rows long", arrays=True).collect()
+    assert len(got) == 4000 and {r["g"]: r["total"] for r in got if r["rows"] == 2}.items() <= {(g, 2.0 * g + 2000) for g in range(2000)}
+    assert sum(r["rows"] == 2 for r in got) >= 3980  # but for groups that a batch's end cuts
