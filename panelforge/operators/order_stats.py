@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.session import cut_lineage, fixed_ranges
+from panelforge.session import cut_lineage, fixed_ranges, range_partitions
 
 #: Equal bins that a pass cuts each open interval into, and rows of an interval whose values are taken as they are.
 BINS, FEW_ROWS = 4096, 2048
@@ -236,10 +236,15 @@ def value_ranks(df: DataFrame, col: str, by: Sequence[str] = (), partitions: int
     return ranked.join(parts, on).select(*by, col, "n", (F.col("__own") + F.col("__earlier")).alias("before"))
 
 
-def expand_ranks(ranks: DataFrame, out: str = "i", rows_per_piece: int = 10_000) -> DataFrame:
-    """One row per original row, numbered from 1 in ``out``; counts are cut into pieces that are dealt out first."""
+def expand_ranks(ranks: DataFrame, out: str = "i", rows_per_piece: int = 10_000, rows_per_task: int = 500_000) -> DataFrame:
+    """One row per original row, numbered from 1 in ``out``; counts are cut into pieces that are dealt out first.
+
+    ``ranks`` is read twice. The number of tasks follows the rows that come out: the pieces themselves are so small
+    that Spark would put all of them into one task."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(rows_per_piece).cast("long"))
-    pieces = ranks.withColumn("__start", F.explode(starts)).repartition("before", "__start")
+    tasks = math.ceil((ranks.agg(F.sum("n")).first()[0] or 0) / rows_per_task)
+    tasks = max(tasks, range_partitions(ranks.sparkSession))
+    pieces = ranks.withColumn("__start", F.explode(starts)).repartition(tasks, "before", "__start")
     stop = F.least(F.col("__start") + rows_per_piece, F.col("n")) - 1
     each = pieces.withColumn("__at", F.explode(F.sequence(F.col("__start"), stop)))
     return each.withColumn(out, F.col("before") + F.col("__at") + 1).drop("__start", "__at", "before", "n")

@@ -128,3 +128,12 @@ def test_quantiles_of_values_that_differ_between_evaluations(spark):
     one = E.target_quartile(d, "x", out="q").collect()
     edges = np.quantile([r["x"] for r in one], [0.25, 0.5, 0.75])
     assert [r["q"] for r in one] == [int(np.searchsorted(edges, r["x"])) for r in one]
+
+
+def test_ranks_are_expanded_in_several_tasks(spark):
+    """Pieces are so small that Spark put those of any number of rows into one task."""
+    d = spark.range(120_000).select((F.col("id") % 3).cast("double").alias("x"))
+    every = OS.expand_ranks(OS.value_ranks(d, "x"), "i", rows_per_piece=1000, rows_per_task=10_000)
+    tasks = [r["count"] for r in every.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 120_000 and len(tasks) >= 8 and max(tasks) <= 40_000
+    assert every.agg(F.count_distinct("i"), F.min("i"), F.max("i")).first() == (120_000, 1, 120_000)
