@@ -7,7 +7,6 @@ months at once (no per-month loop).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -44,7 +43,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 EARTH_KM = 6371.0088
 #: Grid levels of the nearest-site search: level 0 has two rows of 90 degrees, each further one halves them.
-MOST_LEVELS = 14
+MOST_LEVELS = 20
 
 
 def _rows(level: Column) -> Column:
@@ -97,22 +96,22 @@ def nearest(points: DataFrame, key: str, lat: str, lon: str, sites: DataFrame, s
     """Distance to the nearest site and its name (ties: smallest name), exact at any number of sites.
     Points without a place get NULL, sites without one are left out; ``key`` is unique in ``points``.
 
-    Sites stand in the cells of nested latitude / longitude grids. For every occupied finest cell of
-    the points, rings of cells are expanded level by level until one holds a site; that site's distance bounds
+    Of sites at one place only the smallest name counts, and points at one place are searched once. Sites stand
+    in the cells of nested latitude / longitude grids, down to cells of a few places each. For every occupied
+    finest cell of the points, rings of cells are expanded level by level until one holds a site; that site's distance bounds
     each point's search. A second join then takes the sites in the cells that the bounding circle meets, on
-    the level whose cells are about as large as the circle: the rows joined for a point are the sites
-    around it, however many there are elsewhere."""
+    the level whose cells are about as large as the circle, and drops those outside it before anything is sorted: the
+    rows joined for a point are the sites around it, however many there are elsewhere."""
     s = sites.select(F.col(slat).cast("double").alias("__slat"), F.col(slon).cast("double").alias("__slon"), F.col(name).alias("__name"))
     s = s.where("__slat is not null and __slon is not null and not isnan(__slat) and not isnan(__slon)")
-    p = points.select(key, F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon"))
-    p = p.where("__lat is not null and __lon is not null and not isnan(__lat) and not isnan(__lon)")
-    box = s.agg(F.count(F.lit(1)).alias("n"), F.min("__slat").alias("south"), F.max("__slat").alias("north"),
-                F.min("__slon").alias("west"), F.max("__slon").alias("east")).first()
-    if not box["n"]:
+    s = cut_lineage(s.groupBy("__slat", "__slon").agg(F.min("__name").alias("__name"), F.count_if(F.col("__name").isNull()).alias("__unnamed"))
+                    .withColumn("__name", F.when(F.col("__unnamed") == 0, F.col("__name"))).drop("__unnamed"))
+    p = points.select(F.col(lat).cast("double").alias("__lat"), F.col(lon).cast("double").alias("__lon"))
+    p = p.where("__lat is not null and __lon is not null and not isnan(__lat) and not isnan(__lon)").distinct()
+    n = s.count()
+    if not n:
         return points.withColumns({"dist_km": F.lit(None).cast("double"), "nearest_site": F.lit(None).cast(sites.schema[name].dataType)})
-    # cells about as large as a site's share of the box that holds all sites
-    share = math.sqrt(max(box["north"] - box["south"], 1e-3) * max(box["east"] - box["west"], 1e-3) / box["n"])
-    finest = min(MOST_LEVELS, max(1, math.ceil(math.log2(90 / share))))
+    finest = _finest_level(s, n)
     levels = F.sequence(F.lit(0), F.lit(finest))
     s = cut_lineage(s.withColumn("__level", F.explode(levels)).withColumn(
         "__cell", _cells(F.col("__slat"), F.col("__slon"), F.col("__level"))))
@@ -124,22 +123,41 @@ def nearest(points: DataFrame, key: str, lat: str, lon: str, sites: DataFrame, s
     across = (F.col("__at.column") + 0.5) * 360.0 / grid_columns(F.col("__at.row"), F.lit(finest)) - 180
     size = F.lit(180.0) / _rows(F.col("__level"))
     rings = (spots.withColumn("__level", F.explode(levels))
-             .withColumn("__cell", F.explode(reached_cells(middle, across, size, F.col("__level")))))
+             .select("__at", "__level", F.posexplode(reached_cells(middle, across, size, F.col("__level"))).alias("__turn", "__cell")))
+    order = F.shiftleft(F.col("__level").cast("long"), 32) + F.col("__turn")  # no two cells of a spot share it
     whole = s.where("__level = 0").agg(F.min(F.struct("__slat", "__slon")).alias("__any"))
-    met = rings.join(one, "__cell").groupBy("__at").agg(F.max_by("__site", "__level").alias("__site"))
+    met = (rings.join(one, "__cell").select("__at", "__site.*", order.alias("__order")).groupBy("__at")
+           .agg(F.max_by("__slat", "__order").alias("__slat"), F.max_by("__slon", "__order").alias("__slon"))
+           .select("__at", F.struct("__slat", "__slon").alias("__site")))
     bounds = spots.join(met, "__at", "left").withColumn("__k", F.lit(0)).join(F.broadcast(whole.withColumn("__k", F.lit(0))), "__k")
     bounds = bounds.select("__at", F.coalesce("__site", "__any").alias("__site"))
     reach = haversine_km(F.col("__lat"), F.col("__lon"), F.col("__site.__slat"), F.col("__site.__slon")) / EARTH_KM
     q = p.join(bounds, "__at").withColumn("__reach", F.degrees(reach) * (1 + 1e-9) + 1e-7)
     fits = F.floor(F.log2(F.lit(90.0) / F.col("__reach")))
     q = q.withColumn("__level", F.least(F.greatest(fits, F.lit(0)), F.lit(finest)).cast("int"))
-    q = q.select(key, "__lat", "__lon", F.explode(reached_cells(F.col("__lat"), F.col("__lon"), F.col("__reach"), F.col("__level"))).alias("__cell"))
+    q = q.select("__lat", "__lon", "__reach",
+                 F.explode(reached_cells(F.col("__lat"), F.col("__lon"), F.col("__reach"), F.col("__level"))).alias("__cell"))
     d = haversine_km(F.col("__lat"), F.col("__lon"), F.col("__slat"), F.col("__slon"))
-    best = (q.join(s.select("__cell", "__slat", "__slon", "__name"), "__cell").groupBy(key)
-            .agg(F.min(F.struct(d.alias("d"), F.col("__name").alias("name"))).alias("__best")))
+    inside = q.join(s.select("__cell", "__slat", "__slon", "__name"), "__cell").withColumn("__d", d)
+    inside = inside.where(F.degrees(F.col("__d") / EARTH_KM) <= F.col("__reach"))
+    best = (inside.groupBy("__lat", "__lon")
+            .agg(F.min(F.struct(F.col("__d").alias("d"), F.col("__name").alias("name"))).alias("__best")))
+    # back to the points; rows that share a key share the nearest place of all of them
+    at = points.select(key, F.col(lat).cast("double").alias("__plat"), F.col(lon).cast("double").alias("__plon"))
+    best = (at.join(best, (F.col("__plat") == F.col("__lat")) & (F.col("__plon") == F.col("__lon")))
+            .select(key, "__best").repartition(key).groupBy(key).agg(F.min("__best").alias("__best")))
     return points.join(best, key, "left").withColumns({"dist_km": F.col("__best.d"), "nearest_site": F.col("__best.name")}).drop("__best")
 
 
+def _finest_level(s: DataFrame, n: int) -> int:
+    """The first level on which a place shares its cell with three others or fewer on average."""
+    tried = F.sequence(F.lit(1), F.lit(MOST_LEVELS))
+    cells = s.select("__slat", "__slon", F.explode(tried).alias("__level"))
+    cells = cells.groupBy(_cells(F.col("__slat"), F.col("__slon"), F.col("__level")).alias("__cell")).agg(F.count(F.lit(1)).alias("n"))
+    crowd = {r["level"]: r["crowd"] for r in cells.groupBy("__cell.level").agg(F.sum(F.col("n") * F.col("n")).alias("crowd")).collect()}
+    return next((i for i in sorted(crowd) if crowd[i] <= 4 * n), MOST_LEVELS)
+
+
 def range_check(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Per band, value range in the data and count outside the expected
     range -- one aggregate over the band columns present."""

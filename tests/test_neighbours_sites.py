@@ -158,3 +158,16 @@ def test_rows_joined_follow_local_density(spark):
     assert Z.nearest(pts, "k", "lat", "lon", sites, "slat", "slon", "name").first()["dist_km"] < 100
     reached = pts.select(F.size(Z.reached_cells(F.col("lat"), F.col("lon"), F.lit(0.5), F.lit(7)))).first()[0]
     assert reached <= 16
+
+
+def test_places_on_lines_and_many_sites_at_one_place(spark):
+    """The finest cells follow the places, not their box; sites and points that share a place are one place."""
+    rng = np.random.default_rng(6)
+    S = [(float(a), float(b)) for a, b in zip(rng.uniform(40, 45, 600), rng.integers(0, 3, 600))] + [(42.0, 1.0)] * 200
+    P = [(float(a), float(b)) for a, b in zip(rng.uniform(39, 46, 40), rng.integers(0, 4, 40))] + [(42.0, 1.0)] * 50
+    places = spark.createDataFrame(sorted(set(S)), "__slat double, __slon double")
+    finest = Z._finest_level(places, len(set(S)))
+    cells = places.groupBy(Z._cells(F.col("__slat"), F.col("__slon"), F.lit(finest))).count()
+    assert cells.agg(F.sum(F.col("count") * F.col("count"))).first()[0] <= 4 * len(set(S))
+    _check(spark, P, S)
+    assert _sites(spark, P, S)[45] == (0.0, "s0600")
