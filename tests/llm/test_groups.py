@@ -128,6 +128,20 @@ def test_repeats_equal_plain_search(spark, monkeypatch):
     assert set(found.tolist()) == set(np.concatenate([s.place for s in suffix_dedup.samples(data, 400)]).tolist())
 
 
+def test_passages_shorter_than_the_length_stay(spark):
+    """Passages of over 50 words, but under 400 bytes: kept at 400, gone at a length that they reach."""
+    rng = random.Random(21)
+    passages = [prose(rng, 51 + k) for k in range(4)]
+    assert all(len(p.split()) > 50 and len(p.encode()) < 400 for p in passages)
+    texts = [f"{prose(rng, 90)}\n{p}\n{prose(rng, 70)}" for p in passages for _ in range(3)] + [prose(rng, 200) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    least = min(len(p.encode()) for p in passages)
+    for length, caught in ((400, 0), (least, 12)):
+        got = {r["doc_id"]: tuple(r)[1:] for r in remove_repeats(docs, length).collect()}
+        assert [got[i] for i in range(len(texts))] == cut_twin([t.encode() for t in texts], length)
+        assert sorted(i for i in got if got[i][1] > 0) == list(range(caught))
+
+
 def test_repeats_of_odd_rows(odd_rows, no_rows):
     rows = odd_rows.collect()
     want = sorted((str(r["doc_id"]), *w) for r, w in zip(rows, cut_twin([(r["text"] or "").encode() for r in rows], 400)))
